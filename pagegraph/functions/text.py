@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,9 +104,19 @@ def map_value(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def python_double(number: Column) -> Column:
     """Shortest decimal text of a double: plain from 1e-4 up to 1e16, else with exponent."""
-    java = _shortest(number.cast("double"))
+    java = number.cast("double").cast("string")
+    return F.when(java.rlike(r"^-?[0-9.]+$"), java).otherwise(let(_shortest(number.cast("double")), _rewritten))
+
+
+def _rewritten(java: Column) -> Column:
+    """Python's text for Java's exponent form and for values that are not finite."""
     sign = F.when(F.startswith(java, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     body = F.ltrim(java, F.lit("-"))
     mantissa = F.regexp_replace(F.substring_index(body, "E", 1), r"\.0$", "")
@@ -113,16 +125,18 @@ def python_double(number: Column) -> Column:
     whole = F.substring(F.rpad(digits, F.greatest(exponent + 1, F.length(digits)), F.lit("0")), F.lit(1), exponent + 1)
     rest = F.substring(digits, exponent + 2, F.length(digits))
     plain = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
-    small = F.concat(F.lit("0.000"), digits)
+    size = F.abs(exponent).cast("string")
     power = F.concat(
         mantissa,
-        F.lit("e"),
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
+        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")),
     )
-    special = text_of_special(java)
-    return F.when(special.isNotNull(), special).when(~F.contains(body, F.lit("E")), java).otherwise(
-        F.concat(sign, F.when((exponent >= 7) & (exponent < 16), plain).when(exponent == -4, small).otherwise(power))
+    return (
+        F.when(java == "NaN", F.lit("nan"))
+        .when(F.endswith(java, F.lit("Infinity")), F.concat(sign, F.lit("inf")))
+        .when((exponent >= 7) & (exponent < 16), F.concat(sign, plain))
+        .when(exponent == -4, F.concat(sign, F.lit("0.000"), digits))
+        .otherwise(F.concat(sign, power))
     )
 
 
@@ -138,9 +152,3 @@ def _shortest(number: Column) -> Column:
         text = F.concat(mantissa, F.lit("E"), exponent)
         out = F.when(long & (text.try_cast("double") == number), text).otherwise(out)
     return out
-
-
-def text_of_special(java: Column) -> Column:
-    return (
-        F.when(java == "NaN", F.lit("nan")).when(java == "Infinity", F.lit("inf")).when(java == "-Infinity", F.lit("-inf"))
-    )

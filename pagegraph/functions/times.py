@@ -24,51 +24,54 @@ def digits14(moment: Column) -> Column:
     return F.regexp_replace(plain, "[^0-9]", "")
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def _week_date(year: Column, week: Column, day: Column) -> Column:
+_DAY = r"(?!0000)\d{4}-\d{2}-\d{2}"
+_STEPS = [
+    # basic date, basic time, missing minutes, missing seconds, fractions, basic offset, no offset
+    (r"^(\d{4})(\d{2})(\d{2})(?=\D|$)", "$1-$2-$3"),
+    (r"^(\d{4}-\d{2}-\d{2}).(\d{2})(\d{2})(\d{2})?(?=[Z.,+-]|$)", "$1T$2:$3:$4"),
+    (r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00"),
+    (r"^(\d{4}-\d{2}-\d{2}).(\d{2})(?=[Z+-]|$)", "$1T$2:00"),
+    (r"^(\d{4}-\d{2}-\d{2}).(\d{2}:\d{2}):?(?=[Z+-]|$)", "$1T$2:00"),
+    (r"(:\d{2})[.,]\d+", "$1"),
+    (r"([+-]\d{2}):?(\d{2})?:?(\d{2})?$", "$1:$2:$3"),
+    (r"([+-]\d{2})::$", "$1:00:00"),
+    (r"([+-]\d{2}:\d{2}):$", "$1:00"),
+    (r"^(.{10}).(\d{2}:\d{2}:\d{2})Z?$", "$1T$2+00:00:00"),
+    (r"^(.{10}).", "$1T"),
+]
+_FULL = "^" + _DAY + r"T\d{2}:\d{2}:\d{2}[+-]([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+
+
+def _week_date(text: Column) -> Column:
+    """Week date (``2024-W05-3``) as a calendar date, with what follows it."""
+    pattern = r"^(\d{4})-?W(\d{2})-?(\d)?"
+    year = F.regexp_extract(text, pattern, 1)
+    week = F.regexp_extract(text, pattern, 2).try_cast("int")
+    day = F.coalesce(F.regexp_extract(text, pattern, 3).try_cast("int"), F.lit(1))
     fourth = F.concat(year, F.lit("-01-04")).try_cast("date")
     monday = F.date_sub(fourth, F.weekday(fourth))
     last = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
-    ok = week.between(F.lit(1), last) & day.between(1, 7)
-    return F.when(ok, F.date_add(monday, (week - 1) * 7 + day - 1).cast("string"))
-
-
-_DATE = r"^(\d{4})-?(?:(\d{2})-?(\d{2})|W(\d{2})(?:-?(\d))?)"
-_ISO = (
-    r"^(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?)"
-    r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?"
-    r"(?:(Z)|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2})(?:\.\d+)?)?)?)?)?$"
-)
+    date = F.date_add(monday, (week - 1) * 7 + day - 1).cast("string")
+    rest = F.regexp_replace(text, pattern, "")
+    return F.when(week.between(F.lit(1), last) & day.between(1, 7), F.concat(date, rest))
 
 
 def xsd_datetime(value: Column) -> Column:
     """Canonical UTC dateTime from 14 digits or ISO text; anything else is null.
 
-    Text without an offset counts as UTC. Date-only, basic and week dates are accepted.
+    Text without an offset counts as UTC. Date-only, basic and week dates are accepted. Offsets
+    reach to 18 hours.
     """
     text = strip(value.cast("string"))
-    compact = text.rlike(r"^\d{14}$")
-    iso = F.when(
-        compact,
-        F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3T$4:$5:$6"),
-    ).when(text.rlike(_ISO), text)
-    year = _part(iso, _DATE, 1)
-    week = _part(iso, _DATE, 4).cast("int")
-    weekday = F.coalesce(_part(iso, _DATE, 5).cast("int"), F.lit(1))
-    date = F.when(week.isNotNull(), _week_date(year, week, weekday)).otherwise(
-        F.concat_ws("-", year, _part(iso, _DATE, 2), _part(iso, _DATE, 3))
-    )
-    zero = F.lit("00")
-    clock = F.concat_ws(":", *[F.coalesce(_part(iso, _ISO, group), zero) for group in (1, 2, 3)])
-    moment = F.concat(date, F.lit(" "), clock).try_cast("timestamp_ntz")
-    offset = [F.coalesce(_part(iso, _ISO, group).cast("int"), F.lit(0)) for group in (6, 7, 8)]
-    shift = F.make_dt_interval(F.lit(0), offset[0], offset[1], offset[2].cast("decimal(18,6)"))
-    utc = F.when(_part(iso, _ISO, 5) == "-", moment + shift).otherwise(moment - shift)
-    valid = iso.isNotNull() & (year >= "0001") & (offset[0] < 24) & (offset[1] < 60) & (offset[2] < 60)
-    return F.when(valid, ntz_text(utc))
+    dashed = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    compact = F.regexp_extract(dashed, "^" + _DAY + r" \d{2}:\d{2}:\d{2}$", 0).try_cast("timestamp_ntz")
+    iso = F.when(text.rlike(r"^\d{4}-?W"), _week_date(text)).otherwise(text)
+    for pattern, form in _STEPS:
+        iso = F.regexp_replace(iso, pattern, form)
+    seconds = F.unix_seconds(F.regexp_extract(iso, _FULL, 0).try_cast("timestamp"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    moment = epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.when(text.rlike(r"^\d{14}$"), ntz_text(compact)).otherwise(ntz_text(moment))
 
 
 def numeric_time(value: Column) -> Column:

@@ -41,14 +41,17 @@ def short_code_valid(code: Column) -> Column:
 
 def site_domain(site: Column) -> Column:
     """Domain of a database-style site token (``enwiki``); null when it is not one."""
-    token = F.lower(strip(F.coalesce(site, F.lit(""))))
+    return token_site_domain(F.lower(strip(F.coalesce(site, F.lit("")))))
+
+
+def token_site_domain(token: Column) -> Column:
+    """As :func:`site_domain`, for a token that is already lower case and stripped."""
     by_suffix = F.lit(None).cast("string")
     for suffix, domain in reversed(fixed.SITE_SUFFIX_DOMAINS.items()):
         lang = F.replace(F.substring(token, F.lit(1), F.length(token) - len(suffix)), F.lit("_"), F.lit("-"))
-        host = F.concat(lang, F.lit("." + domain))
-        by_suffix = F.when(
-            F.endswith(token, F.lit(suffix)), F.when((lang != "") & host_valid(host), host)
-        ).otherwise(by_suffix)
+        ok = lang.rlike(fixed.HOST_LABEL_PATTERN)
+        host = F.when(ok, F.concat(lang, F.lit("." + domain)))
+        by_suffix = F.when(F.endswith(token, F.lit(suffix)), host).otherwise(by_suffix)
     special = map_value(fixed.SPECIAL_SITES, token)
     return F.when(token.rlike(fixed.SITE_TOKEN_PATTERN), F.coalesce(special, by_suffix))
 

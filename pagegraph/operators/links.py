@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import bytes_title, db_title, integer, page_title, qid, quote, strip
+from pagegraph.functions.text import bytes_title, db_title, integer, let, page_title, qid, quote, strip
 from pagegraph.functions.times import xsd_datetime
-from pagegraph.functions.wiki import site_domain
+from pagegraph.functions.wiki import token_site_domain
 from pagegraph.session import checkpointed
 from pagegraph.sources.feeds import page_length
 
@@ -19,27 +19,31 @@ def link_targets(text: Column) -> Column:
     Unreadable parts are dropped, the first of equal addresses is kept, order is kept.
     """
 
-    def target(part: Column) -> Column:
-        bits = F.split(strip(part), ":", 3)
-        site = F.lower(strip(F.get(bits, 0)))
-        namespace = integer(F.get(bits, 1))
-        title = page_title(F.get(bits, 2))
-        uri = F.concat(F.lit("https://"), site_domain(site), F.lit("/wiki/"), quote(title))
-        ok = (F.size(bits) == 3) & namespace.isNotNull() & (title != "")
-        return F.when(
-            ok & uri.isNotNull(),
-            F.struct(
-                uri.alias("uri"),
-                site.alias("site"),
-                namespace.alias("namespace"),
-                title.alias("api_title"),
-                db_title(title, namespace).alias("db_title"),
-            ),
-        )
-
-    found = F.filter(F.transform(F.split(text, r"\|"), target), lambda t: t.isNotNull())
-    uris = F.transform(found, lambda t: t["uri"])
-    return F.filter(found, lambda t, i: F.array_position(uris, t["uri"]) == i + 1)
+    split = F.transform(F.split(text, r"\|"), lambda part: F.split(strip(part), ":", 3))
+    whole = F.filter(split, lambda bits: F.size(bits) == 3)
+    read = F.transform(
+        whole,
+        lambda bits: F.struct(
+            F.lower(strip(F.get(bits, 0))).alias("site"),
+            integer(F.get(bits, 1)).alias("namespace"),
+            page_title(F.get(bits, 2)).alias("api_title"),
+        ),
+    )
+    addressed = F.transform(
+        F.filter(read, lambda t: t["namespace"].isNotNull() & (t["api_title"] != "")),
+        lambda t: F.struct(
+            F.concat(F.lit("https://"), token_site_domain(t["site"]), F.lit("/wiki/"), quote(t["api_title"])).alias("uri"),
+            t["site"].alias("site"),
+            t["namespace"].alias("namespace"),
+            t["api_title"].alias("api_title"),
+            db_title(t["api_title"], t["namespace"]).alias("db_title"),
+        ),
+    )
+    found = F.filter(addressed, lambda t: t["uri"].isNotNull())
+    return let(
+        found,
+        lambda every: F.filter(every, lambda t, i: F.array_position(every["uri"], t["uri"]) == i + 1),
+    )
 
 
 def explode_links(rows: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -48,7 +48,7 @@ def select_wikis(requests: DataFrame, wikis: DataFrame, column: str = "token") -
         .alias("status"),
     )
     named = asked.where(~wild).withColumn("_token", wiki_token(F.col("request")))
-    named = named.withColumn("_domain", token_domain(F.col("_token")))
+    named = named.withColumn("_domain", F.when(F.col("_token").isNotNull(), token_domain(F.col("_token"))))
     by_domain = dim.select(F.col("domain").alias("_domain"), F.col("wiki_group").alias("_g1"), F.lit(1).alias("_hit"))
     by_token = dim.groupBy("_token").agg(F.min_by(F.struct("domain", "wiki_group"), "domain").alias("_by_token"))
     found = named.join(by_domain, "_domain", "left").join(by_token, "_token", "left")

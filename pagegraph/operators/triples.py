@@ -505,3 +505,36 @@ def sitelink_triples(records: DataFrame, vocab: Vocabulary, subject: str = "page
 
 def missing_subject(records: DataFrame, subject: str = "page_url") -> DataFrame:
     return records.where(F.coalesce(strip(F.col(subject)), F.lit("")) == "")
+
+
+# --- graphs over tables that are not written out ---------------------------------------------------
+
+
+def virtual_triples(
+    records: DataFrame, fields: dict[str, tuple[str, Column]], vocab: Vocabulary, subject: Column, page_class: bool = True
+) -> DataFrame:
+    """Graph columns as a union of one projection per predicate.
+
+    ``fields`` maps a key to (kind, value). A pattern with a constant predicate folds every other
+    branch away, so only the columns of that predicate are read from the files. Use
+    :func:`row_triples` to write a graph out: it scans the records once for all predicates.
+    """
+    null = F.lit(None).cast("string")
+
+    def branch(p: str, kind: str, value: Column) -> DataFrame:
+        return records.select(
+            F.col("dataset_id").cast("string").alias("dataset_id"),
+            subject.alias("s"),
+            F.lit(p).alias("p"),
+            F.lit("iri" if kind == "iri" else "literal").alias("o_kind"),
+            value.cast("string").alias("o"),
+            datatype_of(F.lit(kind)).alias("o_dt"),
+            null.alias("o_lang"),
+        ).where(F.col("o").isNotNull() & F.col("s").isNotNull())
+
+    parts = [branch(fixed.RDF_TYPE, "iri", F.lit(vocab.iri(vocab.page_class)))] if page_class else []
+    parts += [branch(vocab.iri(key), kind, value) for key, (kind, value) in fields.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
