@@ -109,6 +109,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def named(**columns: Column) -> Column:
+    """Struct with given field names (safe inside lambda functions)."""
+    return F.named_struct(*[part for name, column in columns.items() for part in (F.lit(name), column)])
+
+
 def python_double(number: Column) -> Column:
     """Shortest decimal text of a double: plain from 1e-4 up to 1e16, else with exponent."""
     java = number.cast("double").cast("string")

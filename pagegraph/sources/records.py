@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
+from pagegraph.functions.text import named
 
 MAX_DEPTH = 8
 
@@ -68,15 +69,12 @@ def _members(node: str) -> Column:
     raw = F.from_json(text, "map<string,string>")
     of_object = F.transform(
         keys,
-        lambda k: F.struct(
-            F.try_element_at(raw, k).alias("text"),
-            F.try_element_at(v.try_cast("map<string,variant>"), k).alias("v"),
-        ),
+        lambda k: named(text=F.try_element_at(raw, k), v=F.try_element_at(v.try_cast("map<string,variant>"), k)),
     )
     of_list = F.zip_with(
         F.from_json(text, "array<string>"),
         v.try_cast("array<variant>"),
-        lambda t, e: F.struct(t.alias("text"), e.alias("v")),
+        lambda t, e: named(text=t, v=e),
     )
     shape = F.schema_of_variant(v)
     return F.when(F.startswith(shape, F.lit("OBJECT")), of_object).when(F.startswith(shape, F.lit("ARRAY")), of_list)
@@ -85,22 +83,26 @@ def _members(node: str) -> Column:
 def deep_records(payloads: DataFrame, keys: list[str], json_column: str) -> DataFrame:
     """Best row list found anywhere down to depth 8, one row (keys, records) per payload.
 
-    A fixed number of explode steps; the choice per payload is one aggregation with map-side
+    A fixed number of explode steps in one pipeline: every step keeps the nodes seen so far and
+    adds the children of the newest ones. The choice per payload is one aggregation with map-side
     combine, keyed by payload. The first list in document order wins a tie.
     """
-    root = F.struct(F.col(json_column).alias("text"), F.try_parse_json(F.col(json_column)).alias("v"))
-    level = payloads.select(*keys, F.array().cast("array<int>").alias("path"), root.alias("node"))
-    top = level.select(*keys, F.col("node.v").alias("doc"))
-    named = [
-        top.select(*keys, F.array(F.lit(place - 2)).alias("path"), object_rows(F.try_variant_get("doc", path, "variant")).alias("rows"))
-        for place, path in ((0, '$["*"]'), (1, "$.pages"))
-    ]
-    found = named[0].unionByName(named[1])
-    for _ in range(MAX_DEPTH + 1):
-        found = found.unionByName(level.select(*keys, "path", object_rows(F.col("node.v")).alias("rows")))
-        level = level.select(*keys, "path", F.posexplode(_members("node")).alias("i", "child")).select(
-            *keys, F.concat("path", F.array("i")).alias("path"), F.col("child").alias("node")
+    doc = F.try_parse_json(F.col(json_column))
+    no_path = F.array().cast("array<int>")
+    start = F.array(
+        named(path=F.array(F.lit(-2)), text=F.lit(None).cast("string"), v=F.try_variant_get(doc, '$["*"]', "variant"), new=F.lit(False)),
+        named(path=F.array(F.lit(-1)), text=F.lit(None).cast("string"), v=F.try_variant_get(doc, "$.pages", "variant"), new=F.lit(False)),
+        named(path=no_path, text=F.col(json_column), v=doc, new=F.lit(True)),
+    )
+    nodes = payloads.select(*keys, F.explode(start).alias("node"))
+    for _ in range(MAX_DEPTH):
+        done = F.array(named(path=F.col("node.path"), text=F.col("node.text"), v=F.col("node.v"), new=F.lit(False)))
+        below = F.transform(
+            F.when(F.col("node.new"), _members("node")),
+            lambda child, i: named(path=F.concat("node.path", F.array(i)), text=child["text"], v=child["v"], new=F.lit(True)),
         )
+        nodes = nodes.select(*keys, F.explode(F.concat(done, F.coalesce(below, F.slice(done, 1, 0)))).alias("node"))
+    found = nodes.select(*keys, F.col("node.path").alias("path"), object_rows(F.col("node.v")).alias("rows"))
     found = found.where(F.col("rows").isNotNull())
     order = F.struct((-score(F.col("rows"))).alias("s"), F.col("path").alias("path"))
     return found.groupBy(*keys).agg(F.min_by("rows", order).alias("records"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import blank_to_null, strip
+from pagegraph.functions.text import blank_to_null, named, strip
 
 
 def clean_header(text: Column) -> Column:
@@ -27,9 +27,7 @@ def unique_headers(names: Column) -> Column:
     )
     numbered = F.transform(
         base,
-        lambda name, i: F.struct(
-            name.alias("name"), F.size(F.filter(F.slice(base, F.lit(1), i + 1), lambda x: x == name)).alias("n")
-        ),
+        lambda name, i: named(name=name, n=F.size(F.filter(F.slice(base, F.lit(1), i + 1), lambda x: x == name))),
     )
 
     def option(name: Column, n: Column) -> Column:
@@ -51,9 +49,9 @@ def _slots(names: Column, cells: Column) -> Column:
     width = F.greatest(F.size(names), F.size(cells))
     return F.transform(
         F.sequence(F.lit(1), width),
-        lambda i: F.struct(
-            F.coalesce(F.try_element_at(names, i), F.concat(F.lit("column_"), i.cast("string"))).alias("key"),
-            F.try_element_at(cells, i).alias("value"),
+        lambda i: named(
+            key=F.coalesce(F.try_element_at(names, i), F.concat(F.lit("column_"), i.cast("string"))),
+            value=F.try_element_at(cells, i),
         ),
     )
 
@@ -69,7 +67,7 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
     rows = F.zip_with(
         F.try_variant_get(doc, "$.rows", "array<variant>"),
         raw["rows"],
-        lambda v, t: F.struct(v.alias("v"), t.alias("text")),
+        lambda v, t: named(v=v, text=t),
     )
     if limit is not None:
         rows = F.slice(rows, 1, limit)
@@ -84,7 +82,7 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
     of_object = F.zip_with(
         unique_headers(own_keys),
         F.transform(own_keys, lambda k: F.try_element_at(own_map, k)),
-        lambda k, x: F.struct(k.alias("key"), x.alias("value")),
+        lambda k, x: named(key=k, value=x),
     )
     of_list = _slots(F.col("_names"), v.try_cast("array<variant>"))
     is_list = F.startswith(shape, F.lit("ARRAY"))
