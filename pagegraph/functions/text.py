@@ -109,6 +109,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def present(value: Column) -> Column:
+    """Generator that keeps the row with ``value`` computed once, and drops it when null."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def named(**columns: Column) -> Column:
     """Struct with given field names (safe inside lambda functions)."""
     return F.named_struct(*[part for name, column in columns.items() for part in (F.lit(name), column)])

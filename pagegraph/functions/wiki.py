@@ -11,7 +11,9 @@ from pagegraph.functions.text import (
     before_first,
     before_slash,
     bytes_title,
+    let,
     map_value,
+    named,
     page_title,
     quote,
     strip,
@@ -232,13 +234,18 @@ def interwiki_target(prefix: Column, title: Column, source_group: Column, dynami
 
     ``dynamic_domain`` is the domain of a language-less wiki whose site code equals the prefix.
     """
-    key = F.lower(strip(prefix))
-    clean = bytes_title(title)
+    return let(
+        F.struct(F.lower(strip(prefix)).alias("key"), bytes_title(title).alias("title")),
+        lambda link: _target(link["key"], link["title"], source_group, dynamic_domain),
+    )
+
+
+def _target(key: Column, clean: Column, source_group: Column, dynamic_domain: Column) -> Column:
     group = map_value(fixed.PREFIX_GROUPS, key)
     suffix = map_value(fixed.GROUP_DOMAIN_SUFFIXES, group)
     lang = F.lower(strip(before_first(clean, ":")))
     rest = page_title(after_first(clean, ":"))
-    pair = lambda d, t: F.struct(d.alias("domain"), t.alias("title"))
+    pair = lambda d, t: named(domain=d, title=t)
     special = map_value(fixed.PREFIX_SPECIAL_DOMAINS, key)
     in_group = (
         F.when(group == "commons", pair(F.lit(fixed.COMMONS_DOMAIN), clean))
@@ -302,7 +309,10 @@ def local_user(title: Column) -> Column:
 
 def namespaced_user(title: Column) -> Column:
     """struct<prefix, user> of ``Prefix:User/subpage``; the prefix still has to be an alias."""
-    clean = page_title(title)
+    return let(page_title(title), _prefix_and_user)
+
+
+def _prefix_and_user(clean: Column) -> Column:
     prefix = F.lower(strip(before_first(clean, ":")))
     user = user_name(before_slash(after_first(clean, ":")))
-    return F.when((prefix != "") & user.isNotNull(), F.struct(prefix.alias("prefix"), user.alias("user")))
+    return F.when((prefix != "") & user.isNotNull(), named(prefix=prefix, user=user))

@@ -18,6 +18,7 @@ from pagegraph.functions.text import (
     bytes_title,
     casefold,
     page_title,
+    present,
     qid,
     strip,
     user_name,
@@ -217,8 +218,11 @@ def page_records(
         F.col("dbname").alias("wiki"), "domain", "lang_code", "wiki_group", "site_url", "article_path", "lang"
     )
     names = namespaces.select("domain", F.col("ns_id").alias("page_namespace"), F.col("name").alias("_ns_name"))
-    joined = rows.join(dims, "wiki").join(names, ["domain", "page_namespace"], "left")
     core = bytes_title(F.col("page_title"))
+    usable = core != ""
+    if require_item:
+        usable = usable & F.col("qid_text").rlike(fixed.QID_PATTERN)
+    joined = rows.where(usable).join(dims, "wiki").join(names, ["domain", "page_namespace"], "left")
     title = full_title(F.col("page_title"), F.col("page_namespace"), F.col("_ns_name"))
     parts = project_parts(core)
     nested = F.col("domain") == fixed.INCUBATOR_DOMAIN
@@ -232,7 +236,7 @@ def page_records(
         is_media = (F.col("domain") == fixed.COMMONS_DOMAIN) & (F.col("page_namespace") == fixed.FILE_NAMESPACE)
         entity = F.when(is_media, media).otherwise(entity)
     carried = [c for c in rows.columns if c not in ROW]
-    records = joined.select(
+    return joined.select(
         *carried,
         F.col("page_id").cast("bigint").alias("page_id"),
         title.alias("page_title"),
@@ -250,8 +254,7 @@ def page_records(
         entity.alias("wikidata_entity"),
         xsd_datetime(F.col("timestamp")).alias(time_column),
         F.coalesce(numeric_time(F.col("timestamp")), F.lit(0)).alias("time_key"),
-    ).where((F.col("page_title") != "") & F.col("page_url").isNotNull())
-    return records.where(F.col("wikidata_id").isNotNull()) if require_item else records
+    )
 
 
 def newest_records(records: DataFrame, limit: int | None = None) -> DataFrame:
@@ -382,14 +385,14 @@ def _interwiki_users(start_pages: DataFrame, iwlinks: DataFrame, wikis: DataFram
         .join(by_code, "_prefix", "left")
     )
     target = interwiki_target(F.col("iwl_prefix"), F.col("iwl_title"), F.col("_group"), F.col("_dynamic"))
-    named = links.withColumn("_t", target).where(F.col("_t").isNotNull()).select(
-        "wiki", "page_id", F.col("_t.domain").alias("domain"), namespaced_user(F.col("_t.title")).alias("_u")
+    reached = links.select("wiki", "page_id", present(target).alias("_t"))
+    named = reached.select(
+        "wiki", "page_id", F.col("_t.domain").alias("domain"), present(namespaced_user(F.col("_t.title"))).alias("_u")
     )
     spaces = aliases.where(F.col("ns_id") == 2).select("domain", F.lower(strip(F.col("alias"))).alias("_p")).distinct()
     known = wikis.select("domain").distinct()
     return (
-        named.where(F.col("_u").isNotNull())
-        .withColumn("_p", F.col("_u.prefix"))
+        named.withColumn("_p", F.col("_u.prefix"))
         .join(known, "domain", "left_semi")
         .join(spaces, ["domain", "_p"], "left_semi")
         .select("wiki", "page_id", F.col("_u.user").alias("user_name"), F.lit(1).alias("_source"))

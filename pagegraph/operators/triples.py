@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pagegraph.functions import fixed
 from pagegraph.functions.terms import datatype_of
-from pagegraph.functions.text import blank_to_null, integer, python_double, qid, quote, strip
+from pagegraph.functions.text import blank_to_null, integer, let, named, python_double, qid, quote, strip
 from pagegraph.functions.times import xsd_datetime
 from pagegraph.operators.links import link_targets
 
@@ -45,10 +45,8 @@ def field_name(key: Column) -> Column:
 
 
 def field(key: Column | str, kind: Column | str, value: Column) -> Column:
-    return F.struct(
-        (F.lit(key) if isinstance(key, str) else key).alias("key"),
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
-        value.alias("value"),
+    return named(
+        key=F.lit(key) if isinstance(key, str) else key, kind=F.lit(kind) if isinstance(kind, str) else kind, value=value
     )
 
 
@@ -118,36 +116,39 @@ class VariantRecord:
 
     def __init__(self, column: str):
         self.v = F.col(column)
-        self.map = self.v.try_cast("map<string,variant>")
+
+    def _at(self, *keys: str) -> Column:
+        return F.try_variant_get(self.v, "$" + "".join("." + key for key in keys), "variant")
+
+    def _string(self, *keys: str) -> Column:
+        value = self._at(*keys)
+        return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
     def has(self, key: str) -> Column:
-        return F.map_contains_key(self.map, key)
+        return self._at(key).isNotNull()
 
     def has_prefix(self, prefix: str) -> Column:
-        return F.exists(F.map_keys(self.map), lambda k: F.startswith(k, F.lit(prefix)))
+        keys = F.map_keys(self.v.try_cast("map<string,variant>"))
+        return F.exists(keys, lambda k: F.startswith(k, F.lit(prefix)))
 
     def text(self, key: str) -> Column:
-        return F.try_element_at(self.map, F.lit(key)).cast("string")
+        return F.try_variant_get(self.v, "$." + key, "string")
 
     def meta(self, key: str) -> Column:
-        inner = F.try_element_at(self.map, F.lit("metadata")).try_cast("map<string,variant>")
-        return F.try_element_at(inner, F.lit(key)).cast("string")
+        return F.try_variant_get(self.v, "$.metadata." + key, "string")
 
     def has_meta(self, key: str) -> Column:
-        inner = F.try_element_at(self.map, F.lit("metadata")).try_cast("map<string,variant>")
-        return F.coalesce(F.map_contains_key(inner, key), F.lit(False))
+        return self._at("metadata", key).isNotNull()
 
     def text_key(self, key: str) -> Column:
-        value = F.try_element_at(self.map, F.lit(key))
-        return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+        return self._string(key)
 
     def meta_text(self, key: str) -> Column:
-        inner = F.try_element_at(self.map, F.lit("metadata")).try_cast("map<string,variant>")
-        value = F.try_element_at(inner, F.lit(key))
-        return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+        return self._string("metadata", key)
 
     def scalars(self) -> Column:
-        return F.transform(F.map_entries(self.map), lambda e: variant_field(e["key"], e["value"]))
+        entries = F.map_entries(self.v.try_cast("map<string,variant>"))
+        return F.transform(entries, lambda e: variant_field(e["key"], e["value"]))
 
 
 def _is_whole(shape: Column) -> Column:
@@ -222,20 +223,34 @@ def coordinates(text: Column) -> Column:
 
 def derived_fields(record: TypedRecord | VariantRecord) -> Column:
     """Item, thumbnail, coordinate and link-count fields, null-valued where they do not apply."""
-    item = record_qid(record)
-    image = blank_to_null(record.meta_text("image"))
     place = record.meta("coordinates")
-    pair = coordinates(place)
-    links = F.size(link_targets(record.text_key("gil")))
-    return F.array(
-        field("qid", "xsd:string", item),
-        field("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)),
-        field("thumbnail_image", "xsd:string", thumbnail_url(image)),
-        field("thumbnail_image_file", "xsd:string", image),
-        field("coordinates", "xsd:string", F.when(pair.isNotNull(), strip(place))),
-        field("coordinate_lat", "xsd:double", python_double(pair["lat"])),
-        field("coordinate_lon", "xsd:double", python_double(pair["lon"])),
-        field("gil_link_count", "xsd:integer", F.when(record.text_key("gil").isNotNull(), links.cast("string"))),
+    cell = record.text_key("gil")
+    return F.concat(
+        let(
+            record_qid(record),
+            lambda item: F.array(
+                field("qid", "xsd:string", item),
+                field("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)),
+            ),
+        ),
+        let(
+            blank_to_null(record.meta_text("image")),
+            lambda image: F.array(
+                field("thumbnail_image", "xsd:string", thumbnail_url(image)),
+                field("thumbnail_image_file", "xsd:string", image),
+            ),
+        ),
+        let(
+            coordinates(place),
+            lambda pair: F.array(
+                field("coordinates", "xsd:string", F.when(pair.isNotNull(), strip(place))),
+                field("coordinate_lat", "xsd:double", python_double(pair["lat"])),
+                field("coordinate_lon", "xsd:double", python_double(pair["lon"])),
+            ),
+        ),
+        F.array(
+            field("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), F.size(link_targets(cell)).cast("string")))
+        ),
     )
 
 
@@ -256,8 +271,8 @@ def record_fields(record: TypedRecord | VariantRecord) -> Column:
     """
     special = has_special_keys(record)
     scalars = F.filter(record.scalars(), lambda f: f["value"].isNotNull() & ((f["key"] != "metadata") | special))
-    derived = F.filter(derived_fields(record), lambda f: f["value"].isNotNull() & special)
-    return F.concat(derived, scalars)
+    derived = F.filter(derived_fields(record), lambda f: f["value"].isNotNull())
+    return F.when(special, F.concat(derived, scalars)).otherwise(scalars)
 
 
 # --- typing --------------------------------------------------------------------------------------

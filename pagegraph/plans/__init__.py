@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-_MODULES = ["text_queries", "payload_queries", "graph_queries"]
+_MODULES = ["text_queries", "payload_queries", "graph_queries", "change_queries"]
 
 
 def _load() -> None:
