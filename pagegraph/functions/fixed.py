@@ -29,6 +29,7 @@ FILE_PATH = "https://commons.wikimedia.org/wiki/Special:FilePath/"
 ROW_HINT_KEYS = ["id", "pageid", "title", "len", "namespace", "nstext", "qid", "wikidata", "wiki"]
 DATE_KEYS = ["img_timestamp", "touched", "gil_link_rev_timestamp"]
 IDENTIFIER_KEYS = ["id", "pageid", "title", "qid", "wikidata"]
+META_KEYS = ["wikidata", "image", "coordinates"]
 QID_KEYS = ["wikidata_id", "qid", "q", "wikidata"]
 TITLE_PREFIXES = ["page", "ar", "rd", "pt", "wl", "rc", "log", "tl", "pl", "lt"]
 FILE_TITLE_COLUMNS = {"img_name": "img_uri", "oi_name": "oi_uri", "fa_name": "fa_uri"}

@@ -44,47 +44,36 @@ MEMBER_FIELDS = [
 MEMBER_OPTIONAL = ["site_url", "wikidata_entity", "wikidata_id"]
 
 
-def _row_entries(fields: Column) -> Column:
-    """array<struct<key, kinds, n>> of one row: which kinds a key has and how often it is emitted."""
-    keys = F.array_distinct(F.transform(fields, lambda f: f["key"]))
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.array_distinct(F.transform(F.filter(fields, lambda f: f["key"] == k), lambda f: f["kind"])).alias("kinds"),
-            F.size(F.filter(fields, lambda f: f["key"] == k)).alias("n"),
-        ),
-    )
-
-
 def profile(rows: DataFrame, vocab: Vocabulary, link_rows: DataFrame | None = None) -> DataFrame:
     """One line per (dataset, field): rows present, primary and observed types, cardinality.
 
-    ``rows`` has dataset_id and ``fields``. A row's own fields are counted inside the row, so the
-    only shuffle carries one partial line per task and field. ``link_rows`` (dataset_id, position,
-    key, kind) adds what a row's links emit; counts are of emissions, before equal triples merge.
+    ``rows`` has dataset_id, position and ``fields``, whose entries already tell whether the row
+    emitted the key before. So the only shuffle carries one partial line per task and field.
+    ``link_rows`` (dataset_id, position, key, kind) adds what a row's links emit; they are counted
+    per row first. Counts are of emissions, before equal triples merge.
     """
-    own = rows.select("dataset_id", "position", F.explode(_row_entries(F.col("fields"))).alias("_e")).select(
-        "dataset_id", "position", "_e.*"
+    own = rows.select("dataset_id", "position", F.explode("fields").alias("_f")).where(F.col("_f.value").isNotNull())
+    own = own.select("dataset_id", "position", "_f.key", "_f.kind", "_f.repeated", "_f.same_kind")
+    lines = own if link_rows is None else own.where(~F.col("key").isin(*LINK_KEYS))
+    marks = [F.count(F.when((F.col("kind") == k) & ~F.col("same_kind"), 1)).alias("_" + k) for k in KINDS]
+    counts = lines.groupBy("dataset_id", "key").agg(
+        F.count(F.when(~F.col("repeated"), 1)).alias("present_in_rows"),
+        F.max(F.col("repeated").cast("int")).alias("_many"),
+        *marks,
     )
-    per_row = own
     if link_rows is not None:
-        shared = F.col("key").isin(*LINK_KEYS)
-        long = link_rows.select("dataset_id", "position", "key", F.array("kind").alias("kinds"), F.lit(1).alias("n"))
-        merged = (
-            own.where(shared)
-            .unionByName(long)
+        shared = own.where(F.col("key").isin(*LINK_KEYS)).select("dataset_id", "position", "key", "kind")
+        per_row = (
+            shared.unionByName(link_rows.select("dataset_id", "position", "key", "kind"))
             .groupBy("dataset_id", "position", "key")
-            .agg(*[F.max(F.array_contains("kinds", k)).alias("_" + k) for k in KINDS], F.sum("n").alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"), *[F.max((F.col("kind") == k).cast("int")).alias("_" + k) for k in KINDS])
         )
-        kinds = F.filter(F.array(*[F.when(F.col("_" + k), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
-        merged = merged.select("dataset_id", "position", "key", kinds.alias("kinds"), F.col("n").cast("int").alias("n"))
-        per_row = own.where(~shared).unionByName(merged)
-    counts = per_row.groupBy("dataset_id", "key").agg(
-        F.count(F.lit(1)).alias("present_in_rows"),
-        F.max((F.col("n") > 1).cast("int")).alias("_many"),
-        *[F.count(F.when(F.array_contains("kinds", k), 1)).alias("_" + k) for k in KINDS],
-    )
+        linked = per_row.groupBy("dataset_id", "key").agg(
+            F.count(F.lit(1)).alias("present_in_rows"),
+            F.max((F.col("n") > 1).cast("int")).alias("_many"),
+            *[F.sum("_" + k).alias("_" + k) for k in KINDS],
+        )
+        counts = counts.unionByName(linked)
     ranked = F.array(*[F.struct(F.col("_" + k).alias("rows"), F.lit(k).alias("kind")) for k in KINDS])
     seen = F.filter(ranked, lambda x: x["rows"] > 0)
     return counts.select(

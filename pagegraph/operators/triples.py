@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +16,6 @@ from pagegraph.functions.times import xsd_datetime
 from pagegraph.operators.links import link_targets
 
 GRAPH_COLUMNS = ["dataset_id", "s", "p", "o_kind", "o", "o_dt", "o_lang"]
-_FIELD = "struct<key:string,kind:string,value:string>"
-_TRIPLE = "array<struct<p:string,o_kind:string,o:string,o_dt:string,o_lang:string>>"
 
 
 @dataclass(frozen=True)
@@ -50,6 +48,11 @@ def field(key: Column | str, kind: Column | str, value: Column) -> Column:
     )
 
 
+def emission(f: Column, repeated: Column, same_kind: Column) -> Column:
+    """Field with two marks: the row has emitted this key before, and with the same kind."""
+    return named(key=f["key"], kind=f["kind"], value=f["value"], repeated=repeated, same_kind=same_kind)
+
+
 # --- access to a record, typed columns or VARIANT ---------------------------------------------
 
 
@@ -92,23 +95,22 @@ class TypedRecord:
     def meta_text(self, key: str) -> Column:
         return self.meta(key)
 
-    def scalars(self) -> Column:
+    def scalars(self) -> list[tuple[str, str, Column]]:
+        """(key, kind, value) of every column that can be emitted."""
         out = []
         for key, kind in self.types.items():
-            column = F.col(key)
+            column = F.col("`{}`".format(key))
             if isinstance(kind, T.BooleanType):
-                out.append(field(key, "xsd:boolean", column.cast("string")))
+                out.append((key, "xsd:boolean", column.cast("string")))
             elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-                out.append(field(key, "xsd:integer", column.cast("string")))
+                out.append((key, "xsd:integer", column.cast("string")))
             elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-                out.append(field(key, "xsd:double", python_double(column)))
+                out.append((key, "xsd:double", python_double(column)))
             elif isinstance(kind, T.ArrayType):
-                out.append(field(key, "xsd:string", joined_list(column)))
-            elif isinstance(kind, (T.StructType, T.MapType)):
-                continue
-            else:
-                out.append(field(key, "xsd:string", column.cast("string")))
-        return F.array(*out).cast("array<{}>".format(_FIELD)) if out else F.array().cast("array<{}>".format(_FIELD))
+                out.append((key, "xsd:string", joined_list(column)))
+            elif not isinstance(kind, (T.StructType, T.MapType)):
+                out.append((key, "xsd:string", column.cast("string")))
+        return out
 
 
 class VariantRecord:
@@ -146,10 +148,6 @@ class VariantRecord:
     def meta_text(self, key: str) -> Column:
         return self._string("metadata", key)
 
-    def scalars(self) -> Column:
-        entries = F.map_entries(self.v.try_cast("map<string,variant>"))
-        return F.transform(entries, lambda e: variant_field(e["key"], e["value"]))
-
 
 def _is_whole(shape: Column) -> Column:
     wide = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
@@ -160,32 +158,36 @@ def _is_number(shape: Column) -> Column:
     return shape.isin("DOUBLE", "FLOAT", "BIGINT") | F.startswith(shape, F.lit("DECIMAL"))
 
 
-def variant_text(value: Column) -> Column:
-    """Scalar variant as text the way a list member is written out; null for anything else."""
-    shape = F.schema_of_variant(value)
+def _scalar_text(shape: Column, value: Column, boolean: Callable[[Column], Column]) -> Column:
     return (
-        F.when(shape == "BOOLEAN", F.initcap(value.cast("string")))
+        F.when(shape == "BOOLEAN", boolean(value.cast("string")))
         .when(_is_whole(shape) | (shape == "STRING"), value.cast("string"))
         .when(_is_number(shape), python_double(value.try_cast("double")))
     )
 
 
-def variant_field(key: Column, value: Column) -> Column:
-    """Field of one record entry; its value is null when the entry is not emitted."""
-    shape = F.schema_of_variant(value)
-    members = F.transform(value.try_cast("array<variant>"), variant_text)
-    kind = (
-        F.when(shape == "BOOLEAN", F.lit("xsd:boolean"))
-        .when(_is_whole(shape), F.lit("xsd:integer"))
-        .when(_is_number(shape), F.lit("xsd:double"))
-        .otherwise(F.lit("xsd:string"))
-    )
-    text = (
-        F.when((shape == "BOOLEAN") | (shape == "STRING") | _is_whole(shape), value.cast("string"))
-        .when(_is_number(shape), python_double(value.try_cast("double")))
-        .when(F.startswith(shape, F.lit("ARRAY")), joined_list(members))
-    )
-    return field(key, kind, text)
+def variant_text(value: Column) -> Column:
+    """Scalar variant as text the way a list member is written out; null for anything else."""
+    return let(F.schema_of_variant(value), lambda shape: _scalar_text(shape, value, F.initcap))
+
+
+def variant_fields(entries: Column) -> Column:
+    """array<struct<key, kind, value>> of a record's entries; value null where not emitted."""
+    shaped = F.transform(entries, lambda e: named(key=e["key"], v=e["value"], shape=F.schema_of_variant(e["value"])))
+
+    def read(x: Column) -> Column:
+        shape = x["shape"]
+        kind = (
+            F.when(shape == "BOOLEAN", F.lit("xsd:boolean"))
+            .when(_is_whole(shape), F.lit("xsd:integer"))
+            .when(_is_number(shape), F.lit("xsd:double"))
+            .otherwise(F.lit("xsd:string"))
+        )
+        members = joined_list(F.transform(x["v"].try_cast("array<variant>"), variant_text))
+        value = F.when(F.startswith(shape, F.lit("ARRAY")), members).otherwise(_scalar_text(shape, x["v"], lambda t: t))
+        return named(key=x["key"], kind=kind, value=value)
+
+    return F.transform(shaped, read)
 
 
 def joined_list(items: Column) -> Column:
@@ -221,37 +223,23 @@ def coordinates(text: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def derived_fields(record: TypedRecord | VariantRecord) -> Column:
-    """Item, thumbnail, coordinate and link-count fields, null-valued where they do not apply."""
+def derived_values(record: TypedRecord | VariantRecord) -> list[tuple[str, str, Column]]:
+    """(key, kind, value) of item, thumbnail, coordinate and link-count fields; null where absent."""
+    item = record_qid(record)
+    image = blank_to_null(record.meta_text("image"))
     place = record.meta("coordinates")
+    pair = let(coordinates(place), lambda c: named(lat=python_double(c["lat"]), lon=python_double(c["lon"])))
     cell = record.text_key("gil")
-    return F.concat(
-        let(
-            record_qid(record),
-            lambda item: F.array(
-                field("qid", "xsd:string", item),
-                field("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)),
-            ),
-        ),
-        let(
-            blank_to_null(record.meta_text("image")),
-            lambda image: F.array(
-                field("thumbnail_image", "xsd:string", thumbnail_url(image)),
-                field("thumbnail_image_file", "xsd:string", image),
-            ),
-        ),
-        let(
-            coordinates(place),
-            lambda pair: F.array(
-                field("coordinates", "xsd:string", F.when(pair.isNotNull(), strip(place))),
-                field("coordinate_lat", "xsd:double", python_double(pair["lat"])),
-                field("coordinate_lon", "xsd:double", python_double(pair["lon"])),
-            ),
-        ),
-        F.array(
-            field("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), F.size(link_targets(cell)).cast("string")))
-        ),
-    )
+    return [
+        ("qid", "xsd:string", item),
+        ("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)),
+        ("thumbnail_image", "xsd:string", thumbnail_url(image)),
+        ("thumbnail_image_file", "xsd:string", image),
+        ("coordinates", "xsd:string", F.when(coordinates(place).isNotNull(), strip(place))),
+        ("coordinate_lat", "xsd:double", pair["lat"]),
+        ("coordinate_lon", "xsd:double", pair["lon"]),
+        ("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), F.size(link_targets(cell)).cast("string"))),
+    ]
 
 
 def has_special_keys(record: TypedRecord | VariantRecord) -> Column:
@@ -264,48 +252,150 @@ def has_special_keys(record: TypedRecord | VariantRecord) -> Column:
     return out
 
 
-def record_fields(record: TypedRecord | VariantRecord) -> Column:
-    """array<struct<key, kind, value>> of everything a row emits, before typing.
+Typing = Callable[["Column | str", "Column | str", Column], tuple[Column, Column]]
 
-    A scalar or list ``metadata`` value is emitted only by rows that have special keys.
+
+def rows_with_fields(
+    records: DataFrame, record: TypedRecord | VariantRecord, subject: Column, typing: Typing, carry: Sequence[str] = ()
+) -> DataFrame:
+    """(dataset_id, position, s, fields, carry…) with everything a row may emit in ``fields``.
+
+    ``fields`` is array<struct<key, kind, value, repeated, same_kind>>; entries with a null value
+    are not emitted. A scalar or list ``metadata`` value is emitted only by rows that have special
+    keys. Values, types and marks are separate projections, so each is computed once.
     """
+    head = [
+        F.col("dataset_id").cast("string").alias("dataset_id"),
+        F.col("position").cast("bigint").alias("position"),
+        subject.alias("s"),
+        *[F.col(c) for c in carry],
+    ]
+    names = ["dataset_id", "position", "s", *carry]
+    build = _typed_fields if isinstance(record, TypedRecord) else _variant_fields
+    return build(records, record, typing, head, names)
+
+
+def _typed_fields(records, record: TypedRecord, typing: Typing, head: list[Column], names: list[str]) -> DataFrame:
+    """Keys, kinds and possible repeats of typed columns are known before the job runs."""
+    no = F.lit(False)
     special = has_special_keys(record)
-    scalars = F.filter(record.scalars(), lambda f: f["value"].isNotNull() & ((f["key"] != "metadata") | special))
-    derived = F.filter(derived_fields(record), lambda f: f["value"].isNotNull())
-    return F.when(special, F.concat(derived, scalars)).otherwise(scalars)
+    derived = _wanted_derived(record)
+    entries = derived + record.scalars()
+    values = [
+        (F.when(special, v) if i < len(derived) or key == "metadata" else v).alias("_v{}".format(i))
+        for i, (key, _, v) in enumerate(entries)
+    ]
+    typed = []
+    for i, (key, kind, _) in enumerate(entries):
+        new_kind, value = typing(key, kind, F.col("_v{}".format(i)))
+        typed.append(named(key=F.lit(key), kind=new_kind, value=value).alias("_t{}".format(i)))
+    first = {key: F.col("_t{}".format(i)) for i, (key, _, _) in enumerate(derived)}
+    marked = []
+    for i, (key, _, _) in enumerate(entries):
+        f = F.col("_t{}".format(i))
+        before = first[key]["value"].isNotNull() if i >= len(derived) and key in first else no
+        same = before & (first[key]["kind"] == f["kind"]) if before is not no else no
+        marked.append(emission(f, before, same))
+    staged = records.select(*head, *values).select(*names, *typed)
+    return staged.select(*names, F.array(*marked).alias("fields"))
+
+
+def _variant_fields(records, record: VariantRecord, typing: Typing, head: list[Column], names: list[str]) -> DataFrame:
+    special = has_special_keys(record)
+    derived = []
+    for key, kind, value in derived_values(record):
+        new_kind, new_value = typing(key, kind, value)
+        derived.append(named(key=F.lit(key), kind=new_kind, value=new_value))
+    keys = [key for key, _, _ in derived_values(record)]
+    entries = F.map_entries(record.v.try_cast("map<string,variant>"))
+    staged = records.select(
+        *head,
+        special.alias("_special"),
+        F.when(special, F.filter(F.array(*derived), lambda d: d["value"].isNotNull())).alias("_derived"),
+        variant_fields(entries).alias("_own"),
+    )
+
+    def typed(f: Column) -> Column:
+        kind, value = typing(f["key"], f["kind"], f["value"])
+        shown = (f["key"] != "metadata") | F.col("_special")
+        return named(key=f["key"], kind=kind, value=F.when(shown, value))
+
+    def mark(f: Column) -> Column:
+        def before(test) -> Column:
+            return F.coalesce(f["key"].isin(*keys) & F.exists("_derived", test), F.lit(False))
+
+        return emission(
+            f, before(lambda d: d["key"] == f["key"]), before(lambda d: (d["key"] == f["key"]) & (d["kind"] == f["kind"]))
+        )
+
+    staged = staged.select(*names, "_derived", F.transform("_own", typed).alias("_own"))
+    none = F.lit(False)
+    head_part = F.transform("_derived", lambda d: emission(d, none, none))
+    own_part = F.transform("_own", mark)
+    return staged.select(
+        *names, F.when(F.col("_derived").isNull(), own_part).otherwise(F.concat(head_part, own_part)).alias("fields")
+    )
+
+
+def _wanted_derived(record: TypedRecord) -> list[tuple[str, str, Column]]:
+    """Derived fields the columns at hand can give at all."""
+    kind = record.types.get("metadata")
+    meta = kind.names if isinstance(kind, T.StructType) else fixed.META_KEYS if isinstance(kind, T.MapType) else []
+    item = "wikidata" in meta or any(key in record.types for key in fixed.QID_KEYS)
+    usable = {
+        "qid": item,
+        "wikidata_entity": item,
+        "thumbnail_image": "image" in meta,
+        "thumbnail_image_file": "image" in meta,
+        "coordinates": "coordinates" in meta,
+        "coordinate_lat": "coordinates" in meta,
+        "coordinate_lon": "coordinates" in meta,
+        "gil_link_count": isinstance(record.types.get("gil"), T.StringType),
+    }
+    return [entry for entry in derived_values(record) if usable[entry[0]]]
 
 
 # --- typing --------------------------------------------------------------------------------------
 
 
-def generic_typing(f: Column) -> Column:
+def _lit(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def generic_typing(key: Column | str, kind: Column | str, value: Column) -> tuple[Column, Column]:
     """Date keys become dateTime when readable; everything else keeps its value type."""
-    stamp = F.when(f["key"].isin(*fixed.DATE_KEYS), xsd_datetime(f["value"]))
-    return field(f["key"], F.when(stamp.isNotNull(), F.lit("xsd:dateTime")).otherwise(f["kind"]), F.coalesce(stamp, f["value"]))
+    if isinstance(key, str) and key not in fixed.DATE_KEYS:
+        return _lit(kind), value
+    stamp = F.when(_lit(key).isin(*fixed.DATE_KEYS), xsd_datetime(value))
+    return F.when(stamp.isNotNull(), F.lit("xsd:dateTime")).otherwise(_lit(kind)), F.coalesce(stamp, value)
 
 
-def inferred_typing(f: Column, planned: Column | bool = True) -> Column:
+def inferred_typing(planned: Column | bool = True) -> Typing:
     """Typing of SQL-result values: text may turn into dateTime or into an address.
 
     ``planned`` rows (without special keys) normalize date keys whatever their value type;
     the others leave numbers alone.
     """
-    key, kind, value = f["key"], f["kind"], f["value"]
-    is_text = kind == "xsd:string"
     plan = F.lit(planned) if isinstance(planned, bool) else planned
-    text = F.when(is_text, strip(value))
-    stamp = F.when(key.isin(*fixed.DATE_KEYS) & (plan | is_text), xsd_datetime(value))
-    web = text.rlike(r"^https?://[^/]") & ~text.rlike(r"(?U)\s")
-    compact = F.when(text.rlike(r"^20[0-9]{12}$"), xsd_datetime(text))
-    item = F.when(text.rlike(r"^[Qq][0-9]+$"), F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, 2, 1 << 20)))
-    media = F.when(text.rlike(r"^M[0-9]+$"), F.concat(F.lit(fixed.MEDIA_ENTITY), text))
-    address = F.coalesce(F.when(web, text), item, media)
-    time = F.coalesce(stamp, compact)
-    return field(
-        key,
-        F.when(time.isNotNull(), F.lit("xsd:dateTime")).when(address.isNotNull(), F.lit("iri")).otherwise(kind),
-        F.coalesce(time, address, value),
-    )
+
+    def typing(key: Column | str, kind: Column | str, value: Column) -> tuple[Column, Column]:
+        if isinstance(key, str) and key not in fixed.DATE_KEYS and isinstance(kind, str) and kind != "xsd:string":
+            return F.lit(kind), value
+        is_text = _lit(kind) == "xsd:string"
+        text = F.when(is_text, strip(value))
+        dated = _lit(key).isin(*fixed.DATE_KEYS) & (plan | is_text)
+        web = text.rlike(r"^https?://[^/]") & ~text.rlike(r"(?U)\s")
+        moment = xsd_datetime(F.when(dated, value).when(text.rlike(r"^20[0-9]{12}$"), text))
+        item = F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, 2, 1 << 20))
+        address = (
+            F.when(web, text)
+            .when(text.rlike(r"^[Qq][0-9]+$"), item)
+            .when(text.rlike(r"^M[0-9]+$"), F.concat(F.lit(fixed.MEDIA_ENTITY), text))
+        )
+        new_kind = F.when(moment.isNotNull(), F.lit("xsd:dateTime")).when(address.isNotNull(), F.lit("iri"))
+        return new_kind.otherwise(_lit(kind)), F.coalesce(moment, address, value)
+
+    return typing
 
 
 # --- subjects ------------------------------------------------------------------------------------
@@ -347,62 +437,70 @@ def list_rows(
     records: DataFrame, record: TypedRecord | VariantRecord, vocab: Vocabulary, carry: Sequence[str] = ()
 ) -> DataFrame:
     """(dataset_id, position, s, fields) of page-list records; needs dataset_id and position."""
-    return records.select(
-        F.col("dataset_id").cast("string").alias("dataset_id"),
-        F.col("position").cast("bigint").alias("position"),
-        item_subject(record, vocab, F.col("dataset_id"), F.col("position")).alias("s"),
-        F.transform(record_fields(record), generic_typing).alias("fields"),
-        *carry,
-    )
+    subject = item_subject(record, vocab, F.col("dataset_id"), F.col("position"))
+    return rows_with_fields(records, record, subject, generic_typing, carry)
 
 
 def result_rows(
     records: DataFrame, record: TypedRecord | VariantRecord, vocab: Vocabulary, carry: Sequence[str] = ()
 ) -> DataFrame:
     """(dataset_id, position, s, fields) of SQL-result records, with inferred types."""
-    special = record.has("metadata") | record.has("gil")
-    for key in fixed.QID_KEYS:
+    subject = result_subject(vocab, F.col("dataset_id"), F.col("position"))
+    keys = ["metadata", "gil", *fixed.QID_KEYS]
+    if isinstance(record, TypedRecord):
+        return rows_with_fields(records, record, subject, inferred_typing(not set(keys) & set(record.types)), carry)
+    special = record.has(keys[0])
+    for key in keys[1:]:
         special = special | record.has(key)
-    return records.select(
-        F.col("dataset_id").cast("string").alias("dataset_id"),
-        F.col("position").cast("bigint").alias("position"),
-        result_subject(vocab, F.col("dataset_id"), F.col("position")).alias("s"),
-        F.transform(record_fields(record), lambda f: inferred_typing(f, ~special)).alias("fields"),
-        *carry,
-    )
-
-
-def _object(p: Column, kind: Column, value: Column, lang: Column | None = None) -> Column:
-    is_iri = kind == "iri"
-    return F.struct(
-        p.alias("p"),
-        F.when(is_iri, F.lit("iri")).otherwise(F.lit("literal")).alias("o_kind"),
-        value.alias("o"),
-        datatype_of(kind).alias("o_dt"),
-        (F.lit(None).cast("string") if lang is None else lang).alias("o_lang"),
+    marked = records.withColumn("_planned", ~special)
+    return rows_with_fields(marked, record, subject, inferred_typing(F.col("_planned")), [*carry, "_planned"]).drop("_planned")
+
+
+def _graph(rows: DataFrame) -> DataFrame:
+    """Graph columns from (dataset_id, s, p, kind, value[, lang])."""
+    lang = F.col("lang") if "lang" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        "dataset_id",
+        "s",
+        "p",
+        F.when(F.col("kind") == "iri", F.lit("iri")).otherwise(F.lit("literal")).alias("o_kind"),
+        F.col("value").alias("o"),
+        datatype_of(F.col("kind")).alias("o_dt"),
+        lang.alias("o_lang"),
     )
 
 
 def row_triples(rows: DataFrame, vocab: Vocabulary, loaded_at: str) -> DataFrame:
-    """Graph columns from (dataset_id, position, s, fields): four fixed triples plus one per field."""
-    fixed_part = F.array(
-        _object(F.lit(fixed.RDF_TYPE), F.lit("iri"), F.lit(vocab.iri(vocab.page_class))),
-        _object(F.lit(vocab.iri(vocab.dataset)), F.lit("xsd:integer"), F.col("dataset_id")),
-        _object(F.lit(vocab.iri(vocab.position)), F.lit("xsd:integer"), F.col("position").cast("string")),
-        _object(F.lit(vocab.iri(vocab.loaded_at)), F.lit("xsd:dateTime"), F.lit(loaded_at)),
-    ).cast(_TRIPLE)
-    own = F.transform(
-        F.col("fields"), lambda f: _object(F.concat(F.lit(vocab.ontology), field_name(f["key"])), f["kind"], f["value"])
-    ).cast(_TRIPLE)
-    return rows.select("dataset_id", "s", F.explode(F.concat(fixed_part, own)).alias("_t")).select(
-        "dataset_id", "s", "_t.*"
+    """Graph columns from (dataset_id, position, s, fields): four fixed triples plus one per field.
+
+    Each record is read once; its triples leave one generator.
+    """
+    no = F.lit(False)
+    head = [
+        ("#type", "iri", F.lit(vocab.iri(vocab.page_class))),
+        ("#" + vocab.dataset, "xsd:integer", F.col("dataset_id")),
+        ("#" + vocab.position, "xsd:integer", F.col("position").cast("string")),
+        ("#" + vocab.loaded_at, "xsd:dateTime", F.lit(loaded_at)),
+    ]
+    fixed_part = F.array(*[emission(field(key, kind, value), no, no) for key, kind, value in head])
+    long = rows.select("dataset_id", "s", F.explode(F.concat(fixed_part, F.col("fields"))).alias("_f"))
+    key = F.col("_f.key")
+    p = (
+        F.when(key == "#type", F.lit(fixed.RDF_TYPE))
+        .when(F.startswith(key, F.lit("#")), F.concat(F.lit(vocab.ontology), F.substring(key, 2, 1 << 20)))
+        .otherwise(F.concat(F.lit(vocab.ontology), field_name(key)))
+    )
+    return _graph(
+        long.where(F.col("_f.value").isNotNull()).select(
+            "dataset_id", "s", p.alias("p"), F.col("_f.kind").alias("kind"), F.col("_f.value").alias("value")
+        )
     )
 
 
 def field_triples(fields: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Graph columns from long fields (dataset_id, s, key, kind, value)."""
-    t = _object(F.concat(F.lit(vocab.ontology), field_name(F.col("key"))), F.col("kind"), F.col("value"))
-    return fields.select("dataset_id", "s", t.alias("_t")).select("dataset_id", "s", "_t.*")
+    p = F.concat(F.lit(vocab.ontology), field_name(F.col("key")))
+    return _graph(fields.select("dataset_id", "s", p.alias("p"), "kind", "value"))
 
 
 def graph_set(triples: DataFrame) -> DataFrame:
@@ -491,31 +589,31 @@ def sitelink_triples(records: DataFrame, vocab: Vocabulary, subject: str = "page
     """
     s = strip(F.col(subject))
     null = F.lit(None).cast("string")
-    parts = [F.struct(s.alias("s"), _object(F.lit(fixed.RDF_TYPE), F.lit("iri"), F.lit(fixed.SCHEMA_ARTICLE)).alias("t"))]
+
+    def part(node: Column, p: str, kind: str, value: Column, lang: Column = null) -> Column:
+        return named(s=node, p=F.lit(p), kind=F.lit(kind), value=value, lang=lang)
+
+    parts = [part(s, fixed.RDF_TYPE, "iri", F.lit(fixed.SCHEMA_ARTICLE))]
     for column, predicate, kind in SITELINK_FIELDS:
         if column not in records.columns:
             continue
         text = F.col(column).cast("string")
-        value = {"xsd:integer": integer(text).cast("string"), "xsd:dateTime": xsd_datetime(text)}.get(kind, blank_to_null(text))
-        lang = language_tag(F.col("lang_code")) if column == "page_label" and "lang_code" in records.columns else null
-        p = predicate or vocab.ontology + column
-        parts.append(F.struct(s.alias("s"), _object(F.lit(p), F.lit(kind), value, lang).alias("t")))
+        if kind == "xsd:integer":
+            value = integer(text).cast("string")
+        elif kind == "xsd:dateTime":
+            value = xsd_datetime(text)
+        else:
+            value = blank_to_null(text)
+        tagged = column == "page_label" and "lang_code" in records.columns
+        lang = language_tag(F.col("lang_code")) if tagged else null
+        parts.append(part(s, predicate or vocab.ontology + column, kind, value, lang))
     if {"site_url", "wiki_group"} <= set(records.columns):
         group = blank_to_null(F.col("wiki_group"))
-        parts.append(
-            F.struct(
-                blank_to_null(F.col("site_url")).alias("s"), _object(F.lit(fixed.WIKI_GROUP), F.lit("xsd:string"), group).alias("t")
-            )
-        )
-    item = "struct<s:string,t:struct<p:string,o_kind:string,o:string,o_dt:string,o_lang:string>>"
-    triples = F.filter(
-        F.array(*parts).cast("array<{}>".format(item)), lambda x: x["s"].isNotNull() & x["t"]["o"].isNotNull()
-    )
-    return (
-        records.where(F.coalesce(s, F.lit("")) != "")
-        .select(F.col("dataset_id").cast("string").alias("dataset_id"), F.explode(triples).alias("_x"))
-        .select("dataset_id", "_x.s", "_x.t.*")
+        parts.append(part(blank_to_null(F.col("site_url")), fixed.WIKI_GROUP, "xsd:string", group))
+    long = records.where(F.coalesce(s, F.lit("")) != "").select(
+        F.col("dataset_id").cast("string").alias("dataset_id"), F.explode(F.array(*parts)).alias("_x")
     )
+    return _graph(long.where(F.col("_x.s").isNotNull() & F.col("_x.value").isNotNull()).select("dataset_id", "_x.*"))
 
 
 def missing_subject(records: DataFrame, subject: str = "page_url") -> DataFrame:

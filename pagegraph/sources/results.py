@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import blank_to_null, named, strip
+from pagegraph.functions.text import blank_to_null, let, named, strip
 
 
 def clean_header(text: Column) -> Column:
@@ -25,7 +25,11 @@ def unique_headers(names: Column) -> Column:
             F.concat(F.lit("column_"), (i + 1).cast("string")),
         ),
     )
-    numbered = F.transform(
+    return let(base, lambda b: F.when(F.size(F.array_distinct(b)) == F.size(b), b).otherwise(_numbered(b)))
+
+
+def _numbered(base: Column) -> Column:
+    counted = F.transform(
         base,
         lambda name, i: named(name=name, n=F.size(F.filter(F.slice(base, F.lit(1), i + 1), lambda x: x == name))),
     )
@@ -35,13 +39,12 @@ def unique_headers(names: Column) -> Column:
         return F.when(n == 1, name).otherwise(F.concat(name, tail))
 
     def step(taken: Column, item: Column) -> Column:
-        options = F.transform(
-            F.sequence(item["n"], item["n"] + F.size(taken)), lambda n: option(item["name"], n)
-        )
-        free = F.filter(options, lambda name: ~F.array_contains(taken, name))
-        return F.concat(taken, F.array(F.get(free, 0)))
+        plain = option(item["name"], item["n"])
+        options = F.transform(F.sequence(item["n"], item["n"] + F.size(taken)), lambda n: option(item["name"], n))
+        free = F.get(F.filter(options, lambda name: ~F.array_contains(taken, name)), 0)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, plain), free).otherwise(plain)))
 
-    return F.aggregate(numbered, F.array().cast("array<string>"), step)
+    return F.aggregate(counted, F.array().cast("array<string>"), step)
 
 
 def _slots(names: Column, cells: Column) -> Column:
@@ -61,19 +64,18 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
 
     Array rows use the header list, object rows their own keys; a scalar row is flagged.
     """
-    text = F.col(json_column)
-    doc = F.try_parse_json(text)
-    raw = F.from_json(text, "struct<headers:array<string>,rows:array<string>>")
-    rows = F.zip_with(
-        F.try_variant_get(doc, "$.rows", "array<variant>"),
-        raw["rows"],
-        lambda v, t: named(v=v, text=t),
+    parsed = payloads.select(
+        *keys,
+        F.from_json(F.col(json_column), "struct<headers:array<string>,rows:array<string>>").alias("_raw"),
+        F.try_variant_get(F.try_parse_json(F.col(json_column)), "$.rows", "array<variant>").alias("_v"),
     )
+    rows = F.zip_with("_v", "_raw.rows", lambda v, t: named(v=v, text=t))
     if limit is not None:
         rows = F.slice(rows, 1, limit)
-    usable = (F.size(raw["headers"]) > 0) & raw["rows"].isNotNull()
-    base = payloads.where(F.coalesce(usable, F.lit(False))).select(
-        *keys, unique_headers(raw["headers"]).alias("_names"), F.posexplode(rows).alias("position", "_row")
+    base = parsed.select(
+        *keys,
+        unique_headers(F.col("_raw.headers")).alias("_names"),
+        F.posexplode(F.when(F.size("_raw.headers") > 0, rows)).alias("position", "_row"),
     )
     v, row_text = F.col("_row.v"), F.col("_row.text")
     shape = F.schema_of_variant(v)
