@@ -44,7 +44,7 @@ def triple_sql(source: str, dataset: str, subject: str, rows: list[tuple[str, st
 def customer_records(v: Views) -> DataFrame:
     key = F.col("c_custkey")
     day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
-    return v.table("customer").select(
+    return v.wide_table("customer").select(
         F.lit("7").alias("dataset_id"),
         key.alias("position"),
         key.alias("id"),
@@ -133,7 +133,7 @@ def triples_typed_inferred(v: Views) -> DataFrame:
         .when(key % 4 == 2, text("M", F.col("user_id")))
         .otherwise(digits14(F.col("ts")))
     )
-    records = v.table("events").select(
+    records = v.wide_table("events").select(
         F.lit("9").alias("dataset_id"),
         key.alias("position"),
         key,
@@ -188,7 +188,7 @@ def derived_fields(v: Views) -> DataFrame:
         F.when(key % 2 == 0, F.col("p_size")).alias("img_width"),
         meta.alias("metadata"),
     )
-    records = v.table("part").select(
+    records = v.wide_table("part").select(
         F.lit("5").alias("dataset_id"), key.alias("position"), F.parse_json(F.to_json(body)).alias("record")
     )
     rows = triples.list_rows(records, triples.VariantRecord("record"), VOC)
@@ -373,7 +373,7 @@ def link_records(v: Views) -> DataFrame:
     cell = text(
         " ", wiki, ":", space, ":", title, " |enwiki: 0 :Missing ", key, "|bad||wikidatawiki:0:q", key + 1, "|", wiki, ":0x:foo|", F.upper(wiki), ":", space, ":", title
     )
-    return v.table("part").select(F.lit("3").alias("dataset_id"), key.alias("position"), key.alias("id"), cell.alias("gil"))
+    return v.wide_table("part").select(F.lit("3").alias("dataset_id"), key.alias("position"), key.alias("id"), cell.alias("gil"))
 
 
 _L_TITLE = "CASE WHEN p_size % 16 <> 0 THEN 'X:' ELSE '' END || replace(p_name || ' ' || p_partkey, ' ', '_')"
@@ -877,7 +877,7 @@ def ntriples(v: Views) -> DataFrame:
 def ntriples_escapes(v: Views) -> DataFrame:
     """Whole documents as language-tagged literals."""
     cell = terms.term("literal", text(F.col("text"), "\r\\\""), None, F.col("lang"))
-    return v.table("documents").select("doc_id", F.md5(terms.ntriples_term(cell)).alias("line_md5"))
+    return v.wide_table("documents").select("doc_id", F.md5(terms.ntriples_term(cell)).alias("line_md5"))
 
 
 @query("json_bindings", """SELECT '{"c":{"type":"uri","value":"urn:c:' || c_custkey || '"},"title":{"type":"literal","value":"' || c_name || '"}'

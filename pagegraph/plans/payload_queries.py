@@ -15,10 +15,15 @@ from pagegraph.sources import feeds, piles, records, results
 
 
 def _documents(rows: DataFrame, key: str, order: str, item: Column) -> DataFrame:
-    """(payload_id, items) with the items of ``PAYLOAD_ROWS`` consecutive keys, in order."""
+    """(payload_id, items) with the items of ``PAYLOAD_ROWS`` consecutive keys, in order.
+
+    The number of partitions is stated, because reading a document costs far more than its size
+    suggests; the grouping reuses that partitioning.
+    """
     number = F.floor(F.col(key) / PAYLOAD_ROWS).cast("bigint").alias("payload_id")
     listed = rows.select(number, F.struct(F.col(order).alias("_o"), item.alias("item")).alias("_i"))
-    return listed.groupBy("payload_id").agg(F.sort_array(F.collect_list("_i")).alias("_l")).select(
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "payload_id").groupBy("payload_id").agg(F.sort_array(F.collect_list("_i")).alias("_l")).select(
         "payload_id", F.transform("_l", lambda x: x["item"]).alias("items")
     )
 
@@ -155,7 +160,7 @@ def html_scrape(v: Views) -> DataFrame:
     """Whole pages, with the run block and the input tag of a saved query page put in front."""
     block = F.when(F.col("page_id") % 2 == 0, text('<script>VAR vars = {"x": 1, "qrun_id": ', F.col("page_id"), "};</script>")).otherwise("")
     tag = text('<input id="other" value="no"><INPUT class="a" id="query-db" value=" wiki&amp;&quot;', F.col("page_id"), ' ">')
-    pages = v.table("pages").select("page_id", "html", text(block, tag, F.col("html")).alias("page"))
+    pages = v.wide_table("pages").select("page_id", "html", text(block, tag, F.col("html")).alias("page"))
     return pages.select(
         "page_id",
         results.first_match(F.col("html"), r'<html[^>]*lang="([^"]*)"').alias("lang"),
@@ -214,4 +219,4 @@ def page_lookup(v: Views) -> DataFrame:
 )
 def scalar_unpivot_lists(v: Views) -> DataFrame:
     """Every document as the list of its lines, flattened to one cell."""
-    return v.table("documents").select("doc_id", F.md5(F.coalesce(joined_list(F.split("text", "\n")), F.lit(""))).alias("joined_md5"))
+    return v.wide_table("documents").select("doc_id", F.md5(F.coalesce(joined_list(F.split("text", "\n")), F.lit(""))).alias("joined_md5"))

@@ -24,7 +24,7 @@ from pagegraph.plans.views import CTE, Views, iso, quoted, stripped, text, wiki_
 def title_norm(v: Views) -> DataFrame:
     raw = text(" :", F.col("text"), " ")
     title = t.page_title(raw)
-    return v.table("documents").select(
+    return v.wide_table("documents").select(
         "doc_id",
         F.md5(title).alias("title_md5"),
         F.length(title).cast("bigint").alias("title_length"),
@@ -42,7 +42,7 @@ _QID_CELL = """CASE p_partkey % 4 WHEN 0 THEN 'Q' || p_partkey WHEN 1 THEN 'http
        FROM part""",
 )
 def qid_norm(v: Views) -> DataFrame:
-    return v.table("part").select("p_partkey", t.qid(F.expr(_QID_CELL)).alias("qid"))
+    return v.wide_table("part").select("p_partkey", t.qid(F.expr(_QID_CELL)).alias("qid"))
 
 
 @query(
@@ -64,7 +64,7 @@ def time_norm(v: Views) -> DataFrame:
         .when(F.col("event_id") % 6 == 4, text("bad ", second))
         .otherwise(second)
     )
-    return v.table("events").select(
+    return v.wide_table("events").select(
         "event_id", times.xsd_datetime(cell).alias("normalized"), times.numeric_time(cell).cast("string").alias("time_key")
     )
 
@@ -80,7 +80,7 @@ def time_norm(v: Views) -> DataFrame:
 def partial_times(v: Views) -> DataFrame:
     cut = F.substring(times.digits14(F.col("ts")), F.lit(1), (4 + 2 * (F.col("event_id") % 6)).cast("int"))
     padded = times.padded_timestamp(cut)
-    return v.table("events").select("event_id", padded.alias("padded"), times.lower_bound_time(padded).alias("lower_bound"))
+    return v.wide_table("events").select("event_id", padded.alias("padded"), times.lower_bound_time(padded).alias("lower_bound"))
 
 
 _CELL_SQL = "p_name || ' é/(' || p_brand || '):, 50%*~+?&'"
@@ -94,7 +94,7 @@ _CELL_SQL = "p_name || ' é/(' || p_brand || '):, 50%*~+?&'"
 )
 def quote_path(v: Views) -> DataFrame:
     cell = text(F.col("p_name"), " é/(", F.col("p_brand"), "):, 50%*~+?&")
-    return v.table("part").select(
+    return v.wide_table("part").select(
         "p_partkey",
         t.quote(cell).alias("path"),
         t.quote(cell, fixed.SAFE_FILE).alias("file"),
@@ -118,7 +118,7 @@ def url_parts(v: Views) -> DataFrame:
         .when(F.col("page_id") % 3 == 1, text("http://", host, "/w/index.php?title=A+b&title=C%20", F.col("page_id")))
         .otherwise(F.col("url"))
     )
-    pages = v.table("pages").select("page_id", wiki.page_from_url(cell).alias("page"))
+    pages = v.wide_table("pages").select("page_id", wiki.page_from_url(cell).alias("page"))
     return pages.select("page_id", "page.domain", "page.title")
 
 
@@ -134,7 +134,7 @@ def host_valid(v: Views) -> DataFrame:
         .when(F.col("page_id") % 4 == 2, text("-", host))
         .otherwise(text(" ", host, "."))
     )
-    return v.table("pages").select("page_id", wiki.host_valid(cell).cast("int").alias("valid"), host.alias("host"))
+    return v.wide_table("pages").select("page_id", wiki.host_valid(cell).cast("int").alias("valid"), host.alias("host"))
 
 
 @query(
@@ -154,7 +154,7 @@ def site_domains(v: Views) -> DataFrame:
         .when(key % 6 == 4, text("foo..", key, "wiki"))
         .otherwise(text("y", key, "wiktionary"))
     )
-    return v.table("part").select("p_partkey", wiki.site_domain(site).alias("domain"), wiki.site_group(site).alias("wiki_group"))
+    return v.wide_table("part").select("p_partkey", wiki.site_domain(site).alias("domain"), wiki.site_group(site).alias("wiki_group"))
 
 
 _PROJECT = "CASE p_partkey % 3 WHEN 0 THEN 'Wp' WHEN 1 THEN 'Wt' ELSE 'Zz' END"
@@ -179,7 +179,7 @@ def title_split(v: Views) -> DataFrame:
         .otherwise(text(project, "/", lang, "/", name))
     )
     parts = wiki.project_parts(title)
-    return v.table("part").select(
+    return v.wide_table("part").select(
         "p_partkey",
         parts["project"].alias("project"),
         parts["lang"].alias("lang"),
@@ -197,7 +197,7 @@ def title_split(v: Views) -> DataFrame:
 )
 def namespace_split(v: Views) -> DataFrame:
     prefix = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'uSER 1:' WHEN 1 THEN 'cat: ' WHEN 2 THEN 'Unknown:' ELSE '' END")
-    titles = v.table("part").select(
+    titles = v.wide_table("part").select(
         "p_partkey", F.lit("nation-1.wikipedia.org").alias("domain"), text(prefix, F.col("p_name"), " ", F.col("p_partkey")).alias("title")
     )
     titles = titles.withColumn("title", F.regexp_replace("title", "^cat: ", "cat:"))
@@ -214,7 +214,7 @@ def user_norm(v: Views) -> DataFrame:
     raw = F.when(F.col("c_custkey") % 5 == 4, "  ").otherwise(text(" ", F.replace("c_name", F.lit("#"), F.lit("_")), "/sub/page "))
     user = wiki.local_user(raw)
     named = wiki.namespaced_user(text("User 1:", raw))
-    return v.table("customer").select(
+    return v.wide_table("customer").select(
         "c_custkey", user.alias("user_name"), t.casefold(user).alias("user_key"), named["prefix"].alias("prefix")
     )
 
@@ -238,7 +238,7 @@ def user_page_refs(v: Views) -> DataFrame:
         .otherwise(text("User ", name))
     )
     nothing = F.lit(None).cast("string")
-    pages = v.table("customer").select("c_custkey", wiki.title_from_reference(raw, nothing).alias("page"))
+    pages = v.wide_table("customer").select("c_custkey", wiki.title_from_reference(raw, nothing).alias("page"))
     reference = wiki.user_page_reference(F.col("page.domain"), F.col("page.title"), nothing)
     return pages.select("c_custkey", "page.domain", "page.title", reference.alias("reference"))
 
@@ -258,7 +258,7 @@ _TITLE = "replace(p_name || ' ' || p_partkey, ' ', '_')"
 )
 def page_uri_columns_query(v: Views) -> DataFrame:
     wikis = v.wikis().select(F.col("dbname").alias("wiki"), "domain")
-    rows = v.table("part").select(
+    rows = v.wide_table("part").select(
         "p_partkey",
         text("nation_", F.col("p_partkey") % 5, "wiki").alias("wiki"),
         text(" :", F.col("p_name"), " ", F.col("p_partkey")).alias("page_title"),
@@ -277,7 +277,7 @@ def page_uri_columns_query(v: Views) -> DataFrame:
        FROM part""".format(t=quoted(_TITLE)),
 )
 def interwiki_uri(v: Views) -> DataFrame:
-    rows = v.table("part").select(
+    rows = v.wide_table("part").select(
         "p_partkey",
         F.lit("nation-1.wikipedia.org").alias("domain"),
         F.expr("CASE p_partkey % 3 WHEN 0 THEN ' w' WHEN 1 THEN 'n' ELSE 'zz' END").alias("iwl_prefix"),
@@ -350,7 +350,7 @@ def siteinfo_dim(v: Views) -> DataFrame:
 )
 def wiki_selection(v: Views) -> DataFrame:
     n = F.col("c_nationkey")
-    requests = v.table("customer").select(
+    requests = v.wide_table("customer").select(
         F.when(F.col("c_custkey") % 5 == 0, text(" W:nation-", n))
         .when(F.col("c_custkey") % 5 == 1, "*.wiktionary.org,")
         .when(F.col("c_custkey") % 5 == 2, "commons.")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
 from pagegraph.functions.times import digits14
+from pagegraph.session import spread
 from pagegraph.sources import wikis as wiki_sources
 
 COMMONS = "nation_4wiki"
@@ -34,6 +35,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet("{}/{}.parquet".format(self.dir, name))
 
+    def wide_table(self, name: str) -> DataFrame:
+        """Table for costly work per row, spread over the cores when it has few splits."""
+        return spread(self.table(name))
+
     # --- pages and what hangs on them ---------------------------------------------------------
 
     def page(self, wiki: str | None = None) -> DataFrame:

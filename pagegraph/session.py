@@ -47,3 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on an input of few splits.
+
+    An input that already has a split per core, as any large one has, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import named
+from pagegraph.functions.text import let, named
 
 MAX_DEPTH = 8
 
@@ -66,10 +66,10 @@ def _members(node: str) -> Column:
     """Children of a JSON text, in document order, as array<struct<text, v>>."""
     text, v = F.col(node + ".text"), F.col(node + ".v")
     keys = F.json_object_keys(text)
-    raw = F.from_json(text, "map<string,string>")
-    of_object = F.transform(
-        keys,
-        lambda k: named(text=F.try_element_at(raw, k), v=F.try_element_at(v.try_cast("map<string,variant>"), k)),
+    maps = named(raw=F.from_json(text, "map<string,string>"), v=v.try_cast("map<string,variant>"))
+    of_object = let(
+        maps,
+        lambda m: F.transform(keys, lambda k: named(text=F.try_element_at(m["raw"], k), v=F.try_element_at(m["v"], k))),
     )
     of_list = F.zip_with(
         F.from_json(text, "array<string>"),

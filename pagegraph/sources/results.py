@@ -49,14 +49,18 @@ def _numbered(base: Column) -> Column:
 
 def _slots(names: Column, cells: Column) -> Column:
     """Pair names and cells: short rows are padded with null, extra cells get a column name."""
-    width = F.greatest(F.size(names), F.size(cells))
-    return F.transform(
-        F.sequence(F.lit(1), width),
-        lambda i: named(
-            key=F.coalesce(F.try_element_at(names, i), F.concat(F.lit("column_"), i.cast("string"))),
-            value=F.try_element_at(cells, i),
-        ),
+    spare = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(cells), F.lit(1))), lambda i: F.concat(F.lit("column_"), i.cast("string"))
     )
+    full = F.when(F.size(cells) > F.size(names), F.concat(names, F.slice(spare, F.size(names) + 1, F.size(cells)))).otherwise(names)
+    return F.zip_with(full, cells, lambda k, x: named(key=k, value=x))
+
+
+def _members(text: Column, v: Column) -> Column:
+    """Entries of an object row in document order, under unique names."""
+    keys = F.json_object_keys(text)
+    values = let(v.try_cast("map<string,variant>"), lambda m: F.transform(keys, lambda k: F.try_element_at(m, k)))
+    return F.zip_with(unique_headers(keys), values, lambda k, x: named(key=k, value=x))
 
 
 def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None) -> DataFrame:
@@ -77,16 +81,10 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
         unique_headers(F.col("_raw.headers")).alias("_names"),
         F.posexplode(F.when(F.size("_raw.headers") > 0, rows)).alias("position", "_row"),
     )
-    v, row_text = F.col("_row.v"), F.col("_row.text")
+    v = F.col("_row.v")
     shape = F.schema_of_variant(v)
-    own_keys = F.json_object_keys(row_text)
-    own_map = v.try_cast("map<string,variant>")
-    of_object = F.zip_with(
-        unique_headers(own_keys),
-        F.transform(own_keys, lambda k: F.try_element_at(own_map, k)),
-        lambda k, x: named(key=k, value=x),
-    )
-    of_list = _slots(F.col("_names"), v.try_cast("array<variant>"))
+    of_object = _members(F.col("_row.text"), v)
+    of_list = let(v.try_cast("array<variant>"), lambda cells: _slots(F.col("_names"), cells))
     is_list = F.startswith(shape, F.lit("ARRAY"))
     is_map = F.startswith(shape, F.lit("OBJECT"))
     return base.select(
