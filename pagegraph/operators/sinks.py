@@ -10,18 +10,16 @@ from pagegraph.operators.pattern import Solutions, address_term, object_term
 from pagegraph.operators.triples import GRAPH_COLUMNS, graph_set
 
 
-def write_graph(triples: DataFrame, path: str, files_per_predicate: int = 1) -> None:
+def write_graph(triples: DataFrame, path: str) -> None:
     """Replace the datasets present in ``triples`` and leave the others alone.
 
     Equal triples merge, files are laid out by dataset and predicate and sorted by subject, so a
-    pattern reads only its predicate. A frequent predicate is spread over several files by
-    subject; ``files_per_predicate`` is the fan-out.
+    pattern reads only its predicate. The rebalance step splits a predicate that holds a large
+    share of the triples over several tasks and joins small ones, by measured size.
     """
-    bucket = F.pmod(F.xxhash64("s"), F.lit(max(1, files_per_predicate)))
-    laid = graph_set(triples).withColumn("_b", bucket).repartition("dataset_id", "p", "_b")
+    laid = graph_set(triples).hint("rebalance", F.col("dataset_id"), F.col("p"))
     (
         laid.sortWithinPartitions("dataset_id", "p", "s")
-        .drop("_b")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset_id", "p")

@@ -513,7 +513,8 @@ def order_link_graph(v: Views) -> Graph:
         link,
         page_class=False,
     )
-    return Graph(triples.graph_set(rows.unionByName(on_item).unionByName(on_link)))
+    # an order is one row, so its triples are distinct already; line items may repeat
+    return Graph(rows.unionByName(triples.graph_set(on_item.unionByName(on_link))))
 
 
 FLAGSHIP_SQL = """WITH links AS (SELECT DISTINCT l_orderkey, CASE WHEN l_suppkey % 2 = 0 THEN 'https://en.wikipedia.org/wiki/' ELSE 'https://de.wikipedia.org/wiki/' END

@@ -118,7 +118,7 @@ def test_value_equality(evaluate):
 def test_write_replaces_only_its_datasets(spark, tmp_path):
     path = str(tmp_path / "graph")
     first = spark.createDataFrame([("1", "a", "http://x/p", "iri", "b", None, None)] * 3 + [("2", "c", "http://x/p", "literal", "5", XSD_INTEGER, None)], SCHEMA)
-    sinks.write_graph(first, path, files_per_predicate=3)
+    sinks.write_graph(first, path)
     sinks.write_graph(spark.createDataFrame([("1", "new", "http://x/p", "iri", "b", None, None)], SCHEMA), path)
     back = sinks.read_graph(spark, path)
     assert rows(back.select("dataset_id", "s", "p", "o")) == [("1", "new", "http://x/p", "b"), ("2", "c", "http://x/p", "5")]
