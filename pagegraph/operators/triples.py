@@ -223,23 +223,42 @@ def coordinates(text: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
-def derived_values(record: TypedRecord | VariantRecord) -> list[tuple[str, str, Column]]:
+DERIVED_KEYS = [
+    "qid",
+    "wikidata_entity",
+    "thumbnail_image",
+    "thumbnail_image_file",
+    "coordinates",
+    "coordinate_lat",
+    "coordinate_lon",
+    "gil_link_count",
+]
+
+
+def derived_values(
+    record: TypedRecord | VariantRecord, keys: Sequence[str] = tuple(DERIVED_KEYS)
+) -> list[tuple[str, str, Column]]:
     """(key, kind, value) of item, thumbnail, coordinate and link-count fields; null where absent."""
-    item = record_qid(record)
-    image = blank_to_null(record.meta_text("image"))
-    place = record.meta("coordinates")
-    pair = let(coordinates(place), lambda c: named(lat=python_double(c["lat"]), lon=python_double(c["lon"])))
-    cell = record.text_key("gil")
-    return [
-        ("qid", "xsd:string", item),
-        ("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)),
-        ("thumbnail_image", "xsd:string", thumbnail_url(image)),
-        ("thumbnail_image_file", "xsd:string", image),
-        ("coordinates", "xsd:string", F.when(coordinates(place).isNotNull(), strip(place))),
-        ("coordinate_lat", "xsd:double", pair["lat"]),
-        ("coordinate_lon", "xsd:double", pair["lon"]),
-        ("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), F.size(link_targets(cell)).cast("string"))),
-    ]
+    out: list[tuple[str, str, Column]] = []
+    if "qid" in keys:
+        item = record_qid(record)
+        out.append(("qid", "xsd:string", item))
+        out.append(("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)))
+    if "thumbnail_image" in keys:
+        image = blank_to_null(record.meta_text("image"))
+        out.append(("thumbnail_image", "xsd:string", thumbnail_url(image)))
+        out.append(("thumbnail_image_file", "xsd:string", image))
+    if "coordinates" in keys:
+        place = record.meta("coordinates")
+        pair = let(coordinates(place), lambda c: named(lat=python_double(c["lat"]), lon=python_double(c["lon"])))
+        out.append(("coordinates", "xsd:string", F.when(coordinates(place).isNotNull(), strip(place))))
+        out.append(("coordinate_lat", "xsd:double", pair["lat"]))
+        out.append(("coordinate_lon", "xsd:double", pair["lon"]))
+    if "gil_link_count" in keys:
+        cell = record.text_key("gil")
+        count = F.size(link_targets(cell)).cast("string")
+        out.append(("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), count)))
+    return out
 
 
 def has_special_keys(record: TypedRecord | VariantRecord) -> Column:
@@ -306,7 +325,7 @@ def _variant_fields(records, record: VariantRecord, typing: Typing, head: list[C
     for key, kind, value in derived_values(record):
         new_kind, new_value = typing(key, kind, value)
         derived.append(named(key=F.lit(key), kind=new_kind, value=new_value))
-    keys = [key for key, _, _ in derived_values(record)]
+    keys = DERIVED_KEYS
     entries = F.map_entries(record.v.try_cast("map<string,variant>"))
     staged = records.select(
         *head,
@@ -341,18 +360,16 @@ def _wanted_derived(record: TypedRecord) -> list[tuple[str, str, Column]]:
     """Derived fields the columns at hand can give at all."""
     kind = record.types.get("metadata")
     meta = kind.names if isinstance(kind, T.StructType) else fixed.META_KEYS if isinstance(kind, T.MapType) else []
-    item = "wikidata" in meta or any(key in record.types for key in fixed.QID_KEYS)
-    usable = {
-        "qid": item,
-        "wikidata_entity": item,
-        "thumbnail_image": "image" in meta,
-        "thumbnail_image_file": "image" in meta,
-        "coordinates": "coordinates" in meta,
-        "coordinate_lat": "coordinates" in meta,
-        "coordinate_lon": "coordinates" in meta,
-        "gil_link_count": isinstance(record.types.get("gil"), T.StringType),
-    }
-    return [entry for entry in derived_values(record) if usable[entry[0]]]
+    wanted = []
+    if "wikidata" in meta or any(key in record.types for key in fixed.QID_KEYS):
+        wanted.append("qid")
+    if "image" in meta:
+        wanted.append("thumbnail_image")
+    if "coordinates" in meta:
+        wanted.append("coordinates")
+    if isinstance(record.types.get("gil"), T.StringType):
+        wanted.append("gil_link_count")
+    return derived_values(record, wanted)
 
 
 # --- typing --------------------------------------------------------------------------------------
