@@ -48,9 +48,8 @@ def link_targets(text: Column) -> Column:
 
 def explode_links(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, link_pos, uri, site, namespace, api_title, db_title): no shuffle, order kept by number."""
-    return rows.select(*keys, F.posexplode(link_targets(F.col(column))).alias("link_pos", "_t")).select(
-        *keys, F.col("link_pos").cast("bigint").alias("link_pos"), "_t.*"
-    )
+    found = rows.select(*keys, F.posexplode_outer(link_targets(F.col(column))).alias("link_pos", "_t"))
+    return found.where(F.col("link_pos").isNotNull()).select(*keys, F.col("link_pos").cast("bigint").alias("link_pos"), "_t.*")
 
 
 def lookup_targets(links: DataFrame) -> DataFrame:
@@ -174,4 +173,4 @@ def link_fields(linked: DataFrame) -> DataFrame:
         entry(uri, "gil_link_wikidata_entity", "iri", F.concat(F.lit(fixed.ITEM_ENTITY), F.col("qid"))),
     )
     some = F.filter(parts, lambda f: f["value"].isNotNull())
-    return linked.select("dataset_id", "position", F.explode(some).alias("_f")).select("dataset_id", "position", "_f.*")
+    return linked.select("dataset_id", "position", F.explode_outer(some).alias("_f")).select("dataset_id", "position", "_f.*")

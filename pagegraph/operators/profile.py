@@ -52,7 +52,7 @@ def profile(rows: DataFrame, vocab: Vocabulary, link_rows: DataFrame | None = No
     ``link_rows`` (dataset_id, position, key, kind) adds what a row's links emit; they are counted
     per row first. Counts are of emissions, before equal triples merge.
     """
-    own = rows.select("dataset_id", "position", F.explode("fields").alias("_f")).where(F.col("_f.value").isNotNull())
+    own = rows.select("dataset_id", "position", F.explode_outer("fields").alias("_f")).where(F.col("_f.value").isNotNull())
     own = own.select("dataset_id", "position", "_f.key", "_f.kind", "_f.repeated", "_f.same_kind")
     lines = own if link_rows is None else own.where(~F.col("key").isin(*LINK_KEYS))
     marks = [F.count(F.when((F.col("kind") == k) & ~F.col("same_kind"), 1)).alias("_" + k) for k in KINDS]

@@ -211,16 +211,17 @@ def thumbnail_url(image: Column, width: int = 320) -> Column:
 
 def coordinates(text: Column) -> Column:
     """struct<lat, lon> from two numbers separated by slash, comma or semicolon; null out of range."""
-    parts = F.split(strip(text), r"\s*[/,;]\s*")
     number = r"^[+-]?([0-9]+(_[0-9]+)*\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-    def axis(n: int, bound: float) -> Column:
-        part = strip(F.get(parts, n))
-        value = F.when(part.rlike(number), F.replace(part, F.lit("_"), F.lit("")).try_cast("double"))
-        return F.when(value.between(-bound, bound), value)
+    def read(part: Column) -> Column:
+        clean = strip(part)
+        return F.when(clean.rlike(number), F.replace(clean, F.lit("_"), F.lit("")).try_cast("double"))
 
-    lat, lon = axis(0, 90.0), axis(1, 180.0)
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+    def pair(axes: Column) -> Column:
+        lat, lon = F.get(axes, 0), F.get(axes, 1)
+        return F.when(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0), named(lat=lat, lon=lon))
+
+    return let(F.transform(F.slice(F.split(strip(text), r"\s*[/,;]\s*"), 1, 2), read), pair)
 
 
 DERIVED_KEYS = [
@@ -235,29 +236,38 @@ DERIVED_KEYS = [
 ]
 
 
-def derived_values(
-    record: TypedRecord | VariantRecord, keys: Sequence[str] = tuple(DERIVED_KEYS)
-) -> list[tuple[str, str, Column]]:
+def derived_parts(record: TypedRecord | VariantRecord, keys: Sequence[str] = tuple(DERIVED_KEYS)) -> dict[str, Column]:
+    """What the derived fields are made of, to be computed once per row as columns of their own."""
+    parts: dict[str, Column] = {}
+    if "qid" in keys:
+        parts["_item"] = record_qid(record)
+    if "thumbnail_image" in keys:
+        parts["_image"] = blank_to_null(record.meta_text("image"))
+    if "coordinates" in keys:
+        parts["_place"] = strip(record.meta("coordinates"))
+        parts["_pair"] = coordinates(record.meta("coordinates"))
+    if "gil_link_count" in keys:
+        cell = record.text_key("gil")
+        parts["_links"] = F.when(cell.isNotNull(), F.size(link_targets(cell)).cast("string"))
+    return parts
+
+
+def derived_values(keys: Sequence[str] = tuple(DERIVED_KEYS)) -> list[tuple[str, str, Column]]:
     """(key, kind, value) of item, thumbnail, coordinate and link-count fields; null where absent."""
+    item, image, place, pair = F.col("_item"), F.col("_image"), F.col("_place"), F.col("_pair")
     out: list[tuple[str, str, Column]] = []
     if "qid" in keys:
-        item = record_qid(record)
         out.append(("qid", "xsd:string", item))
         out.append(("wikidata_entity", "xsd:string", F.concat(F.lit(fixed.ITEM_ENTITY), item)))
     if "thumbnail_image" in keys:
-        image = blank_to_null(record.meta_text("image"))
         out.append(("thumbnail_image", "xsd:string", thumbnail_url(image)))
         out.append(("thumbnail_image_file", "xsd:string", image))
     if "coordinates" in keys:
-        place = record.meta("coordinates")
-        pair = let(coordinates(place), lambda c: named(lat=python_double(c["lat"]), lon=python_double(c["lon"])))
-        out.append(("coordinates", "xsd:string", F.when(coordinates(place).isNotNull(), strip(place))))
-        out.append(("coordinate_lat", "xsd:double", pair["lat"]))
-        out.append(("coordinate_lon", "xsd:double", pair["lon"]))
+        out.append(("coordinates", "xsd:string", F.when(pair.isNotNull(), place)))
+        out.append(("coordinate_lat", "xsd:double", python_double(pair["lat"])))
+        out.append(("coordinate_lon", "xsd:double", python_double(pair["lon"])))
     if "gil_link_count" in keys:
-        cell = record.text_key("gil")
-        count = F.size(link_targets(cell)).cast("string")
-        out.append(("gil_link_count", "xsd:integer", F.when(cell.isNotNull(), count)))
+        out.append(("gil_link_count", "xsd:integer", F.col("_links")))
     return out
 
 
@@ -298,66 +308,65 @@ def _typed_fields(records, record: TypedRecord, typing: Typing, head: list[Colum
     """Keys, kinds and possible repeats of typed columns are known before the job runs."""
     no = F.lit(False)
     special = has_special_keys(record)
-    derived = _wanted_derived(record)
-    entries = derived + record.scalars()
-    values = [
-        (F.when(special, v) if i < len(derived) or key == "metadata" else v).alias("_v{}".format(i))
-        for i, (key, _, v) in enumerate(entries)
+    wanted = _wanted_derived(record)
+    derived = derived_values(wanted)
+    own = record.scalars()
+    own_values = [
+        (F.when(special, value) if key == "metadata" else value).alias("_v{}".format(i)) for i, (key, _, value) in enumerate(own)
     ]
+    parts = [part.alias(name) for name, part in derived_parts(record, wanted).items()]
+    staged = records.select(*head, special.alias("_special"), *own_values, *parts)
+    entries = [(key, kind, F.when(F.col("_special"), value)) for key, kind, value in derived]
+    entries += [(key, kind, F.col("_v{}".format(i))) for i, (key, kind, _) in enumerate(own)]
     typed = []
-    for i, (key, kind, _) in enumerate(entries):
-        new_kind, value = typing(key, kind, F.col("_v{}".format(i)))
-        typed.append(named(key=F.lit(key), kind=new_kind, value=value).alias("_t{}".format(i)))
+    for i, (key, kind, value) in enumerate(entries):
+        new_kind, new_value = typing(key, kind, value)
+        typed.append(named(key=F.lit(key), kind=new_kind, value=new_value).alias("_t{}".format(i)))
+    staged = staged.select(*names, *typed)
     first = {key: F.col("_t{}".format(i)) for i, (key, _, _) in enumerate(derived)}
     marked = []
     for i, (key, _, _) in enumerate(entries):
         f = F.col("_t{}".format(i))
-        before = first[key]["value"].isNotNull() if i >= len(derived) and key in first else no
-        same = before & (first[key]["kind"] == f["kind"]) if before is not no else no
-        marked.append(emission(f, before, same))
-    staged = records.select(*head, *values).select(*names, *typed)
+        if i >= len(derived) and key in first:
+            before = first[key]["value"].isNotNull()
+            marked.append(emission(f, before, before & (first[key]["kind"] == f["kind"])))
+        else:
+            marked.append(emission(f, no, no))
     return staged.select(*names, F.array(*marked).alias("fields"))
 
 
 def _variant_fields(records, record: VariantRecord, typing: Typing, head: list[Column], names: list[str]) -> DataFrame:
-    special = has_special_keys(record)
-    derived = []
-    for key, kind, value in derived_values(record):
-        new_kind, new_value = typing(key, kind, value)
-        derived.append(named(key=F.lit(key), kind=new_kind, value=new_value))
-    keys = DERIVED_KEYS
     entries = F.map_entries(record.v.try_cast("map<string,variant>"))
+    parts = [part.alias(name) for name, part in derived_parts(record).items()]
     staged = records.select(
-        *head,
-        special.alias("_special"),
-        F.when(special, F.filter(F.array(*derived), lambda d: d["value"].isNotNull())).alias("_derived"),
-        variant_fields(entries).alias("_own"),
+        *head, has_special_keys(record).alias("_special"), variant_fields(entries).alias("_own"), *parts
     )
+    derived = []
+    for key, kind, value in derived_values():
+        new_kind, new_value = typing(key, kind, F.when(F.col("_special"), value))
+        derived.append(named(key=F.lit(key), kind=new_kind, value=new_value))
 
     def typed(f: Column) -> Column:
         kind, value = typing(f["key"], f["kind"], f["value"])
         shown = (f["key"] != "metadata") | F.col("_special")
         return named(key=f["key"], kind=kind, value=F.when(shown, value))
 
+    staged = staged.select(*names, F.array(*derived).alias("_derived"), F.transform("_own", typed).alias("_own"))
+
     def mark(f: Column) -> Column:
-        def before(test) -> Column:
-            return F.coalesce(f["key"].isin(*keys) & F.exists("_derived", test), F.lit(False))
+        def before(test: Callable[[Column], Column]) -> Column:
+            hit = F.exists("_derived", lambda d: (d["key"] == f["key"]) & d["value"].isNotNull() & test(d))
+            return f["key"].isin(*DERIVED_KEYS) & hit
 
-        return emission(
-            f, before(lambda d: d["key"] == f["key"]), before(lambda d: (d["key"] == f["key"]) & (d["kind"] == f["kind"]))
-        )
+        return emission(f, before(lambda d: F.lit(True)), before(lambda d: d["kind"] == f["kind"]))
 
-    staged = staged.select(*names, "_derived", F.transform("_own", typed).alias("_own"))
     none = F.lit(False)
     head_part = F.transform("_derived", lambda d: emission(d, none, none))
-    own_part = F.transform("_own", mark)
-    return staged.select(
-        *names, F.when(F.col("_derived").isNull(), own_part).otherwise(F.concat(head_part, own_part)).alias("fields")
-    )
+    return staged.select(*names, F.concat(head_part, F.transform("_own", mark)).alias("fields"))
 
 
-def _wanted_derived(record: TypedRecord) -> list[tuple[str, str, Column]]:
-    """Derived fields the columns at hand can give at all."""
+def _wanted_derived(record: TypedRecord) -> list[str]:
+    """Derived fields the columns at hand can give at all, by the first key of each kind."""
     kind = record.types.get("metadata")
     meta = kind.names if isinstance(kind, T.StructType) else fixed.META_KEYS if isinstance(kind, T.MapType) else []
     wanted = []
@@ -369,7 +378,7 @@ def _wanted_derived(record: TypedRecord) -> list[tuple[str, str, Column]]:
         wanted.append("coordinates")
     if isinstance(record.types.get("gil"), T.StringType):
         wanted.append("gil_link_count")
-    return derived_values(record, wanted)
+    return wanted
 
 
 # --- typing --------------------------------------------------------------------------------------
@@ -500,7 +509,7 @@ def row_triples(rows: DataFrame, vocab: Vocabulary, loaded_at: str) -> DataFrame
         ("#" + vocab.loaded_at, "xsd:dateTime", F.lit(loaded_at)),
     ]
     fixed_part = F.array(*[emission(field(key, kind, value), no, no) for key, kind, value in head])
-    long = rows.select("dataset_id", "s", F.explode(F.concat(fixed_part, F.col("fields"))).alias("_f"))
+    long = rows.select("dataset_id", "s", F.explode_outer(F.concat(fixed_part, F.col("fields"))).alias("_f"))
     key = F.col("_f.key")
     p = (
         F.when(key == "#type", F.lit(fixed.RDF_TYPE))
@@ -628,7 +637,7 @@ def sitelink_triples(records: DataFrame, vocab: Vocabulary, subject: str = "page
         group = blank_to_null(F.col("wiki_group"))
         parts.append(part(blank_to_null(F.col("site_url")), fixed.WIKI_GROUP, "xsd:string", group))
     long = records.where(F.coalesce(s, F.lit("")) != "").select(
-        F.col("dataset_id").cast("string").alias("dataset_id"), F.explode(F.array(*parts)).alias("_x")
+        F.col("dataset_id").cast("string").alias("dataset_id"), F.explode_outer(F.array(*parts)).alias("_x")
     )
     return _graph(long.where(F.col("_x.s").isNotNull() & F.col("_x.value").isNotNull()).select("dataset_id", "_x.*"))
 

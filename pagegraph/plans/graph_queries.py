@@ -192,7 +192,7 @@ def derived_fields(v: Views) -> DataFrame:
         F.lit("5").alias("dataset_id"), key.alias("position"), F.parse_json(F.to_json(body)).alias("record")
     )
     rows = triples.list_rows(records, triples.VariantRecord("record"), VOC)
-    return rows.select(F.col("position").alias("p_partkey"), "s", F.explode("fields").alias("f")).where(
+    return rows.select(F.col("position").alias("p_partkey"), "s", F.explode_outer("fields").alias("f")).where(
         F.col("f.value").isNotNull()
     ).select("p_partkey", "s", "f.key", "f.kind", "f.value")
 

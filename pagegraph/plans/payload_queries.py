@@ -58,7 +58,7 @@ def payload_direct(v: Views) -> DataFrame:
     )
     payloads = docs.select("payload_id", payload.alias("json"))
     listed = payloads.select("payload_id", records.direct_records(F.try_parse_json("json")).alias("records"))
-    return _listed_records(listed.select("payload_id", F.posexplode("records").alias("position", "record")))
+    return _listed_records(records.exploded_records(listed, ["payload_id"]))
 
 
 _ITEMS_LIST = "array<struct<id:bigint,title:string,len:double>>"
@@ -78,7 +78,7 @@ def payload_scored(v: Views) -> DataFrame:
     nested = F.array(F.struct(F.struct(many.alias("*")).alias("a")))
     payload = F.to_json(F.struct(few.alias("pages"), nested.alias("*")))
     listed = docs.select("payload_id", records.direct_records(F.try_parse_json(payload)).alias("records"))
-    return _listed_records(listed.select("payload_id", F.posexplode("records").alias("position", "record")))
+    return _listed_records(records.exploded_records(listed, ["payload_id"]))
 
 
 @query("payload_deep", _DIRECT_SQL)
@@ -116,7 +116,7 @@ def header_rows(v: Views) -> DataFrame:
     payload = text('{"headers":["id","Total (price","Total  price"],"rows":[', F.array_join("items", ","), "]}")
     payload = F.replace(payload, F.lit("Total (price"), F.lit("Total price"))
     fields = results.result_rows(docs.select("payload_id", payload.alias("json")), ["payload_id"], "json", limit=40)
-    return fields.select("payload_id", "position", F.explode("fields").alias("f")).select(
+    return fields.select("payload_id", "position", F.explode_outer("fields").alias("f")).where(F.col("f").isNotNull()).select(
         "payload_id", "position", "f.key", F.col("f.value").cast("string").alias("value")
     )
 

@@ -24,7 +24,7 @@ def feed_rows(responses: DataFrame, list_name: str) -> DataFrame:
     """One row per listed entry, in continuation order (seq, position)."""
     doc = F.try_parse_json(F.col("response"))
     entries = F.try_variant_get(doc, "$.query." + list_name, "array<variant>")
-    exploded = responses.select("wiki", "seq", F.posexplode(entries).alias("position", "entry"))
+    exploded = responses.select("wiki", "seq", F.posexplode_outer(entries).alias("position", "entry"))
     text = lambda name: F.try_variant_get("entry", "$." + name, "string")
     stamp = text("timestamp")
     return exploded.where(F.startswith(F.schema_of_variant("entry"), F.lit("OBJECT"))).select(
@@ -64,7 +64,7 @@ def page_lookup_rows(responses: DataFrame) -> DataFrame:
     """Enrichment row per page of a lookup response; the last entry of a title wins."""
     doc = F.try_parse_json(F.col("response"))
     pages = F.try_variant_get(doc, "$.query.pages", "array<variant>")
-    rows = responses.select("wiki", "seq", F.posexplode(pages).alias("position", "page"))
+    rows = responses.select("wiki", "seq", F.posexplode_outer(pages).alias("position", "page"))
     text = lambda path: F.try_variant_get("page", path, "string")
     lookup = rows.select(
         "wiki",

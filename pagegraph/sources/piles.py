@@ -24,7 +24,8 @@ def read_piles(payloads: DataFrame, keys: list[str], json_column: str, limit: in
     return (
         payloads.select(*keys, wiki.alias("wiki"), pile_titles(pile["pages"], limit).alias("_titles"))
         .where(F.coalesce(F.col("wiki") != "", F.lit(False)))
-        .select(*keys, "wiki", F.posexplode("_titles").alias("position", "title"))
+        .select(*keys, "wiki", F.posexplode_outer("_titles").alias("position", "title"))
+        .where(F.col("position").isNotNull())
     )
 
 

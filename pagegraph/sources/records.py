@@ -94,14 +94,14 @@ def deep_records(payloads: DataFrame, keys: list[str], json_column: str) -> Data
         named(path=F.array(F.lit(-1)), text=F.lit(None).cast("string"), v=F.try_variant_get(doc, "$.pages", "variant"), new=F.lit(False)),
         named(path=no_path, text=F.col(json_column), v=doc, new=F.lit(True)),
     )
-    nodes = payloads.select(*keys, F.explode(start).alias("node"))
+    nodes = payloads.select(*keys, F.explode_outer(start).alias("node"))
     for _ in range(MAX_DEPTH):
         done = F.array(named(path=F.col("node.path"), text=F.col("node.text"), v=F.col("node.v"), new=F.lit(False)))
         below = F.transform(
             F.when(F.col("node.new"), _members("node")),
             lambda child, i: named(path=F.concat("node.path", F.array(i)), text=child["text"], v=child["v"], new=F.lit(True)),
         )
-        nodes = nodes.select(*keys, F.explode(F.concat(done, F.coalesce(below, F.slice(done, 1, 0)))).alias("node"))
+        nodes = nodes.select(*keys, F.explode_outer(F.concat(done, F.coalesce(below, F.slice(done, 1, 0)))).alias("node"))
     found = nodes.select(*keys, F.col("node.path").alias("path"), object_rows(F.col("node.v")).alias("rows"))
     found = found.where(F.col("rows").isNotNull())
     order = F.struct((-score(F.col("rows"))).alias("s"), F.col("path").alias("path"))
@@ -114,7 +114,17 @@ def extract_records(payloads: DataFrame, keys: list[str], json_column: str) -> D
     direct = parsed.select(*keys, json_column, direct_records(F.col("_doc")).alias("records"))
     deep = deep_records(direct.where(F.col("records").isNull()).select(*keys, json_column), keys, json_column)
     both = direct.where(F.col("records").isNotNull()).select(*keys, "records").unionByName(deep)
-    return both.select(*keys, F.posexplode("records").alias("position", "record"))
+    return exploded_records(both, keys)
+
+
+def exploded_records(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, position, record) of payloads with a ``records`` list.
+
+    The outer form keeps the optimizer from testing the list's size first, which would build the
+    list twice.
+    """
+    rows = payloads.select(*keys, F.posexplode_outer("records").alias("position", "record"))
+    return rows.where(F.col("position").isNotNull())
 
 
 def rejected_payloads(payloads: DataFrame, keys: list[str], json_column: str) -> DataFrame:

@@ -79,8 +79,8 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
     base = parsed.select(
         *keys,
         unique_headers(F.col("_raw.headers")).alias("_names"),
-        F.posexplode(F.when(F.size("_raw.headers") > 0, rows)).alias("position", "_row"),
-    )
+        F.posexplode_outer(F.when(F.size("_raw.headers") > 0, rows)).alias("position", "_row"),
+    ).where(F.col("position").isNotNull())
     v = F.col("_row.v")
     shape = F.schema_of_variant(v)
     of_object = _members(F.col("_row.text"), v)
