@@ -27,16 +27,12 @@ def write_graph(triples: DataFrame, path: str) -> None:
     )
 
 
-def save_graph_table(triples: DataFrame, table: str, buckets: int = 200) -> None:
+def save_graph_table(triples: DataFrame, table: str, buckets: int = 200, path: str | None = None) -> None:
     """Graph as a table bucketed and sorted by subject: star patterns then join without a shuffle."""
-    (
-        graph_set(triples)
-        .repartition(buckets, "s")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "s")
-        .sortBy("s", "p")
-        .saveAsTable(table)
+    writer = (
+        graph_set(triples).repartition(buckets, "s").write.mode("overwrite").bucketBy(buckets, "s").sortBy("s", "p")
     )
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_graph(spark, path: str) -> DataFrame:

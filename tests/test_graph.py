@@ -155,3 +155,19 @@ def test_catalog(spark):
     assert catalog.expired(df, "2026-04-01T12:00:00Z", keep).count() == 0
     newer = df.unionByName(spark.createDataFrame([line("a", "2026-04-02T00:00:00Z", None)], catalog.CATALOG_SCHEMA))
     assert {r.loaded_at for r in catalog.current(newer).where("dataset_id = 'a'").collect()} == {"2026-04-02T00:00:00Z"}
+
+
+def test_bucketed_graph_joins_stars_without_shuffle(spark, tmp_path):
+    data = [("1", "s{}".format(i), p, "literal", str(i), None, None) for i in range(40) for p in ("p", "q")]
+    sinks.save_graph_table(spark.createDataFrame(data, SCHEMA), "bucketed_graph", buckets=4, path=str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gr = Graph(spark.table("bucketed_graph"))
+        joined = gr.match("?s", "p", "?a").join(gr.match("?s", "q", "?b"))
+        plan = joined.df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        assert joined.df.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_graph")
