@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, mixing, neardup, sharding, topk, warc
+from pagegraph.llm import bpe, jaccard, mixing, neardup, sharding, substring, topk, warc
 from pagegraph.session import ensure_checkpoint_dir
 
 #: name of the vocabulary file of ``op3`` and of the pipeline
@@ -66,6 +66,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose five-word shingles overlap by 80 of 100 or more."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     folder = scratch(spark, "warc")
@@ -73,13 +78,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_payloads(warc.read_archive(spark, folder))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when passages of 20 words or more that appeared before are taken out."""
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_neardup": op4_neardup,
     "op5_mixing": op5_mixing,
+    "op7_jaccard": op7_jaccard,
     "op8_warc": op8_warc,
+    "op9_substring": op9_substring,
 }
 
 ORACLES: dict[str, str] = {}
