@@ -16,7 +16,7 @@ from pagegraph.llm.common import WordKeys, words_of
 from pagegraph.session import checkpointed, ensure_checkpoint_dir
 
 #: bytes of the longest context, and the most contexts a model keeps (which bounds its size)
-ORDER, CONTEXTS = 5, 40_000
+ORDER, CONTEXTS = 5, 65_536
 #: text a task counts or packs together, grams a task holds before it passes them on, pairs of a bucket
 BATCH_BYTES, HELD_GRAMS, BUCKET_PAIRS = 4 << 20, 2_000_000, 1_000_000
 #: the byte that ends a text; it is white space, so no word holds it
@@ -114,10 +114,10 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int =
 
 
 def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, order: int = ORDER) -> dict:
-    """Escape estimation (method C) with symbol exclusion, worked out for every kept context and byte.
+    """Escape estimation (method D) with symbol exclusion, worked out for every kept context and byte.
 
-    In a context that was followed n times by d different bytes, a byte seen c times has c / (n + d) and
-    the escape d / (n + d). After an escape the bytes of the longer contexts are left out of the counts
+    In a context that was followed n times by d different bytes, a byte seen c times has (2c - 1) / 2n
+    and the escape d / 2n. After an escape the bytes of the longer contexts are left out of the counts
     of the shorter one; below the empty context all bytes left are equally likely.
     """
     names, node = np.unique((k << 48) | context, return_inverse=True)
@@ -127,10 +127,15 @@ def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray,
     counts = np.zeros((len(names), 256), np.int64)
     counts[node, byte] = n
     parent = np.searchsorted(names, np.where(depth > 0, ((depth - 1) << 48) | (text & ((1 << (8 * np.maximum(depth - 1, 0))) - 1)), 0))
-    child = np.full((len(names), 256), -1, np.int32)
+    # a column for every byte that follows some context, and one for all others, which no context tells apart
+    used = np.unique(byte)
+    column = np.full(256, len(used), np.int64)
+    column[used] = np.arange(len(used))
+    other = np.setdiff1d(np.arange(256), used)[:1]
+    child = np.full((len(names), len(used) + 1), -1, np.int32)
     deep = np.flatnonzero(depth > 0)
-    child[parent[deep], text[deep] >> (8 * (depth[deep] - 1))] = deep
-    log10 = np.zeros((len(names), 256), np.float32)
+    child[parent[deep], column[text[deep] >> (8 * (depth[deep] - 1))]] = deep
+    log10 = np.zeros((len(names), len(used) + 1), np.float32)
     for start in range(0, len(names), 4096):
         at = np.arange(start, min(start + 4096, len(names)))
         free = np.ones((len(at), 256), bool)
@@ -142,22 +147,24 @@ def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray,
             seen[~todo] = 0
             total, kinds = seen.sum(axis=1), (seen > 0).sum(axis=1)
             some = kinds > 0
-            bottom = np.where(some, total + kinds, 1)
+            bottom = np.where(some, 2 * total, 1)
             hit = seen > 0
-            value = np.where(hit, escaped[:, None] + np.log10(np.maximum(seen, 1) / bottom[:, None]), value)
+            value = np.where(hit, escaped[:, None] + np.log10(np.maximum(2 * seen - 1, 1) / bottom[:, None]), value)
             free &= ~hit
             escaped = np.where(some, escaped + np.log10(np.where(some, kinds, 1) / bottom), escaped)
             todo &= depth[here] > 0
             here = np.where(todo, parent[here], here)
         left = free.sum(axis=1)
         value = np.where(free, (escaped - np.log10(np.maximum(left, 1)))[:, None], value)
-        log10[at] = value
-    return {"order": order, "child": child, "log10": log10}
+        log10[at, : len(used)] = value[:, used]
+        log10[at, len(used) :] = value[:, other] if len(other) else 0
+    return {"order": order, "column": column, "child": child, "log10": log10}
 
 
 def code_lengths(model: dict, texts: list[list[bytes]]) -> np.ndarray:
     """log10 probability of every text, its end included: each byte in the longest kept context before it."""
     data, places, sizes = streams(texts, model["order"])
+    data = model["column"][data]
     node = np.zeros(len(places), np.int32)
     going = np.arange(len(places))
     for back in range(1, model["order"] + 1):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, jaccard, mixing, neardup, sharding, substring, topk, warc
+from pagegraph.llm import bpe, jaccard, mixing, neardup, ppm, sharding, substring, topk, toxicity, warc
 from pagegraph.session import ensure_checkpoint_dir
 
 #: name of the vocabulary file of ``op3`` and of the pipeline
@@ -66,6 +66,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held = ~toxicity.trained(F.col("doc_id"))
+    return toxicity.score_texts(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose five-word shingles overlap by 80 of 100 or more."""
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -84,15 +92,22 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and byte-model score of every document."""
+    return ppm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_neardup": op4_neardup,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_jaccard": op7_jaccard,
     "op8_warc": op8_warc,
     "op9_substring": op9_substring,
+    "op10_ppm": op10_ppm,
 }
 
 ORACLES: dict[str, str] = {}
