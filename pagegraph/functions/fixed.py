@@ -208,15 +208,11 @@ SPECIAL_DOMAIN_TOKENS = {
 TIMESTAMP_LENGTHS = [4, 6, 8, 10, 12, 14]
 
 # --- fixed values: limits ---
-SQL_ROWS_PER_WIKI = 50_000
-FEED_ROWS_PER_WIKI = 100
-MIN_WIKIS_FOR_PRECHECK = 10
 EDITED_WINDOW_DAYS = 60
 PRECHECK_WINDOW_DAYS = 30
 MEMBER_WINDOW_DAYS = 30
 MAX_PREFIXES = 10
 MAX_PREFIX_LENGTH = 10
-MAX_REDIRECT_HOPS = 5
 CATALOG_FRESH_MINUTES = 30
 CATALOG_RETENTION_DAYS = 1
 REDIRECT_PAGE_LENGTH = 250

@@ -126,13 +126,19 @@ def number(t: Column) -> Column:
 
 
 def whole(t: Column) -> Column:
-    return F.when(t["datatype"] == fixed.XSD_INTEGER, t["value"].try_cast("bigint"))
+    """Exact value of an integer literal of up to 38 digits, else null."""
+    return F.when(t["datatype"] == fixed.XSD_INTEGER, t["value"].try_cast("decimal(38,0)"))
 
 
 def moment(t: Column) -> Column:
     """Zone-free UTC timestamp of a dateTime literal, else null."""
-    text = F.regexp_replace(t["value"], r"(Z|\+00:00)$", "")
-    return F.when(t["datatype"] == fixed.XSD_DATE_TIME, text.try_cast("timestamp_ntz"))
+    text = t["value"]
+    micros = F.unix_micros(text.try_cast("timestamp")).cast("decimal(24,0)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    zoned = epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1000000).cast("decimal(18,6)"))
+    plain = text.try_cast("timestamp_ntz")
+    at = F.when(text.rlike(r"(Z|[+-]\d{2}:\d{2})$"), zoned).otherwise(plain)
+    return F.when(t["datatype"] == fixed.XSD_DATE_TIME, at)
 
 
 def year(t: Column) -> Column:
@@ -263,7 +269,28 @@ def lang_matches(t: Column, wanted: str) -> Column:
 def value_equal(a: Column, b: Column) -> Column:
     """FILTER equality: numbers by value, times by moment, everything else by term."""
     return (
-        F.when(is_numeric(a) & is_numeric(b), number(a) == number(b))
+        F.when(whole(a).isNotNull() & whole(b).isNotNull(), whole(a) == whole(b))
+        .when(is_numeric(a) & is_numeric(b), number(a) == number(b))
         .when(moment(a).isNotNull() & moment(b).isNotNull(), moment(a) == moment(b))
         .otherwise(a == b)
     )
+
+
+def order_key(t: Column) -> Column:
+    """Sortable key of a term: unbound, blank nodes, addresses, literals.
+
+    Among literals numbers come first by value, then times by moment, then the others by text;
+    spelling, datatype and language settle what is still equal.
+    """
+    rank = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).otherwise(3)
+    sort = F.when(number(t).isNotNull(), 0).when(moment(t).isNotNull(), 1).otherwise(2)
+    return F.struct(
+        rank.alias("rank"),
+        F.when(rank == 3, sort).alias("sort"),
+        number(t).alias("number"),
+        whole(t).alias("whole"),
+        moment(t).alias("moment"),
+        t["value"].alias("value"),
+        t["datatype"].alias("datatype"),
+        t["lang"].alias("lang"),
+    )

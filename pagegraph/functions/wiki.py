@@ -99,12 +99,12 @@ def page_from_url(url: Column) -> Column:
     values = F.filter(
         F.transform(
             F.filter(F.split(query, "&"), lambda part: F.startswith(part, F.lit("title="))),
-            lambda part: strip(unquote(F.replace(F.substring(part, 7, 1 << 20), F.lit("+"), F.lit(" ")))),
+            lambda part: strip(unquote(F.replace(F.substring(part, F.lit(7), F.length(part)), F.lit("+"), F.lit(" ")))),
         ),
         lambda value: value != "",
     )
     in_path = F.startswith(path, F.lit("/wiki/"))
-    raw = F.when(in_path, unquote(F.substring(path, 7, 1 << 20))).otherwise(unquote(F.try_element_at(values, F.lit(-1))))
+    raw = F.when(in_path, unquote(F.substring(path, F.lit(7), F.length(path)))).otherwise(unquote(F.try_element_at(values, F.lit(-1))))
     title = page_title(raw)
     return F.when(host_valid(host) & (title != ""), F.struct(host.alias("domain"), title.alias("title")))
 

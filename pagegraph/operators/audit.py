@@ -69,8 +69,8 @@ def enrichment_coverage(links: DataFrame, allowed_missing: Sequence[str] = ()) -
     )
 
 
-def missing_by_host(links: DataFrame, top: int | None = 10, allowed_missing: Sequence[str] = ()) -> DataFrame:
-    """Hosts with the most links that lack a length or a time; ties by host."""
+def missing_by_host(links: DataFrame, top: int | None = None, allowed_missing: Sequence[str] = ()) -> DataFrame:
+    """Hosts by links that lack a length or a time, most first, ties by host; all of them unless ``top`` is given."""
     gaps = _distinct_links(links).where(
         (F.col("page_len").isNull() | F.col("rev_timestamp").isNull()) & ~F.col("uri").isin(*allowed_missing)
     )

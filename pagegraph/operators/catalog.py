@@ -40,6 +40,10 @@ def append_catalog(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").parquet(path)
 
 
+def read_catalog(spark, path: str) -> DataFrame:
+    return spark.read.schema(CATALOG_SCHEMA).parquet(path)
+
+
 def current(catalog: DataFrame) -> DataFrame:
     """Newest line per dataset."""
     rest = [c for c in catalog.columns if c != "dataset_id"]

@@ -34,6 +34,7 @@ from pagegraph.functions.wiki import (
     project_title_group,
 )
 from pagegraph.operators.ranking import first_per_key, newest_first, top_k_per_key
+from pagegraph.session import checkpointed
 
 ROW = ["wiki", "page_id", "page_title", "page_namespace", "qid_text", "timestamp"]
 
@@ -96,10 +97,10 @@ def new_page_rows(
     items: DataFrame,
     floor: str | None = None,
     actors: DataFrame | None = None,
-    per_wiki: int = fixed.SQL_ROWS_PER_WIKI,
+    per_wiki: int | None = None,
     commons: str = "commonswiki",
 ) -> DataFrame:
-    """Creations ⋈ page ⋈ item id, filtered before the joins, newest ``per_wiki`` per wiki."""
+    """Creations ⋈ page ⋈ item id, filtered before the joins; only the newest ``per_wiki`` per wiki if given."""
     changes = recentchanges.where(
         (F.col("rc_source") == "mw.new")
         & not_commons_file(F.col("wiki"), F.col("rc_namespace"), commons)
@@ -114,8 +115,10 @@ def new_page_rows(
     return capped(rows.select(*ROW), per_wiki)
 
 
-def capped(rows: DataFrame, per_wiki: int) -> DataFrame:
-    """Newest rows per wiki; equal times order by title, then page id and item text."""
+def capped(rows: DataFrame, per_wiki: int | None) -> DataFrame:
+    """Newest rows per wiki, all rows without a number; equal times order by title, then page id and item text."""
+    if per_wiki is None:
+        return rows
     order = [F.desc("timestamp"), F.asc("page_title"), F.asc("page_id"), F.asc("qid_text")]
     return top_k_per_key(rows, ["wiki"], order, per_wiki)
 
@@ -128,7 +131,7 @@ def new_page_rows_two_branches(
     linktarget: DataFrame,
     floor: str | None = None,
     actors: DataFrame | None = None,
-    per_wiki: int = fixed.SQL_ROWS_PER_WIKI,
+    per_wiki: int | None = None,
 ) -> DataFrame:
     """Branch with item property united with the sort-key branch, capped once over both.
 
@@ -169,7 +172,7 @@ def edited_page_rows(
     items: DataFrame,
     actors: DataFrame,
     floor: str,
-    per_wiki: int = fixed.SQL_ROWS_PER_WIKI,
+    per_wiki: int | None = None,
     commons: str = "commonswiki",
 ) -> DataFrame:
     latest = latest_revisions(revision, actors, floor)
@@ -263,9 +266,9 @@ def newest_records(records: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def namespace_sample(
-    recentchanges: DataFrame, page_props: DataFrame, floor: str, per_wiki: int, keep_negative: bool = True
+    recentchanges: DataFrame, page_props: DataFrame, floor: str, per_wiki: int | None = None, keep_negative: bool = True
 ) -> DataFrame:
-    """Newest creations outside the main namespace that have an item id, capped per wiki."""
+    """Creations outside the main namespace that have an item id; the newest per wiki if a number is given."""
     space = F.col("rc_namespace")
     rows = recentchanges.where(
         (F.col("rc_source") == "mw.new")
@@ -306,38 +309,46 @@ def split_full_title(df: DataFrame, title: str, aliases: DataFrame) -> DataFrame
     )
 
 
-def chase_redirects(
-    starts: DataFrame, page: DataFrame, redirect: DataFrame, hops: int = fixed.MAX_REDIRECT_HOPS
-) -> DataFrame:
-    """Add page_id: the page reached after at most ``hops`` look-ups along redirects.
+def chase_redirects(starts: DataFrame, page: DataFrame, redirect: DataFrame) -> DataFrame:
+    """Add page_id: the page reached at the end of the redirects.
 
-    ``starts`` has wiki, ns_id and db_title. A start that meets no page keeps null; a redirect to
-    a missing page, and the page reached at the last look-up, count as found.
+    ``starts`` has wiki, ns_id and db_title. A start that meets no page keeps null; a redirect to a
+    missing page ends at the redirect. A chain that comes back ends at the last page before the
+    repeat. Redirects are resolved once to pairs of page ids; each hop then joins only the ids that
+    still move.
     """
     pages = page.select(
         "wiki",
         F.col("page_namespace").cast("bigint").alias("_ns"),
         F.col("page_title").alias("_title"),
-        F.col("page_id").alias("_id"),
+        F.col("page_id").cast("bigint").alias("_id"),
     )
     moves = redirect.where(F.coalesce(F.col("rd_title"), F.lit("")) != "").select(
         "wiki",
-        F.col("rd_from").alias("_id"),
+        F.col("rd_from").cast("bigint").alias("_id"),
         F.col("rd_namespace").cast("bigint").alias("_rns"),
         F.col("rd_title").alias("_rtitle"),
     )
-    step = pages.join(moves, ["wiki", "_id"], "left")
-    out = starts.withColumn("_ns", F.col("ns_id").cast("bigint")).withColumn("_title", F.col("db_title"))
-    out = out.withColumn("page_id", F.lit(None).cast("bigint"))
-    for _ in range(hops):
-        out = out.join(step, ["wiki", "_ns", "_title"], "left").select(
-            *starts.columns,
-            F.coalesce(F.col("_id"), F.col("page_id")).cast("bigint").alias("page_id"),
-            F.col("_rns").alias("_ns"),
-            bytes_title(F.col("_rtitle")).alias("_title"),
+    titles = pages.groupBy("wiki", "_ns", "_title").agg(F.max("_id").alias("_to"))
+    aimed = moves.select("wiki", "_id", F.col("_rns").alias("_ns"), F.nullif(bytes_title(F.col("_rtitle")), F.lit("")).alias("_title"))
+    nexts = checkpointed(aimed.join(titles, ["wiki", "_ns", "_title"]).where("_to <> _id").groupBy("wiki", "_id").agg(F.max("_to").alias("_to")))
+    first = titles.select("wiki", F.col("_ns").alias("ns_id"), F.col("_title").alias("db_title"), F.col("_to").alias("_start"))
+    found = starts.withColumn("ns_id", F.col("ns_id").cast("bigint")).join(first, ["wiki", "ns_id", "db_title"], "left")
+    moving = found.select("wiki", "_start").distinct().join(nexts, (nexts["wiki"] == found["wiki"]) & (F.col("_start") == F.col("_id")))
+    moving = moving.select(found["wiki"], "_start", F.col("_to").alias("_cur"), F.array("_start").alias("_seen"))
+    ends = None
+    while True:
+        hop = moving.join(nexts.withColumnRenamed("_id", "_cur"), ["wiki", "_cur"], "left")
+        hop = checkpointed(hop.withColumn("_stop", F.col("_to").isNull() | F.array_contains("_seen", F.col("_to"))))
+        ended = hop.where("_stop").select("wiki", "_start", F.col("_cur").alias("_end"))
+        ends = ended if ends is None else ends.unionByName(ended)
+        moving = hop.where("not _stop").select(
+            "wiki", "_start", F.col("_to").alias("_cur"), F.array_append("_seen", F.col("_cur")).alias("_seen")
         )
-        out = out.withColumn("_title", F.nullif(F.col("_title"), F.lit("")))
-    return out.select(*starts.columns, "page_id")
+        if moving.isEmpty():
+            break
+    out = found.join(ends, ["wiki", "_start"], "left")
+    return out.select(*starts.columns, F.coalesce("_end", "_start").cast("bigint").alias("page_id"))
 
 
 def listed_users(
@@ -447,15 +458,12 @@ def wikis_with_changes(
     return wikis.join(matching, key, "left_semi")
 
 
-def wikis_of_active_accounts(
-    wikis: DataFrame, accounts: DataFrame, wiki_count: int, minimum: int = fixed.MIN_WIKIS_FOR_PRECHECK
-) -> DataFrame:
+def wikis_of_active_accounts(wikis: DataFrame, accounts: DataFrame) -> DataFrame:
     """Wikis where a merged account has edits; an unreadable count counts as active.
 
-    Below ``minimum`` selected wikis nothing is filtered. ``accounts(wiki, editcount)``.
+    ``accounts(wiki, editcount)``. Whether the filter is worth a look-up is for the caller to decide;
+    it never depends on the number of wikis.
     """
-    if wiki_count < minimum:
-        return wikis
     count = strip(F.col("editcount").cast("string")).try_cast("bigint")
     active = accounts.where(count.isNull() | (count > 0)).select(F.lower(strip(F.col("wiki"))).alias("dbname")).distinct()
     return wikis.join(active, "dbname", "left_semi")
@@ -483,10 +491,8 @@ def edited_window_ok(timestamp: str, as_of: datetime) -> bool:
     return _earliest(timestamp) >= as_of - timedelta(days=fixed.EDITED_WINDOW_DAYS)
 
 
-def use_precheck(wiki_count: int, edited: bool, timestamp: str | None, as_of: datetime) -> bool:
-    """Whether wikis are checked for matching changes before the full job."""
-    if wiki_count < fixed.MIN_WIKIS_FOR_PRECHECK:
-        return False
+def use_precheck(edited: bool, timestamp: str | None, as_of: datetime) -> bool:
+    """Whether the change tables reach back far enough to check wikis for matching changes first."""
     if not edited:
         return True
     return timestamp is not None and _earliest(timestamp) >= as_of - timedelta(days=fixed.PRECHECK_WINDOW_DAYS)

@@ -40,10 +40,11 @@ def link_targets(text: Column) -> Column:
         ),
     )
     found = F.filter(addressed, lambda t: t["uri"].isNotNull())
-    return let(
-        found,
-        lambda every: F.filter(every, lambda t, i: F.array_position(every["uri"], t["uri"]) == i + 1),
-    )
+    # first of equal addresses by sorting (address, place) in the cell, then back to the places
+    placed = F.transform(found, lambda t, i: F.struct(t["uri"].alias("uri"), i.alias("i"), t.alias("t")))
+    first = let(F.array_sort(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["uri"] != x["uri"])))
+    back = F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"))))
+    return F.transform(back, lambda x: x["t"])
 
 
 def explode_links(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -62,7 +63,7 @@ def direct_qid(site: Column, namespace: Column, api_title: Column, stored_title:
     pattern = r"^[Qq][1-9][0-9]*$"
     pick = F.when(api_title.rlike(pattern), api_title).when(stored_title.rlike(pattern), stored_title)
     here = site.isin("wikidatawiki", fixed.WIKIDATA_DOMAIN) & (namespace == 0)
-    return F.when(here, F.concat(F.lit("Q"), F.substring(pick, 2, 1 << 20)))
+    return F.when(here, F.concat(F.lit("Q"), F.substring(pick, F.lit(2), F.length(pick))))
 
 
 def table_lookup(targets: DataFrame, page: DataFrame, page_props: DataFrame, revision: DataFrame) -> DataFrame:
@@ -104,18 +105,18 @@ def table_lookup(targets: DataFrame, page: DataFrame, page_props: DataFrame, rev
     )
 
 
-def resolve_aliases(titles: DataFrame, aliases: DataFrame, key: str = "title", limit: int = 1000) -> DataFrame:
+def resolve_aliases(titles: DataFrame, aliases: DataFrame, key: str = "title") -> DataFrame:
     """(wiki, title, final_title): follow aliases to the end, stop where a title repeats.
 
-    One join per hop on the titles still moving, lineage cut at every hop. ``limit`` only guards
-    against a runaway loop and raises; it never cuts a result short.
+    One join per hop on the titles still moving, lineage cut at every hop. It ends by the data: a
+    title either has no alias or comes back to one it has passed.
     """
     steps = aliases.select("wiki", F.col("source").alias("_cur"), F.col("target").alias("_next"))
     moving = titles.select("wiki", key).distinct().select(
         "wiki", key, F.col(key).alias("_cur"), F.array().cast("array<string>").alias("_seen")
     )
     done = None
-    for _ in range(limit):
+    while True:
         hop = moving.join(steps, ["wiki", "_cur"], "left")
         stop = F.col("_next").isNull() | F.array_contains("_seen", F.col("_cur")) | (F.col("_next") == F.col("_cur"))
         hop = checkpointed(hop.withColumn("_stop", F.coalesce(stop, F.lit(True))))
@@ -126,7 +127,6 @@ def resolve_aliases(titles: DataFrame, aliases: DataFrame, key: str = "title", l
         )
         if moving.isEmpty():
             return done
-    raise ValueError("aliases did not settle within {} hops".format(limit))
 
 
 def alias_lookup(titles: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.functions import terms
+from pagegraph.functions import fixed, terms
 from pagegraph.session import checkpointed
 
 
@@ -27,6 +27,11 @@ class Lit:
     datatype: str | None = None
     lang: str | None = None
 
+    def __post_init__(self):
+        # a plain string and one typed xsd:string are the same term; graphs store it without datatype
+        if self.datatype == fixed.XSD_STRING:
+            object.__setattr__(self, "datatype", None)
+
 
 @dataclass(frozen=True)
 class Path:
@@ -320,7 +325,12 @@ class Solutions:
         return left, right
 
     def optional(self, other: Solutions, condition: Callable[[Solutions], Column] | None = None) -> Solutions:
-        """Left outer join; ``condition`` is the filter inside the optional part."""
+        """Left outer join; ``condition`` is the filter inside the optional part.
+
+        Rows in which all shared variables are unbound stay as they are. The standard would pair each
+        of them with every row of the optional part; chained optional parts on a variable of an
+        earlier one mean the former.
+        """
         shared = set(self.variables) & set(other.variables)
         left, right = self, other
         for name in shared:
@@ -335,7 +345,12 @@ class Solutions:
         columns = left.variables + fresh
         out = None
         for ldf, lbound in left._patterns(shared):
-            keys = self._need_key(lbound & shared)
+            keys = sorted(lbound & shared) if shared else self._need_key(shared)
+            if not keys:
+                kinds = {f.name: f.dataType for f in right.df.schema.fields}
+                part = ldf.select(*left.variables, *[F.lit(None).cast(kinds[v]).alias(v) for v in fresh])
+                out = part if out is None else out.unionByName(part)
+                continue
             renamed = right.df
             for name in shared:
                 renamed = renamed.withColumnRenamed(name, "_r_" + name)
@@ -439,11 +454,24 @@ class Solutions:
 
     # --- results --------------------------------------------------------------------------------
 
-    def group(self, by: Sequence[str], having: Column | None = None, **aggregates: Column) -> DataFrame:
-        """Aggregates per group as plain columns; ``having`` refers to their names."""
+    def group(self, by: Sequence[str], having: Column | None = None, as_terms: bool = False, **aggregates: Column) -> DataFrame:
+        """Aggregates per group as plain columns; ``having`` refers to their names.
+
+        Groups are terms: one spelling under two datatypes or languages is two groups. The group
+        columns are lexical values, or term structs with ``as_terms``.
+        """
         columns = [agg.alias(name) for name, agg in aggregates.items()]
-        grouped = self.df.groupBy(*[self.value(v).alias(v) for v in by]).agg(*columns)
-        return grouped if having is None else grouped.where(having)
+        grouped = self.df.groupBy(*by).agg(*columns)
+        grouped = grouped if having is None else grouped.where(having)
+        if as_terms:
+            return grouped.select(*[self.term(v).alias(v) for v in by], *aggregates)
+        return grouped.select(*[self.value(v).alias(v) for v in by], *aggregates)
+
+    def order_terms(self, *names: str, descending: Iterable[str] = ()) -> Solutions:
+        """Term order: unbound, blank nodes, addresses, literals; numbers and times by value."""
+        falling = set(descending)
+        keys = [terms.order_key(self.term(n)) for n in names]
+        return self._with(self.df.orderBy(*[k.desc() if n in falling else k.asc() for n, k in zip(names, keys)]))
 
     def ask(self) -> DataFrame:
         """One row: whether there is any solution."""
@@ -543,8 +571,6 @@ def wide_view(graph: Graph, class_iri: str, fields: dict[str, str], subject: str
 
     Several values of a field multiply rows, as optional parts do.
     """
-    from pagegraph.functions import fixed
-
     out = graph.match("?" + subject, fixed.RDF_TYPE, class_iri)
     for name, predicate in fields.items():
         if nested and name in nested:

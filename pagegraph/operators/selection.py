@@ -36,8 +36,8 @@ def select_wikis(requests: DataFrame, wikis: DataFrame, column: str = "token") -
     )
     ok = supported(F.col("wiki_group"), F.col("domain"))
     wild = F.startswith(F.col("request"), F.lit("*."))
-    suffix = F.substring(F.col("request"), 2, 1 << 10)
-    stars = asked.where(wild).select("request", suffix.alias("_suffix"), host_valid(F.substring(F.col("request"), 3, 1 << 10)).alias("_valid"))
+    suffix = F.substring(F.col("request"), F.lit(2), F.length("request"))
+    stars = asked.where(wild).select("request", suffix.alias("_suffix"), host_valid(F.substring(F.col("request"), F.lit(3), F.length("request"))).alias("_valid"))
     below = dim.where(ok).select("domain", F.explode(domain_suffixes(F.col("domain"))).alias("_suffix"))
     by_star = stars.join(below, "_suffix", "left").select(
         "request",

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions.terms import json_term, ntriples_term
+from pagegraph.operators.catalog import current, expired, read_catalog
 from pagegraph.operators.pattern import Solutions, address_term, object_term
 from pagegraph.operators.triples import GRAPH_COLUMNS, graph_set
+from pagegraph.session import checkpointed
 
 
-def write_graph(triples: DataFrame, path: str) -> None:
-    """Replace the datasets present in ``triples`` and leave the others alone.
+def write_graph(triples: DataFrame, path: str, datasets: Sequence[str] = ()) -> None:
+    """Replace the datasets present in ``triples``, empty the other ones named, leave the rest alone.
 
-    Equal triples merge, files are laid out by dataset and predicate and sorted by subject, so a
-    pattern reads only its predicate. The rebalance step splits a predicate that holds a large
-    share of the triples over several tasks and joins small ones, by measured size.
+    A dataset is one folder, so nothing of its last version stays. Equal triples merge in the only
+    shuffle, whose partitions hold a share of every predicate; adaptive execution joins small ones.
+    Files are sorted by predicate and subject, so the statistics of their row groups lead a pattern to
+    its predicate.
     """
-    laid = graph_set(triples).hint("rebalance", F.col("dataset_id"), F.col("p"))
+    spark = triples.sparkSession
+    laid = graph_set(triples).sortWithinPartitions("dataset_id", "p", "s")
     (
-        laid.sortWithinPartitions("dataset_id", "p", "s")
-        .write.mode("overwrite")
+        laid.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset_id", "p")
+        .partitionBy("dataset_id")
         .parquet(path)
     )
+    if datasets:
+        filled = triples.where(F.col("dataset_id").isin(*datasets)).select("dataset_id").distinct()
+        drop_datasets(spark, path, set(datasets) - {r[0] for r in filled.collect()})
+
+
+def drop_datasets(spark, path: str, datasets: Iterable[str]) -> None:
+    """Delete the folders of the named datasets, in whatever file system the graph is kept."""
+    jvm = spark.sparkContext._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in sorted(datasets):
+        folder = jvm.org.apache.hadoop.fs.Path("{}/dataset_id={}".format(path, escape(name)))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_expired(graph_path: str, catalog_path: str, as_of: str, spark, keep: DataFrame | None = None) -> list[str]:
+    """Drop the graphs of expired datasets and their catalog lines; gives the dropped ids.
+
+    A catalog line is a dataset, so the list is as long as the list of datasets kept. The catalog is
+    written anew beside the old one and then takes its place.
+    """
+    catalog = read_catalog(spark, catalog_path)
+    gone = [r.dataset_id for r in expired(current(catalog), as_of, keep).select("dataset_id").collect()]
+    if gone:
+        drop_datasets(spark, graph_path, gone)
+        left = checkpointed(catalog.join(spark.createDataFrame([(g,) for g in gone], "dataset_id string"), "dataset_id", "left_anti"))
+        left.write.mode("overwrite").parquet(catalog_path)
+    return gone
 
 
 def save_graph_table(triples: DataFrame, table: str, buckets: int = 200, path: str | None = None) -> None:
@@ -37,7 +69,7 @@ def save_graph_table(triples: DataFrame, table: str, buckets: int = 200, path: s
 
 def read_graph(spark, path: str) -> DataFrame:
     """Graph columns as text, whatever types the folder names look like."""
-    schema = ", ".join(c + " string" for c in ["s", "o_kind", "o", "o_dt", "o_lang", "dataset_id", "p"])
+    schema = ", ".join(c + " string" for c in ["s", "p", "o_kind", "o", "o_dt", "o_lang", "dataset_id"])
     return spark.read.schema(schema).parquet(path).select(*GRAPH_COLUMNS)
 
 

@@ -412,7 +412,7 @@ def inferred_typing(planned: Column | bool = True) -> Typing:
         dated = _lit(key).isin(*fixed.DATE_KEYS) & (plan | is_text)
         web = text.rlike(r"^https?://[^/]") & ~text.rlike(r"(?U)\s")
         moment = xsd_datetime(F.when(dated, value).when(text.rlike(r"^20[0-9]{12}$"), text))
-        item = F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, 2, 1 << 20))
+        item = F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, F.lit(2), F.length(text)))
         address = (
             F.when(web, text)
             .when(text.rlike(r"^[Qq][0-9]+$"), item)
@@ -513,7 +513,7 @@ def row_triples(rows: DataFrame, vocab: Vocabulary, loaded_at: str) -> DataFrame
     key = F.col("_f.key")
     p = (
         F.when(key == "#type", F.lit(fixed.RDF_TYPE))
-        .when(F.startswith(key, F.lit("#")), F.concat(F.lit(vocab.ontology), F.substring(key, 2, 1 << 20)))
+        .when(F.startswith(key, F.lit("#")), F.concat(F.lit(vocab.ontology), F.substring(key, F.lit(2), F.length(key))))
         .otherwise(F.concat(F.lit(vocab.ontology), field_name(key)))
     )
     return _graph(

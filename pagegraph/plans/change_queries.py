@@ -145,11 +145,11 @@ def user_list(v: Views) -> DataFrame:
     return changes.listed_users(starts, v.pagelinks(), v.linktarget(), v.iwlinks(), v.wikis(), v.aliases())
 
 
-@query("redirect_chase", """WITH RECURSIVE walk(start, cur, n) AS (SELECT p_partkey, p_partkey, 1 FROM part
-    UNION ALL SELECT start, cur // 3, n + 1 FROM walk WHERE cur % 3 = 0 AND n < 5)
-    SELECT start AS title_key, arg_max(cur, n) AS page_id FROM walk GROUP BY start""")
+@query("redirect_chase", """WITH RECURSIVE walk(start, cur) AS (SELECT p_partkey, p_partkey FROM part
+    UNION SELECT start, cur // 3 FROM walk WHERE cur % 3 = 0)
+    SELECT start AS title_key, min(cur) AS page_id FROM walk GROUP BY start""")
 def redirect_chase(v: Views) -> DataFrame:
-    """At most five look-ups along redirects, with a page that redirects to itself."""
+    """Redirects to their end, with a page that redirects to itself."""
     wiki = "nation_0wiki"
     starts = v.page(wiki).select(
         "wiki", F.col("page_id").alias("title_key"), F.col("page_namespace").alias("ns_id"), F.col("page_title").alias("db_title")
@@ -181,14 +181,14 @@ def wiki_precheck(v: Views) -> DataFrame:
 
 
 @query("active_wikis", with_ctes("dims") + """SELECT dbname, domain FROM dims WHERE dbname IN (SELECT 'nation_' || (o_orderkey % 25) || 'wiki' FROM orders
-    WHERE o_custkey % 7 = 0 AND (o_orderkey % 3 = 2 OR floor(o_totalprice) - 100000 > 0))""")
+    WHERE o_orderkey % 3 = 2 OR floor(o_totalprice) - 100000 > 0)""")
 def active_wikis(v: Views) -> DataFrame:
     """Wikis with a merged account that has edits; a count that cannot be read counts."""
     count = F.when(F.col("o_orderkey") % 3 == 2, "many").otherwise((F.floor("o_totalprice").cast("bigint") - 100000).cast("string"))
-    accounts = v.table("orders").where(F.col("o_custkey") % 7 == 0).select(
+    accounts = v.table("orders").select(
         text("Nation_", F.col("o_orderkey") % 25, "wiki").alias("wiki"), count.alias("editcount")
     )
-    return changes.wikis_of_active_accounts(v.wikis(), accounts, wiki_count=25).select("dbname", "domain")
+    return changes.wikis_of_active_accounts(v.wikis(), accounts).select("dbname", "domain")
 
 
 @query("listed_changes", with_ctes("recentchanges") + """SELECT rc_id, c_name AS actor_name FROM recentchanges JOIN customer ON c_custkey = rc_actor WHERE c_custkey % 3 = 0""")
@@ -325,7 +325,7 @@ def coverage_audit(v: Views) -> DataFrame:
 
 
 @query("coverage_hosts", """SELECT regexp_extract(uri, '^https://([^/]*)', 1) AS host, count(*) AS missing FROM ({})
-    WHERE page_len IS NULL OR rev_timestamp IS NULL GROUP BY host ORDER BY missing DESC, host LIMIT 10""".format(ENRICHED))
+    WHERE page_len IS NULL OR rev_timestamp IS NULL GROUP BY host""".format(ENRICHED))
 def coverage_hosts(v: Views) -> DataFrame:
     return audit.missing_by_host(enriched_links(v))
 
@@ -334,9 +334,9 @@ def coverage_hosts(v: Views) -> DataFrame:
     FROM recentchanges rc JOIN items i ON i.wiki = rc.wiki AND i.page_id = rc.rc_cur_id JOIN dims d ON d.dbname = rc.wiki
     WHERE rc_source = 'mw.new' AND rc_timestamp >= '{f}' AND rc_namespace > 0 GROUP BY d.domain, rc_namespace""".format(f=FLOOR))
 def sample_counts(v: Views) -> DataFrame:
-    rows = changes.namespace_sample(v.recentchanges(), v.page_props(), FLOOR, fixed.SQL_ROWS_PER_WIKI, keep_negative=False)
+    rows = changes.namespace_sample(v.recentchanges(), v.page_props(), FLOOR, keep_negative=False)
     records = changes.page_records(rows, v.wikis(), v.siteinfo(), v.namespaces())
-    return audit.sample_counts(changes.sample_order(records))
+    return audit.sample_counts(records)
 
 
 # --- streams -----------------------------------------------------------------------------------------

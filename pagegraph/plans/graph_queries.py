@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pagegraph.operators.members import member_records
 from pagegraph.operators.pattern import Graph, Lit
 from pagegraph.plans.registry import query
 from pagegraph.plans.views import Views, iso, quoted, text, wiki_of, wiki_sql, with_ctes
+from pagegraph.session import ensure_checkpoint_dir
 
 VOC = triples.Vocabulary()
 ONT = VOC.ontology
@@ -702,9 +705,9 @@ def g_group(v: Views) -> DataFrame:
         having=F.col("orders") > 10,
         orders=g.count(),
         customers=g.count_distinct(s.value("c")),
-        total=g.total(number),
-        low=F.min(number),
-        high=F.max(number),
+        total=g.total(number).cast("bigint"),
+        low=F.min(number).cast("bigint"),
+        high=F.max(number).cast("bigint"),
         mean=F.floor(g.mean(number)).cast("bigint"),
         nothing=g.total(F.when(F.lit(False), number)).cast("bigint"),
         names=g.group_concat(s.value("status"), distinct=True),
@@ -732,6 +735,69 @@ def g_bind_filter(v: Views) -> DataFrame:
     return s.values("c", "twice", "big")
 
 
+def code_graph(v: Views) -> Graph:
+    """One spelling per nation under two datatypes, a language, and as an address; some have none."""
+    code, turn = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 5
+    rows = v.table("customer").where(turn < 4).select(
+        F.lit("codes").alias("dataset_id"),
+        text("urn:c:", F.col("c_custkey")).alias("s"),
+        F.lit(P("code")).alias("p"),
+        F.when(turn == 3, "iri").otherwise("literal").alias("o_kind"),
+        code.alias("o"),
+        F.when(turn == 0, fixed.XSD_INTEGER).alias("o_dt"),
+        F.when(turn == 2, "en").alias("o_lang"),
+    )
+    return Graph(rows)
+
+
+_CODES = """codes AS (SELECT 'urn:c:' || c_custkey AS c, CASE WHEN c_custkey % 5 = 3 THEN 'iri' ELSE 'literal' END AS kind, CAST(c_nationkey AS VARCHAR) AS value,
+    CASE WHEN c_custkey % 5 = 0 THEN '{}' END AS datatype, CASE WHEN c_custkey % 5 = 2 THEN 'en' END AS lang FROM customer WHERE c_custkey % 5 < 4)""".format(fixed.XSD_INTEGER)
+
+
+@query("g_group_terms", "WITH {} SELECT kind, value, datatype, lang, count(*) AS n FROM codes GROUP BY kind, value, datatype, lang".format(_CODES))
+def g_group_terms(v: Views) -> DataFrame:
+    """Groups are terms: one spelling under several datatypes, languages and kinds stays apart."""
+    s = code_graph(v).match("?c", P("code"), "?code")
+    return s.group(["code"], as_terms=True, n=g.count()).select("code.*", "n")
+
+
+@query("g_optional_chain", """SELECT 'urn:o:' || o_orderkey AS o, 'urn:c:' || c_custkey AS c, c_name AS title FROM orders
+    LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' WHERE o_orderstatus = 'F'""")
+def g_optional_chain(v: Views) -> DataFrame:
+    """An optional part on a variable that an earlier optional part may leave unbound."""
+    gr = trade_graph(v)
+    buyer = gr.match("?o", P("customer"), "?c", address=True).join(gr.match("?c", P("segment"), Lit("BUILDING")))
+    s = gr.match("?o", P("status"), Lit("F")).optional(buyer).optional(gr.match("?c", P("title"), "?title"))
+    return s.values("o", "c", "title")
+
+
+@query("g_order_terms", """WITH {}, every AS (SELECT 'urn:c:' || c_custkey AS c FROM customer)
+    SELECT c, kind, value FROM every LEFT JOIN codes USING (c) ORDER BY CASE WHEN kind IS NULL THEN 0 WHEN kind = 'iri' THEN 2 ELSE 3 END,
+    CASE WHEN kind = 'literal' AND datatype IS NULL THEN 2 ELSE 0 END, CASE WHEN datatype IS NOT NULL THEN CAST(value AS INTEGER) END, value, lang NULLS FIRST, c
+    LIMIT 40 OFFSET (SELECT count(*) * 7 // 10 FROM customer)""".format(_CODES))
+def g_order_terms(v: Views) -> DataFrame:
+    """Term order: unbound, addresses, numbers by value, then texts."""
+    gr = code_graph(v)
+    everyone = v.table("customer").select(text("urn:c:", F.col("c_custkey")).alias("c"))
+    s = g.Solutions(everyone, certain={"c"}, addresses={"c"}).optional(gr.match("?c", P("code"), "?code"))
+    skip = v.table("customer").count() * 7 // 10
+    found = s.order_terms("code", "c").offset(skip).limit(40)
+    return found.df.select("c", F.col("code.kind").alias("kind"), F.col("code.value").alias("value"))
+
+
+@query("graph_rewrite", """SELECT CAST(c_custkey % 3 AS VARCHAR) AS dataset_id, 'urn:c:' || c_custkey AS s, p, CASE WHEN p LIKE '%title' THEN c_name ELSE c_mktsegment END AS o
+    FROM customer, (SELECT unnest(['{0}', '{1}']) AS p) WHERE c_custkey % 3 = 2 OR (c_custkey % 3 = 0 AND p = '{0}')""".format(P("title"), P("segment")))
+def graph_rewrite(v: Views) -> DataFrame:
+    """A graph written twice: dataset 0 with fewer predicates, dataset 1 without triples, dataset 2 untouched."""
+    customer = v.table("customer").withColumn("dataset_id", (F.col("c_custkey") % 3).cast("string"))
+    fields = {"title": ("xsd:string", F.col("c_name")), "segment": ("xsd:string", F.col("c_mktsegment"))}
+    graph = triples.virtual_triples(customer, fields, VOC, text("urn:c:", F.col("c_custkey")), page_class=False)
+    path = "{}/graph-{}".format(ensure_checkpoint_dir(v.spark), uuid.uuid4().hex)
+    sinks.write_graph(graph, path)
+    sinks.write_graph(graph.where((F.col("dataset_id") == "0") & (F.col("p") == P("title"))), path, datasets=["0", "1"])
+    return sinks.read_graph(v.spark, path).select("dataset_id", "s", "p", "o")
+
+
 def redirect_graph(v: Views) -> Graph:
     """Every third part points to the part with a third of its number."""
     key = F.col("p_partkey")

@@ -34,9 +34,9 @@ def test_windows():
     assert activity_floor("20260301000000", now) == "20260301000000"
     assert activity_floor("20250101000000", now) == "20260131000000"
     assert edited_window_ok("20260200000000", now) and not edited_window_ok("20260100000000", now)
-    assert not use_precheck(9, False, None, now) and use_precheck(10, False, None, now)
-    assert use_precheck(10, True, "20260315000000", now) and not use_precheck(10, True, "20260201000000", now)
-    assert not use_precheck(10, True, None, now)
+    assert use_precheck(False, None, now)
+    assert use_precheck(True, "20260315000000", now) and not use_precheck(True, "20260201000000", now)
+    assert not use_precheck(True, None, now)
 
 
 def test_prefixes():

@@ -123,7 +123,7 @@ def test_write_replaces_only_its_datasets(spark, tmp_path):
     back = sinks.read_graph(spark, path)
     assert rows(back.select("dataset_id", "s", "p", "o")) == [("1", "new", "http://x/p", "b"), ("2", "c", "http://x/p", "5")]
     plan = back.where(F.col("p") == "http://x/p")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(p" in plan
+    assert "PushedFilters: [IsNotNull(p), EqualTo(p" in plan
     sinks.write_ntriples(back, str(tmp_path / "nt"))
     assert spark.read.text(str(tmp_path / "nt")).count() == 2
     sinks.write_json_result(Graph(back).match("?s", "http://x/p", "?o"), str(tmp_path / "json"))
@@ -131,6 +131,47 @@ def test_write_replaces_only_its_datasets(spark, tmp_path):
     assert json.loads(head) == {"head": {"vars": ["s", "o"]}}
 
 
+def test_rewrite_leaves_nothing_of_the_last_version(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    row = lambda d, p, s: (d, s, p, "iri", "b", None, None)
+    sinks.write_graph(spark.createDataFrame([row("1", "old", "a"), row("1", "keep", "a"), row("a/b", "keep", "c")], SCHEMA), path)
+    sinks.write_graph(spark.createDataFrame([row("1", "keep", "n")], SCHEMA), path)
+    read = lambda: rows(sinks.read_graph(spark, path).select("dataset_id", "s", "p"))
+    assert read() == [("1", "n", "keep"), ("a/b", "c", "keep")]
+    sinks.write_graph(spark.createDataFrame([], SCHEMA), path, datasets=["1", "none"])
+    assert read() == [("a/b", "c", "keep")]
+    sinks.write_graph(spark.createDataFrame([row("2", "p", "x")], SCHEMA), path)
+    lines = [(d, 1, "https://x/", None, t, []) for d, t in (("a/b", "2026-03-01T00:00:00Z"), ("2", "2026-04-01T00:00:00Z"))]
+    catalog.append_catalog(spark.createDataFrame(lines, catalog.CATALOG_SCHEMA), str(tmp_path / "catalog"))
+    assert sinks.drop_expired(path, str(tmp_path / "catalog"), "2026-04-01T12:00:00Z", spark) == ["a/b"]
+    assert read() == [("2", "x", "p")]
+    assert [r.dataset_id for r in catalog.read_catalog(spark, str(tmp_path / "catalog")).collect()] == ["2"]
+
+
+def test_terms_keep_their_kind(spark):
+    five = [("s1", "n", "5", XSD_INTEGER, None), ("s2", "n", "5", None, None), ("s3", "n", "5", None, "en")]
+    gr = graph(spark, [("s4", "n", "5")], five)
+    s = gr.match("?s", "n", "?v")
+    assert [r[-1] for r in rows(s.group(["v"], n=g.count()))] == [1, 1, 1, 1]
+    assert rows(gr.match("?s", "n", Lit("5", terms.fixed.XSD_STRING)).values()) == [("s2",)]
+    assert [r.s for r in s.order_terms("v").values("s").collect()] == ["s4", "s1", "s2", "s3"]
+    assert [r.s for r in s.order_terms("v", descending=["v"]).values("s").collect()] == ["s3", "s2", "s1", "s4"]
+
+
+def test_optional_parts_in_a_chain(spark):
+    gr = graph(spark, [("x", "e", "y"), ("x", "t", "k"), ("z", "t", "k")], [("y", "l", "label", None, None)])
+    s = gr.match("?x", "t", "k").optional(gr.match("?x", "e", "?y")).optional(gr.match("?y", "l", "?z"))
+    assert sorted(map(str, rows(s.values("x", "y", "z")))) == ["('x', 'y', 'label')", "('z', None, None)"]
+
+
+def test_exact_integers_and_offsets(evaluate):
+    typed = lambda kind: lambda a, b: terms.value_equal(terms.literal(a, kind), terms.literal(b, kind))
+    whole = [("9007199254740993", "9007199254740992"), ("12345678901234567890", "12345678901234567890")]
+    assert evaluate(typed(XSD_INTEGER), whole, "a string, b string") == [False, True]
+    times = [("2026-04-01T12:00:00+02:00", "2026-04-01T10:00:00Z"), ("2026-04-01T12:00:00.5Z", "2026-04-01T12:00:00Z"), ("2026-04-01T12:00:00", "2026-04-01T12:00:00Z")]
+    assert evaluate(typed(terms.fixed.XSD_DATE_TIME), times, "a string, b string") == [True, False, True]
+
+
 def test_signature_ignores_order_and_sees_change(spark):
     data = [("1", "s{}".format(i), "p", "iri", "o", None, None) for i in range(50)]
     sign = lambda d: rows(sinks.graph_signature(spark.createDataFrame(d, SCHEMA)))
