@@ -14,9 +14,11 @@ from pagegraph.operators import pattern as g
 from pagegraph.operators.changes import page_records
 from pagegraph.operators.members import member_records
 from pagegraph.operators.pattern import Graph, Lit
+from pagegraph.plans.payload_queries import result_documents
 from pagegraph.plans.registry import query
-from pagegraph.plans.views import Views, iso, quoted, text, wiki_of, wiki_sql, with_ctes
+from pagegraph.plans.views import PAYLOAD_ROWS, Views, iso, quoted, text, wiki_of, wiki_sql, with_ctes
 from pagegraph.session import ensure_checkpoint_dir
+from pagegraph.sources import results
 
 VOC = triples.Vocabulary()
 ONT = VOC.ontology
@@ -484,6 +486,92 @@ def alias_resolve(v: Views) -> DataFrame:
     return links.resolve_aliases(part.select("wiki", "title"), aliases).select("title", "final_title")
 
 
+@query(
+    "alias_lookup",
+    """WITH RECURSIVE a AS (SELECT 'T' || p_partkey AS source, 'T' || (p_partkey // 3) AS target FROM part WHERE p_partkey % 3 = 0 AND p_partkey > 0),
+       w(title, cur) AS (SELECT 'T' || p_partkey, 'T' || p_partkey FROM part UNION ALL SELECT w.title, a.target FROM w JOIN a ON a.source = w.cur),
+       f AS (SELECT title, cur AS final_title FROM w WHERE cur NOT IN (SELECT source FROM a)),
+       pages AS (SELECT 'T' || p_partkey AS title, 'Q' || p_partkey AS qid FROM part WHERE p_partkey % 4 <> 1)
+       SELECT f.title, coalesce(x.qid, y.qid) AS qid FROM f LEFT JOIN pages x ON x.title = f.final_title LEFT JOIN pages y ON y.title = f.title
+       WHERE coalesce(x.qid, y.qid) IS NOT NULL""",
+)
+def alias_lookup(v: Views) -> DataFrame:
+    """Pages by the title at the end of the aliases, else by the title asked for."""
+    key = F.col("p_partkey")
+    part = v.table("part").select(F.lit("w").alias("wiki"), text("T", key).alias("title"), key.alias("k"))
+    aliases = part.where("k % 3 = 0 and k > 0").select("wiki", F.col("title").alias("source"), text("T", F.floor(F.col("k") / 3)).alias("target"))
+    pages = part.where("k % 4 <> 1").select(
+        "wiki", "title", text("Q", F.col("k")).alias("qid"), F.lit(None).cast("bigint").alias("page_len"), F.lit(None).cast("string").alias("rev_timestamp")
+    )
+    return links.alias_lookup(part.select("wiki", "title"), aliases, pages).select("title", "qid")
+
+
+_RESULT = "SELECT CAST(o_orderkey // {n} AS VARCHAR) AS dataset_id, 'https://pagegraph.example/result/' || (o_orderkey // {n}) || '#' || (o_orderkey % {n} + 1) AS s,".format(n=PAYLOAD_ROWS)
+_RESULT_ROWS = [
+    (fixed.RDF_TYPE, "iri", "", "'{}'".format(VOC.iri("Page"))),
+    (ONT + "dataset", "literal", X + "integer", "CAST(o_orderkey // {} AS VARCHAR)".format(PAYLOAD_ROWS)),
+    (ONT + "position", "literal", X + "integer", "CAST(o_orderkey % {} AS VARCHAR)".format(PAYLOAD_ROWS)),
+    (ONT + "loadedAt", "literal", X + "dateTime", "'{}'".format(LOADED)),
+    (ONT + "page_id", "literal", X + "integer", "CAST(o_orderkey AS VARCHAR)"),
+    (ONT + "page_title", "literal", "", "'Page ' || o_orderkey"),
+    (ONT + "page_namespace", "literal", X + "integer", "CAST(o_orderkey % 3 AS VARCHAR)"),
+    (ONT + "seen", "literal", X + "dateTime", "'20' || substr({}, 3)".format(iso("o_orderdate"))),
+    (ONT + "page_uri", "iri", "", "'https://' || d.domain || d.path || CASE WHEN coalesce(ns.name, '') <> '' THEN ns.name || ':' ELSE '' END || 'Page_' || o_orderkey"),
+]
+
+
+@query(
+    "result_graph",
+    with_ctes("dims", "ns")
+    + " UNION ALL ".join(
+        "{} '{}' AS p, '{}' AS o_kind, {} AS o, '{}' AS o_dt, '' AS o_lang FROM orders JOIN dims d ON d.k = 1 LEFT JOIN ns ON ns.domain = d.domain AND ns.ns_id = o_orderkey % 3".format(
+            _RESULT, p, kind, value, dt
+        )
+        for p, kind, dt, value in _RESULT_ROWS
+    ),
+)
+def result_graph(v: Views) -> DataFrame:
+    """From SQL-result payloads to their graph: headers, derived page addresses, inferred types."""
+    key = F.col("o_orderkey")
+    seen = F.concat(F.lit("20"), F.substring(digits14(F.col("o_orderdate")), 3, 12))
+    row = text("[", key, ',"Page ', key, '",', key % 3, ',"', seen, '"]')
+    docs = result_documents(v.table("orders"), "o_orderkey", row)
+    payload = text('{"headers":["id","page title","page-namespace","seen"],"rows":[', F.array_join("items", ","), "]}")
+    rows = results.result_rows(docs.select("payload_id", payload.alias("json")), ["payload_id"], "json")
+    rows = rows.select(F.col("payload_id").cast("string").alias("dataset_id"), "position", F.lit("nation-1.wikipedia.org").alias("domain"), "fields")
+    rows = results.with_page_uris(rows, v.siteinfo(), v.namespaces())
+    records = results.result_records(rows, ["dataset_id", "position"])
+    graph = triples.row_triples(triples.result_rows(records, triples.VariantRecord("record"), VOC), VOC, LOADED)
+    return flat(triples.graph_set(graph))
+
+
+_ITEM = "'https://pagegraph.example/list/3/item/' || position"
+
+
+@query(
+    "page_list_graph",
+    LINK_TRIPLES
+    + " UNION "
+    + " UNION ".join(
+        _LT.format(s=_ITEM, p="{p}", k=k, v=value, d=d).replace("'" + ONT + "{p}'", "'" + p + "'")
+        for p, k, value, d in [
+            (fixed.RDF_TYPE, "iri", "'{}'".format(VOC.iri("Page")), ""),
+            (ONT + "dataset", "literal", "'3'", X + "integer"),
+            (ONT + "position", "literal", "CAST(position AS VARCHAR)", X + "integer"),
+            (ONT + "loadedAt", "literal", "'{}'".format(LOADED), X + "dateTime"),
+            (ONT + "page_id", "literal", "CAST(position AS VARCHAR)", X + "integer"),
+            (ONT + "gil_link_count", "literal", "'3'", X + "integer"),
+        ]
+    ),
+)
+def page_list_graph(v: Views) -> DataFrame:
+    """The whole graph of a page list in one set, without the raw link cell: rows, links, and what is known of them."""
+    records = link_records(v)
+    rows = triples.list_rows(records, triples.TypedRecord(records.schema, ["id", "gil"]), VOC)
+    graph = triples.row_triples(rows, VOC, LOADED).where(F.col("p") != VOC.iri("gil"))
+    return flat(triples.graph_set(graph.unionByName(triples.field_triples(links.link_fields(enriched_links(v)), VOC))))
+
+
 # --- the flagship ------------------------------------------------------------------------------------
 
 

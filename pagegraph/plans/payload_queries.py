@@ -28,6 +28,11 @@ def _documents(rows: DataFrame, key: str, order: str, item: Column) -> DataFrame
     )
 
 
+def result_documents(rows: DataFrame, key: str, row: Column) -> DataFrame:
+    """(payload_id, items): the rows of SQL results, one document per range of keys."""
+    return _documents(rows, key, key, row)
+
+
 def _event_item() -> Column:
     return F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("title"), F.col("value").alias("len"))
 
@@ -193,6 +198,49 @@ def feed_rows(v: Views) -> DataFrame:
     return feeds.creation_rows(landed).drop("sort_key")
 
 
+@query(
+    "feed_contributions",
+    """SELECT 'w' || (event_id // {n} % 3) AS wiki, event_id // {n} AS seq, event_id % {n} AS position, {k} AS page_id, {k} % 16 AS namespace,
+       'Page_' || {k} AS title, 'user ' || user_id AS user_name, CAST({d} AS BIGINT) AS time_key
+       FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""".format(n=PAYLOAD_ROWS, k=K_SQL, d=digits("ts")),
+)
+def feed_contributions(v: Views) -> DataFrame:
+    """Contribution responses: entries without a page id or a readable time drop out."""
+    k = F.get_json_object("props", "$.k")
+    stamp = text(F.replace(F.substring(F.col("ts").cast("string"), 1, 19), F.lit(" "), F.lit("T")), "Z")
+    entry = F.struct(
+        F.when(F.col("event_id") % 5 != 0, k.cast("bigint")).alias("pageid"),
+        (k.cast("bigint") % 16).alias("ns"),
+        text("Page ", k).alias("title"),
+        text(" user_", F.col("user_id")).alias("user"),
+        F.when(F.col("event_id") % 7 != 0, stamp).otherwise("soon").alias("timestamp"),
+    )
+    docs = _documents(v.table("events"), "event_id", "event_id", entry)
+    response = F.to_json(F.struct(F.struct(F.col("items").alias("usercontribs")).alias("query")))
+    landed = docs.select(text("w", F.col("payload_id") % 3).alias("wiki"), F.col("payload_id").alias("seq"), response.alias("response"))
+    return feeds.contribution_rows(landed).drop("sort_key", "timestamp")
+
+
+@query(
+    "feed_members",
+    """SELECT 'w' AS wiki, p_partkey // {n} AS seq, p_partkey % {n} AS position, p_partkey AS page_id, CAST(p_size % 16 AS BIGINT) AS namespace,
+       replace(p_name, ' ', '_') AS title, 'Q' || p_partkey AS sort_key FROM part WHERE p_partkey % 4 <> 0""".format(n=PAYLOAD_ROWS),
+)
+def feed_members(v: Views) -> DataFrame:
+    """Category member responses: entries with a blank title drop out."""
+    key = F.col("p_partkey")
+    entry = F.struct(
+        key.cast("string").alias("pageid"),
+        (F.col("p_size") % 16).alias("ns"),
+        F.when(key % 4 != 0, F.col("p_name")).otherwise(" : ").alias("title"),
+        text("Q", key).alias("sortkeyprefix"),
+    )
+    docs = _documents(v.table("part"), "p_partkey", "p_partkey", entry)
+    response = F.to_json(F.struct(F.struct(F.col("items").alias("categorymembers")).alias("query")))
+    landed = docs.select(F.lit("w").alias("wiki"), F.col("payload_id").alias("seq"), response.alias("response"))
+    return feeds.member_rows(landed).select("wiki", "seq", "position", "page_id", "namespace", "title", "sort_key")
+
+
 @query(
     "page_lookup",
     """SELECT 'w' AS wiki, replace(p_name || ' ' || p_partkey, ' ', '_') AS title, CASE WHEN p_partkey % 3 <> 0 THEN 'Q' || p_partkey END AS qid,

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import blank_to_null, let, named, strip
+from pagegraph.functions.text import blank_to_null, integer, let, named, page_title, strip
+from pagegraph.functions.wiki import article_url
 
 
 def clean_header(text: Column) -> Column:
@@ -95,6 +96,56 @@ def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: i
     )
 
 
+def record(fields: Column) -> Column:
+    """The row as one VARIANT object."""
+    return F.to_variant_object(F.map_from_entries(fields))
+
+
+def with_page_uris(rows: DataFrame, siteinfo: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """``fields`` with an address for every title field present; one that is there is never touched.
+
+    Rows need ``domain`` and ``fields``. ``siteinfo(domain, article_path)`` and the namespaces of a
+    domain, as one map, are looked up once per row, whatever the number of title fields.
+    """
+    spaces = namespaces.groupBy("domain", F.col("ns_id").cast("bigint").alias("ns_id")).agg(F.min("name").alias("name"))
+    names = spaces.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("ns_id", "name"))).alias("_names"))
+    dims = siteinfo.select("domain", "article_path").join(names, "domain", "left")
+    origin = F.concat(F.lit("https://"), F.col("domain"))
+
+    spaced = [(p + "_title", p + "_uri", p + "_namespace", 0) for p in fixed.TITLE_PREFIXES]
+    files = [(title, uri, None, fixed.FILE_NAMESPACE) for title, uri in fixed.FILE_TITLE_COLUMNS.items()]
+    categories = [(title, uri, None, fixed.CATEGORY_NAMESPACE) for title, uri in fixed.CATEGORY_TITLE_COLUMNS.items()]
+    specs = F.array(
+        *[
+            named(title=F.lit(t), uri=F.lit(u), space=F.lit(s).cast("string"), number=F.lit(n).cast("bigint"))
+            for t, u, s, n in spaced + files + categories
+        ]
+    )
+
+    def extended(fields: Column) -> Column:
+        cell = lambda key: F.get(F.filter(fields, lambda f: f["key"] == key), 0)["value"].try_cast("string")
+        has = lambda key: F.exists(fields, lambda f: f["key"] == key)
+
+        def address(spec: Column) -> Column:
+            clean = page_title(cell(spec["title"]))
+            number = F.coalesce(integer(cell(spec["space"])).cast("bigint"), spec["number"])
+            name = strip(F.coalesce(F.try_element_at(F.col("_names"), number), F.lit("")))
+            full = F.when(name != "", F.concat(name, F.lit(":"), clean)).otherwise(clean)
+            url = F.when(F.col("article_path").isNotNull() & (clean != ""), article_url(origin, F.col("article_path"), full))
+            return named(key=spec["uri"], value=url.cast("variant"))
+
+        wanted = F.filter(specs, lambda spec: has(spec["title"]) & ~has(spec["uri"]))
+        return F.concat(fields, F.filter(F.transform(wanted, address), lambda f: f["value"].isNotNull()))
+
+    joined = rows.join(dims, "domain", "left")
+    return joined.withColumn("fields", let(F.col("fields"), extended)).select(*rows.columns)
+
+
+def result_records(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, record VARIANT) of rows with ``fields``; the generator keeps the object from being built per use."""
+    return rows.where(F.col("fields").isNotNull()).select(*keys, F.explode_outer(F.array(record(F.col("fields")))).alias("record"))
+
+
 def run_id(html: Column) -> Column:
     """Run id in the page's ``var vars = {…}`` block, else anywhere in the text; positive or null."""
     block = F.nullif(F.regexp_extract(html, fixed.RUN_VARS_PATTERN, 1), F.lit(""))
