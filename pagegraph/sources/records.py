@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from pagegraph.functions import fixed
 from pagegraph.functions.text import let, named
 
-MAX_DEPTH = 8
-
 
 def is_object(v: Column) -> Column:
     return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
@@ -25,19 +23,33 @@ def object_rows(node: Column) -> Column:
     return F.when(F.size(rows) > 0, rows)
 
 
-def hint_keys(rows: Column, sample: int) -> Column:
-    """Distinct record-hint keys among the first ``sample`` rows."""
-    seen = F.flatten(F.transform(F.slice(rows, 1, sample), lambda r: F.map_keys(r.try_cast("map<string,variant>"))))
+def hint_keys(rows: Column, sample: int | None = None) -> Column:
+    """Distinct record-hint keys of the rows; of the first ``sample`` rows only where a caller asks for that."""
+    looked = rows if sample is None else F.slice(rows, 1, sample)
+    seen = F.flatten(F.transform(looked, lambda r: F.map_keys(r.try_cast("map<string,variant>"))))
     return F.array_intersect(F.array(*[F.lit(key) for key in fixed.ROW_HINT_KEYS]), seen)
 
 
-def score(rows: Column) -> Column:
-    """Ten points per row plus one per distinct hint key in the first twenty rows."""
-    return F.size(rows) * 10 + F.size(hint_keys(rows, 20))
+def score(rows: Column, sample: int | None = None) -> Column:
+    """Ten points per row plus one per distinct hint key."""
+    return F.size(rows) * 10 + F.size(hint_keys(rows, sample))
+
+
+def nesting(text: Column) -> Column:
+    """How deep the brackets of a JSON text nest."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', "")
+    marks = F.split(F.regexp_replace(plain, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda s: s["most"])
 
 
 def direct_candidates(payload: Column) -> Column:
-    """Row lists at the usual places, in order, that look like page records."""
+    """Row lists at the usual places, in order, that look like page records: some row has a hint key."""
     at = lambda v, path: F.try_variant_get(v, path, "variant")
     root = at(payload, '$["*"]')
     places = F.concat(
@@ -48,7 +60,7 @@ def direct_candidates(payload: Column) -> Column:
         ),
     )
     lists = F.transform(places, object_rows)
-    return F.filter(lists, lambda rows: rows.isNotNull() & (F.size(hint_keys(rows, 5)) > 0))
+    return F.filter(lists, lambda rows: rows.isNotNull() & (F.size(hint_keys(rows)) > 0))
 
 
 def best_candidate(candidates: Column) -> Column:
@@ -81,12 +93,14 @@ def _members(node: str) -> Column:
 
 
 def deep_records(payloads: DataFrame, keys: list[str], json_column: str) -> DataFrame:
-    """Best row list found anywhere down to depth 8, one row (keys, records) per payload.
+    """Best row list found at any depth, one row (keys, records) per payload.
 
-    A fixed number of explode steps in one pipeline: every step keeps the nodes seen so far and
-    adds the children of the newest ones. The choice per payload is one aggregation with map-side
-    combine, keyed by payload. The first list in document order wins a tie.
+    As many explode steps in one pipeline as the deepest payload nests (one aggregation tells): every
+    step keeps the nodes seen so far and adds the children of the newest ones. The choice per payload
+    is one aggregation with map-side combine, keyed by payload. The first list in document order wins
+    a tie.
     """
+    depth = payloads.agg(F.coalesce(F.max(nesting(F.col(json_column))), F.lit(0))).first()[0]
     doc = F.try_parse_json(F.col(json_column))
     no_path = F.array().cast("array<int>")
     start = F.array(
@@ -95,7 +109,7 @@ def deep_records(payloads: DataFrame, keys: list[str], json_column: str) -> Data
         named(path=no_path, text=F.col(json_column), v=doc, new=F.lit(True)),
     )
     nodes = payloads.select(*keys, F.explode_outer(start).alias("node"))
-    for _ in range(MAX_DEPTH):
+    for _ in range(depth):
         done = F.array(named(path=F.col("node.path"), text=F.col("node.text"), v=F.col("node.v"), new=F.lit(False)))
         below = F.transform(
             F.when(F.col("node.new"), _members("node")),

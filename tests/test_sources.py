@@ -144,3 +144,15 @@ def test_read_table(spark, tmp_path):
     )
     got = tables.read_table(spark, str(tmp_path), "page")
     assert got.columns == ["wiki", "page_id", "page_namespace", "page_title"] and got.count() == 3
+
+
+def test_rows_are_found_at_any_depth_and_after_many_rows(spark):
+    rows = '[{"x":1},{"title":"T","x":"a\\"[[[["}]'
+    deep = rows
+    for _ in range(14):
+        deep = '{"n":' + deep + "}"
+    late = '{"pages":[' + ",".join(['{"x":1}'] * 30) + ',{"title":"last"}]}'
+    df = spark.createDataFrame([("deep", deep), ("late", late)], "k string, json string")
+    got = records.extract_records(df, ["k"], "json").groupBy("k").count().collect()
+    assert sorted(map(tuple, got)) == [("deep", 2), ("late", 31)]
+    assert [r[0] for r in df.select(records.nesting(F.col("json"))).collect()] == [16, 3]
