@@ -1,17 +1,21 @@
 """Change events as a stream: new pages once each, and the newest edit of every page.
 
-The transforms are the same for a batch; only the de-duplication differs, because a stream keeps
-state no longer than its watermark. Sinks merge by key, so a replayed batch changes nothing.
+The transforms are the same for a stream and a batch. Streams keep no state: every micro-batch is
+reduced to one row per key and written to a folder of its own, so a replayed batch changes nothing,
+and readers merge the folders by key. ``compact`` bounds their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagegraph.functions.text import casefold, user_name
 from pagegraph.operators.changes import not_commons_file
+from pagegraph.session import checkpointed
 
 KEYS = ["wiki", "rc_cur_id"]
 
@@ -40,23 +44,25 @@ def with_dimensions(rows: DataFrame, page: DataFrame, items: DataFrame) -> DataF
     return rows.join(pages, KEYS).join(ids, KEYS)
 
 
-def new_pages(events: DataFrame, page: DataFrame, items: DataFrame, delay: str = "1 day", **filters) -> DataFrame:
-    """One row per created page.
+def newest_event(rows: DataFrame) -> DataFrame:
+    """Newest event per page by time, then change id."""
+    rest = [c for c in rows.columns if c not in KEYS]
+    newest = F.max_by(F.struct(*rest), F.struct("rc_timestamp", "rc_id")).alias("_v")
+    return rows.groupBy(*KEYS).agg(newest).select(*KEYS, "_v.*")
+
+
+def new_pages(events: DataFrame, page: DataFrame, items: DataFrame, **filters) -> DataFrame:
+    """Created pages with their dimensions, the newest event of each.
 
-    A stream drops repeats within the watermark before it joins; a batch keeps the newest event.
+    On a stream every event passes; its micro-batches go through :func:`newest_event` at the sink, and
+    :func:`read_merged` gives one row per page.
     """
     rows = creation_events(events, **filters)
-    if events.isStreaming:
-        rows = rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(KEYS)
-    else:
-        rest = [c for c in rows.columns if c not in KEYS]
-        newest = F.max_by(F.struct(*rest), F.struct("rc_timestamp", "rc_id")).alias("_v")
-        rows = rows.groupBy(*KEYS).agg(newest).select(*KEYS, "_v.*")
-    return with_dimensions(rows, page, items)
+    return with_dimensions(rows if events.isStreaming else newest_event(rows), page, items)
 
 
 def latest_edits(events: DataFrame) -> DataFrame:
-    """Newest edit per page: time and change id. Runs in update mode on a stream."""
+    """Newest edit per page, with the number of edits; for a batch or one micro-batch of a stream."""
     edits = events.where(F.col("rc_source") == "mw.edit")
     return edits.groupBy(*KEYS).agg(
         F.max("rc_timestamp").alias("rc_timestamp"),
@@ -81,13 +87,61 @@ def read_merged(spark, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
 
 
+def read_edits(spark, path: str) -> DataFrame:
+    """What :func:`latest_edits` gives for all events of the written batches."""
+    return spark.read.parquet(path).groupBy(*KEYS).agg(
+        F.max("rc_timestamp").alias("rc_timestamp"),
+        F.max_by("rc_id", F.struct("rc_timestamp", "rc_id")).alias("rc_id"),
+        F.sum("edits").alias("edits"),
+    )
+
+
+def compact(spark, path: str, upto: int, merged: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the folders of batches up to ``upto`` by one, holding what ``merged`` makes of their rows.
+
+    ``merged`` reduces rows to one per key and keeps ``_order``. The new folder is written before the old
+    ones go. Run it between micro-batches; batches up to ``upto`` must be finished.
+    """
+    rows = spark.read.parquet(path).where(F.col("batch") <= upto)
+    kept = checkpointed(merged(rows).drop("batch"))
+    kept.write.mode("overwrite").parquet("{}/batch={}".format(path, upto))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for (batch,) in spark.read.parquet(path).where(F.col("batch") < upto).select("batch").distinct().collect():
+        folder = jvm.org.apache.hadoop.fs.Path("{}/batch={}".format(path, batch))
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def newest_rows(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Merge of :func:`compact` for keyed tables: the newest row per key."""
+
+    def merged(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in keys]
+        newest = F.max_by(F.struct(*rest), F.struct("_order", "batch")).alias("_v")
+        return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+
+    return merged
+
+
+def summed_edits(rows: DataFrame) -> DataFrame:
+    """Merge of :func:`compact` for edit counts."""
+    return rows.groupBy(*KEYS).agg(
+        F.max("rc_timestamp").alias("rc_timestamp"),
+        F.max_by("rc_id", F.struct("rc_timestamp", "rc_id")).alias("rc_id"),
+        F.sum("edits").alias("edits"),
+        F.max("_order").alias("_order"),
+    )
+
+
 def start_merge(
-    stream: DataFrame, path: str, checkpoint: str, order: list[str], mode: str = "append", once: bool = True
+    stream: DataFrame, path: str, checkpoint: str, order: list[str], reduce: Callable[[DataFrame], DataFrame], once: bool = True
 ) -> StreamingQuery:
-    """Start the stream into the keyed table; ``once`` handles what is there and stops."""
+    """Start the stream into the keyed table; ``once`` handles what is there and stops.
+
+    ``reduce`` makes one row per key of a micro-batch (:func:`newest_event`, :func:`latest_edits`).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch, batch_id, path, order)
+        merge_batch(reduce(batch), batch_id, path, order)
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()

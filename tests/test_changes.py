@@ -97,18 +97,22 @@ def test_stream_of_new_pages_keeps_one_row_per_page(spark, tmp_path):
     items = spark.createDataFrame([("w", i, "Q{}".format(i)) for i in range(1, 7)], "wiki string, page_id long, qid_text string")
     stream = feed.new_pages(_stream(spark, tmp_path, events), page, items, commons="w")
     out = str(tmp_path / "out")
-    feed.start_merge(stream, out, str(tmp_path / "cp"), ["rc_timestamp", "rc_id"]).awaitTermination(120)
-    got = feed.read_merged(spark, out, feed.KEYS)
+    feed.start_merge(stream, out, str(tmp_path / "cp"), ["rc_timestamp", "rc_id"], feed.newest_event).awaitTermination(120)
     batch = feed.new_pages(events, page, items, commons="w")
-    assert sorted(r.rc_cur_id for r in got.collect()) == sorted(r.rc_cur_id for r in batch.collect()) == [1, 2, 3, 4, 5]
-    raw = spark.read.parquet(out)
-    assert raw.count() == got.count()
+    flat = lambda df: sorted(tuple(r) for r in df.select(*batch.columns).collect())
+    assert len(flat(batch)) == 5 and flat(feed.read_merged(spark, out, feed.KEYS)) == flat(batch)
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
+    feed.compact(spark, out, 2, feed.newest_rows(feed.KEYS))
+    assert spark.read.parquet(out).count() == 5 and flat(feed.read_merged(spark, out, feed.KEYS)) == flat(batch)
 
 
 def test_stream_of_latest_edits_equals_batch(spark, tmp_path):
     events = _events(spark)
     out = str(tmp_path / "out")
-    stream = feed.latest_edits(_stream(spark, tmp_path, events))
-    feed.start_merge(stream, out, str(tmp_path / "cp"), ["rc_timestamp", "rc_id"], mode="update").awaitTermination(120)
+    stream = _stream(spark, tmp_path, events)
+    feed.start_merge(stream, out, str(tmp_path / "cp"), ["rc_timestamp", "rc_id"], feed.latest_edits).awaitTermination(120)
     flat = lambda df: sorted((r.rc_cur_id, r.rc_timestamp, r.rc_id, r.edits) for r in df.collect())
-    assert flat(feed.read_merged(spark, out, feed.KEYS)) == flat(feed.latest_edits(events))
+    assert flat(feed.read_edits(spark, out)) == flat(feed.latest_edits(events))
+    feed.compact(spark, out, 2, feed.summed_edits)
+    assert spark.read.parquet(out).select("batch").distinct().count() == 1
+    assert flat(feed.read_edits(spark, out)) == flat(feed.latest_edits(events))
