@@ -65,6 +65,16 @@ def plus(part):
     return Path("plus", (part,))
 
 
+def _inverses_inward(path: Path | str, flip: bool = False) -> Path | str:
+    """The same path with inverses on predicates only."""
+    if isinstance(path, str):
+        return inv(path) if flip else path
+    if path.kind == "inv":
+        return _inverses_inward(path.parts[0], not flip)
+    parts = tuple(_inverses_inward(part, flip) for part in path.parts)
+    return Path(path.kind, parts[::-1] if flip and path.kind == "seq" else parts)
+
+
 def _is_var(x) -> bool:
     return isinstance(x, str) and x.startswith("?")
 
@@ -128,23 +138,39 @@ class Graph:
         return Solutions(out, certain=set(columns), addresses=addresses)
 
     def path(self, s, path: Path | str, o) -> Solutions:
-        """Property path between two variables or constants; pairs are distinct for ``*`` and ``+``."""
-        start = None if _is_var(s) or s is None else s
-        pairs = self._pairs(path, start)
-        if start is not None:
-            pairs = pairs.where(F.col("a.value") == start)
-        if o is not None and not _is_var(o):
-            pairs = pairs.where((F.col("b.kind") != "literal") & (F.col("b.value") == o))
+        """Property path between two variables or constants; pairs are distinct for ``*`` and ``+``.
+
+        A constant start is followed forwards, a constant end backwards, and every part goes on from
+        the rows reached so far. Only a path that begins open on both sides with a closure builds the
+        closure of the whole graph, which is then its result.
+        """
+        path = _inverses_inward(path)
+        if s is not None and not _is_var(s):
+            pairs = self._onward(path, self._at(s))
+            if o is not None and not _is_var(o):
+                pairs = pairs.where((F.col("b.kind") != "literal") & (F.col("b.value") == o))
+        elif o is not None and not _is_var(o):
+            back = self._onward(_inverses_inward(inv(path)), self._at(o))
+            pairs = back.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        else:
+            pairs = self._pairs(path)
         if _is_var(s) and s == o:
             pairs = pairs.where(F.col("a") == F.col("b"))
         columns = {x[1:]: F.col(c) for c, x in (("a", s), ("b", o)) if _is_var(x)}
         out = pairs.select(*[c.alias(n) for n, c in columns.items()]) if columns else pairs.select(F.lit(1).alias("_hit"))
         return Solutions(out, certain=set(columns), addresses=set())
 
-    def _edges(self, predicate: str) -> DataFrame:
-        return self.df.where(F.col("p") == predicate).select(
-            address_term(F.col("s")).alias("a"), object_term().alias("b")
-        )
+    def _at(self, address: str) -> DataFrame:
+        """The one pair of a constant with itself."""
+        one = self.df.sparkSession.range(1).select(address_term(F.lit(address)).alias("a"))
+        return one.select("a", F.col("a").alias("b"))
+
+    def _edges(self, step: Path | str) -> DataFrame:
+        """(a, b) of a predicate or its inverse."""
+        flip = not isinstance(step, str)
+        found = self.df.where(F.col("p") == (step.parts[0] if flip else step))
+        ends = address_term(F.col("s")), object_term()
+        return found.select(ends[flip].alias("a"), ends[not flip].alias("b"))
 
     def _nodes(self) -> DataFrame:
         """All terms in subject or object place."""
@@ -152,50 +178,55 @@ class Graph:
             self.df.select(address_term(F.col("s")).alias("a")).unionByName(self.df.select(object_term().alias("a"))).distinct()
         )
 
-    def _pairs(self, path: Path | str, start: str | None) -> DataFrame:
-        if isinstance(path, str):
-            return self._edges(path)
-        if path.kind == "inv":
-            return self._pairs(path.parts[0], None).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    def _onward(self, path: Path | str, reached: DataFrame) -> DataFrame:
+        """Pairs (a, b) after ``path`` from the pairs reached so far."""
+        if isinstance(path, str) or path.kind == "inv":
+            steps = self._edges(path).select(F.col("a").alias("_m"), F.col("b").alias("_b"))
+            return reached.withColumnRenamed("b", "_m").join(steps, "_m").select("a", F.col("_b").alias("b"))
         if path.kind == "seq":
-            out = self._pairs(path.parts[0], start)
+            for part in path.parts:
+                reached = self._onward(part, reached)
+            return reached
+        if path.kind == "alt":
+            out = self._onward(path.parts[0], reached)
             for part in path.parts[1:]:
-                right = self._pairs(part, None).select(F.col("a").alias("_m"), F.col("b").alias("_b"))
-                out = out.withColumnRenamed("b", "_m").join(right, "_m").select("a", F.col("_b").alias("b"))
+                out = out.unionByName(self._onward(part, reached))
             return out
+        if path.kind == "opt":
+            return reached.unionByName(self._onward(path.parts[0], reached)).distinct()
+        first = reached if path.kind == "star" else self._onward(path.parts[0], reached)
+        return self._closure(path.parts[0], first)
+
+    def _pairs(self, path: Path | str) -> DataFrame:
+        """All pairs of a path that is open on both sides."""
+        if isinstance(path, str) or path.kind == "inv":
+            return self._edges(path)
+        if path.kind == "seq":
+            return self._onward(Path("seq", path.parts[1:]), self._pairs(path.parts[0]))
         if path.kind == "alt":
-            out = self._pairs(path.parts[0], start)
+            out = self._pairs(path.parts[0])
             for part in path.parts[1:]:
-                out = out.unionByName(self._pairs(part, start))
+                out = out.unionByName(self._pairs(part))
             return out
-        edges = self._pairs(path.parts[0], None).distinct()
+        own = self._nodes().select("a", F.col("a").alias("b"))
         if path.kind == "opt":
-            return edges.unionByName(self._self_pairs(start)).distinct()
-        return self._closure(edges, start, zero=path.kind == "star")
-
-    def _self_pairs(self, start: str | None) -> DataFrame:
-        if start is None:
-            return self._nodes().select("a", F.col("a").alias("b"))
-        one = self.df.sparkSession.range(1).select(address_term(F.lit(start)).alias("a"))
-        return one.select("a", F.col("a").alias("b"))
+            return self._pairs(path.parts[0]).unionByName(own).distinct()
+        closed = self._closure(path.parts[0], self._pairs(path.parts[0]))
+        return closed.unionByName(own).distinct() if path.kind == "star" else closed
 
-    def _closure(self, edges: DataFrame, start: str | None, zero: bool) -> DataFrame:
-        """Pairs connected by one or more edges (or none, with ``zero``).
+    def _closure(self, part: Path | str, first: DataFrame) -> DataFrame:
+        """Pairs reached from ``first`` by any number of further steps.
 
-        Each round joins only the pairs that are new, drops those already known and cuts lineage;
-        it ends when a round brings nothing, so a cycle ends too.
+        Each round goes on from the pairs that are new, drops those already known and cuts lineage; it
+        ends when a round brings nothing, so a cycle ends too.
         """
-        first = edges if start is None else edges.where(F.col("a.value") == start)
         frontier = checkpointed(first.distinct())
         known = frontier
-        steps = edges.select(F.col("a").alias("_m"), F.col("b").alias("_b"))
         while not frontier.isEmpty():
-            grown = (
-                frontier.withColumnRenamed("b", "_m").join(steps, "_m").select("a", F.col("_b").alias("b")).distinct()
-            )
+            grown = self._onward(part, frontier).distinct()
             frontier = checkpointed(grown.join(known, ["a", "b"], "left_anti"))
             known = known.unionByName(frontier)
-        return known.unionByName(self._self_pairs(start)).distinct() if zero else known
+        return known
 
 
 class Solutions:

@@ -677,3 +677,18 @@ def virtual_triples(
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def scanned_triples(
+    records: DataFrame, fields: dict[str, tuple[str, Column]], vocab: Vocabulary, subject: Column, page_class: bool = True
+) -> DataFrame:
+    """The triples of :func:`virtual_triples` from one scan and one generator.
+
+    For uses that want all predicates of a subject, such as a description; a filter on the subject is
+    applied to the rows before they are unpivoted.
+    """
+    head = [(fixed.RDF_TYPE, "iri", F.lit(vocab.iri(vocab.page_class)))] if page_class else []
+    parts = head + [(vocab.iri(key), kind, value) for key, (kind, value) in fields.items()]
+    cells = F.array(*[named(p=F.lit(p), kind=F.lit(kind), value=value.cast("string")) for p, kind, value in parts])
+    rows = records.select(F.col("dataset_id").cast("string").alias("dataset_id"), subject.alias("s"), F.explode_outer(cells).alias("_x"))
+    return _graph(rows.where(F.col("s").isNotNull() & F.col("_x.value").isNotNull()).select("dataset_id", "s", "_x.p", "_x.kind", "_x.value"))

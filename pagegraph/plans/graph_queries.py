@@ -658,12 +658,12 @@ def flagship_days_diff(v: Views) -> DataFrame:
 # --- pattern operators -------------------------------------------------------------------------------
 
 
-def trade_graph(v: Views) -> Graph:
+def trade_graph(v: Views, build=triples.virtual_triples) -> Graph:
     """Nations, customers and orders as one graph of three datasets."""
     customers = v.table("customer").withColumn("dataset_id", F.lit("customers"))
     orders = v.table("orders").withColumn("dataset_id", F.lit("orders"))
     nations = v.table("nation").withColumn("dataset_id", F.lit("nations"))
-    c = triples.virtual_triples(
+    c = build(
         customers,
         {
             "title": ("xsd:string", F.col("c_name")),
@@ -674,7 +674,7 @@ def trade_graph(v: Views) -> Graph:
         VOC,
         text("urn:c:", F.col("c_custkey")),
     )
-    o = triples.virtual_triples(
+    o = build(
         orders,
         {
             "status": ("xsd:string", F.col("o_orderstatus")),
@@ -685,7 +685,7 @@ def trade_graph(v: Views) -> Graph:
         VOC,
         text("urn:o:", F.col("o_orderkey")),
     )
-    n = triples.virtual_triples(
+    n = build(
         nations, {"name": ("xsd:string", F.col("n_name")), "region": ("iri", text("urn:r:", F.col("n_regionkey")))}, VOC, text("urn:n:", F.col("n_nationkey"))
     )
     return Graph(c.unionByName(o).unionByName(n))
@@ -904,7 +904,9 @@ _EDGE = "e AS (SELECT 'urn:p:' || p_partkey AS a, 'urn:p:' || (p_partkey // 3) A
     UNION ALL SELECT 'inv', b, a FROM e
     UNION ALL SELECT 'alt', a, b FROM e UNION ALL SELECT 'alt', b, a FROM e
     UNION ALL SELECT * FROM (SELECT 'opt', a, b FROM e UNION SELECT 'opt', x, x FROM n)
-    UNION ALL SELECT * FROM (SELECT 'from', a, b FROM r WHERE a = 'urn:p:81' UNION SELECT 'from', 'urn:p:81', 'urn:p:81')""".format(e=_EDGE))
+    UNION ALL SELECT * FROM (SELECT 'from', a, b FROM r WHERE a = 'urn:p:81' UNION SELECT 'from', 'urn:p:81', 'urn:p:81')
+    UNION ALL SELECT * FROM (SELECT 'into', a, b FROM r WHERE b = 'urn:p:1' UNION SELECT 'into', 'urn:p:1', 'urn:p:1')
+    UNION ALL SELECT DISTINCT 'then', 'urn:p:9', r.b FROM e JOIN r ON r.a = e.b WHERE e.a = 'urn:p:9'""".format(e=_EDGE))
 def g_path(v: Views) -> DataFrame:
     gr = redirect_graph(v)
     to = P("redirectsTo")
@@ -916,7 +918,9 @@ def g_path(v: Views) -> DataFrame:
         rows = gr.path("?a", path, "?b").values("a", "b").select(F.lit(name).alias("path"), "a", "b")
         out = rows if out is None else out.unionByName(rows)
     one = gr.path("urn:p:81", g.star(to), "?b").values("b").select(F.lit("from").alias("path"), F.lit("urn:p:81").alias("a"), "b")
-    return out.unionByName(one)
+    into = gr.path("?a", g.star(to), "urn:p:1").values("a").select(F.lit("into").alias("path"), "a", F.lit("urn:p:1").alias("b"))
+    then = gr.path("urn:p:9", g.seq(to, g.plus(to)), "?b").values("b").select(F.lit("then").alias("path"), F.lit("urn:p:9").alias("a"), "b")
+    return out.unionByName(one).unionByName(into).unionByName(then)
 
 
 @query("g_construct", """SELECT DISTINCT * FROM (
@@ -942,7 +946,7 @@ def g_construct(v: Views) -> DataFrame:
 def g_describe(v: Views) -> DataFrame:
     gr = trade_graph(v)
     s = gr.match("?o", P("status"), Lit("P")).join(gr.match("?o", P("customer"), "?c", address=True))
-    return flat(s.describe(gr, "c"))
+    return flat(s.describe(trade_graph(v, triples.scanned_triples), "c"))
 
 
 @query("federated_join", """SELECT 'urn:o:' || o_orderkey AS o, c_name AS title, n_name AS name FROM orders JOIN customer ON c_custkey = o_custkey
