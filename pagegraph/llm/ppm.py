@@ -85,7 +85,7 @@ def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> Data
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int = CONTEXTS) -> dict:
-    """Model of all rows: ``child`` and ``log10`` tables over contexts and bytes.
+    """Model of all rows: the bytes that followed each kept context, and how often, as plain arrays.
 
     Counts cover every byte of every row. Kept are the contexts seen most often, in all orders together
     at most ``contexts``: the least count is the smallest one that so many contexts reach. A context's
@@ -109,8 +109,17 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int =
             break
         reached, least = reached + count, step
     kept = totals.where(F.floor(F.log2("seen") * 64) >= F.lit(least if least is not None else 1 << 30)).drop("seen")
-    found = rows.join(kept, ["k", "context"]).toPandas()
-    return tables(*(found[c].to_numpy(np.int64) for c in ("k", "context", "byte", "n")), order)
+    few = rows.join(kept, ["k", "context"]).select(F.col("k").cast("tinyint").alias("k"), "context", F.col("byte").cast("smallint").alias("byte"), "n")
+    found = few.toArrow()
+    return {"order": order} | {c: found.column(c).to_numpy() for c in found.column_names}
+
+
+def expanded(model: dict) -> dict:
+    """The tables of a model; a task's worker builds them once and keeps them with the broadcast value."""
+    if "tables" not in model:
+        wide = (model[c].astype(np.int64) for c in ("k", "context", "byte", "n"))
+        model["tables"] = tables(*wide, model["order"])
+    return model["tables"]
 
 
 def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, order: int = ORDER) -> dict:
@@ -124,26 +133,26 @@ def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray,
     if not len(names):
         names = np.zeros(1, np.int64)
     depth, text = names >> 48, names & ((1 << 48) - 1)
-    counts = np.zeros((len(names), 256), np.int64)
-    counts[node, byte] = n
     parent = np.searchsorted(names, np.where(depth > 0, ((depth - 1) << 48) | (text & ((1 << (8 * np.maximum(depth - 1, 0))) - 1)), 0))
     # a column for every byte that follows some context, and one for all others, which no context tells apart
     used = np.unique(byte)
     column = np.full(256, len(used), np.int64)
     column[used] = np.arange(len(used))
-    other = np.setdiff1d(np.arange(256), used)[:1]
-    child = np.full((len(names), len(used) + 1), -1, np.int32)
+    shape, others = (len(names), len(used) + 1), 256 - len(used)
+    counts = np.zeros(shape, np.int32 if n.max(initial=0) < 1 << 30 else np.int64)
+    counts[node, column[byte]] = n
+    child = np.full(shape, -1, np.int32)
     deep = np.flatnonzero(depth > 0)
     child[parent[deep], column[text[deep] >> (8 * (depth[deep] - 1))]] = deep
-    log10 = np.zeros((len(names), len(used) + 1), np.float32)
-    for start in range(0, len(names), 4096):
-        at = np.arange(start, min(start + 4096, len(names)))
-        free = np.ones((len(at), 256), bool)
+    log10 = np.zeros(shape, np.float32)
+    for start in range(0, len(names), 2048):
+        at = np.arange(start, min(start + 2048, len(names)))
+        free = np.ones((len(at), shape[1]), bool)
         escaped = np.zeros(len(at))
-        value = np.zeros((len(at), 256))
+        value = np.zeros((len(at), shape[1]))
         here, todo = at.copy(), np.ones(len(at), bool)
         for _ in range(order + 1):
-            seen = np.where(free, counts[here], 0)
+            seen = np.where(free, counts[here], 0).astype(np.int64)
             seen[~todo] = 0
             total, kinds = seen.sum(axis=1), (seen > 0).sum(axis=1)
             some = kinds > 0
@@ -154,15 +163,14 @@ def tables(k: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray,
             escaped = np.where(some, escaped + np.log10(np.where(some, kinds, 1) / bottom), escaped)
             todo &= depth[here] > 0
             here = np.where(todo, parent[here], here)
-        left = free.sum(axis=1)
-        value = np.where(free, (escaped - np.log10(np.maximum(left, 1)))[:, None], value)
-        log10[at, : len(used)] = value[:, used]
-        log10[at, len(used) :] = value[:, other] if len(other) else 0
+        left = free[:, :-1].sum(axis=1) + others
+        log10[at] = np.where(free, (escaped - np.log10(np.maximum(left, 1)))[:, None], value)
     return {"order": order, "column": column, "child": child, "log10": log10}
 
 
 def code_lengths(model: dict, texts: list[list[bytes]]) -> np.ndarray:
     """log10 probability of every text, its end included: each byte in the longest kept context before it."""
+    model = expanded(model)
     data, places, sizes = streams(texts, model["order"])
     data = model["column"][data]
     node = np.zeros(len(places), np.int32)

@@ -63,7 +63,7 @@ def test_model_equals_plain_ppm(spark):
 
 def test_model_is_a_distribution_and_keeps_its_bound(spark, tables):
     df = spark.read.parquet(SF + "/documents.parquet")
-    model = ppm.fit(df, contexts=500)
+    model = ppm.expanded(ppm.fit(df, contexts=500))
     assert 1 < len(model["child"]) <= 500
     used = int((model["column"] < model["log10"].shape[1] - 1).sum())
     mass = (10.0 ** model["log10"][:, :used].astype(float)).sum(axis=1) + (256 - used) * 10.0 ** model["log10"][:, used].astype(float)
