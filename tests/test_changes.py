@@ -116,3 +116,29 @@ def test_stream_of_latest_edits_equals_batch(spark, tmp_path):
     feed.compact(spark, out, 2, feed.summed_edits)
     assert spark.read.parquet(out).select("batch").distinct().count() == 1
     assert flat(feed.read_edits(spark, out)) == flat(feed.latest_edits(events))
+
+
+def test_no_row_is_cut_without_a_cap(spark):
+    rows = spark.range(60_000)
+    wiki = F.lit("w").alias("wiki")
+    revision = rows.select(wiki, F.col("id").alias("rev_page"), F.lit(1).alias("rev_actor"), F.lit("20260401000000").alias("rev_timestamp"))
+    page = rows.select(wiki, F.col("id").alias("page_id"), F.concat(F.lit("P"), "id").alias("page_title"), F.lit(0).alias("page_namespace"))
+    items = rows.select(wiki, F.col("id").alias("page_id"), F.concat(F.lit("Q"), "id").alias("qid_text"))
+    actors = spark.createDataFrame([("w", 1)], "wiki string, actor_id int")
+    edited = changes.edited_page_rows(revision, page, items, actors, "20260101000000")
+    assert edited.count() == 60_000
+    created = rows.select(
+        wiki, F.lit("mw.new").alias("rc_source"), F.lit(3).alias("rc_namespace"), F.lit("20260401000000").alias("rc_timestamp"), F.col("id").alias("rc_cur_id"), F.lit("T").alias("rc_title")
+    )
+    props = items.select("wiki", F.col("page_id").alias("pp_page"), F.lit("wikibase_item").alias("pp_propname"), F.col("qid_text").alias("pp_value"))
+    assert changes.namespace_sample(created, props, "20260101000000").count() == 60_000
+    assert changes.namespace_sample(created, props, "20260101000000", 7).count() == 7
+
+
+def test_redirects_are_followed_to_their_end(spark):
+    page = spark.createDataFrame([("w", 0, "P{}".format(i), i) for i in range(20)], "wiki string, page_namespace int, page_title string, page_id int")
+    moves = [(i, i + 1) for i in range(12)] + [(14, 15), (15, 16), (16, 14), (17, 17), (18, 99)]
+    redirect = spark.createDataFrame([("w", a, 0, "P{}".format(b)) for a, b in moves], "wiki string, rd_from int, rd_namespace int, rd_title string")
+    starts = spark.createDataFrame([("w", 0, "P{}".format(i)) for i in (0, 5, 13, 14, 17, 18, 50)], "wiki string, ns_id int, db_title string")
+    got = {r.db_title: r.page_id for r in changes.chase_redirects(starts, page, redirect).collect()}
+    assert got == {"P0": 12, "P5": 12, "P13": 13, "P14": 16, "P17": 17, "P18": 18, "P50": None}
