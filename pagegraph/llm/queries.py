@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe, jaccard, mixing, neardup, ppm, sharding, substring, topk, toxicity, warc
+from pagegraph.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 from pagegraph.session import ensure_checkpoint_dir
 
 #: name of the vocabulary file of ``op3`` and of the pipeline
@@ -109,5 +110,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
     "op10_ppm": op10_ppm,
 }
-
-ORACLES: dict[str, str] = {}
