@@ -16,6 +16,24 @@ from pagegraph.session import checkpointed
 _ROW_BITS = 33
 
 
+#: bytes of rows that reach a Python worker at once
+ARROW_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, for a session whose Arrow batches hold ``ARROW_BYTES`` at most.
+
+    The usual bound on the rows of a batch lets long texts fill a worker; this one bounds bytes. A
+    smaller bound of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, "64m").lower().rstrip("b")
+    number, unit = int(held.rstrip("kmgtp")), 1 << (10 * (" kmgtp".find(held[-1:]) if held[-1:].isalpha() else 0))
+    if number <= 0 or number * unit > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def ordered(df: DataFrame, *order: str | Column) -> DataFrame:
     """Globally sorted frame in the shared checkpoint folder; equal keys may span partitions."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -120,7 +138,7 @@ class Forest:
 class WordKeys(dict):
     """64-bit key of a word, kept for words met before; emptied when it grows past ``most``."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import Forest, WordKeys, components, gram_keys, mixed, words_of
+from pagegraph.llm.common import Forest, WordKeys, components, gram_keys, in_small_batches, mixed, words_of
 from pagegraph.session import checkpointed, ensure_checkpoint_dir
 
 #: words of a gram; the similarity as a fraction
 GRAM, NEAR, OF = 5, 4, 5
 #: text a task packs together; grams a bucket gets on average; grams of one join task
-BATCH_BYTES, BUCKET_GRAMS, JOIN_GRAMS = 8 << 20, 2_000_000, 1_000_000
+BATCH_BYTES, BUCKET_GRAMS, JOIN_GRAMS = 4 << 20, 2_000_000, 1_000_000
 #: grams of a tree node
 PIECE = 32
 
@@ -159,7 +159,7 @@ def gram_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     def gather(table: pa.Table) -> pa.Table:
         return _tables(_assembled(table), SETS)
 
-    sent = rows.mapInArrow(send, _SENT)
+    sent = in_small_batches(rows).mapInArrow(send, _SENT)
     back = sent.groupBy("bucket").applyInArrow(meet, _BACK)
     return back.groupBy("batch").applyInArrow(gather, SETS)
 

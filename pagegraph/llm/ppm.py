@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import WordKeys, words_of
+from pagegraph.llm.common import WordKeys, in_small_batches, words_of
 from pagegraph.session import checkpointed, ensure_checkpoint_dir
 
 #: bytes of the longest context, and the most contexts a model keeps (which bounds its size)
@@ -282,7 +282,7 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", fold
     """
     spark = docs.sparkSession
     held = held_out(F.col(ident), folds)
-    rows = docs.select(F.col(ident).cast("long").alias("id"), held.alias("held"), F.col(text).alias("text"))
+    rows = in_small_batches(docs).select(F.col(ident).cast("long").alias("id"), held.alias("held"), F.col(text).alias("text"))
     model = spark.sparkContext.broadcast(fit(rows.where("not held"), "text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // (10 * BUCKET_PAIRS)))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagegraph.llm.common import in_small_batches
+
 #: labelled rows of a class the index holds at most, terms of the index, examples of a block, neighbours
 EXAMPLES, TERMS, BLOCK, NEAREST = 4096, 64, 64, 16
 #: letters of a word's beginning that is a term of its own; examples a term needs
@@ -123,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     the examples, each judged by the others.
     """
     spark = docs.sparkSession
+    in_small_batches(docs)
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & trained(F.col(ident)))
     known = known.groupBy(F.col(ident).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     sizes = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
@@ -236,4 +239,4 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             cols = [*batch.columns, pa.array(scores, pa.float64()), predicted, pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return in_small_batches(rows).mapInArrow(score, schema)
