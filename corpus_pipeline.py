@@ -59,8 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
-    coded = bpe.encode_texts(docs, vocabulary_path())
-    back = bpe.decode_texts(coded, vocabulary_path())
+    back = bpe.round_trip(docs, vocabulary_path())
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("decodes_back"))
 

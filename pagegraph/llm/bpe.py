@@ -12,13 +12,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagegraph.llm.common import in_small_batches
+
 # Fixed values of the byte-level format: the split pattern, and the code points that stand for bytes
 # (printable Latin-1 for itself, the other bytes from 256 on in order).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: pieces whose ids a task remembers
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -117,19 +119,27 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, numbers)).decode("utf-8", "replace")
 
 
-def _description(df: DataFrame, path: str):
+def _shared(df: DataFrame, path: str):
     """The vocabulary file, read once on the driver; its size is that of one vocabulary, not of the data."""
     with open(path, encoding="utf-8") as file:
-        return df.sparkSession.sparkContext.broadcast(file.read())
+        return df.sparkSession.sparkContext.broadcast({"description": file.read()})
+
+
+def _built(shared) -> ByteBpe:
+    """The tokenizer of this worker; it stays with the broadcast value from task to task."""
+    state = shared.value
+    if "bpe" not in state:
+        state["bpe"] = ByteBpe(state["description"])
+    return state["bpe"]
 
 
 def encoder(df: DataFrame, path: str):
     """Column function text -> packed ids (binary). Null and empty texts give no ids."""
-    shared = _description(df, path)
+    shared = _shared(in_small_batches(df), path)
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBpe(shared.value)
+        bpe = _built(shared)
         for batch in batches:
             yield pd.Series([bpe.encode(t or "") for t in batch], dtype=object)
 
@@ -138,17 +148,31 @@ def encoder(df: DataFrame, path: str):
 
 def decoder(df: DataFrame, path: str):
     """Column function packed ids -> text. Null ids give an empty text."""
-    shared = _description(df, path)
+    shared = _shared(in_small_batches(df), path)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = ByteBpe(shared.value)
+        bpe = _built(shared)
         for batch in batches:
             yield pd.Series([bpe.decode(t or b"") for t in batch], dtype=object)
 
     return decode
 
 
+def coder(df: DataFrame, path: str):
+    """Column function text -> struct of packed ids and the text they decode to, in one pass over the rows."""
+    shared = _shared(in_small_batches(df), path)
+
+    @F.pandas_udf("token_ids binary, decoded string")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _built(shared)
+        for batch in batches:
+            ids = [bpe.encode(t or "") for t in batch]
+            yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "decoded": pd.Series([bpe.decode(i) for i in ids], dtype=object)})
+
+    return code
+
+
 def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", count: str = "n_tokens") -> DataFrame:
     """Add packed ids (little-endian unsigned 32 bit) and their number for every whole text.
 
@@ -162,3 +186,10 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "token
 def decode_texts(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """Add the text of packed ids; a column already named ``text`` is replaced."""
     return df.withColumn(text, decoder(df, path)(F.col(ids)))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids``, ``n_tokens`` and ``decoded`` in one pass; columns of these names are replaced."""
+    out = df.withColumn("_coded", coder(df, path)(F.col(text)))
+    out = out.withColumns({"token_ids": F.col("_coded.token_ids"), "decoded": F.col("_coded.decoded")}).drop("_coded")
+    return out.withColumn("n_tokens", F.floor(F.octet_length("token_ids") / 4))

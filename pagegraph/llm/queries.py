@@ -52,8 +52,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, vocabulary_path())
-    back = bpe.decode_texts(coded.drop("text"), vocabulary_path())
+    back = bpe.round_trip(docs, vocabulary_path())
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
