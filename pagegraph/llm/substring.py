@@ -10,16 +10,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import WordKeys, gram_keys, order_id, text_key, words_of
+from pagegraph.llm.common import WordKeys, gram_keys, in_small_batches, order_id, text_key, words_of
 
 #: words of a minimiser
-MINIMISER = 4
+MINIMISER = 3
 #: text packed together by a task, and text that a bucket gets on average
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _PACKED = (
-    "bucket long, ids array<long>, keys array<long>, starts array<long>, windows array<long>, text binary, "
+    "bucket long, runs binary, text binary, "
     "done_ids array<long>, done_keys array<long>, done_from array<long>, done_to array<long>"
 )
 SPANS = "id long, text_key long, span_from long, span_to long"
@@ -43,13 +43,13 @@ def super_kmers(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
     return first, np.diff(np.append(first, len(least))), least[first]
 
 
-def window_keys(keys: np.ndarray, width: int) -> np.ndarray:
-    """Key of every window: a sum of word keys times powers of an odd base, modulo 2**64."""
-    n = len(keys)
+def window_keys(data: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Key of every byte range: a sum of bytes times powers of an odd base, modulo 2**64."""
+    n = len(data)
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     down = np.cumprod(np.full(n, inverse))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * down)])
-    return (sums[width:] - sums[:-width]) * np.cumprod(np.full(n - width + 1, _BASE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down)])
+    return (sums[highs] - sums[lows]) * np.cumprod(np.full(n, _BASE))[lows]
 
 
 def _pack(docs: list, width: int, buckets: int, words: WordKeys) -> Iterator[dict]:
@@ -77,7 +77,7 @@ def _pack(docs: list, width: int, buckets: int, words: WordKeys) -> Iterator[dic
                 done.append((ident, key, s, s + n + width - 1))
                 continue
             parts.setdefault(home, []).append((ident, key, s, n, piece))
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     if done and not parts:
         parts[0] = []
     for home, runs in parts.items():
@@ -85,7 +85,7 @@ def _pack(docs: list, width: int, buckets: int, words: WordKeys) -> Iterator[dic
         late = list(zip(*done, strict=True)) or [()] * 4
         done = []
         yield {
-            "bucket": home, "ids": cols[0], "keys": cols[1], "starts": cols[2], "windows": cols[3], "text": squeeze.compress(b" ".join(cols[4])),
+            "bucket": home, "runs": squeeze.compress(np.array(cols[:4], np.int64).tobytes()), "text": squeeze.compress(b" ".join(cols[4])),
             "done_ids": late[0], "done_keys": late[1], "done_from": late[2], "done_to": late[3],
         }
 
@@ -109,53 +109,54 @@ def _merged(ids, keys, starts, ends) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in cols], schema=_arrow(SPANS))
 
 
-def _repeats(table: pa.Table, width: int, words: WordKeys) -> pa.Table:
-    """Spans of a bucket's windows that also start earlier, and the batch's finished spans.
+def _repeats(table: pa.Table, width: int) -> pa.Table:
+    """Spans of a bucket's windows that also start earlier, and the batches' finished spans.
 
     Windows are sorted by key; in a run of equal keys the smallest (id, start) stays. Each window of
     such a run is compared as text with the one that stays; should texts differ under one key, the run is
     counted by its texts.
     """
     unpack = zstandard.ZstdDecompressor()
-    texts, keys, ids, hashes, starts, lows, highs, owner = [], [], [], [], [], [], [], []
+    texts, parts = [], []
     for k in range(table.num_rows):
-        counts = np.asarray(table["windows"][k].values)
-        if not len(counts):
-            texts.append(b"")
+        runs = np.frombuffer(unpack.decompress(table["runs"][k].as_py()), np.int64).reshape(4, -1)
+        ids, hashes, starts, counts = runs
+        texts.append(unpack.decompress(table["text"][k].as_py()))
+        if not runs.shape[1]:
             continue
-        text = unpack.decompress(table["text"][k].as_py())
-        own = text.split(b" ")
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        data = np.frombuffer(texts[-1], np.uint8)
+        gaps = np.flatnonzero(data == 32)
+        low, high = np.append(0, gaps + 1), np.append(gaps, len(data))
         shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(np.cumsum(counts + width - 1) - (counts + width - 1), counts) + shift
-        keys.append(window_keys(words.of(own), width)[at])
-        ids.append(np.repeat(np.asarray(table["ids"][k].values), counts))
-        hashes.append(np.repeat(np.asarray(table["keys"][k].values), counts))
-        starts.append(np.repeat(np.asarray(table["starts"][k].values), counts) + shift)
-        lows.append(np.where(at > 0, ends[at - 1], 0))
-        highs.append(ends[at + width - 1] - 1)
-        owner.append(np.full(len(at), len(texts)))
-        texts.append(text)
+        lows, highs = low[at], high[at + width - 1]
+        keys = window_keys(data, lows, highs)
+        parts.append((keys, np.repeat(ids, counts), np.repeat(hashes, counts), np.repeat(starts, counts) + shift, lows, highs, np.full(len(at), k)))
     done = [np.concatenate([np.zeros(0, np.int64), *(np.asarray(v.values) for v in table[c] if len(v.values))]) for c in ("done_ids", "done_keys", "done_from", "done_to")]
-    if not keys:
+    if not parts:
         return _merged(*done)
-    keys, ids, hashes, starts, lows, highs, owner = map(np.concatenate, (keys, ids, hashes, starts, lows, highs, owner))
+    keys, ids, hashes, starts, lows, highs, owner = map(np.concatenate, zip(*parts, strict=True))
     order = np.argsort(keys)
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
+    same = keys[order[1:]] == keys[order[:-1]]
     many = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     many = many[np.lexsort((starts[many], ids[many], keys[many]))]
-    gone = np.zeros(len(many), bool)
-    head, key, seen = None, None, {}
-    spots = zip(keys[many].tolist(), ids[many].tolist(), starts[many].tolist(), owner[many].tolist(), lows[many].tolist(), highs[many].tolist(), strict=True)
-    for n, (now, ident, start, k, a, b) in enumerate(spots):
-        piece = texts[k][a:b]
-        if now != key:
-            key, head, seen = now, piece, {piece: (ident, start)}
-        if piece == head:
-            gone[n] = seen[piece] != (ident, start)
-        else:
-            gone[n] = seen.setdefault(piece, (ident, start)) != (ident, start)
+    first = np.concatenate([[True], keys[many[1:]] != keys[many[:-1]]]) if len(many) else np.zeros(0, bool)
+    head = many[np.maximum.accumulate(np.where(first, np.arange(len(many)), 0))] if len(many) else many
+    gone = (ids[many] != ids[head]) | (starts[many] != starts[head])
+
+    def pieces(at):
+        return [texts[k][a:b] for k, a, b in zip(owner[at].tolist(), lows[at].tolist(), highs[at].tolist(), strict=True)]
+
+    check = np.flatnonzero(~first)
+    for start in range(0, len(check), 100_000):
+        some = check[start : start + 100_000]
+        differ = [n for n, x, y in zip(some.tolist(), pieces(many[some]), pieces(head[some]), strict=True) if x != y]
+        for n in {int(np.searchsorted(np.flatnonzero(first), n, side="right")) for n in differ}:
+            begin, end = np.append(np.flatnonzero(first), len(many))[n - 1 : n + 1]
+            seen: dict[bytes, tuple[int, int]] = {}
+            for m, piece in zip(range(begin, end), pieces(many[begin:end]), strict=True):
+                spot = (int(ids[many[m]]), int(starts[many[m]]))
+                gone[m] = seen.setdefault(piece, spot) != spot
     many = many[gone]
     late = [ids[many], hashes[many], starts[many], starts[many] + width]
     return _merged(*(np.concatenate(pair) for pair in zip(done, late, strict=True)))
@@ -201,9 +202,9 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
         yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        return _repeats(table, width, WordKeys())
+        return _repeats(table, width)
 
-    return rows.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, SPANS)
+    return in_small_batches(rows).mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, SPANS)
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:

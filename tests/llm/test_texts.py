@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -100,13 +101,8 @@ def test_substring_edges(spark, rows):
 
 
 def test_windows_with_one_key_and_two_texts_are_told_apart(monkeypatch):
-    class Same(substring.WordKeys):
-        def of(self, words):
-            return np.full(len(words), 5, np.uint64)
-
+    monkeypatch.setattr(substring, "window_keys", lambda data, lows, highs: np.full(len(lows), 5, np.uint64))
     docs = [(1, 0, [b"a"] * 20), (2, 0, [b"b"] * 20), (3, 0, [b"a"] * 19 + [b"b"]), (4, 0, [b"b"] * 20)]
-    packed = [row for d in docs for row in substring._pack([d], 20, 1, Same())]
-    import pyarrow as pa
-
-    found = substring._repeats(pa.Table.from_pylist(packed, schema=substring._arrow(substring._PACKED)), 20, Same())
+    packed = [row for d in docs for row in substring._pack([d], 20, 1, substring.WordKeys())]
+    found = substring._repeats(pa.Table.from_pylist(packed, schema=substring._arrow(substring._PACKED)), 20)
     assert found.to_pylist() == [{"id": 4, "text_key": 0, "span_from": 0, "span_to": 20}]
