@@ -8,17 +8,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.llm.common import WordKeys, in_small_batches, words_of
 from pagegraph.session import checkpointed, ensure_checkpoint_dir
 
-#: bytes of the longest context, and the most contexts a model keeps (which bounds its size)
-ORDER, CONTEXTS = 5, 65_536
+#: bytes of the longest context
+ORDER = 5
 #: text a task counts or packs together, grams a task holds before it passes them on, pairs of a bucket
 BATCH_BYTES, HELD_GRAMS, BUCKET_PAIRS = 4 << 20, 2_000_000, 1_000_000
+#: text whose grams a bucket gets on average
+GRAM_BYTES = 16 << 20
+#: a prime that spreads grams over buckets, alike in numpy and in Spark
+SPREAD = 1_000_003
 #: the byte that ends a text; it is white space, so no word holds it
 END = 10
 #: key of the end as a token of the base
@@ -51,6 +56,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def grams_of(texts: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The string of ``order`` + 1 bytes that ends at each predicted byte, and the number of them per text."""
+    data, places, sizes = streams(texts, order)
+    gram = np.zeros(len(data), np.int64)
+    for back in range(order, -1, -1):
+        gram <<= 8
+        gram[order:] |= data[order - back : len(data) - back]
+    return gram[places], sizes
+
+
 def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     """How often each string of ``order`` + 1 bytes ends at a predicted byte: ``gram, n``, over all rows."""
 
@@ -59,11 +74,7 @@ def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> Data
         held, size = [], 0
 
         def add(keys, counts):
-            data, places, _ = streams(held, order)
-            gram = np.zeros(len(places), np.int64)
-            for back in range(order, -1, -1):
-                gram = (gram << 8) | data[places - back]
-            new, n = np.unique(gram, return_counts=True)
+            new, n = np.unique(grams_of(held, order)[0], return_counts=True)
             return _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
 
         for batch in batches:
@@ -84,13 +95,13 @@ def gram_counts(docs: DataFrame, text: str = "text", order: int = ORDER) -> Data
     return docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int = CONTEXTS) -> dict:
+def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int | None = None) -> dict:
     """Model of all rows: the bytes that followed each kept context, and how often, as plain arrays.
 
-    Counts cover every byte of every row. Kept are the contexts seen most often, in all orders together
-    at most ``contexts``: the least count is the smallest one that so many contexts reach. A context's
-    shorter suffixes are seen at least as often, so the kept ones form a tree. Only their rows reach the
-    driver: at most ``contexts * 256`` counts.
+    For small frames only, since its rows reach the driver; ``score_texts`` does not use it. Counts cover
+    every byte of every row. With ``contexts`` the contexts seen most often are kept, in all orders
+    together at most so many: the least count is the smallest one that so many contexts reach. A
+    context's shorter suffixes are seen at least as often, so the kept ones form a tree.
     """
     grams = checkpointed(gram_counts(docs, text, order))
     # (order, context, next byte) of every context length; one gram gives order + 1 of them
@@ -101,15 +112,18 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, contexts: int =
     rows = rows.select("k", F.shiftright("gram", 8).bitwiseAND(mask).alias("context"), "byte", "n")
     rows = checkpointed(rows.groupBy("k", "context", "byte").agg(F.sum("n").alias("n")))
     totals = checkpointed(rows.groupBy("k", "context").agg(F.sum("n").alias("seen")))
-    # contexts per count, in steps of a 64th of a doubling: a few thousand rows whatever the input
-    steps = totals.groupBy(F.floor(F.log2("seen") * 64).alias("step")).count().collect()
-    reached, least = 0, None
-    for step, count in sorted(((r[0], r[1]) for r in steps), reverse=True):
-        if reached + count > contexts:
-            break
-        reached, least = reached + count, step
-    kept = totals.where(F.floor(F.log2("seen") * 64) >= F.lit(least if least is not None else 1 << 30)).drop("seen")
-    few = rows.join(kept, ["k", "context"]).select(F.col("k").cast("tinyint").alias("k"), "context", F.col("byte").cast("smallint").alias("byte"), "n")
+    few = rows
+    if contexts is not None:
+        # contexts per count, in steps of a 64th of a doubling: a few thousand rows whatever the input
+        steps = totals.groupBy(F.floor(F.log2("seen") * 64).alias("step")).count().collect()
+        reached, least = 0, None
+        for step, count in sorted(((r[0], r[1]) for r in steps), reverse=True):
+            if reached + count > contexts:
+                break
+            reached, least = reached + count, step
+        kept = totals.where(F.floor(F.log2("seen") * 64) >= F.lit(least if least is not None else 1 << 30)).drop("seen")
+        few = rows.join(kept, ["k", "context"])
+    few = few.select(F.col("k").cast("tinyint").alias("k"), "context", F.col("byte").cast("smallint").alias("byte"), "n")
     found = few.toArrow()
     return {"order": order} | {c: found.column(c).to_numpy() for c in found.column_names}
 
@@ -183,32 +197,147 @@ def code_lengths(model: dict, texts: list[list[bytes]]) -> np.ndarray:
     return np.add.reduceat(each, np.cumsum(sizes) - sizes) if len(sizes) else each
 
 
-_SENT = (
-    "bucket long, batch long, keys binary, pairs binary, train binary, place binary, times binary, "
-    "ids array<long>, held array<boolean>, tokens array<long>, scores array<double>"
-)
-_BACK = "batch long, place binary, sums binary, known binary, ids array<long>, held array<boolean>, tokens array<long>, scores array<double>, total long, kinds long"
+def gram_values(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """log10 probability of each gram's last byte after the bytes before it: ``gram, value``.
+
+    ``grams`` has every gram asked for once, with ``n`` times it was learned, which may be 0. Estimates
+    are those of ``tables``, over all contexts. A gram that was learned needs its own context only. For
+    the others all suffixes are looked up, from the shortest to the longest: every byte that follows a
+    context also follows its suffix, so what is left out after an escape is what followed the context
+    just left, and its counts in the suffix add up per context. A key of any join or group has at most
+    256 rows: the bytes after one context, or the contexts one byte longer than it.
+    """
+
+    def suffix(k):
+        return F.col("pair").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1).cast("long"))
+
+    context = F.shiftright("pair", 8)
+    seen = grams.where("n > 0")
+    rows = {order: seen.select(F.col("gram").alias("pair"), "n")}
+    asked = {order: grams.where("n = 0").select(F.col("gram").alias("pair"))}
+    for k in range(order - 1, -1, -1):
+        rows[k] = checkpointed(rows[k + 1].groupBy(suffix(k).alias("pair")).agg(F.sum("n").alias("n")))
+        asked[k] = checkpointed(asked[k + 1].select(suffix(k).alias("pair")).distinct())
+
+    def nodes(k):
+        # per context: times seen, kinds of bytes, and the counts that these bytes have in the suffix
+        own = rows[k].select("pair", "n", F.lit(None).cast("long").alias("m"))
+        if k:
+            shorter = rows[k - 1].select(F.col("pair").alias("short"), F.col("n").alias("m"))
+            own = rows[k].withColumn("short", suffix(k - 1)).join(shorter, "short").select("pair", "n", "m")
+        return own.groupBy(context.alias("context")).agg(F.sum("n").alias("seen"), F.count("*").alias("kinds"), F.sum("m").alias("gone"))
+
+    level = None
+    for k in range(order + 1):
+        now = asked[k].join(rows[k], "pair", "left").withColumn("context", context).join(nodes(k), "context", "left").drop("context")
+        if k:
+            lower = level.select(F.col("pair").alias("short"), *(F.col(c).alias("low_" + c) for c in ("n", "seen", "kinds", "escaped", "value")))
+            now = now.withColumn("short", suffix(k - 1)).join(lower, "short").drop("short")
+            bottom, left = 2 * (F.col("low_seen") - F.col("gone")), F.col("low_kinds") - F.col("kinds")
+            hit = F.log10((2 * F.col("low_n") - 1) / bottom)
+            on = F.when(left > 0, F.log10(left / bottom)).otherwise(0.0) + F.col("low_escaped")
+            escaped, unseen = F.when(F.col("low_n").isNotNull(), hit).otherwise(on), F.col("low_value")
+        else:
+            escaped, unseen = -F.log10(F.greatest(256 - F.col("kinds"), F.lit(1)).cast("double")), F.lit(-math.log10(256))
+        now = now.withColumn("escaped", F.when(F.col("seen").isNotNull() & F.col("n").isNull(), escaped))
+        fresh = F.when(F.col("n").isNotNull(), F.log10((2 * F.col("n") - 1) / (2 * F.col("seen"))))
+        fresh = fresh.otherwise(F.log10(F.col("kinds") / (2 * F.col("seen"))) + F.col("escaped"))
+        level = now.withColumn("value", F.when(F.col("seen").isNull(), unseen).otherwise(fresh))
+        level = level.select("pair", "n", "seen", "kinds", "escaped", "value")
+    total = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
+    learned = seen.select("gram", F.log10((2 * F.col("n") - 1) / (2 * total)).alias("value"))
+    return learned.union(level.select(F.col("pair").alias("gram"), "value"))
+
+
+_BATCHES = "batch long, ids array<long>, held array<boolean>, tokens array<long>, text binary"
+_WORDS = "bucket long, batch long, keys binary, pairs binary, train binary, place binary, times binary"
+_BACK = "batch long, place binary, sums binary, known binary, total long, kinds long"
+_GRAMS = "bucket long, batch long, keys binary"
+_FOUND = "batch long, bucket long, scores binary"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, known_log10 double, score double"
 
 
 def _arrow(schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()),
-        "array<double>": pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_()),
+        "array<boolean>": pa.list_(pa.bool_()),
     }
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
 
-def _send_batch(docs: list, batch: int, buckets: int, words: WordKeys, model: dict) -> Iterator[dict]:
-    """One batch of (id, held out, words): distinct words per bucket with their places and counts."""
-    scores = []
-    for start in range(0, len(docs), 512):
-        scores.extend(code_lengths(model, [d[2] for d in docs[start : start + 512]]).tolist())
-    kinds = [np.unique(np.append(words.of(own), END_KEY), return_counts=True) for _, _, own in docs]
+def _dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted grams by bucket, and the buckets in that order."""
+    home = grams % SPREAD % buckets
+    order = np.argsort(home, kind="stable")
+    return order, home[order]
+
+
+def _squeezed(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def _unpacked(cell: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell.as_py()), kind)
+
+
+def _packed(docs: list, batch: int) -> dict:
+    """One batch of (id, held out, words); the end byte is in no word, so it parts the texts."""
+    about = {"batch": batch, "ids": [d[0] for d in docs], "held": [d[1] for d in docs], "tokens": [len(d[2]) + 1 for d in docs]}
+    return about | {"text": _squeezed(bytes([END]).join(b" ".join(d[2]) for d in docs))}
+
+
+def _texts(cell: pa.Scalar) -> list[list[bytes]]:
+    """Words of a packed batch's texts."""
+    return [t.split() for t in zstandard.ZstdDecompressor().decompress(cell.as_py()).split(bytes([END]))]
+
+
+def batch_counts(batches: DataFrame) -> DataFrame:
+    """How often training texts hold each gram of any text: ``gram, n``."""
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in found:
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                gram, sizes = grams_of(_texts(text))
+                train = np.repeat(~np.array(held, bool), sizes)
+                learned, n = np.unique(gram[train], return_counts=True)
+                other = np.unique(gram[~train])
+                keys, counts = _summed(np.concatenate([keys, learned, other]), np.concatenate([counts, n, np.zeros(len(other), np.int64)]))
+                if len(keys) > HELD_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+                    keys, counts = keys[:0], counts[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
+
+    return batches.select("held", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _send_grams(texts: list[list[bytes]], batch: int, buckets: int) -> Iterator[dict]:
+    """Distinct grams of one batch per bucket."""
+    keys = np.unique(grams_of(texts)[0])
+    order, home = _dealt(keys, buckets)
+    keys = keys[order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])), len(home))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield {"bucket": int(home[a]), "batch": batch, "keys": _squeezed(np.diff(keys[a:b], prepend=0))}
+
+
+def _look_up(asked: pa.Table, values: pa.Table) -> Iterator[dict]:
+    """Values of the grams that each batch sent to a bucket, in the order sent."""
+    grams, value = values["gram"].to_numpy(), values["value"].to_numpy()
+    order = np.argsort(grams)
+    grams, value = grams[order], value[order].astype(np.float32)
+    for batch, bucket, keys in zip(asked["batch"].to_pylist(), asked["bucket"].to_pylist(), asked["keys"], strict=True):
+        at = np.searchsorted(grams, np.cumsum(_unpacked(keys, np.int64)))
+        yield {"batch": batch, "bucket": bucket, "scores": value[at].tobytes()}
+
+
+def _send_words(texts: list[list[bytes]], held: list[bool], batch: int, buckets: int, words: WordKeys) -> Iterator[dict]:
+    """Distinct words of one batch per bucket with their places and counts."""
+    kinds = [np.unique(np.append(words.of(own), END_KEY), return_counts=True) for own in texts]
     keys = np.concatenate([k for k, _ in kinds])
     times = np.concatenate([n for _, n in kinds]).astype(np.uint32)
-    place = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(k) for k, _ in kinds])
-    train = np.repeat(np.array([not h for _, h, _ in docs]), [len(k) for k, _ in kinds])
+    place = np.repeat(np.arange(len(texts), dtype=np.uint16), [len(k) for k, _ in kinds])
+    train = np.repeat(~np.array(held, bool), [len(k) for k, _ in kinds])
     order = np.argsort(keys, kind="stable")
     keys, times, place, train = keys[order], times[order], place[order], train[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -217,25 +346,20 @@ def _send_batch(docs: list, batch: int, buckets: int, words: WordKeys, model: di
     home = (keys[first] // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64) if buckets > 1 else np.zeros(len(first), np.int64)
     cuts = np.append(np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])), len(first))
     ends = np.append(first, len(keys))
-    about = {"ids": [d[0] for d in docs], "held": [d[1] for d in docs], "tokens": [len(d[2]) + 1 for d in docs], "scores": scores}
-    yield {"bucket": batch % buckets, "batch": batch, "keys": b"", "pairs": b"", "train": b"", "place": b"", "times": b""} | about
     for a, b in zip(cuts, cuts[1:], strict=False):
         x, y = ends[a], ends[b]
         yield {
-            "bucket": int(home[a]), "batch": batch, "keys": keys[first[a:b]].tobytes(), "pairs": pairs[a:b].tobytes(),
-            "train": learned[a:b].tobytes(), "place": place[x:y].tobytes(), "times": times[x:y].tobytes(),
+            "bucket": int(home[a]), "batch": batch, "keys": keys[first[a:b]].tobytes(), "pairs": _squeezed(pairs[a:b]),
+            "train": _squeezed(learned[a:b]), "place": _squeezed(place[x:y]), "times": _squeezed(times[x:y]),
         }
 
 
 def _meet(table: pa.Table) -> Iterator[dict]:
     """Counts of a bucket's words over all training rows, and each document's sum over them."""
 
-    def joined(name, kind):
-        cells = [np.frombuffer(c.as_buffer(), kind) for c in table[name]]
-        return cells, np.concatenate(cells)
-
-    each, keys = joined("keys", np.uint64)
-    _, train = joined("train", np.uint64)
+    each = [np.frombuffer(c.as_buffer(), np.uint64) for c in table["keys"]]
+    keys = np.concatenate(each)
+    train = np.concatenate([_unpacked(c, np.uint64) for c in table["train"]])
     names, at = np.unique(keys, return_inverse=True)
     seen = np.bincount(at, weights=train, minlength=len(names))[at]
     count = np.zeros(len(names))
@@ -243,23 +367,32 @@ def _meet(table: pa.Table) -> Iterator[dict]:
     yield {"batch": -1, "place": b"", "sums": b"", "known": b"", "total": int(count.sum()), "kinds": int((count > 0).sum())}
     start = 0
     for k, own in enumerate(each):
-        c = np.repeat(seen[start : start + len(own)], np.frombuffer(table["pairs"][k].as_buffer(), np.uint32))
+        c = np.repeat(seen[start : start + len(own)], _unpacked(table["pairs"][k], np.uint32))
         start += len(own)
-        place, times = np.frombuffer(table["place"][k].as_buffer(), np.uint16), np.frombuffer(table["times"][k].as_buffer(), np.uint32)
+        place, times = _unpacked(table["place"][k], np.uint16), _unpacked(table["times"][k], np.uint32)
         here, spot = np.unique(place, return_inverse=True)
         sums = np.bincount(spot, weights=times * np.log10(c + 0.1), minlength=len(here))
         known = np.bincount(spot, weights=times * (c > 0), minlength=len(here)).astype(np.uint32)
-        row = {n: table[n][k].as_py() for n in ("ids", "held", "tokens", "scores")}
-        yield {"batch": table["batch"][k].as_py(), "place": here.tobytes(), "sums": sums.tobytes(), "known": known.tobytes()} | row
+        yield {"batch": table["batch"][k].as_py(), "place": here.tobytes(), "sums": sums.tobytes(), "known": known.tobytes()}
 
 
-def _gather(table: pa.Table) -> Iterator[dict]:
-    """Sums of a batch's documents over all buckets."""
+def _gather(table: pa.Table, buckets: int) -> Iterator[dict]:
+    """Sums of a batch's documents over all buckets, and their texts' scores from the values of its grams."""
+
+    def cells(name, kind):
+        return np.concatenate([np.zeros(0, kind), *(np.frombuffer(c.as_buffer(), kind) for c in table[name] if c.is_valid)])
+
     about = next(k for k in range(table.num_rows) if table["ids"][k].is_valid)
-    ids, held, tokens, scores = (table[n][about].as_py() for n in ("ids", "held", "tokens", "scores"))
-    place = np.concatenate([np.frombuffer(c.as_buffer(), np.uint16) for c in table["place"]])
-    sums = np.bincount(place, np.concatenate([np.frombuffer(c.as_buffer(), np.float64) for c in table["sums"]]), len(ids))
-    known = np.bincount(place, np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table["known"]]), len(ids))
+    ids, held, tokens = (table[n][about].as_py() for n in ("ids", "held", "tokens"))
+    place = cells("place", np.uint16)
+    sums = np.bincount(place, cells("sums", np.float64), len(ids))
+    known = np.bincount(place, cells("known", np.uint32), len(ids))
+    gram, sizes = grams_of(_texts(table["text"][about]))
+    names, at = np.unique(gram, return_inverse=True)
+    back = sorted((table["bucket"][k].as_py(), k) for k in range(table.num_rows) if table["scores"][k].is_valid)
+    value = np.zeros(len(names))
+    value[_dealt(names, buckets)[0]] = np.concatenate([np.frombuffer(table["scores"][k].as_buffer(), np.float32) for _, k in back])
+    scores = np.add.reduceat(value[at], np.cumsum(sizes) - sizes).tolist()
     for i, h, n, k, s, score in zip(ids, held, tokens, known.tolist(), sums.tolist(), scores, strict=True):
         yield {"id": i, "held_out": h, "n_tokens": n, "n_known": int(k), "known_log10": s, "score": score}
 
@@ -274,48 +407,67 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", fold
     ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Words are lower-cased in A-Z;
     tokens are the words, then one end. ``base_score`` adds ``log10((c + 0.1) / (N + 0.1 * (V + 1)))``;
     ``score`` is the log10 probability of the words joined by one space, and their end, under the
-    byte model of ``fit``. Null and blank texts are the end alone. Repeated rows count as often as they
+    byte model of ``gram_values``, with every context of the training rows. Null and blank texts are the end alone. Repeated rows count as often as they
     stand; an empty frame gives no rows. Without training rows all bytes are equally likely.
 
     A task packs the distinct words of a batch per bucket; the bucket adds their counts over all batches
-    and returns each batch's sums. Words are told apart by 64 bits of a hash.
+    and returns each batch's sums. Words are told apart by 64 bits of a hash. The distinct grams of the
+    batch are packed likewise; they are counted into a table, which meets them again in buckets, and the
+    values come back to the batch's texts. No model is collected or broadcast.
     """
     spark = docs.sparkSession
     held = held_out(F.col(ident), folds)
     rows = in_small_batches(docs).select(F.col(ident).cast("long").alias("id"), held.alias("held"), F.col(text).alias("text"))
-    model = spark.sparkContext.broadcast(fit(rows.where("not held"), "text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // (10 * BUCKET_PAIRS)))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own, size = WordKeys(), [], 0
-        batch_id = TaskContext.get().partitionId() << 32
-
-        def flush(batch_id):
-            return _tables(_send_batch(own, batch_id, buckets, words, model.value), _SENT).to_batches(max_chunksize=256)
+    buckets, gram_buckets = max(1, -(-size // (10 * BUCKET_PAIRS))), max(1, -(-size // GRAM_BYTES))
 
-        for batch in batches:
+    def pack(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size, batch_id = [], 0, TaskContext.get().partitionId() << 32
+        for batch in found:
             for i, h, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = cell.as_py() or ""
                 own.append((i, h, words_of(raw, lower=True)))
                 size += len(raw)
                 if size >= BATCH_BYTES or len(own) >= 1 << 16:
-                    yield from flush(batch_id)
+                    yield from _tables(iter([_packed(own, batch_id)]), _BATCHES).to_batches()
                     batch_id, own, size = batch_id + 1, [], 0
         if own:
-            yield from flush(batch_id)
+            yield from _tables(iter([_packed(own, batch_id)]), _BATCHES).to_batches()
+
+    def send_words(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordKeys()
+        for batch in found:
+            for i, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                yield from _tables(_send_words(_texts(text), held, i, buckets, words), _WORDS).to_batches(max_chunksize=256)
+
+    def send_grams(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _tables(_send_grams(_texts(text), i, gram_buckets), _GRAMS).to_batches(max_chunksize=256)
 
     def meet(table: pa.Table) -> pa.Table:
         return _tables(_meet(table), _BACK)
 
+    def look_up(asked: pa.Table, values: pa.Table) -> pa.Table:
+        return _tables(_look_up(asked, values), _FOUND)
+
     def gather(table: pa.Table) -> pa.Table:
-        return _tables(_gather(table), SCORES)
+        return _tables(_gather(table, gram_buckets), SCORES)
 
     place = "{}/counts-{}".format(ensure_checkpoint_dir(spark), uuid.uuid4().hex)
-    rows.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(meet, _BACK).write.parquet(place)
-    back = spark.read.parquet(place)
+    rows.mapInArrow(pack, _BATCHES).write.parquet(place + "/batches")
+    batches = spark.read.parquet(place + "/batches")
+    sent = batches.select("batch", "held", "text").mapInArrow(send_words, _WORDS)
+    sent.groupBy("bucket").applyInArrow(meet, _BACK).write.parquet(place + "/words")
+    back = spark.read.parquet(place + "/words")
     total, kinds = back.where("batch = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    sums = back.where("batch >= 0").groupBy("batch").applyInArrow(gather, SCORES)
+    values = gram_values(checkpointed(batch_counts(batches)))
+    values = values.withColumn("home", F.expr("gram % {} % {}".format(SPREAD, gram_buckets)))
+    asked = batches.select("batch", "text").mapInArrow(send_grams, _GRAMS).groupBy("bucket")
+    found = asked.cogroup(values.groupBy("home")).applyInArrow(look_up, _FOUND)
+    parts = back.where("batch >= 0").select("batch", "place", "sums", "known")
+    parts = parts.unionByName(found, allowMissingColumns=True).unionByName(batches, allowMissingColumns=True)
+    sums = parts.groupBy("batch").applyInArrow(gather, SCORES)
     share = math.log10(total + 0.1 * (kinds + 1))
     base = F.col("known_log10") - F.col("n_tokens") * share
     return sums.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

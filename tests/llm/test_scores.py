@@ -86,3 +86,17 @@ def test_scores_edges(spark, rows, monkeypatch):
     assert ppm.score_texts(df.where("false")).count() == 0
     only = ppm.score_texts(df.where("doc_id = 3")).collect()
     assert [round(r.base_score, 6) for r in only] == [round(e[5], 6) for e in brute.unigram([(3, "A a b"), (3, "A a b")])]
+
+
+def test_scores_use_every_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0 and n_chars < 4000").withColumn("held", ppm.held_out(F.col("doc_id")))
+    texts = {r.doc_id: (r.held, ppm.words_of(r.text, True)) for r in docs.collect()}
+    train = [w for h, w in texts.values() if not h]
+    ids = sorted(i for i, (h, _) in texts.items() if h)[:20] + sorted(i for i, (h, _) in texts.items() if not h)[:20]
+    got = {r.id: r.score for r in ppm.score_texts(docs).collect()}
+    assert [got[i] for i in ids] == pytest.approx(plain_ppm(train, [texts[i][1] for i in ids], ppm.ORDER), rel=1e-5)
+
+
+def test_scores_without_training_rows(spark):
+    df = spark.createDataFrame([(i, "a b") for i in range(100)], "doc_id long, text string").where(ppm.held_out(F.col("doc_id")))
+    assert {round(r.score, 4) for r in ppm.score_texts(df).collect()} == {round(-4 * math.log10(256), 4)}
