@@ -10,12 +10,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import WordKeys, gram_keys, in_small_batches, order_id, text_key, words_of
+from pagegraph.llm.common import WordKeys, gram_keys, in_small_batches, mixed, order_id, text_key, words_of
 
 #: words of a minimiser
 MINIMISER = 3
 #: text packed together by a task, and text that a bucket gets on average
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: windows of a minimiser above which they are dealt one by one, and windows a bucket of such ones gets on average
+HEAVY = 100_000
+#: minimisers a counting task holds before it passes them on
+HELD_MINIMISERS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _PACKED = (
@@ -52,9 +56,68 @@ def window_keys(data: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.nda
     return (sums[highs] - sums[lows]) * np.cumprod(np.full(n, _BASE))[lows]
 
 
-def _pack(docs: list, width: int, buckets: int, words: WordKeys) -> Iterator[dict]:
+def _run_counts(docs: list, width: int, words: WordKeys) -> tuple[np.ndarray, np.ndarray]:
+    """Windows per minimiser of one batch of texts; runs that are equal by a hash count once."""
+    names, least, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for own in docs:
+        if len(own) >= width:
+            keys = words.of(own)
+            first, n, mark = super_kmers(keys, width)
+            windows = gram_keys(keys, width)
+            names.append(mixed(windows[first]) + windows[first + n - 1] + n.astype(np.uint64))
+            least.append(mark)
+            counts.append(n)
+    _, once = np.unique(np.concatenate(names), return_index=True)
+    return _totals(np.concatenate(least)[once], np.concatenate(counts)[once])
+
+
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, at = np.unique(keys, return_inverse=True)
+    return names, np.bincount(at, counts, len(names)).astype(np.int64)
+
+
+def heavy_minimisers(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """Minimisers of more than ``HEAVY`` windows, sorted, and the buckets that their windows need.
+
+    There is at most one per ``HEAVY`` windows of the input.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = WordKeys(), [], 0
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def add():
+            new, n = _run_counts(held, width, words)
+            return _totals(np.concatenate([keys, new]), np.concatenate([counts, n]))
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["minimiser", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                raw = text.as_py()
+                held.append(words_of(raw))
+                size += len(raw)
+                if size >= BATCH_BYTES:
+                    keys, counts = add()
+                    held, size = [], 0
+            if len(keys) > HELD_MINIMISERS:
+                yield row()
+                keys, counts = keys[:0], counts[:0]
+        if held:
+            keys, counts = add()
+        yield row()
+
+    found = texts.mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).toArrow()
+    total = int(found["n"].to_numpy().sum()) if found.num_rows else 0
+    return np.sort(found["minimiser"].to_numpy().astype(np.int64).view(np.uint64)), -(-total // HEAVY)
+
+
+def _pack(docs: list, width: int, buckets: int, words: WordKeys, heavy: np.ndarray | None = None, more: int = 1) -> Iterator[dict]:
     """Packed rows per bucket of one batch of (id, text key, words), ids rising.
 
+    Windows of a ``heavy`` minimiser go one by one to ``more`` further buckets, by minimiser and window.
+
     Of equal super-k-mers of a batch only the first travels; the words of later ones are known to be
     repeats and leave as finished spans.
     """
@@ -66,11 +129,18 @@ def _pack(docs: list, width: int, buckets: int, words: WordKeys) -> Iterator[dic
             continue
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
         text = b" ".join(own)
-        starts, counts, least = super_kmers(words.of(own), width)
+        keys = words.of(own)
+        starts, counts, least = super_kmers(keys, width)
+        homes = (least % np.uint64(buckets)).astype(np.int64)
+        if heavy is not None and (split := np.isin(least, heavy)).any():
+            each = np.where(split, counts, 1)
+            shift = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            starts, least, homes, split = (np.repeat(x, each) for x in (starts, least, homes, split))
+            starts, counts = starts + shift, np.where(split, 1, np.repeat(counts, each))
+            homes[split] = buckets + (mixed(least[split] + gram_keys(keys, width)[starts[split]]) % np.uint64(more)).astype(np.int64)
         low = np.where(starts > 0, ends[starts - 1], 0)
         high = ends[starts + counts + width - 2] - 1
-        homes = (least % np.uint64(buckets)).tolist()
-        for s, n, a, b, home in zip(starts.tolist(), counts.tolist(), low.tolist(), high.tolist(), homes, strict=True):
+        for s, n, a, b, home in zip(starts.tolist(), counts.tolist(), low.tolist(), high.tolist(), homes.tolist(), strict=True):
             piece = text[a:b]
             known = first.setdefault(piece, (ident, s))
             if known is not None and known != (ident, s):
@@ -171,12 +241,14 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
 
     A task cuts its documents into super-k-mers and sends each, packed with others, to the bucket of its
     minimiser; equal windows share it, so they meet there. The number of buckets follows the bytes of
-    text.
+    text. Minimisers of many windows, counted beforehand, are dealt by minimiser and window instead: equal
+    windows still meet.
     """
     rows = docs.select(order_id(F.col(ident)).alias("id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).where("text is not null")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-3 * size // BUCKET_BYTES))
     packed = _arrow(_PACKED)
+    heavy, more = heavy_minimisers(in_small_batches(rows).select("text"), width)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = WordKeys(), [], 0
@@ -184,7 +256,7 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
         def flush():
             held.sort(key=lambda d: (d[0], d[1]))
             out = []
-            for row in _pack(held, width, buckets, words):
+            for row in _pack(held, width, buckets, words, heavy, more):
                 out.append(row)
                 if len(out) == 64:
                     yield pa.RecordBatch.from_pylist(out, schema=packed)

@@ -106,3 +106,30 @@ def test_windows_with_one_key_and_two_texts_are_told_apart(monkeypatch):
     packed = [row for d in docs for row in substring._pack([d], 20, 1, substring.WordKeys())]
     found = substring._repeats(pa.Table.from_pylist(packed, schema=substring._arrow(substring._PACKED)), 20)
     assert found.to_pylist() == [{"id": 4, "text_key": 0, "span_from": 0, "span_to": 20}]
+
+
+def test_windows_of_a_frequent_minimiser_are_split(spark, rows, monkeypatch):
+    monkeypatch.setattr(substring, "BATCH_BYTES", 500)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 30)
+    rng = random.Random(3)
+    # words around one phrase differ, so that one minimiser gets a run of each text; some texts are copies
+    data = [(i, " ".join(["v%d" % rng.randrange(10**6) for _ in range(19)] + ["a b c"] + ["v%d" % rng.randrange(10**6) for _ in range(19)])) for i in range(80)]
+    data += [(100 + i, data[i][1]) for i in range(0, 80, 3)]
+    words = substring.WordKeys()
+
+    def key(start):
+        return substring.gram_keys(words.of([start.encode(), b"b", b"c"]), 3)[0]
+
+    start = min(("p%d" % k for k in range(3000)), key=key)
+    phrase = key(start)
+    data = [(i, t.replace(" a b c ", " %s b c " % start)) for i, t in data]
+    least = [substring.super_kmers(words.of(substring.words_of(t)), 20)[2] for _, t in data]
+    assert sum(phrase in x for x in least) > 10
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(substring, "HEAVY", 40)
+    heavy, more = substring.heavy_minimisers(df.select("text"), 20)
+    assert phrase in heavy and more > 1
+    packed = substring._pack([(i, 0, substring.words_of(t)) for i, t in data], 20, 1, words, heavy, more)
+    assert len({row["bucket"] for row in packed}) > 2
+    got = rows(substring.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)))
+    assert sorted(got) == brute.substring_dedup(data)
