@@ -353,10 +353,11 @@ def similar_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     sets = spark.read.parquet(place)
     some = sets.where("grams is not null")
     heads = some.where("mark is not null").groupBy("mark").agg(F.min("id").alias("head"))
-    copies = some.join(heads, "mark").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    copies = some.join(heads, "mark").select(F.col("id").alias("a"), F.col("head").alias("b"), F.col("mark").alias("same"))
     copies = checkpointed(copies.where("a <> b").distinct())
     first = "slice(grams, 1, cast(n - ceil({0} * n / {1}) + 1 - single as int))".format(NEAR, OF)
-    alone = some.join(copies.select("a").distinct(), F.col("id") == F.col("a"), "left_anti")
+    # by row: another text of the id stays
+    alone = some.join(copies, (F.col("id") == F.col("a")) & (F.col("mark") == F.col("same")), "left_anti")
     early = checkpointed(alone.select("id", F.explode(F.expr(first)).alias("gram")))
     low = early.groupBy("gram").agg(F.min("id").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
     blocks = components(early.join(low, "gram").where("id <> b").select(F.col("id").alias("a"), "b"))
@@ -371,7 +372,7 @@ def similar_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -
     key = F.when(small, F.expr("pmod(xxhash64(block), {})".format(tasks))).otherwise(F.col("block"))
     dealt = placed.select(small.alias("small"), key.alias("task"), "part", "block", "id", "n", "grams")
     links = checkpointed(dealt.groupBy("small", "task", "part").applyInArrow(_join_blocks, "a long, b long"))
-    edges = copies.union(links)
+    edges = copies.select("a", "b").union(links)
     large = parts.where("parts > 1")
     if not large.isEmpty():
         edges = edges.union(_visits(placed.where("parts > 1"), early, edges))

@@ -133,3 +133,10 @@ def test_windows_of_a_frequent_minimiser_are_split(spark, rows, monkeypatch):
     assert len({row["bucket"] for row in packed}) > 2
     got = rows(substring.remove_repeats(df).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)))
     assert sorted(got) == brute.substring_dedup(data)
+
+
+def test_other_text_of_a_copied_id_keeps_its_links(spark):
+    x, y = (["%s%d" % (c, i) for i in range(60)] for c in "xy")
+    data = [(1, " ".join(x)), (2, " ".join(x)), (2, " ".join(y)), (3, " ".join(y[:59]))]
+    groups = jaccard.similar_groups(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {(r.id, r.component_id) for r in groups.collect()} == {(1, 1), (2, 1), (3, 1)}
