@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, jaccard, mixing, neardup, ppm, sharding, substring, topk, toxicity, warc
+from pagegraph.llm import bpe, infill, jaccard, mixing, neardup, ppm, sharding, substring, topk, toxicity, warc
 from pagegraph.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 from pagegraph.session import ensure_checkpoint_dir
 
@@ -97,6 +97,14 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, and rebuilt from that."""
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return cut.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
@@ -108,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_substring": op9_substring,
     "op10_ppm": op10_ppm,
+    "op11_infill": op11_infill,
 }
