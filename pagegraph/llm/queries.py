@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, infill, jaccard, mixing, neardup, ppm, sharding, substring, topk, toxicity, warc
+from pagegraph.llm import bpe, infill, jaccard, mixing, neardup, nearest, ppm, sharding, substring, topk, toxicity, warc
 from pagegraph.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 from pagegraph.session import ensure_checkpoint_dir
 
@@ -105,6 +105,13 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every query vector, from a written graph index of all vectors."""
+    vectors, folder = table(spark, sf_dir, "embeddings"), scratch(spark, "graph")
+    nearest.build_index(vectors, keep=11).write.parquet(folder)
+    return nearest.search_index(spark.read.parquet(folder), vectors.where("vec_id % 100 = 0"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
@@ -117,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
     "op10_ppm": op10_ppm,
     "op11_infill": op11_infill,
+    "op12_nearest": op12_nearest,
 }
