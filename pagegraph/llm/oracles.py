@@ -51,6 +51,27 @@ c AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[le
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
 
+# crc32 bit by bit over the ASCII digits of an id (fixed polynomial)
+_CRC = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, d: list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+PREFIX_TRIE = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, 0 AS part, t.ord, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.ord <= h UNION ALL SELECT t.conv_id, 1, t.ord, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id AND t.ord > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, list({{'r': r, 'x': x}}) OVER w AS path, x FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, ord ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT conv_id, depth, path, x FROM p UNION ALL SELECT conv_id, 0, [], '' FROM c),
+f AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM a),
+n AS (SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(len({})) AS own,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM f GROUP BY path),
+i AS (SELECT f.conv_id AS member, f.depth, n.conv_id AS id, own FROM f JOIN n ON n.path = f.path),
+k AS (SELECT up.id AS parent, up.depth, count(DISTINCT down.id) AS n_children FROM i up JOIN i down ON down.member = up.member AND down.depth = up.depth + 1 GROUP BY ALL),
+l AS (SELECT i.depth, id, own, n_children IS NULL AS leaf FROM (SELECT DISTINCT depth, id, own FROM i) i LEFT JOIN k ON k.parent = id AND k.depth = i.depth),
+s AS (SELECT depth, id, count(*) FILTER (WHERE leaf) AS n_leaves, sum(below_own) AS saved FROM
+  (SELECT DISTINCT up.depth, up.id, l.depth AS d, l.id AS below, l.leaf, l.own AS below_own FROM i up JOIN i down ON down.member = up.member AND down.depth >= up.depth JOIN l ON l.depth = down.depth AND l.id = down.id) GROUP BY ALL),
+u AS (SELECT DISTINCT down.id, down.depth, up.id AS parent_conv_id FROM i down JOIN i up ON up.member = down.member AND up.depth = down.depth - 1)
+SELECT n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM n JOIN s ON s.depth = n.depth AND s.id = n.conv_id LEFT JOIN k ON k.parent = n.conv_id AND k.depth = n.depth LEFT JOIN u ON u.id = n.conv_id AND u.depth = n.depth""".format(_CRC, _WORDS.format("x"))
+
 ORACLES = {
     "op1_topk": TOP_K,
     "op4_neardup": VECTOR_LINKS,
@@ -58,4 +79,5 @@ ORACLES = {
     "op8_warc": ARCHIVED,
     "op9_substring": WITHOUT_REPEATS,
     "op11_infill": INFILLED,
+    "op13_trie": PREFIX_TRIE,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, infill, jaccard, mixing, neardup, nearest, ppm, sharding, substring, topk, toxicity, warc
+from pagegraph.llm import bpe, infill, jaccard, mixing, neardup, nearest, ppm, sharding, substring, topk, toxicity, trie, warc
 from pagegraph.llm.oracles import ORACLES  # noqa: F401  the SQL beside the queries
 from pagegraph.session import ensure_checkpoint_dir
 
@@ -112,6 +112,11 @@ def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search_index(spark.read.parquet(folder), vectors.where("vec_id % 100 = 0"), 10)
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations with the totals of its subtrees."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
@@ -125,4 +130,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ppm": op10_ppm,
     "op11_infill": op11_infill,
     "op12_nearest": op12_nearest,
+    "op13_trie": op13_trie,
 }

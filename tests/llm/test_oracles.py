@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from conftest import SF
 from test_infill import restate, sha
+from test_trie import plain_trie
 
 from pagegraph.llm.oracles import ORACLES
 
@@ -20,13 +21,14 @@ PLAIN = {
     "op7_jaccard": lambda t: brute.shingle_classes(t("SELECT doc_id, text FROM documents")),
     "op8_warc": lambda t: brute.warc(t("SELECT page_id, html FROM pages")),
     "op11_infill": lambda t: infilled(t("SELECT doc_id, text FROM documents")),
+    "op13_trie": lambda t: plain_trie(t("SELECT conv_id, turn, role, text FROM conversations")),
     "op9_substring": lambda t: brute.substring_dedup(t("SELECT doc_id, text FROM documents")),
 }
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_equals_brute_force(name):
     con = duckdb.connect()
-    for table in ("embeddings", "documents", "pages"):
+    for table in ("embeddings", "documents", "pages", "conversations"):
         con.execute("CREATE VIEW {0} AS SELECT * FROM '{1}/{0}.parquet'".format(table, SF))
     found = sorted(con.execute(ORACLES[name]).fetchall(), key=str)
     assert found == sorted(PLAIN[name](lambda sql: con.execute(sql).fetchall()), key=str)
