@@ -8,27 +8,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagegraph.llm.common import in_small_batches
-
-#: labelled rows of a class the index holds at most, terms of the index, examples of a block, neighbours
-EXAMPLES, TERMS, BLOCK, NEAREST = 4096, 64, 64, 16
-#: letters of a word's beginning that is a term of its own; examples a term needs
-STEM, FEWEST = 4, 5
+from pagegraph.session import checkpointed
+
+#: labelled rows of a class the index holds at most, examples of a block, blocks visited first, neighbours
+EXAMPLES, BLOCK, VISIT, NEAREST = 4096, 64, 16, 16
+#: a term that more than one of this many examples hold is written out in full; texts searched together
+FREQUENT, TOGETHER = 8, 64
+#: what a term weighs at least when terms are weighed by how they go with the label
+FLOOR = 1e-4
 _WORD = re.compile(r"\w+")
-_ROUNDING = 1e-5
+_ROUNDING = 1e-9
+
+
+def words_in(text: str | None) -> list[str]:
+    """Lower-case words of a text."""
+    return _WORD.findall((text or "").lower())
+
+
+def keys_of(words) -> np.ndarray:
+    """64-bit keys of different words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def terms_of(text: str | None) -> Counter:
-    """Counts of the lower-case words of a text, and of their beginnings (marked by a caret)."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for word, n in words.items():
-        stems["^" + word[:STEM]] += n
-    return words + stems
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words of a text, and how often each occurs."""
+    words = Counter(words_in(text))
+    found = keys_of(words)
+    order = np.argsort(found)
+    return found[order], np.fromiter(words.values(), np.int64, len(words))[order]
 
 
 def trained(ident: Column, folds: int = 5) -> Column:
@@ -37,35 +50,90 @@ def trained(ident: Column, folds: int = 5) -> Column:
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples in blocks, with the greatest weight of each term per block."""
+    """Posting lists over all terms of the examples, cut at blocks of examples.
+
+    ``model["terms"]``: sorted term keys. A rare term has one run per block that holds it, ``first[t]``
+    to ``first[t + 1]``; run ``r`` belongs to ``block[r]``, its greatest weight is ``most[r]`` and its
+    postings are ``start[r]`` to ``start[r + 1]`` of ``place`` and ``weight``. The list of a term that
+    many examples hold is written out, as column ``column[t]`` of ``full`` (a row per example).
+    """
 
     def __init__(self, model: dict):
-        self.tiles, self.most = model["tiles"], model["most"]
-        self.count, self.labels, self.weights = model["count"], model["labels"], model["weights"]
+        self.terms, self.factor, self.column, self.full = model["terms"], model["factor"], model["column"], model["full"]
+        self.first, self.block, self.most, self.start = model["first"], model["block"], model["most"], model["start"]
+        self.place, self.weight, self.blocks, self.count = model["place"], model["weight"], model["blocks"], model["count"]
+        self.labels, self.weights = model["labels"], model["weights"]
+        self.visited = 0
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples, equal ones by place, and their cosines; none without a common term.
+    def vector(self, keys: np.ndarray, counts: np.ndarray, other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index among the keys, and their weights in the text's unit vector.
 
-        Blocks are visited by falling bound (term weights times their greatest in the block), and left
-        once the bound is below the k-th cosine found.
+        Words that no example holds have the factor ``other``; they add to the length alone.
+        """
+        at = np.searchsorted(self.terms, keys)
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == keys[known]
+        terms, weights = at[known], 1 + np.log(counts)
+        own = weights[known] * self.factor[terms]
+        length = np.sqrt((own**2).sum() + ((weights[~known] * other) ** 2).sum())
+        return terms, own / length if len(terms) else own
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the k most similar examples, equal ones by place, and their cosines.
+
+        Examples without a common term are never among them. The frequent terms' part of all cosines is
+        one product for the texts together. To it a block's bound adds, for each rare term, the weight
+        times the greatest weight in the block. The ``VISIT`` blocks of greatest bound are worked out
+        first, then those whose bound is not below the k-th cosine found.
         """
-        bounds = weights @ self.most[terms]
-        best, place = np.zeros(0), np.zeros(0, np.int64)
-        least = 0.0
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or bounds[block] < least - _ROUNDING:
-                break
-            score = weights @ self.tiles[block][terms]
-            at = np.flatnonzero(score >= max(least - _ROUNDING, 1e-9))
-            found = at + block * BLOCK
-            keep = (found < self.count) & (found != skip)
-            best, place = np.concatenate([best, score[at[keep]]]), np.concatenate([place, found[keep]])
-            if len(best) > k:
-                order = np.lexsort((place, -best))[:k]
-                best, place = best[order], place[order]
-                least = best[-1]
-        order = np.lexsort((place, -best))[:k]
-        return place[order], best[order]
+        frequent = np.zeros((self.full.shape[1], len(vectors)))
+        for i, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            frequent[column[column >= 0], i] = weights[column >= 0]
+        parts = np.ascontiguousarray((self.full @ frequent).T)
+        return [self._best(part, *vector, k) for part, vector in zip(parts, vectors, strict=True)]
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.column[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        begin = self.first[terms]
+        runs = self.first[terms + 1] - begin
+        before = np.cumsum(runs) - runs
+        run = np.arange(int(runs.sum())) + np.repeat(begin - before, runs)
+        own = np.repeat(weights, runs)
+        home = self.block[run]
+        edges = np.arange(0, self.count, BLOCK)
+        bounds = np.bincount(home, own * self.most[run], self.blocks).astype(float)
+        bounds[: len(edges)] += np.maximum.reduceat(score, edges) if len(edges) else 0.0
+        able = bounds > 0
+        if able.sum() > VISIT:
+            first = np.zeros(self.blocks, bool)
+            first[np.argpartition(-bounds, VISIT)[:VISIT]] = True
+            self._add(score, run, own, first[home])
+            seen = np.repeat(first, BLOCK)[: self.count]
+            some = score[seen]
+            least = np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else 0.0
+            rest = able & ~first & (bounds >= max(least, 0.0) - _ROUNDING)
+            self._add(score, run, own, rest[home])
+            able = first | rest
+        else:
+            self._add(score, run, own, np.ones(len(home), bool))
+        self.visited += int(able.sum())
+        score = np.where(np.repeat(able, BLOCK)[: self.count], score, 0.0)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            cut = score[found]
+            found = found[cut >= np.partition(cut, len(cut) - k)[len(cut) - k]]
+        top = found[np.lexsort((found, -score[found]))[:k]]
+        return top, score[top]
+
+    def _add(self, score: np.ndarray, run: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
+        """Add the postings of the chosen runs to the scores of their examples."""
+        run, own = run[chosen], own[chosen]
+        begin = self.start[run]
+        length = self.start[run + 1] - begin
+        post = np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
+        score += np.bincount(self.place[post], self.weight[post] * np.repeat(own, length), self.count)
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         """Share of label 1 among neighbours, by closeness and by how many labelled rows each stands for."""
@@ -73,34 +141,14 @@ class BlockMaxIndex:
         return float((weight * self.labels[place]).sum() / weight.sum())
 
 
-class TermLookup:
-    """Places of the index's terms; words and word beginnings are looked up apart."""
-
-    def __init__(self, index: dict[str, int]):
-        self.words = {t: i for t, i in index.items() if t[0] != "^"}
-        self.stems = {t[1:]: i for t, i in index.items() if t[0] == "^"}
-
-    def counts(self, text: str | None) -> Counter:
-        words = _WORD.findall((text or "").lower())
-        found = Counter(i for i in map(self.words.get, words) if i is not None)
-        found.update(i for i in map(self.stems.get, [w[:STEM] for w in words]) if i is not None)
-        return found
+def agreement(a: np.ndarray, b: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """How a term goes with the label: size of their correlation over the examples, 0 to 1.
 
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of the index in a text and their weights, (1 + log tf) * idf, at unit length."""
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    terms, n = np.array(sorted(counts.items())).T
-    weights = (1 + np.log(n)) * idf[terms]
-    return terms, weights / np.sqrt(weights @ weights)
-
-
-def association(a: np.ndarray, b: np.ndarray, ones: int, zeros: int) -> np.ndarray:
-    """Chi-square of term and label from the examples that hold the term, ``a`` of label 1 and ``b`` of 0."""
-    c, d, n = ones - a, zeros - b, ones + zeros
-    bottom = (a + b) * (c + d) * ones * zeros
-    return np.where(bottom > 0, n * (a * d - b * c) ** 2 / np.maximum(bottom, 1), 0.0)
+    ``a`` of the ``ones`` examples of label 1 and ``b`` of the ``zeros`` of label 0 hold the term.
+    """
+    c, d = ones - a, zeros - b
+    bottom = (a + b) * (c + d) * float(ones) * float(zeros)
+    return np.where(bottom > 0, np.abs(a * d - b * c) / np.sqrt(np.maximum(bottom, 1)), 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 50) -> tuple[float, float]:
@@ -115,17 +163,25 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 50)
     return max(0.0, float(theta[0])), float(theta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> dict:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    ident: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    examples: int = EXAMPLES,
+    by_label: bool = True,
+) -> dict:
     """Index, term weights and calibration, as plain arrays.
 
     Examples are at most ``examples`` training rows of each label, by a hash of the id: that bounds the
-    index. Its terms are the ``TERMS`` most associated with the label among them. How many documents
-    hold a term is counted over all documents. An example stands for as many labelled rows as the
-    sample takes for one, so votes keep the labels' share. The curve from votes to scores is fitted on
-    the examples, each judged by the others.
+    index. An id that stands on two rows of ``docs`` gives two examples, one on several rows of
+    ``labels`` has label 1 if one of them says so. Every word of every example is a term. Its factor is
+    log((1 + documents) / (1 + documents that hold it)) + 1, over all documents, and with ``by_label``
+    also its correlation with the label among the examples, ``FLOOR`` at least: no term is left out. An
+    example stands for as many labelled rows as the sample takes for one, so votes keep the labels'
+    share. The curve from votes to scores is fitted on the examples, each judged by the others.
     """
-    spark = docs.sparkSession
-    in_small_batches(docs)
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & trained(F.col(ident)))
     known = known.groupBy(F.col(ident).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     sizes = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
@@ -135,75 +191,130 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [terms_of(cell.as_py()) for cell in batch.column(1)]
-            cols = [batch.column(0), batch.column(3), pa.array([list(c) for c in counts], pa.list_(pa.string()))]
-            cols.append(pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "label", "terms", "counts"])
-
-    counted = texts.select("_doc", "_text", "_id", "_label").mapInArrow(count, "id long, label int, terms array<string>, counts array<long>")
-    counted = counted.persist()
-    try:
-        ones, zeros = counted.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
-        held = counted.select("label", F.explode("terms").alias("term")).groupBy("term")
-        held = held.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") + F.col("b") >= FEWEST)
-        c, d = F.lit(ones) - F.col("a"), F.lit(zeros) - F.col("b")
-        bottom = ((F.col("a") + F.col("b")) * (c + d)).cast("double")
-        chi = F.when(bottom > 0, F.pow((F.col("a") * d - F.col("b") * c).cast("double"), 2) / bottom).otherwise(0.0)
-        names = [r[0] for r in held.orderBy(F.desc(chi), "term").limit(TERMS).select("term").collect()]
-        index = {t: i for i, t in enumerate(names)}
-        few = F.map_filter(F.map_from_arrays("terms", "counts"), lambda t, n: t.isin(*names)) if names else F.create_map().cast("map<string,bigint>")
-        found = counted.select("id", "label", few.alias("few")).collect()
-        rows = sorted(((r.id, r.label, {index[t]: n for t, n in r.few.items()}) for r in found), key=lambda r: r[:2])
-    finally:
-        counted.unpersist()
-
-    shared = spark.sparkContext.broadcast(index)
+            found = [terms_of(cell.as_py()) for cell in batch.column(2)]
+            cols = [batch.column(0), batch.column(1), *(pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "keys", "counts"])
+
+    counted = in_small_batches(texts.select("_doc", "_label", "_text")).mapInArrow(count, "id long, label int, keys binary, counts binary")
+    counted = checkpointed(counted)
+    held = counted.toArrow()
+    rows = [
+        (i, y, np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64))
+        for i, y, k, n in zip(*(held.column(c).to_pylist() for c in range(4)), strict=True)
+    ]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
+    total, held_by = document_counts(docs, text, terms)
+    model = _indexed(rows, terms, np.log((1 + total) / (1 + held_by)) + 1, np.log(1 + total) + 1, sizes, by_label)
+    return _calibrated(counted, model)
+
+
+def document_counts(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of all documents, and how many hold each term; whole texts, summed by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, lookup = np.zeros(len(shared.value) + 1, np.int64), TermLookup(shared.value)
+        terms = shared.value
+        found = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             found[-1] += batch.num_rows
             for cell in batch.column(0):
-                found[list(lookup.counts(cell.as_py()))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["term", "n"])
-
-    totals = docs.select(text).mapInArrow(holders, "term long, n long").groupBy("term").agg(F.sum("n")).collect()
-    df = np.zeros(len(names) + 1)
-    for i, n in totals:
-        df[i] = n
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    return _indexed(rows, index, idf, sizes)
-
-
-def _indexed(rows: list, index: dict[str, int], idf: np.ndarray, sizes: dict[int, int]) -> dict:
-    """The model from (id, label, counts) rows: blocks of like examples, their maxima, the calibration."""
-    vectors = [vector(c, idf) for _, _, c in rows]
-    strongest = [int(t[w.argmax()]) if len(t) else len(index) for t, w in vectors]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][1], strongest[i], rows[i][0]))
-    blocks = max(1, -(-len(rows) // BLOCK))
-    tiles = np.zeros((blocks, len(index), BLOCK), np.float32)
-    for place, i in enumerate(order):
-        terms, weights = vectors[i]
-        tiles[place // BLOCK, terms, place % BLOCK] = weights
-    labels = np.array([rows[i][1] for i in order], float)
+                keys = np.sort(keys_of(set(words_in(cell.as_py()))))
+                at = np.searchsorted(terms, keys)
+                inside = at < len(terms)
+                at, keys = at[inside], keys[inside]
+                found[at[terms[at] == keys]] += 1
+        some = np.flatnonzero(found)
+        for start in range(0, len(some), 1 << 16):
+            part = some[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found[part])], names=["term", "n"])
+
+    found = in_small_batches(docs.select(text)).mapInArrow(holders, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(terms) + 1, np.int64)
+    counts[found["term"].to_numpy()] = found["n"].to_numpy()
+    return int(counts[-1]), counts[:-1]
+
+
+def _indexed(rows: list, terms: np.ndarray, idf: np.ndarray, idf_other: float, sizes: dict[int, int], by_label: bool) -> dict:
+    """Posting lists from (id, label, keys, counts) rows: like examples share blocks."""
+    labels = np.array([r[1] for r in rows], float)
+    ones, zeros = int((labels == 1).sum()), int((labels == 0).sum())
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    term = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
+    tf = 1 + np.log(np.concatenate([np.ones(0, np.int64), *(r[3] for r in rows)]))
+    factor, other = idf, float(idf_other)
+    if by_label:
+        a = np.bincount(term, labels[owner], len(terms)) if len(term) else np.zeros(len(terms))
+        b = np.bincount(term, minlength=len(terms)) - a
+        factor, other = idf * np.maximum(FLOOR, agreement(a, b, ones, zeros)), other * FLOOR
+    weight = tf * factor[term] if len(term) else tf
+    length = np.sqrt(np.bincount(owner, weight**2, len(rows)))
+    weight = weight / length[owner] if len(term) else weight
+    # blocks of like examples: by label, then by the strongest term
+    strongest = np.full(len(rows), len(terms))
+    by = np.lexsort((-weight, owner))
+    firsts = by[np.flatnonzero(np.diff(owner[by], prepend=-1))] if len(by) else by
+    strongest[owner[firsts]] = term[firsts]
+    order = np.lexsort((np.arange(len(rows)), strongest, labels))
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    posted = place[owner]
+    by = np.lexsort((posted, term))
+    term, posted, weight = term[by], posted[by], weight[by]
+    often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * FREQUENT > len(rows))
+    column = np.full(len(terms), -1, np.int32)
+    column[often] = np.arange(len(often))
+    full, rare = np.zeros((len(rows), len(often))), column[term] < 0
+    full[posted[~rare], column[term[~rare]]] = weight[~rare]
+    term, posted, weight = term[rare], posted[rare], weight[rare]
+    block = posted // BLOCK
+    heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
     seen = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
-    weights = np.array([sizes.get(int(y), 1) / seen[int(y)] for y in labels])
-    model = {
-        "index": index, "idf": idf, "ids": np.array([rows[i][0] for i in order], np.int64), "labels": labels, "weights": weights,
-        "count": len(rows), "tiles": tiles, "most": tiles.max(axis=2).T.copy(),
+    return {
+        "terms": terms, "factor": factor, "other": other, "ids": np.array([rows[i][0] for i in order], np.int64), "labels": labels[order],
+        "weights": np.array([sizes.get(int(y), 1) / seen[int(y)] for y in labels[order]]), "count": len(rows), "blocks": max(1, -(-len(rows) // BLOCK)),
+        "first": np.searchsorted(term[heads], np.arange(len(terms) + 1)), "block": block[heads],
+        "most": np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0), "start": np.append(heads, len(term)),
+        "place": posted.astype(np.int32), "weight": weight, "column": column, "full": full,
     }
-    search = BlockMaxIndex(model)
-    votes, lone = np.full(len(rows), np.nan), np.zeros(len(rows), bool)
-    for place, i in enumerate(order):
-        near, cosine = search.nearest(*vectors[i], NEAREST, skip=place) if len(vectors[i][0]) else (np.zeros(0, int), np.zeros(0))
-        lone[place] = not len(near)
-        if len(near):
-            votes[place] = search.vote(near, cosine)
+
+
+def _calibrated(counted: DataFrame, model: dict) -> dict:
+    """The model with its curve: every example is scored by the others, in Spark tasks."""
+    shared = counted.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        search, spots = BlockMaxIndex(model), {}
+        for spot, ident in enumerate(model["ids"].tolist()):
+            spots.setdefault((ident, int(model["labels"][spot])), []).append(spot)
+        for batch in batches:
+            votes = []
+            rows = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
+            for at in range(0, len(rows), TOGETHER):
+                some = rows[at : at + TOGETHER]
+                vectors = [search.vector(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64), model["other"]) for _, _, k, n in some]
+                most = max(len(spots[i, y]) for i, y, _, _ in some)
+                for (ident, label, _, _), (near, cosine) in zip(some, search.nearest(vectors, NEAREST + most), strict=True):
+                    other = ~np.isin(near, spots[ident, label])
+                    near, cosine = near[other][:NEAREST], cosine[other][:NEAREST]
+                    votes.append(search.vote(near, cosine) if len(near) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["label", "vote"])
+
+    found = counted.mapInArrow(judge, "label int, vote double").toArrow()
+    labels = found["label"].to_numpy().astype(float)
+    votes = found["vote"].to_numpy().astype(float) if found.num_rows else np.zeros(0)
+    each = {float(y): w for y, w in zip(model["labels"], model["weights"], strict=True)}
+    weights = np.array([each[y] for y in labels])
+    lone = np.isnan(votes)
+    # sums do not depend on the order in which tasks end
+    order = np.lexsort((votes, labels))
+    labels, votes, weights, lone = labels[order], votes[order], weights[order], lone[order]
     # half a row of either label is added, so that no text is certain
-    own = lone if lone.any() else np.ones(len(rows), bool)
-    model["alone"] = float(((weights * labels)[own].sum() + 0.5) / (weights[own].sum() + 1)) if len(rows) else 0.0
-    model["curve"] = logistic(votes[~lone], labels[~lone], weights[~lone]) if (~lone).any() else (0.0, 0.0)
-    return model
+    own = lone if lone.any() else np.ones(len(labels), bool)
+    alone = float(((weights * labels)[own].sum() + 0.5) / (weights[own].sum() + 1)) if len(labels) else 0.0
+    curve = logistic(votes[~lone], labels[~lone], weights[~lone]) if (~lone).any() else (0.0, 0.0)
+    return model | {"alone": alone, "curve": curve}
 
 
 ADDED = "score double, predicted int, evidence array<struct<doc_id: bigint, label: int, cosine: double>>"
@@ -212,9 +323,10 @@ ADDED = "score double, predicted int, evidence array<struct<doc_id: bigint, labe
 def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` (score of 0.5 or more) and ``evidence`` (the neighbours).
 
-    Whole texts are scored, nothing else of a row is read. Texts without a term of the index, null and
-    empty ones among them, get the share of label 1 among examples without neighbours. Without examples
-    all scores are 0. Columns of these names are replaced; rows come back one for one.
+    Whole texts are scored, nothing else of a row is read. Texts without a word of any example, null and
+    empty ones among them, get the share of label 1 among examples without neighbours (among all, where
+    each has some). Without examples all scores are 0. Columns of these names are replaced; rows come
+    back one for one. A text takes memory by its words: about 100 bytes for each different one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("score", "predicted", "evidence")
@@ -223,18 +335,19 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        search, lookup, idf, (slope, offset) = BlockMaxIndex(model), TermLookup(model["index"]), model["idf"], model["curve"]
+        search, (slope, offset) = BlockMaxIndex(model), model["curve"]
         for batch in batches:
             scores, evidence = [], []
-            for cell in batch.column(batch.schema.get_field_index(text)):
-                terms, weights = vector(lookup.counts(cell.as_py()), idf)
-                near, cosine = search.nearest(terms, weights, NEAREST) if len(terms) else ((), ())
-                if len(near):
-                    scores.append(float(1 / (1 + np.exp(-np.clip(slope * search.vote(near, cosine) + offset, -30, 30)))))
-                else:
-                    scores.append(model["alone"])
-                told = zip(model["ids"][list(near)].tolist(), model["labels"][list(near)].tolist(), map(float, cosine), strict=True) if len(near) else ()
-                evidence.append([{"doc_id": i, "label": int(y), "cosine": c} for i, y, c in told])
+            texts = batch.column(batch.schema.get_field_index(text))
+            for at in range(0, len(texts), TOGETHER):
+                vectors = [search.vector(*terms_of(cell.as_py()), model["other"]) for cell in texts[at : at + TOGETHER]]
+                for near, cosine in search.nearest(vectors, NEAREST):
+                    if len(near):
+                        scores.append(float(1 / (1 + np.exp(-np.clip(slope * search.vote(near, cosine) + offset, -30, 30)))))
+                    else:
+                        scores.append(model["alone"])
+                    told = zip(model["ids"][near].tolist(), model["labels"][near].tolist(), cosine.tolist(), strict=True)
+                    evidence.append([{"doc_id": i, "label": int(y), "cosine": c} for i, y, c in told])
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             cols = [*batch.columns, pa.array(scores, pa.float64()), predicted, pa.array(evidence, kind)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)

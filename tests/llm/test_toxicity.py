@@ -1,5 +1,10 @@
 """Toxicity: the search against all cosines, accuracy on held-out labels, edge cases."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,43 +12,79 @@ from pyspark.sql import functions as F
 from pagegraph.llm import toxicity
 from pagegraph.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.1"
+SF, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 
 
-def random_model(rng, count=300, terms=40):
-    index = {"t%d" % i: i for i in range(terms)}
-    rows = []
-    for i in range(count):
-        held = rng.choice(terms, rng.integers(0, 9), replace=False)
-        rows.append((i + 7, int(rng.integers(0, 2)), {int(t): int(rng.integers(1, 5)) for t in held}))
-    return rows, toxicity._indexed(rows, index, rng.uniform(0.5, 4, terms), {0: 900, 1: 100})
+def random_texts(rng, count, words=60, longest=12):
+    return [" ".join("w%d" % w for w in (words * rng.random(rng.integers(0, longest)) ** 2).astype(int)) for _ in range(count)]
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(4)
-    _, model = random_model(rng)
-    search = toxicity.BlockMaxIndex(model)
-    dense = np.concatenate([t.T for t in model["tiles"]])[: model["count"]]
-    for _ in range(200):
-        counts = {int(t): int(rng.integers(1, 6)) for t in rng.choice(40, rng.integers(1, 12), replace=False)}
-        terms, weights = toxicity.vector(counts, model["idf"])
-        cosine = dense[:, terms] @ weights
-        expected = np.sort(cosine[cosine > 1e-9])[::-1][:16]
-        place, found = search.nearest(terms, weights, 16)
-        assert np.allclose(found, expected, atol=1e-6)
-        assert np.allclose(cosine[place], found, atol=1e-6)
-        skipped, _ = search.nearest(terms, weights, 16, skip=int(place[0]))
-        assert place[0] not in skipped
-
-
-def test_far_blocks_are_left_out():
-    rng = np.random.default_rng(5)
-    _, model = random_model(rng)
+def plain_cosines(example_texts, labels, all_texts, queries, by_label):
+    """TF-IDF cosines of the queries and the examples, from the texts alone."""
+    counts = [Counter(re.findall(r"\w+", t.lower())) for t in all_texts]
+    held = Counter(w for c in counts for w in c)
+    examples = [Counter(re.findall(r"\w+", t.lower())) for t in example_texts]
+    n, known = len(examples), {w for c in examples for w in c}
+    ones = sum(labels)
+
+    def factor(word):
+        idf = math.log((1 + len(all_texts)) / (1 + held[word])) + 1
+        if not by_label:
+            return idf
+        a = sum(word in c for c, y in zip(examples, labels, strict=True) if y)
+        b = sum(word in c for c, y in zip(examples, labels, strict=True) if not y)
+        bottom = (a + b) * (n - a - b) * ones * (n - ones)
+        return idf * max(toxicity.FLOOR, abs(a * (n - ones - b) - b * (ones - a)) / math.sqrt(bottom) if bottom else 0)
+
+    factors = {w: factor(w) for w in known}
+    other = (math.log(1 + len(all_texts)) + 1) * (toxicity.FLOOR if by_label else 1)
+
+    def unit(c):
+        v = {w: (1 + math.log(k)) * factors.get(w, other) for w, k in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / length for w, x in v.items()}
+
+    vectors = [unit(c) for c in examples]
+    return [[sum(x * v.get(w, 0) for w, x in unit(Counter(re.findall(r"\w+", q.lower()))).items()) for v in vectors] for q in queries]
+
+
+@pytest.mark.parametrize("by_label", [True, False])
+@pytest.mark.parametrize("count", [1, 40, 700])
+def test_search_equals_brute_force_from_texts(count, by_label, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "VISIT", 3)
+    rng = np.random.default_rng(count)
+    texts = random_texts(rng, count)
+    labels = [int(y) for y in rng.random(count) < 0.3]
+    queries = random_texts(rng, 25) + ["", "strange words", texts[0], "w0 " * 50]
+    rows = [(i + 7, y, *toxicity.terms_of(t)) for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    terms = np.unique(np.concatenate([r[2] for r in rows]))
+    held = np.array([sum(t in r[2] for r in rows) for t in terms], float)
+    model = toxicity._indexed(rows, terms, np.log((1 + count) / (1 + held)) + 1, math.log(1 + count) + 1, {0: 900, 1: 100}, by_label)
     search = toxicity.BlockMaxIndex(model)
-    search.most[:, 1:] *= 1e-6
-    terms, weights = toxicity.vector({0: 1, 1: 1}, model["idf"])
-    place, cosine = search.nearest(terms, weights, 3)
-    assert len(place) == 3 and (place < toxicity.BLOCK).all()
+    expected = plain_cosines(texts, labels, texts, queries, by_label)
+    place = {i: k for k, i in enumerate(model["ids"].tolist())}
+    found = search.nearest([search.vector(*toxicity.terms_of(q), model["other"]) for q in queries], 16)
+    for (near, cosine), cosines in zip(found, expected, strict=True):
+        true = sorted((-c, place[i + 7]) for i, c in enumerate(cosines) if c > 1e-15)[:16]
+        assert np.allclose(cosine, [-c for c, _ in true], atol=1e-12)
+        assert all(abs(cosines[int(model["ids"][p]) - 7] - c) < 1e-12 for p, c in zip(near, cosine, strict=True))
+    if count == 700:
+        assert search.visited < 0.9 * len(queries) * model["blocks"]
+
+
+def test_query_neighbours_from_texts(spark, tables):
+    """Evidence of the query on the small tables is the brute-force neighbourhood."""
+    texts = dict(tables("documents", "doc_id", "text"))
+    labels = {i: y for i, y in tables("labels", "doc_id", "toxic") if y is not None and i in texts and zlib.crc32(str(i).encode()) % 5}
+    examples = sorted(labels)
+    found = {r.doc_id: r.evidence for r in QUERIES["op6_toxicity"](spark, SMALL).collect()}
+    some = sorted(texts)[::9]
+    cosines = plain_cosines([texts[i] or "" for i in examples], [labels[i] for i in examples], [t or "" for t in texts.values()], [texts[i] or "" for i in some], True)
+    for i, row in zip(some, cosines, strict=True):
+        near = {e.doc_id: e.cosine for e in found[i]}
+        assert np.allclose(sorted(near.values()), sorted(c for c in row if c > 1e-15)[-16:], atol=1e-9)
+        assert all(abs(row[examples.index(j)] - c) < 1e-9 for j, c in near.items())
 
 
 def test_held_out_accuracy(spark):
@@ -60,8 +101,8 @@ def test_held_out_accuracy(spark):
 
 
 def test_scores_do_not_use_other_columns(spark):
-    docs = spark.read.parquet(SF + "/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(SF + "/labels.parquet"))
+    docs = spark.read.parquet(SMALL + "/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(SMALL + "/labels.parquet"))
     moved = docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string"), "doc_id": F.col("doc_id") + 10**6})
     a = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
     b = {r.doc_id - 10**6: r.score for r in toxicity.score_texts(moved, model).collect()}
