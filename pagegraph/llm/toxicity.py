@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,30 +54,53 @@ def trained(ident: Column, folds: int = 5) -> Column:
 class BlockMaxIndex:
     """Posting lists over all terms of the examples, cut at blocks of examples.
 
-    ``model["terms"]``: sorted term keys. A rare term has one run per block that holds it, ``first[t]``
+    ``terms``: sorted term keys; ``factor``: what a term weighs besides its count. A rare term has one run per block that holds it, ``first[t]``
     to ``first[t + 1]``; run ``r`` belongs to ``block[r]``, its greatest weight is ``most[r]`` and its
     postings are ``start[r]`` to ``start[r + 1]`` of ``place`` and ``weight``. The list of a term that
     many examples hold is written out, as column ``column[t]`` of ``full`` (a row per example).
     """
 
     def __init__(self, model: dict):
-        self.terms, self.factor, self.column, self.full = model["terms"], model["factor"], model["column"], model["full"]
-        self.first, self.block, self.most, self.start = model["first"], model["block"], model["most"], model["start"]
-        self.place, self.weight, self.blocks, self.count = model["place"], model["weight"], model["blocks"], model["count"]
-        self.labels, self.weights = model["labels"], model["weights"]
-        self.visited = 0
-
-    def vector(self, keys: np.ndarray, counts: np.ndarray, other: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        self.terms, self.labels, self.count = model["terms"], model["labels"].astype(float), len(model["labels"])
+        self.blocks, self.visited = max(1, -(-self.count // BLOCK)), 0
+        self.weights = np.where(self.labels == 1, *model["stands_for"])
+        place, tf = (_unpacked(model[n]).astype(np.int64) for n in ("place", "tf"))
+        held = _unpacked(model["held"]).astype(np.int64)
+        term = np.repeat(np.arange(len(self.terms)), held)
+        self.factor = np.log((1 + model["documents"]) / (1 + _unpacked(model["held_by"]).astype(float))) + 1
+        self.other = float(np.log(1 + model["documents"]) + 1)
+        if model["by_label"]:
+            ones = int(self.labels.sum())
+            a = np.bincount(term, self.labels[place], len(self.terms)) if len(term) else np.zeros(len(self.terms))
+            self.factor *= np.maximum(FLOOR, agreement(a, held - a, ones, self.count - ones))
+            self.other *= FLOOR
+        weight = (1 + np.log(tf)) * self.factor[term]
+        length = np.sqrt(np.bincount(place, weight**2, self.count))
+        weight = weight / length[place]
+        often = np.flatnonzero(held * FREQUENT > self.count)
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        rare = self.column[term] < 0
+        self.full = np.zeros((self.count, len(often)))
+        self.full[place[~rare], self.column[term[~rare]]] = weight[~rare]
+        term, place, weight = term[rare], place[rare], weight[rare]
+        block = place // BLOCK
+        heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.first, self.block = np.searchsorted(term[heads], np.arange(len(self.terms) + 1)), block[heads]
+        self.most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0)
+        self.start, self.place, self.weight = np.append(heads, len(term)), place.astype(np.int32), weight
+
+    def vector(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index among the keys, and their weights in the text's unit vector.
 
-        Words that no example holds have the factor ``other``; they add to the length alone.
+        Words that no example holds have the factor of a term of no document; they add to the length alone.
         """
         at = np.searchsorted(self.terms, keys)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == keys[known]
         terms, weights = at[known], 1 + np.log(counts)
         own = weights[known] * self.factor[terms]
-        length = np.sqrt((own**2).sum() + ((weights[~known] * other) ** 2).sum())
+        length = np.sqrt((own**2).sum() + ((weights[~known] * self.other) ** 2).sum())
         return terms, own / length if len(terms) else own
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -172,7 +197,7 @@ def fit(
     examples: int = EXAMPLES,
     by_label: bool = True,
 ) -> dict:
-    """Index, term weights and calibration, as plain arrays.
+    """Index (broadcast, compressed) and calibration.
 
     Examples are at most ``examples`` training rows of each label, by a hash of the id: that bounds the
     index. An id that stands on two rows of ``docs`` gives two examples, one on several rows of
@@ -205,8 +230,7 @@ def fit(
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
     terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
     total, held_by = document_counts(docs, text, terms)
-    model = _indexed(rows, terms, np.log((1 + total) / (1 + held_by)) + 1, np.log(1 + total) + 1, sizes, by_label)
-    return _calibrated(counted, model)
+    return _calibrated(counted, _indexed(rows, terms, held_by, total, sizes, by_label))
 
 
 def document_counts(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.ndarray]:
@@ -235,65 +259,65 @@ def document_counts(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int,
     return int(counts[-1]), counts[:-1]
 
 
-def _indexed(rows: list, terms: np.ndarray, idf: np.ndarray, idf_other: float, sizes: dict[int, int], by_label: bool) -> dict:
-    """Posting lists from (id, label, keys, counts) rows: like examples share blocks."""
-    labels = np.array([r[1] for r in rows], float)
-    ones, zeros = int((labels == 1).sum()), int((labels == 0).sum())
+def _packed(numbers: np.ndarray) -> tuple[str, bytes]:
+    """Numbers in the smallest type that holds them, compressed: the model travels to every executor."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return kind.str, zlib.compress(numbers.astype(kind).tobytes(), 1)
+
+
+def _unpacked(packed: tuple[str, bytes]) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1]), packed[0])
+
+
+def _indexed(rows: list, terms: np.ndarray, held_by: np.ndarray, documents: int, sizes: dict[int, int], by_label: bool) -> dict:
+    """What an index is built from: postings of (id, label, keys, counts) rows by term, like examples side by side."""
+    labels = np.array([r[1] for r in rows], np.int8)
     owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     term = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
-    tf = 1 + np.log(np.concatenate([np.ones(0, np.int64), *(r[3] for r in rows)]))
-    factor, other = idf, float(idf_other)
-    if by_label:
-        a = np.bincount(term, labels[owner], len(terms)) if len(term) else np.zeros(len(terms))
-        b = np.bincount(term, minlength=len(terms)) - a
-        factor, other = idf * np.maximum(FLOOR, agreement(a, b, ones, zeros)), other * FLOOR
-    weight = tf * factor[term] if len(term) else tf
-    length = np.sqrt(np.bincount(owner, weight**2, len(rows)))
-    weight = weight / length[owner] if len(term) else weight
-    # blocks of like examples: by label, then by the strongest term
-    strongest = np.full(len(rows), len(terms))
-    by = np.lexsort((-weight, owner))
+    tf = np.concatenate([np.zeros(0, np.int64), *(r[3] for r in rows)])
+    # examples of one label that share their rarest common term stand together
+    held = np.bincount(term, minlength=len(terms))
+    by = np.lexsort((term, np.where(held[term] > 1, held[term], len(rows) + 1), owner))
     firsts = by[np.flatnonzero(np.diff(owner[by], prepend=-1))] if len(by) else by
-    strongest[owner[firsts]] = term[firsts]
-    order = np.lexsort((np.arange(len(rows)), strongest, labels))
+    likest = np.full(len(rows), len(terms))
+    likest[owner[firsts]] = term[firsts]
+    order = np.lexsort((np.arange(len(rows)), likest, labels))
     place = np.empty(len(rows), np.int64)
     place[order] = np.arange(len(rows))
-    posted = place[owner]
-    by = np.lexsort((posted, term))
-    term, posted, weight = term[by], posted[by], weight[by]
-    often = np.flatnonzero(np.bincount(term, minlength=len(terms)) * FREQUENT > len(rows))
-    column = np.full(len(terms), -1, np.int32)
-    column[often] = np.arange(len(often))
-    full, rare = np.zeros((len(rows), len(often))), column[term] < 0
-    full[posted[~rare], column[term[~rare]]] = weight[~rare]
-    term, posted, weight = term[rare], posted[rare], weight[rare]
-    block = posted // BLOCK
-    heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+    by = np.lexsort((place[owner], term))
     seen = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
     return {
-        "terms": terms, "factor": factor, "other": other, "ids": np.array([rows[i][0] for i in order], np.int64), "labels": labels[order],
-        "weights": np.array([sizes.get(int(y), 1) / seen[int(y)] for y in labels[order]]), "count": len(rows), "blocks": max(1, -(-len(rows) // BLOCK)),
-        "first": np.searchsorted(term[heads], np.arange(len(terms) + 1)), "block": block[heads],
-        "most": np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0), "start": np.append(heads, len(term)),
-        "place": posted.astype(np.int32), "weight": weight, "column": column, "full": full,
+        "name": uuid.uuid4().hex, "terms": terms, "documents": documents, "held_by": _packed(held_by), "held": _packed(held),
+        "place": _packed(place[owner][by]), "tf": _packed(tf[by]), "by_label": by_label, "labels": labels[order],
+        "ids": np.array([rows[i][0] for i in order], np.int64), "stands_for": (sizes.get(1, 1) / seen[1], sizes.get(0, 1) / seen[0]),
     }
 
 
+_loaded: dict[str, BlockMaxIndex] = {}
+
+
+def loaded(model: dict) -> BlockMaxIndex:
+    """Index of a model, kept for the next task of the worker."""
+    if model["name"] not in _loaded:
+        _loaded.clear()
+        _loaded[model["name"]] = BlockMaxIndex(model)
+    return _loaded[model["name"]]
+
+
 def _calibrated(counted: DataFrame, model: dict) -> dict:
     """The model with its curve: every example is scored by the others, in Spark tasks."""
     shared = counted.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        search, spots = BlockMaxIndex(model), {}
-        for spot, ident in enumerate(model["ids"].tolist()):
-            spots.setdefault((ident, int(model["labels"][spot])), []).append(spot)
+        search, spots = loaded(shared.value), {}
+        for spot, ident in enumerate(shared.value["ids"].tolist()):
+            spots.setdefault((ident, int(search.labels[spot])), []).append(spot)
         for batch in batches:
             votes = []
             rows = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
             for at in range(0, len(rows), TOGETHER):
                 some = rows[at : at + TOGETHER]
-                vectors = [search.vector(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64), model["other"]) for _, _, k, n in some]
+                vectors = [search.vector(np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)) for _, _, k, n in some]
                 most = max(len(spots[i, y]) for i, y, _, _ in some)
                 for (ident, label, _, _), (near, cosine) in zip(some, search.nearest(vectors, NEAREST + most), strict=True):
                     other = ~np.isin(near, spots[ident, label])
@@ -304,17 +328,15 @@ def _calibrated(counted: DataFrame, model: dict) -> dict:
     found = counted.mapInArrow(judge, "label int, vote double").toArrow()
     labels = found["label"].to_numpy().astype(float)
     votes = found["vote"].to_numpy().astype(float) if found.num_rows else np.zeros(0)
-    each = {float(y): w for y, w in zip(model["labels"], model["weights"], strict=True)}
-    weights = np.array([each[y] for y in labels])
-    lone = np.isnan(votes)
     # sums do not depend on the order in which tasks end
     order = np.lexsort((votes, labels))
-    labels, votes, weights, lone = labels[order], votes[order], weights[order], lone[order]
+    labels, votes = labels[order], votes[order]
+    weights, lone = np.where(labels == 1, *model["stands_for"]), np.isnan(votes)
     # half a row of either label is added, so that no text is certain
     own = lone if lone.any() else np.ones(len(labels), bool)
     alone = float(((weights * labels)[own].sum() + 0.5) / (weights[own].sum() + 1)) if len(labels) else 0.0
     curve = logistic(votes[~lone], labels[~lone], weights[~lone]) if (~lone).any() else (0.0, 0.0)
-    return model | {"alone": alone, "curve": curve}
+    return {"index": shared, "alone": alone, "curve": curve}
 
 
 ADDED = "score double, predicted int, evidence array<struct<doc_id: bigint, label: int, cosine: double>>"
@@ -328,25 +350,24 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     each has some). Without examples all scores are 0. Columns of these names are replaced; rows come
     back one for one. A text takes memory by its words: about 100 bytes for each different one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, alone, (slope, offset) = model["index"], model["alone"], model["curve"]
     rows = docs.drop("score", "predicted", "evidence")
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(ADDED).fields])
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        search, (slope, offset) = BlockMaxIndex(model), model["curve"]
+        search, ids = loaded(shared.value), shared.value["ids"]
         for batch in batches:
             scores, evidence = [], []
             texts = batch.column(batch.schema.get_field_index(text))
             for at in range(0, len(texts), TOGETHER):
-                vectors = [search.vector(*terms_of(cell.as_py()), model["other"]) for cell in texts[at : at + TOGETHER]]
+                vectors = [search.vector(*terms_of(cell.as_py())) for cell in texts[at : at + TOGETHER]]
                 for near, cosine in search.nearest(vectors, NEAREST):
                     if len(near):
                         scores.append(float(1 / (1 + np.exp(-np.clip(slope * search.vote(near, cosine) + offset, -30, 30)))))
                     else:
-                        scores.append(model["alone"])
-                    told = zip(model["ids"][near].tolist(), model["labels"][near].tolist(), cosine.tolist(), strict=True)
+                        scores.append(alone)
+                    told = zip(ids[near].tolist(), search.labels[near].tolist(), cosine.tolist(), strict=True)
                     evidence.append([{"doc_id": i, "label": int(y), "cosine": c} for i, y, c in told])
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
             cols = [*batch.columns, pa.array(scores, pa.float64()), predicted, pa.array(evidence, kind)]

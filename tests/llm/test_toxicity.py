@@ -59,18 +59,18 @@ def test_search_equals_brute_force_from_texts(count, by_label, monkeypatch):
     queries = random_texts(rng, 25) + ["", "strange words", texts[0], "w0 " * 50]
     rows = [(i + 7, y, *toxicity.terms_of(t)) for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
     terms = np.unique(np.concatenate([r[2] for r in rows]))
-    held = np.array([sum(t in r[2] for r in rows) for t in terms], float)
-    model = toxicity._indexed(rows, terms, np.log((1 + count) / (1 + held)) + 1, math.log(1 + count) + 1, {0: 900, 1: 100}, by_label)
+    held = np.array([sum(t in r[2] for r in rows) for t in terms], int)
+    model = toxicity._indexed(rows, terms, held, count, {0: 900, 1: 100}, by_label)
     search = toxicity.BlockMaxIndex(model)
     expected = plain_cosines(texts, labels, texts, queries, by_label)
     place = {i: k for k, i in enumerate(model["ids"].tolist())}
-    found = search.nearest([search.vector(*toxicity.terms_of(q), model["other"]) for q in queries], 16)
+    found = search.nearest([search.vector(*toxicity.terms_of(q)) for q in queries], 16)
     for (near, cosine), cosines in zip(found, expected, strict=True):
         true = sorted((-c, place[i + 7]) for i, c in enumerate(cosines) if c > 1e-15)[:16]
         assert np.allclose(cosine, [-c for c, _ in true], atol=1e-12)
         assert all(abs(cosines[int(model["ids"][p]) - 7] - c) < 1e-12 for p, c in zip(near, cosine, strict=True))
     if count == 700:
-        assert search.visited < 0.9 * len(queries) * model["blocks"]
+        assert search.visited < 0.9 * len(queries) * search.blocks
 
 
 def test_query_neighbours_from_texts(spark, tables):
