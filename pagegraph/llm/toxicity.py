@@ -21,11 +21,12 @@ from pagegraph.session import checkpointed
 #: labelled rows of a class the index holds at most, examples of a block, blocks visited first, neighbours
 EXAMPLES, BLOCK, VISIT, NEAREST = 4096, 64, 16, 16
 #: a term that more than one of this many examples hold is written out in full; texts searched together
-FREQUENT, TOGETHER = 8, 64
+FREQUENT, TOGETHER = 16, 64
 #: what a term weighs at least when terms are weighed by how they go with the label
 FLOOR = 1e-4
 _WORD = re.compile(r"\w+")
-_ROUNDING = 1e-9
+#: how far a product of the frequent terms' lists in single precision can be off
+_ROUNDING = 5e-5
 
 
 def words_in(text: str | None) -> list[str]:
@@ -83,6 +84,7 @@ class BlockMaxIndex:
         rare = self.column[term] < 0
         self.full = np.zeros((self.count, len(often)))
         self.full[place[~rare], self.column[term[~rare]]] = weight[~rare]
+        self.rough = np.ascontiguousarray(self.full.T, np.float32)
         term, place, weight = term[rare], place[rare], weight[rare]
         block = place // BLOCK
         heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
@@ -107,18 +109,20 @@ class BlockMaxIndex:
         """For each text the k most similar examples, equal ones by place, and their cosines.
 
         Examples without a common term are never among them. The frequent terms' part of all cosines is
-        one product for the texts together. To it a block's bound adds, for each rare term, the weight
-        times the greatest weight in the block. The ``VISIT`` blocks of greatest bound are worked out
-        first, then those whose bound is not below the k-th cosine found.
+        one product for the texts together, in single precision. To it a block's bound adds, for each rare
+        term, the weight times the greatest weight in the block. The ``VISIT`` blocks of greatest bound
+        are worked out first, then those whose bound is not below the k-th cosine found. What may be
+        among the k is worked out once more in double precision.
         """
         frequent = np.zeros((self.full.shape[1], len(vectors)))
         for i, (terms, weights) in enumerate(vectors):
             column = self.column[terms]
             frequent[column[column >= 0], i] = weights[column >= 0]
-        parts = np.ascontiguousarray((self.full @ frequent).T)
-        return [self._best(part, *vector, k) for part, vector in zip(parts, vectors, strict=True)]
+        parts = frequent.T.astype(np.float32) @ self.rough
+        return [self._best(part.astype(float), own, *vector, k) for part, own, vector in zip(parts, frequent.T, vectors, strict=True)]
 
-    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, score: np.ndarray, frequent: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rough = score.copy()
         rare = self.column[terms] < 0
         terms, weights = terms[rare], weights[rare]
         begin = self.first[terms]
@@ -148,9 +152,10 @@ class BlockMaxIndex:
         found = np.flatnonzero(score > 0)
         if len(found) > k:
             cut = score[found]
-            found = found[cut >= np.partition(cut, len(cut) - k)[len(cut) - k]]
-        top = found[np.lexsort((found, -score[found]))[:k]]
-        return top, score[top]
+            found = found[cut >= np.partition(cut, len(cut) - k)[len(cut) - k] - 2 * _ROUNDING]
+        exact = score[found] - rough[found] + self.full[found] @ frequent
+        order = np.lexsort((found, -exact))[:k]
+        return found[order], exact[order]
 
     def _add(self, score: np.ndarray, run: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
         """Add the postings of the chosen runs to the scores of their examples."""
