@@ -17,6 +17,8 @@ from pagegraph.session import checkpointed, ensure_checkpoint_dir
 
 #: words of a gram; the similarity as a fraction
 GRAM, NEAR, OF = 5, 4, 5
+#: copies of a class's row, over which its documents look it up
+SALTS = 32
 #: text a task packs together; grams a bucket gets on average; grams of one join task
 BATCH_BYTES, BUCKET_GRAMS, JOIN_GRAMS = 4 << 20, 2_000_000, 1_000_000
 #: grams of a tree node
@@ -24,27 +26,34 @@ PIECE = 32
 
 _SENT = "bucket long, batch long, low binary, high binary, place binary, ids array<long>, sizes array<long>"
 _BACK = "batch long, grams binary, place binary, ids array<long>, sizes array<long>"
-SETS = "id long, n long, single long, grams array<long>, mark binary"
+SETS = "id long, n long, single long, grams array<long>, node long, copied boolean"
 
 
-def gram_set(words: np.ndarray) -> np.ndarray:
-    """Distinct keys of the runs of ``GRAM`` words; of all words together when there are fewer."""
-    return np.unique(gram_keys(words, min(GRAM, len(words)))) if len(words) else np.zeros(0, np.uint64)
+def gram_set(words: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Distinct keys of the runs of ``gram`` words; of all words together when there are fewer."""
+    return np.unique(gram_keys(words, min(gram, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def least_shared(n: int) -> int:
-    """Grams a set of ``n`` must share with any partner: intersection >= NEAR/OF * union >= NEAR/OF * n."""
-    return -(-NEAR * n // OF)
+class Similarity:
+    """Jaccard of at least ``near / of``, in whole numbers."""
 
+    def __init__(self, near: int = NEAR, of: int = OF):
+        self.near, self.of = near, of
 
-def linked(shared, n, m):
-    """Jaccard of at least NEAR/OF, in whole numbers."""
-    return (NEAR + OF) * shared >= NEAR * (n + m)
+    def least_shared(self, n: int) -> int:
+        """Grams a set of ``n`` must share with any partner: intersection >= near/of * union >= near/of * n."""
+        return -(-self.near * n // self.of)
 
+    def linked(self, shared, n, m):
+        return (self.near + self.of) * shared >= self.near * (n + m)
 
-def _send_batch(docs: list, batch: int, buckets: int, words: WordKeys) -> Iterator[dict]:
+    def sizes_fit(self, n, m):
+        return self.of * np.minimum(n, m) >= self.near * np.maximum(n, m)
+
+
+def _send_batch(docs: list, batch: int, buckets: int, words: WordKeys, gram: int) -> Iterator[dict]:
     """Grams of one batch packed per bucket: 40 bits of the key and the document's place in the batch."""
-    sets = [gram_set(words.of(own)) for _, own in docs]
+    sets = [gram_set(words.of(own), gram) for _, own in docs]
     sizes = [len(s) for s in sets]
     keys = np.concatenate([np.zeros(0, np.uint64), *sets])
     place = np.repeat(np.arange(len(docs), dtype=np.uint16), sizes)
@@ -97,10 +106,12 @@ def _shared_grams(table: pa.Table) -> Iterator[dict]:
             }
 
 
-def _assembled(table: pa.Table) -> Iterator[dict]:
+def _assembled(table: pa.Table, like: Similarity) -> Iterator[dict]:
     """Sets of a batch: id, size, grams no other document holds, and the others in global order.
 
-    A document that does not share enough grams to reach any partner comes back without grams.
+    A document that does not share enough grams to reach any partner comes back without grams. ``node``
+    is the set's own: a digest of it where all its grams are shared, so that it may have copies, and else
+    the row's place.
     """
     ids, sizes = next((i, s) for i, s in zip(table["ids"].to_pylist(), table["sizes"].to_pylist(), strict=True) if i is not None)
     grams = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table["grams"]])
@@ -108,28 +119,32 @@ def _assembled(table: pa.Table) -> Iterator[dict]:
     order = np.lexsort((grams, place))
     grams, place = grams[order].astype(np.int64), place[order]
     edges = np.searchsorted(place, np.arange(len(ids) + 1))
+    batch = np.array([table["batch"][0].as_py()], np.int64).view(np.uint64)
+    places = mixed(mixed(batch) + np.arange(len(ids), dtype=np.uint64)).view(np.int64).tolist()
     for k, (ident, n) in enumerate(zip(ids, sizes, strict=True)):
         own = grams[edges[k] : edges[k + 1]]
-        row = {"id": ident, "n": n, "single": max(0, n - len(own)), "grams": None, "mark": None}
-        if n and ident is not None and len(own) >= least_shared(n):
+        row = {"id": ident, "n": n, "single": max(0, n - len(own)), "grams": None, "node": None, "copied": None}
+        if n and ident is not None and len(own) >= like.least_shared(n):
             row["grams"] = own
-            # equal marks: equal sets; a set with grams of its own equals none
-            row["mark"] = hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) >= n else None
+            # a set with grams of its own equals none
+            row["copied"] = len(own) >= n
+            row["node"] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if row["copied"] else places[k]
         yield row
 
 
 def _tables(rows: Iterator[dict], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "boolean": pa.bool_()}
     return pa.Table.from_pylist(list(rows), schema=pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]))
 
 
-def gram_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def gram_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text", gram: int = GRAM, like: Similarity | None = None) -> DataFrame:
     """Every document's set size and, where it may have a partner, its shared grams in global order.
 
-    ``id, n, single, grams, mark``: ``single`` counts grams that no other document holds; they come
+    ``id, n, single, grams, node, copied``: ``single`` counts grams that no other document holds; they come
     first in the global order and never match. Grams are grouped by key in buckets whose number follows
     the bytes of text; only packed keys travel, never the text.
     """
+    like = like or Similarity()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // (6 * BUCKET_GRAMS)))
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
@@ -139,7 +154,7 @@ def gram_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
         batch_id = TaskContext.get().partitionId() << 32
 
         def flush(batch_id):
-            table = _tables(_send_batch(held, batch_id, buckets, words), _SENT)
+            table = _tables(_send_batch(held, batch_id, buckets, words, gram), _SENT)
             return table.to_batches(max_chunksize=256)
 
         for batch in batches:
@@ -157,7 +172,7 @@ def gram_sets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
         return _tables(_shared_grams(table), _BACK)
 
     def gather(table: pa.Table) -> pa.Table:
-        return _tables(_assembled(table), SETS)
+        return _tables(_assembled(table, like), SETS)
 
     sent = in_small_batches(rows).mapInArrow(send, _SENT)
     back = sent.groupBy("bucket").applyInArrow(meet, _BACK)
@@ -171,8 +186,9 @@ class PrefixTree:
     range of sets below a node, ``stop`` the end of those that end at it.
     """
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, like: Similarity):
         count = len(sets)
+        self.like = like
         flat = np.concatenate([np.zeros(0, np.int64), *sets])
         self.names, local = np.unique(flat, return_inverse=True)
         lengths = np.fromiter(map(len, sets), np.int64, count)
@@ -235,11 +251,11 @@ class PrefixTree:
             nodes, overlap = nodes[keep], overlap[keep]
             overlap = overlap + self.has[self.cells[nodes]].sum(axis=1)
             rest = np.minimum(self.longest[nodes] - self.depth[nodes], shared - overlap)
-            keep = linked(overlap + rest, n, self.smallest[nodes])
+            keep = self.like.linked(overlap + rest, n, self.smallest[nodes])
             nodes, overlap = nodes[keep], overlap[keep]
             for node in np.flatnonzero(self.stop[nodes] > self.low[nodes]).tolist():
                 ends = np.arange(self.low[nodes[node]], self.stop[nodes[node]])
-                found.append(ends[wanted[ends] & linked(overlap[node], n, self.sizes[ends])])
+                found.append(ends[wanted[ends] & self.like.linked(overlap[node], n, self.sizes[ends])])
         self.has[own] = False
         return np.concatenate([np.zeros(0, np.int64), *found])
 
@@ -251,150 +267,186 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return at if m and differ[at] else m
 
 
-def join_sets(sets: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
-    """A forest over all linked pairs of the sets.
+def join_sets(sets: list[np.ndarray], sizes: np.ndarray, weights: np.ndarray, like: Similarity) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest over all linked pairs of the sets, and per set the weights of all sets linked with it.
 
-    Each set first meets the last set of every component, then the others of components it has not
-    joined; sets of its own component cannot change the result and are passed over.
+    Every set meets all sets before it in the tree's order, so every pair is looked at once, together
+    with those it shares a beginning with.
     """
-    tree, count = PrefixTree(sets, sizes), len(sets)
-    forest, links = Forest(count), []
-    group = np.arange(count)
-    newest: dict[int, int] = {}
+    tree, count = PrefixTree(sets, sizes, like), len(sets)
+    forest, edges = Forest(count), []
+    links, own_weight = np.zeros(count, np.int64), weights[tree.order]
+    place = np.arange(count)
     for x in range(count):
-        k = tree.order[x]
-        own, n = tree.sets[k], int(tree.sizes[x])
-        fits = (OF * np.minimum(tree.sizes, n) >= NEAR * np.maximum(tree.sizes, n)) & (np.arange(count) < x)
-        for heads in (True, False):
-            wanted = fits & (group != group[x])
-            if heads:
-                last = np.zeros(count, bool)
-                last[list(newest.values())] = True
-                wanted &= last
-            if not wanted.any():
-                continue
-            for y in tree.partners(own, n, len(own), wanted).tolist():
-                if forest.join(x, y):
-                    links.append((k, tree.order[y]))
-                    a, b = sorted((int(group[x]), int(group[y])))
-                    group[group == b] = a
-                    newest.pop(b, None)
-        newest[int(group[x])] = x
-    return links
-
-
-def meet_sets(visitors: list[np.ndarray], visitor_sizes: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
-    """A forest over all linked (visitor, set) pairs; two visitors are not compared."""
-    tree = PrefixTree(sets, sizes)
-    forest, links, count = Forest(len(visitors) + len(sets)), [], len(sets)
+        n = int(tree.sizes[x])
+        wanted = like.sizes_fit(tree.sizes, n) & (place < x)
+        if wanted.any():
+            found = tree.partners(tree.sets[tree.order[x]], n, len(sets[tree.order[x]]), wanted)
+            links[x] += own_weight[found].sum()
+            links[found] += own_weight[x]
+            edges += [(tree.order[x], tree.order[y]) for y in found.tolist() if forest.join(x, y)]
+    out = np.zeros(count, np.int64)
+    out[tree.order] = links
+    return edges, out
+
+
+def meet_sets(visitors: list, visitor_sizes: np.ndarray, visitor_weights: np.ndarray, sets: list, sizes: np.ndarray, weights: np.ndarray, like: Similarity):
+    """The same for all (visitor, set) pairs: a forest, and the links of visitors and of sets."""
+    tree = PrefixTree(sets, sizes, like)
+    forest, edges, count = Forest(len(visitors) + len(sets)), [], len(sets)
+    to_visitors, to_sets = np.zeros(len(visitors), np.int64), np.zeros(count, np.int64)
+    own_weight, order = weights[tree.order], np.array(tree.order)
     for v, (grams, n) in enumerate(zip(visitors, visitor_sizes.tolist(), strict=True)):
         at = np.searchsorted(tree.names, grams)
         known = at < len(tree.names)
         known[known] = tree.names[at[known]] == grams[known]
-        wanted = OF * np.minimum(tree.sizes, n) >= NEAR * np.maximum(tree.sizes, n)
-        for y in tree.partners(at[known], n, int(known.sum()), wanted).tolist():
-            if forest.join(count + v, y):
-                links.append((v, tree.order[y]))
-    return links
+        found = tree.partners(at[known], n, int(known.sum()), like.sizes_fit(tree.sizes, n))
+        to_visitors[v] += own_weight[found].sum()
+        to_sets[order[found]] += visitor_weights[v]
+        edges += [(v, tree.order[y]) for y in found.tolist() if forest.join(count + v, y)]
+    return edges, to_visitors, to_sets
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: a pair of the forest (a, b), or how many rows a node is linked with (a, links)
+FOUND = "a long, b long, links long"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return table["id"].to_numpy(), table["n"].to_numpy(), [np.asarray(c.values) for c in table["grams"]]
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    return table["node"].to_numpy(), table["n"].to_numpy(), table["weight"].to_numpy(), [np.asarray(c.values) for c in table["grams"]]
 
 
-def _link_table(pairs: list[tuple[int, int]]) -> pa.Table:
-    cols = list(zip(*pairs, strict=True)) or [(), ()]
-    return pa.table([pa.array(list(c), pa.int64()) for c in cols], schema=_LINKS)
+def _found(edges: list[tuple[int, int]], nodes: np.ndarray, links: np.ndarray) -> pa.Table:
+    hit = np.flatnonzero(links)
+    a = [x for x, _ in edges] + nodes[hit].tolist()
+    b = [y for _, y in edges] + [None] * len(hit)
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(edges) + links[hit].tolist(), pa.int64())], schema=_FOUND)
 
 
-def _join_blocks(table: pa.Table) -> pa.Table:
+def _join_blocks(table: pa.Table, like: Similarity) -> pa.Table:
     """Links inside every block of one task."""
-    ids, sizes, sets = _arrays(table)
+    nodes, sizes, weights, sets = _arrays(table)
     block = table["block"].to_numpy()
     order = np.argsort(block, kind="stable")
-    out = []
+    edges, links = [], np.zeros(len(nodes), np.int64)
     for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
         if len(rows) > 1:
-            out += [(int(ids[rows[x]]), int(ids[rows[y]])) for x, y in join_sets([sets[r] for r in rows], sizes[rows])]
-    return _link_table(out)
+            pairs, links[rows] = join_sets([sets[r] for r in rows], sizes[rows], weights[rows], like)
+            edges += [(int(nodes[rows[x]]), int(nodes[rows[y]])) for x, y in pairs]
+    return _found(edges, nodes, links)
 
 
-def _join_visit(left: pa.Table, right: pa.Table) -> pa.Table:
+def _join_visit(left: pa.Table, right: pa.Table, like: Similarity) -> pa.Table:
     """Links between the visitors and the residents of one part of a large block."""
     if not left.num_rows or not right.num_rows:
-        return _LINKS.empty_table()
-    ids, sizes, sets = _arrays(left)
-    own, own_sizes, own_sets = _arrays(right)
-    return _link_table([(int(ids[v]), int(own[y])) for v, y in meet_sets(sets, sizes, own_sets, own_sizes)])
+        return _FOUND.empty_table()
+    nodes, sizes, weights, sets = _arrays(left)
+    own, own_sizes, own_weights, own_sets = _arrays(right)
+    pairs, a, b = meet_sets(sets, sizes, weights, own_sets, own_sizes, own_weights, like)
+    return _found([(int(nodes[v]), int(own[y])) for v, y in pairs], np.concatenate([nodes, own]), np.concatenate([a, b]))
 
 
-def similar_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """Groups of documents linked by a gram Jaccard of NEAR/OF or more: ``id, n_shingles, component_id``.
+def similar_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", gram: int = GRAM, near: int = NEAR, of: int = OF) -> DataFrame:
+    """Documents linked by a gram Jaccard of ``near / of`` or more: ``id, n_shingles, component_id, n_links, class_id``.
 
-    One row per input row. Words are lower-cased in A-Z; a text of fewer than ``GRAM`` words is one gram,
-    a null or blank text has none and is linked with nothing. Rows that share an id are one node; rows
-    with a null id are linked with nothing and have a null component.
+    One row per input row. Words are lower-cased in A-Z; a text of fewer than ``gram`` words is one gram,
+    a null or blank text has none and is linked with nothing. ``n_links`` counts all other rows linked
+    directly, copies among them. Rows of equal sets are one class, named by its smallest id: the members
+    of a class need not be paired with each other. Rows that share an id are one node of the components;
+    rows with a null id are linked with nothing and have a null component. A text takes memory by its
+    words, about 100 bytes for each, in the task that reads it.
 
     1. Sets are put in a global order, rare grams first, by one pass over packed keys. A document whose
        grams are mostly its own cannot have a partner and leaves here, whatever passages it shares.
-    2. Equal sets become one by their digest.
-    3. Partners share a gram among the first ``n - least_shared(n) + 1``; documents connected by such
+    2. Equal sets become one class by their digest, with a count; a class's documents are not gathered.
+    3. Partners share a gram among the first ``n - least_shared(n) + 1``; classes connected by such
        grams form blocks, found as connected components.
     4. Blocks are joined in prefix trees. A block of more than ``JOIN_GRAMS`` grams is cut into parts:
-       first each part is joined, then the documents that share an early gram with a part where other
-       components live visit it. So no task holds more than a part and a slice of its visitors.
+       each part is joined, and the classes that share an early gram with another part visit it. So no
+       task holds more than a part and a slice of its visitors, and every pair meets once.
     """
-    spark = docs.sparkSession
+    spark, like = docs.sparkSession, Similarity(near, of)
     place = "{}/sets-{}".format(ensure_checkpoint_dir(spark), uuid.uuid4().hex)
-    gram_sets(docs, ident, text).write.parquet(place)
+    gram_sets(docs, ident, text, gram, like).write.parquet(place)
     sets = spark.read.parquet(place)
-    some = sets.where("grams is not null")
-    heads = some.where("mark is not null").groupBy("mark").agg(F.min("id").alias("head"))
-    copies = some.join(heads, "mark").select(F.col("id").alias("a"), F.col("head").alias("b"), F.col("mark").alias("same"))
-    copies = checkpointed(copies.where("a <> b").distinct())
-    first = "slice(grams, 1, cast(n - ceil({0} * n / {1}) + 1 - single as int))".format(NEAR, OF)
-    # by row: another text of the id stays
-    alone = some.join(copies, (F.col("id") == F.col("a")) & (F.col("mark") == F.col("same")), "left_anti")
-    early = checkpointed(alone.select("id", F.explode(F.expr(first)).alias("gram")))
-    low = early.groupBy("gram").agg(F.min("id").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
-    blocks = components(early.join(low, "gram").where("id <> b").select(F.col("id").alias("a"), "b"))
-    blocks = checkpointed(blocks.withColumnRenamed("component", "block"))
-    held = alone.select("id", "n", "grams", F.size("grams").alias("length")).join(blocks, "id")
+    repeated = sets.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    classes, groups = linked_classes(sets.where("grams is not null"), repeated, like)
+    # a class is looked up by all its documents: its row is there once per salt
+    classes = classes.join(groups.withColumnRenamed("id", "head"), "head", "left")
+    copies = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    members = sets.where("node is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(copies, ["node", "salt"])
+    shown = ["id", F.col("n").alias("n_shingles")]
+    links = (F.col("weight") - 1 + F.col("links")).cast("long").alias("n_links")
+    members = members.select(*shown, F.coalesce("component", "head").alias("component_id"), links, F.col("head").alias("class_id"))
+    none = F.lit(0).cast("long").alias("n_links")
+    lone = sets.where("node is null and id is not null").join(groups, "id", "left")
+    lone = lone.select(*shown, F.coalesce("component", "id").alias("component_id"), none, F.col("id").alias("class_id"))
+    nameless = sets.where("id is null").select(*shown, F.col("id").alias("component_id"), none, F.col("id").alias("class_id"))
+    return members.union(lone).union(nameless)
+
+
+def linked_pairs(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Class representatives that are linked through a chain of others or directly, and who belongs to a class.
+
+    ``a, b``: a forest over the representatives (smallest ids) of linked classes; ``id, class_id``: membership.
+    """
+    rows = checkpointed(similar_groups(docs, **options))
+    heads = rows.where("id is not null and id = class_id and component_id <> id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).distinct()
+    return heads, rows.select("id", "class_id")
+
+
+def linked_classes(some: DataFrame, repeated: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
+    """``node, head, weight, links`` of every class, and the component of every id that is not alone.
+
+    ``some``: rows of ``SETS`` that have grams; ``repeated``: ids that stand on several rows.
+    """
+    about = some.groupBy("node").agg(F.min("id").alias("head"), F.count("*").alias("weight"))
+    # one row per class goes on
+    kept = some.where("not copied").select("node", "id", "n", "single", "grams")
+    first = some.where("copied").groupBy("node").agg(*(F.first(c).alias(c) for c in ("id", "n", "single", "grams")))
+    alone = kept.unionByName(first).drop("id").join(about, "node")
+    alone = checkpointed(alone)
+    early = F.expr("slice(grams, 1, cast(n - ceil({0} * n / {1}) + 1 - single as int))".format(like.near, like.of))
+    early = checkpointed(alone.select("node", F.explode(early).alias("gram")))
+    low = early.groupBy("gram").agg(F.min("node").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
+    blocks = components(early.join(low, "gram").where("node <> b").select(F.col("node").alias("a"), "b"))
+    blocks = checkpointed(blocks.withColumnRenamed("component", "block").withColumnRenamed("id", "node"))
+    held = alone.select("node", "n", "weight", "grams", F.size("grams").alias("length")).join(blocks, "node")
     sizes = held.groupBy("block").agg(F.sum("length").alias("length"))
     total = sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // JOIN_GRAMS))
     parts = sizes.select("block", F.ceil(F.col("length") / JOIN_GRAMS).alias("parts"))
-    placed = held.join(parts, "block").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+    placed = held.join(parts, "block").withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
     small = F.col("parts") == 1
     key = F.when(small, F.expr("pmod(xxhash64(block), {})".format(tasks))).otherwise(F.col("block"))
-    dealt = placed.select(small.alias("small"), key.alias("task"), "part", "block", "id", "n", "grams")
-    links = checkpointed(dealt.groupBy("small", "task", "part").applyInArrow(_join_blocks, "a long, b long"))
-    edges = copies.select("a", "b").union(links)
+    dealt = placed.select(small.alias("small"), key.alias("task"), "part", "block", "node", "n", "weight", "grams")
+    found = checkpointed(dealt.groupBy("small", "task", "part").applyInArrow(lambda table: _join_blocks(table, like), FOUND))
     large = parts.where("parts > 1")
     if not large.isEmpty():
-        edges = edges.union(_visits(placed.where("parts > 1"), early, edges))
-    groups = components(edges)
-    out = sets.select("id", F.col("n").alias("n_shingles")).join(groups, "id", "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-
-
-def _visits(large: DataFrame, early: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links between parts of large blocks, among documents not yet in one component."""
-    now = components(edges)
-    known = large.select("id", "block", "part").join(now, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    grams = checkpointed(early.join(known, "id").select("gram", "id", "block", "part", "component"))
-    there = grams.groupBy("gram", F.col("part").alias("to_part")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    met = grams.join(there, "gram").where("to_part > part and (least <> component or most <> component)")
-    visits = checkpointed(met.select("id", "block", "to_part").distinct())
+        found = found.union(_visits(placed.where("parts > 1"), early, like))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    classes = checkpointed(about.join(links, "node", "left").fillna(0, ["links"]))
+    heads = classes.select("node", "head")
+    forest = found.where("b is not null").join(heads.select(F.col("node").alias("a"), F.col("head").alias("x")), "a")
+    forest = forest.join(heads.select(F.col("node").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # an id on several rows joins their classes
+    own = some.join(repeated, "id", "left_semi").select("id", "node").distinct().join(heads, "node").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    return classes, components(forest.union(own))
+
+
+def _visits(large: DataFrame, early: DataFrame, like: Similarity) -> DataFrame:
+    """Links between different parts of large blocks."""
+    known = large.select("node", "block", "part")
+    grams = checkpointed(early.join(known, "node").select("gram", "node", "block", "part"))
+    there = grams.select("gram", F.col("part").alias("to_part")).distinct()
+    visits = checkpointed(grams.join(there, "gram").where("to_part > part").select("block", "to_part", "node").distinct())
     slices = visits.groupBy("block", "to_part").agg(F.ceil(F.count("*") / 1000).alias("slices"))
-    visitors = visits.join(slices, ["block", "to_part"]).withColumn("slice", F.expr("pmod(xxhash64(id), slices)"))
-    visitors = visitors.join(large.select("id", "n", "grams"), "id").select("block", "to_part", "slice", "id", "n", "grams")
-    homes = large.select("block", F.col("part").alias("to_part"), "id", "n", "grams").join(slices, ["block", "to_part"])
+    visitors = visits.join(slices, ["block", "to_part"]).withColumn("slice", F.expr("pmod(xxhash64(node), slices)"))
+    visitors = visitors.join(large.select("node", "n", "weight", "grams"), "node").select("block", "to_part", "slice", "node", "n", "weight", "grams")
+    homes = large.select("block", F.col("part").alias("to_part"), "node", "n", "weight", "grams").join(slices, ["block", "to_part"])
     homes = homes.withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)")))
     # new column instances: both sides come from the same frame
-    homes = homes.select(*(F.col(c).alias("home_" + c) for c in ("block", "to_part", "slice")), *(F.col(c).alias(c) for c in ("id", "n", "grams")))
+    homes = homes.select(*(F.col(c).alias("home_" + c) for c in ("block", "to_part", "slice")), *(F.col(c).alias(c) for c in ("node", "n", "weight", "grams")))
     left = visitors.groupBy("block", "to_part", "slice")
-    return checkpointed(left.cogroup(homes.groupBy("home_block", "home_to_part", "home_slice")).applyInArrow(_join_visit, "a long, b long"))
+    meet = lambda a, b: _join_visit(a, b, like)
+    return checkpointed(left.cogroup(homes.groupBy("home_block", "home_to_part", "home_slice")).applyInArrow(meet, FOUND))

@@ -24,8 +24,10 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL),
 p AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
 r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.c),
-m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""".format(
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), l AS (SELECT a, count(*) AS links FROM p GROUP BY a),
+z AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS class_id FROM (SELECT doc_id, list(gram ORDER BY gram) AS grams FROM g GROUP BY doc_id))
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(links, 0) AS n_links, coalesce(class_id, d.doc_id) AS class_id
+FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN l ON l.a = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id""".format(
     _WORDS.format(_LOWER)
 )
 

@@ -34,24 +34,61 @@ def near():
     return rows + [(1000 + i, t) for i, t in enumerate([None, "", " ", "one two", "one two", "ONE two", "one two three four", "a b c d e"])]
 
 
+GROUPS = ["id", "n_shingles", "component_id"]
+
+
+def shingle_links(rows, n=5, near=4, of=5):
+    """rows: (id, text) -> (id, links to other rows, smallest id of an equal set), every pair compared."""
+    sets = [brute.shingles(t, n) for _, t in rows]
+    out = []
+    for x, (i, _) in enumerate(rows):
+        links, first = 0, i
+        for y, (j, _) in enumerate(rows):
+            if x != y and i is not None and j is not None and sets[x] and of * len(sets[x] & sets[y]) >= near * len(sets[x] | sets[y]):
+                links += 1
+                first = min(first, j) if sets[x] == sets[y] else first
+        out.append((i, links, first))
+    return sorted(out, key=str)
+
+
 def test_groups_query(spark, tables, rows):
-    expected = brute.shingle_classes(tables("documents", "doc_id", "text"))
-    assert sorted(rows(QUERIES["op7_jaccard"](spark, SF))) == expected
+    docs = tables("documents", "doc_id", "text")
+    found = QUERIES["op7_jaccard"](spark, SF)
+    assert sorted(rows(found, "doc_id", "n_shingles", "component_id")) == brute.shingle_classes(docs)
+    assert rows(found, "doc_id", "n_links", "class_id") == shingle_links(docs)
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 900])
 def test_groups(spark, rows, near, monkeypatch, limit):
     monkeypatch.setattr(jaccard, "JOIN_GRAMS", limit)
     df = spark.createDataFrame(near, "doc_id long, text string")
-    assert sorted(rows(jaccard.similar_groups(df))) == brute.shingle_classes(near)
+    found = jaccard.similar_groups(df).cache()
+    assert sorted(rows(found, *GROUPS)) == brute.shingle_classes(near)
+    assert rows(found, "id", "n_links", "class_id") == shingle_links(near)
+
+
+@pytest.mark.parametrize("gram, part, whole", [(3, 1, 2), (5, 19, 20)])
+def test_other_thresholds(spark, rows, near, gram, part, whole):
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    assert rows(jaccard.similar_groups(df, gram=gram, near=part, of=whole), "id", "n_links", "class_id") == shingle_links(near, gram, part, whole)
+
+
+def test_pairs_of_classes(spark, rows, near):
+    pairs, members = jaccard.linked_pairs(spark.createDataFrame(near, "doc_id long, text string"))
+    group = {i: c for i, _, c in brute.shingle_classes(near)}
+    of_class = dict(rows(members))
+    assert of_class == {i: c for i, _, c in shingle_links(near)}
+    roots = brute.roots(group, [tuple(p) for p in pairs.collect()])
+    assert {i: roots[of_class[i]] for i in group} == group
 
 
 def test_groups_edges(spark, rows):
     text = " ".join("w%d" % i for i in range(30))
     data = [(1, text), (1, text), (2, text), (None, text), (3, None), (4, ""), (5, "x " * 50), (6, "X\tx " * 9), (7, text.replace("w7", "v"))]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("n", F.lit(0))
-    got = rows(jaccard.similar_groups(df))
+    got = rows(jaccard.similar_groups(df), *GROUPS)
     assert got == sorted([(1, 26, 1), (1, 26, 1), (2, 26, 1), (None, 26, None), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 26, 7)], key=str)
+    assert rows(jaccard.similar_groups(df), "id", "n_links", "class_id") == shingle_links(data)
     assert rows(jaccard.similar_groups(df.where("false"))) == []
 
 
@@ -64,14 +101,26 @@ def test_tree_join_equals_pairs():
             gone = set(rng.sample(base, rng.randint(0, 14)))
             sets.append(np.array(sorted({*base} - gone | set(rng.sample(range(1000, 1100), rng.randint(0, 9)))), np.int64))
         sizes = np.array([len(s) + rng.randint(0, 3) for s in sets])
+        like, weights = jaccard.Similarity(), np.array([rng.randint(1, 4) for _ in sets])
         pairs = {
-            (x, y) for x in range(len(sets)) for y in range(x) if jaccard.linked(len(np.intersect1d(sets[x], sets[y])), sizes[x], sizes[y])
+            (x, y) for x in range(len(sets)) for y in range(x) if like.linked(len(np.intersect1d(sets[x], sets[y])), sizes[x], sizes[y])
         }
+
+        def counts(links):
+            out = [0] * len(sets)
+            for x, y in links:
+                out[x] += weights[y]
+                out[y] += weights[x]
+            return out
+
         expected = brute.roots(range(len(sets)), pairs)
-        assert brute.roots(range(len(sets)), jaccard.join_sets(sets, sizes)) == expected
+        forest, links = jaccard.join_sets(sets, sizes, weights, like)
+        assert brute.roots(range(len(sets)), forest) == expected and links.tolist() == counts(pairs)
         half = len(sets) // 2
         across = {(x, y) for x, y in pairs if x >= half > y}
-        met = [(v + half, y) for v, y in jaccard.meet_sets(sets[half:], sizes[half:], sets[:half], sizes[:half])]
+        met, a, b = jaccard.meet_sets(sets[half:], sizes[half:], weights[half:], sets[:half], sizes[:half], weights[:half], like)
+        met = [(v + half, y) for v, y in met]
+        assert [*b.tolist(), *a.tolist()] == counts(across)
         assert set(met) <= across
         assert brute.roots(range(len(sets)), met) == brute.roots(range(len(sets)), across)
 
