@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegraph.functions import fixed
 from pagegraph.functions.text import blank_to_null, integer, let, named, page_title, strip
 from pagegraph.functions.wiki import article_url
+from pagegraph.sources import large
 
 
 def clean_header(text: Column) -> Column:
@@ -64,24 +65,60 @@ def _members(text: Column, v: Column) -> Column:
     return F.zip_with(unique_headers(keys), values, lambda k, x: named(key=k, value=x))
 
 
-def result_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None) -> DataFrame:
+def result_rows(
+    payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None, whole: int = large.WHOLE, size: int = large.RANGE
+) -> DataFrame:
     """(keys, position, fields, row_error): fields is array<struct<key, value VARIANT>> in order.
 
-    Array rows use the header list, object rows their own keys; a scalar row is flagged.
+    Array rows use the header list, object rows their own keys; a scalar row is flagged. Payloads of more
+    than ``whole`` bytes are cut in ranges of ``size`` bytes by as many tasks.
     """
-    parsed = payloads.select(
+    small, long = large.halves(payloads, json_column, whole)
+    parsed = small.select(
         *keys,
-        F.from_json(F.col(json_column), "struct<headers:array<string>,rows:array<string>>").alias("_raw"),
+        F.from_json(F.col(json_column), _RESULT).alias("_raw"),
         F.try_variant_get(F.try_parse_json(F.col(json_column)), "$.rows", "array<variant>").alias("_v"),
     )
-    rows = F.zip_with("_v", "_raw.rows", lambda v, t: named(v=v, text=t))
-    if limit is not None:
-        rows = F.slice(rows, 1, limit)
+    rows = _paired("_v", "_raw.rows", limit)
     base = parsed.select(
         *keys,
         unique_headers(F.col("_raw.headers")).alias("_names"),
         F.posexplode_outer(F.when(F.size("_raw.headers") > 0, rows)).alias("position", "_row"),
     ).where(F.col("position").isNotNull())
+    found = _fields(base, keys)
+    return found if long is None else found.union(_fields(_large_rows(long, keys, json_column, limit, size), keys))
+
+
+_RESULT = "struct<headers:array<string>,rows:array<string>>"
+
+
+def _paired(values: str, texts: str, limit: int | None) -> Column:
+    rows = F.zip_with(values, texts, lambda v, t: named(v=v, text=t))
+    return rows if limit is None else F.slice(rows, 1, limit)
+
+
+def _large_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: int | None, size: int) -> DataFrame:
+    """Header names and single rows of payloads that are cut: ``keys, _names, position, _row``."""
+    cut = large.shred(payloads, keys, json_column, size)
+    top = large.located(cut).where((F.size("names") == 0) & (F.col("kind") == "{"))
+    both = F.from_json(F.col("text"), _RESULT)
+    inner = top.where("child is null").select("doc", both["headers"].alias("headers"), both["rows"].alias("texts"), F.try_variant_get("v", "$.rows", "array<variant>").alias("values"))
+    lists = cut.containers.where("kind = '['")
+    one = F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), 0)
+    headers = large.whole_elements(cut, lists.where(F.col("names") == F.array(F.lit("headers"))))
+    headers = headers.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", one.alias("name")))).alias("_h")).select("doc", F.col("_h.name").alias("headers"))
+    headers = headers.union(inner.where("headers is not null").select("doc", "headers")).where(F.size("headers") > 0)
+    names = headers.select("doc", unique_headers(F.col("headers")).alias("_names"))
+    rows = large.numbered_rows(large.whole_elements(cut, lists.where(F.col("names") == F.array(F.lit("rows")))), "doc", "at")
+    rows = rows.select("doc", "position", named(v=F.col("v"), text=F.col("text")).alias("_row"))
+    if limit is not None:
+        rows = rows.where(F.col("position") < limit)
+    few = inner.where("texts is not null").select("doc", F.posexplode(_paired("values", "texts", limit)).alias("position", "_row"))
+    rows = large.spread_join(rows.union(few.select("doc", F.col("position").cast("long"), "_row")), names, ["doc"], "position")
+    return large.restore_keys(rows, cut, "position", "_names", F.col("position").cast("int").alias("position"), "_row")
+
+
+def _fields(base: DataFrame, keys: list[str]) -> DataFrame:
     v = F.col("_row.v")
     shape = F.schema_of_variant(v)
     of_object = _members(F.col("_row.text"), v)
