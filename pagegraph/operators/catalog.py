@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagegraph.functions import fixed
 from pagegraph.functions.text import strip
 from pagegraph.functions.times import xsd_datetime
+from pagegraph.streaming import versions
 
 CATALOG_SCHEMA = (
     "dataset_id string, records bigint, source_url string, source_params map<string,array<string>>, "
@@ -37,11 +38,12 @@ def catalog_rows(rows: DataFrame, profile: DataFrame, source_url: Column, params
 
 
 def append_catalog(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").parquet(path)
+    """Add lines as a folder of their own, which counts once it is whole."""
+    versions.add(lines, path)
 
 
 def read_catalog(spark, path: str) -> DataFrame:
-    return spark.read.schema(CATALOG_SCHEMA).parquet(path)
+    return versions.read(spark, path, CATALOG_SCHEMA)
 
 
 def current(catalog: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pagegraph.functions.terms import json_term, ntriples_term
 from pagegraph.operators.catalog import current, expired, read_catalog
 from pagegraph.operators.pattern import Solutions, address_term, object_term
 from pagegraph.operators.triples import GRAPH_COLUMNS, graph_set
-from pagegraph.session import checkpointed
+from pagegraph.streaming import versions
 
 
 def write_graph(triples: DataFrame, path: str, datasets: Sequence[str] = ()) -> None:
@@ -47,15 +47,24 @@ def drop_datasets(spark, path: str, datasets: Iterable[str]) -> None:
 def drop_expired(graph_path: str, catalog_path: str, as_of: str, spark, keep: DataFrame | None = None) -> list[str]:
     """Drop the graphs of expired datasets and their catalog lines; gives the dropped ids.
 
-    A catalog line is a dataset, so the list is as long as the list of datasets kept. The catalog is
-    written anew beside the old one and then takes its place.
+    A catalog line is a dataset, so the list is as long as the list of datasets kept. The new catalog is
+    written beside the old one and takes its place together with the list of graphs to drop; then the
+    graphs go, then the list. After a stop in between the next call drops what is left on the list,
+    unless the catalog has the dataset again: its graph was replaced whole then.
     """
     catalog = read_catalog(spark, catalog_path)
-    gone = [r.dataset_id for r in expired(current(catalog), as_of, keep).select("dataset_id").collect()]
-    if gone:
+    known = current(catalog)
+    old = [r.dataset_id for r in expired(known, as_of, keep).select("dataset_id").collect()]
+    listed = set(versions.manifest(spark, catalog_path).get("dropping", []))
+    again = {r[0] for r in known.where(F.col("dataset_id").isin(*listed)).select("dataset_id").collect()} if listed else set()
+    gone = sorted({*old, *(listed - again)})
+    if old:
+        left = catalog.join(spark.createDataFrame([(g,) for g in old], "dataset_id string"), "dataset_id", "left_anti")
+        versions.replace(left, catalog_path, dropping=gone)
+    if gone or listed:
         drop_datasets(spark, graph_path, gone)
-        left = checkpointed(catalog.join(spark.createDataFrame([(g,) for g in gone], "dataset_id string"), "dataset_id", "left_anti"))
-        left.write.mode("overwrite").parquet(catalog_path)
+        versions.commit(spark, catalog_path, lambda now: now | {"dropping": []})
+        versions.clean(spark, catalog_path)
     return gone
 
 

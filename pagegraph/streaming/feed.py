@@ -1,8 +1,10 @@
 """Change events as a stream: new pages once each, and the newest edit of every page.
 
-The transforms are the same for a stream and a batch. Streams keep no state: every micro-batch is
-reduced to one row per key and written to a folder of its own, so a replayed batch changes nothing,
-and readers merge the folders by key. ``compact`` bounds their number.
+The transforms are the same for a stream and a batch. There are two ways to run them. With state,
+Spark's state store decides: :func:`first_seen` and :func:`settled` give a page once, :func:`running_edits`
+keeps one row per page. Without state every micro-batch is reduced to one row per key. Either way a
+micro-batch is a folder of its own that a manifest names when it is whole, so a repeated batch changes
+nothing; readers merge the folders by key, and ``compact`` bounds their number.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagegraph.functions.text import casefold, user_name
 from pagegraph.operators.changes import not_commons_file
-from pagegraph.session import checkpointed
+from pagegraph.streaming import versions
 
 KEYS = ["wiki", "rc_cur_id"]
 
@@ -71,17 +73,72 @@ def latest_edits(events: DataFrame) -> DataFrame:
     )
 
 
+def first_seen(events: DataFrame, delay: str, **filters) -> DataFrame:
+    """Creations of a stream, one per page, given out as they arrive.
+
+    The state store remembers a page for ``delay`` after its event: the same event delivered again and
+    another creation of the page within that time are dropped, in whatever order and micro-batch they
+    come. Events older than the watermark (newest event time less ``delay``) are dropped as late.
+    """
+    rows = creation_events(events, **filters).withWatermark("event_time", delay)
+    return rows.dropDuplicatesWithinWatermark(KEYS)
+
+
+def settled(events: DataFrame, delay: str, **filters) -> DataFrame:
+    """Creations of a stream, the newest event of each page, given out when no other can come.
+
+    Events of a page that follow each other within ``delay`` are one creation. It is given out, once,
+    when the watermark has passed it; until then the state holds one row for it. Events older than the
+    watermark are dropped as late.
+    """
+    rows = creation_events(events, **filters).withWatermark("event_time", delay)
+    rest = [c for c in rows.columns if c not in KEYS]
+    newest = F.max_by(F.struct(*rest), F.struct("rc_timestamp", "rc_id")).alias("_v")
+    return rows.groupBy(*KEYS, F.session_window("event_time", delay).alias("_session")).agg(newest).select(*KEYS, "_v.*")
+
+
+def running_edits(events: DataFrame) -> DataFrame:
+    """Newest edit and number of edits per page so far, as :func:`latest_edits`, for update mode.
+
+    The state holds one row per page. A micro-batch gives the whole new rows of the pages it touched,
+    not differences, so writing one twice or reading an old folder beside a new one changes nothing.
+    """
+    return latest_edits(events)
+
+
+def start_running(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the table below ``path`` at what :func:`running_edits` says; read it with :func:`read_merged`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # the count only grows, so the newest row of a page is the one with the greatest
+        merge_batch(batch, batch_id, path, ["edits"])
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def merge_batch(batch: DataFrame, batch_id: int, path: str, order: list[str]) -> None:
     """Write one batch of the keyed table below ``path``.
 
-    Each batch owns one folder, so a retry overwrites itself; readers take the newest row per key.
+    Each batch owns one folder, so a retry overwrites itself; a batch that the manifest has already is
+    left alone, even if :func:`compact` has merged it since. Readers take the newest row per key.
     """
-    batch.withColumn("_order", F.struct(*order)).write.mode("overwrite").parquet("{}/batch={}".format(path, batch_id))
+    spark = batch.sparkSession
+    known = versions.manifest(spark, path)
+    if batch_id <= known.get("upto", -1):
+        # nothing to write, but a stateful stream has to go through its rows to commit its state
+        batch.write.format("noop").mode("overwrite").save()
+        return
+    if not known["number"]:
+        versions.commit(spark, path, lambda now: now)
+    folder = "batch={}".format(batch_id)
+    batch.withColumn("_order", F.struct(*order)).write.mode("overwrite").parquet("{}/{}".format(path, folder))
+    versions.commit(spark, path, lambda now: now | {"folders": [*(f for f in now["folders"] if f != folder), folder], "upto": batch_id})
 
 
 def read_merged(spark, path: str, keys: list[str]) -> DataFrame:
     """Newest row per key over all written batches."""
-    rows = spark.read.parquet(path)
+    rows = versions.read(spark, path)
     rest = [c for c in rows.columns if c not in keys and c not in ("_order", "batch")]
     newest = F.max_by(F.struct(*rest), F.struct("_order", "batch")).alias("_v")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_v.*")
@@ -89,7 +146,7 @@ def read_merged(spark, path: str, keys: list[str]) -> DataFrame:
 
 def read_edits(spark, path: str) -> DataFrame:
     """What :func:`latest_edits` gives for all events of the written batches."""
-    return spark.read.parquet(path).groupBy(*KEYS).agg(
+    return versions.read(spark, path).groupBy(*KEYS).agg(
         F.max("rc_timestamp").alias("rc_timestamp"),
         F.max_by("rc_id", F.struct("rc_timestamp", "rc_id")).alias("rc_id"),
         F.sum("edits").alias("edits"),
@@ -99,16 +156,21 @@ def read_edits(spark, path: str) -> DataFrame:
 def compact(spark, path: str, upto: int, merged: Callable[[DataFrame], DataFrame]) -> None:
     """Replace the folders of batches up to ``upto`` by one, holding what ``merged`` makes of their rows.
 
-    ``merged`` reduces rows to one per key and keeps ``_order``. The new folder is written before the old
-    ones go. Run it between micro-batches; batches up to ``upto`` must be finished.
+    ``merged`` reduces rows to one per key and keeps ``_order``. The new folder is written, then the
+    manifest names it instead of the old ones, then these go: a stop in between leaves no row double and
+    none out, only folders that no reader looks at (``versions.clean``). The stream may go on meanwhile.
     """
-    rows = spark.read.parquet(path).where(F.col("batch") <= upto)
-    kept = checkpointed(merged(rows).drop("batch"))
-    kept.write.mode("overwrite").parquet("{}/batch={}".format(path, upto))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for (batch,) in spark.read.parquet(path).where(F.col("batch") < upto).select("batch").distinct().collect():
-        folder = jvm.org.apache.hadoop.fs.Path("{}/batch={}".format(path, batch))
-        folder.getFileSystem(conf).delete(folder, True)
+    number = lambda folder: float(folder.split("=")[1])
+    old = [f for f in versions.manifest(spark, path)["folders"] if number(f) < upto + 1]
+    if not old:
+        return
+    again = 1 + max((int(f.split(".")[1]) for f in old if f.startswith("batch={}.".format(upto))), default=0)
+    folder = "batch={}.{}".format(upto, again)
+    rows = merged(versions.read(spark, path, folders=old)).drop("batch")
+    rows.write.mode("overwrite").parquet("{}/{}".format(path, folder))
+    versions.commit(spark, path, lambda now: now | {"folders": [folder, *(f for f in now["folders"] if f not in old)]})
+    for name in old:
+        versions.delete(spark, path, name)
 
 
 def newest_rows(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
