@@ -33,6 +33,7 @@ from pagegraph.functions.wiki import (
     project_parts,
     project_title_group,
 )
+from pagegraph.operators.chains import chain_ends, single_steps
 from pagegraph.operators.ranking import first_per_key, newest_first, top_k_per_key
 from pagegraph.session import checkpointed
 
@@ -314,8 +315,8 @@ def chase_redirects(starts: DataFrame, page: DataFrame, redirect: DataFrame) ->
 
     ``starts`` has wiki, ns_id and db_title. A start that meets no page keeps null; a redirect to a
     missing page ends at the redirect. A chain that comes back ends at the last page before the
-    repeat. Redirects are resolved once to pairs of page ids; each hop then joins only the ids that
-    still move.
+    repeat. Redirects are resolved once to pairs of page ids; their ends come from pointer doubling, see
+    :func:`chain_ends`.
     """
     pages = page.select(
         "wiki",
@@ -334,19 +335,8 @@ def chase_redirects(starts: DataFrame, page: DataFrame, redirect: DataFrame) ->
     nexts = checkpointed(aimed.join(titles, ["wiki", "_ns", "_title"]).where("_to <> _id").groupBy("wiki", "_id").agg(F.max("_to").alias("_to")))
     first = titles.select("wiki", F.col("_ns").alias("ns_id"), F.col("_title").alias("db_title"), F.col("_to").alias("_start"))
     found = starts.withColumn("ns_id", F.col("ns_id").cast("bigint")).join(first, ["wiki", "ns_id", "db_title"], "left")
-    moving = found.select("wiki", "_start").distinct().join(nexts, (nexts["wiki"] == found["wiki"]) & (F.col("_start") == F.col("_id")))
-    moving = moving.select(found["wiki"], "_start", F.col("_to").alias("_cur"), F.array("_start").alias("_seen"))
-    ends = None
-    while True:
-        hop = moving.join(nexts.withColumnRenamed("_id", "_cur"), ["wiki", "_cur"], "left")
-        hop = checkpointed(hop.withColumn("_stop", F.col("_to").isNull() | F.array_contains("_seen", F.col("_to"))))
-        ended = hop.where("_stop").select("wiki", "_start", F.col("_cur").alias("_end"))
-        ends = ended if ends is None else ends.unionByName(ended)
-        moving = hop.where("not _stop").select(
-            "wiki", "_start", F.col("_to").alias("_cur"), F.array_append("_seen", F.col("_cur")).alias("_seen")
-        )
-        if moving.isEmpty():
-            break
+    last = chain_ends(single_steps(nexts, "wiki", "_id", "_to"))
+    ends = last.select(F.col("key").alias("wiki"), F.col("node").alias("_start"), F.col("last").alias("_end"))
     out = found.join(ends, ["wiki", "_start"], "left")
     return out.select(*starts.columns, F.coalesce("_end", "_start").cast("bigint").alias("page_id"))
 

@@ -9,7 +9,7 @@ from pagegraph.functions import fixed
 from pagegraph.functions.text import bytes_title, db_title, integer, let, page_title, qid, quote, strip
 from pagegraph.functions.times import xsd_datetime
 from pagegraph.functions.wiki import token_site_domain
-from pagegraph.session import checkpointed
+from pagegraph.operators.chains import chain_ends, single_steps
 from pagegraph.sources.feeds import page_length
 
 
@@ -108,25 +108,13 @@ def table_lookup(targets: DataFrame, page: DataFrame, page_props: DataFrame, rev
 def resolve_aliases(titles: DataFrame, aliases: DataFrame, key: str = "title") -> DataFrame:
     """(wiki, title, final_title): follow aliases to the end, stop where a title repeats.
 
-    One join per hop on the titles still moving, lineage cut at every hop. It ends by the data: a
-    title either has no alias or comes back to one it has passed.
+    Of several targets of a title the greatest counts. The rounds double what they follow, see
+    :func:`chain_ends`, so long chains and rings take few of them.
     """
-    steps = aliases.select("wiki", F.col("source").alias("_cur"), F.col("target").alias("_next"))
-    moving = titles.select("wiki", key).distinct().select(
-        "wiki", key, F.col(key).alias("_cur"), F.array().cast("array<string>").alias("_seen")
-    )
-    done = None
-    while True:
-        hop = moving.join(steps, ["wiki", "_cur"], "left")
-        stop = F.col("_next").isNull() | F.array_contains("_seen", F.col("_cur")) | (F.col("_next") == F.col("_cur"))
-        hop = checkpointed(hop.withColumn("_stop", F.coalesce(stop, F.lit(True))))
-        ended = hop.where("_stop").select("wiki", key, F.col("_cur").alias("final_title"))
-        done = ended if done is None else done.unionByName(ended)
-        moving = hop.where(~F.col("_stop")).select(
-            "wiki", key, F.col("_next").alias("_cur"), F.array_append("_seen", F.col("_cur")).alias("_seen")
-        )
-        if moving.isEmpty():
-            return done
+    ends = chain_ends(single_steps(aliases, "wiki", "source", "target"))
+    known = ends.select(F.col("key").alias("wiki"), F.col("node").alias(key), "end")
+    found = titles.select("wiki", key).distinct().join(known, ["wiki", key], "left")
+    return found.select("wiki", key, F.coalesce("end", key).alias("final_title"))
 
 
 def alias_lookup(titles: DataFrame, aliases: DataFrame, pages: DataFrame) -> DataFrame:
