@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
+from pagegraph.functions.text import python_double
 
 # --- fixed values: profile type name of each kind and the datatype it is stored with ---
 DATATYPE_OF_KIND = {
@@ -116,6 +117,95 @@ def is_numeric(t: Column) -> Column:
     return F.coalesce(is_literal(t) & t["datatype"].isin(*NUMERIC_DATATYPES), F.lit(False))
 
 
+#: numeric types by how much they hold
+INTEGER, DECIMAL, DOUBLE = 0, 1, 2
+
+
+def numeric_width(t: Column) -> Column:
+    """Place of a number literal's type among the numeric types; null for all that is no number."""
+    kind = F.when(t["datatype"] == fixed.XSD_INTEGER, F.when(t["value"].try_cast("decimal(38,0)").isNotNull(), INTEGER))
+    kind = kind.when(t["datatype"] == fixed.XSD + "decimal", F.when(t["value"].try_cast("decimal(38,18)").isNotNull(), DECIMAL))
+    kind = kind.when(t["datatype"] == fixed.XSD_DOUBLE, F.when(t["value"].try_cast("double").isNotNull(), DOUBLE))
+    return F.when(is_literal(t), kind)
+
+
+def decimal_text(value: Column) -> Column:
+    """Decimal without zeros that say nothing: ``2.50`` is ``2.5``, ``2.0`` is ``2``."""
+    plain = value.cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def number_term(error: Column, width: Column, whole: Column, exact: Column, inexact: Column) -> Column:
+    """Number literal of the type ``width`` says; null on error or where the value does not fit."""
+    integer = F.when(whole.isNotNull(), term("literal", whole.cast("string"), F.lit(fixed.XSD_INTEGER)))
+    decimal = F.when(exact.isNotNull(), term("literal", decimal_text(exact), F.lit(fixed.XSD + "decimal")))
+    double = term("literal", python_double(inexact), F.lit(fixed.XSD_DOUBLE))
+    return F.when(~error, F.when(width == INTEGER, integer).when(width == DECIMAL, decimal).otherwise(double))
+
+
+def concat(*parts: Column) -> Column:
+    """CONCAT: a common language or the plain string type is kept; unbound parts and addresses are errors."""
+    text = parts[0]["value"]
+    good, tag = is_literal(parts[0]), parts[0]["lang"]
+    for part in parts[1:]:
+        text = F.concat(text, part["value"])
+        good = good & is_literal(part)
+        tag = F.when(tag.eqNullSafe(part["lang"]), tag)
+    return F.when(F.coalesce(good, F.lit(False)), term("literal", text, None, tag))
+
+
+def if_(condition: Column, then: Column, otherwise: Column) -> Column:
+    """IF: an error in the condition is an error of the whole."""
+    return F.when(condition, then).when(~condition, otherwise)
+
+
+def coalesce(*options: Column) -> Column:
+    """COALESCE: the first that is bound and no error."""
+    return F.coalesce(*options)
+
+
+def to_iri(t: Column) -> Column:
+    """IRI of an address or a plain string; relative ones are not resolved, blanks and brackets are errors."""
+    plain = is_iri(t) | (is_literal(t) & t["lang"].isNull() & F.coalesce(t["datatype"] == fixed.XSD_STRING, F.lit(True)))
+    return F.when(F.coalesce(plain, F.lit(False)) & ~t["value"].rlike(r'[\x00-\x20<>"{}|^`\\]'), iri(t["value"]))
+
+
+def strdt(t: Column, datatype_iri: str) -> Column:
+    """Literal of a plain string's text with a datatype."""
+    return F.when(_plain(t), term("literal", t["value"], F.lit(datatype_iri)))
+
+
+def strlang(t: Column, tag: str) -> Column:
+    """Literal of a plain string's text with a language."""
+    return F.when(_plain(t), term("literal", t["value"], None, F.lit(tag.lower())))
+
+
+def _plain(t: Column) -> Column:
+    typed = F.coalesce(t["datatype"], F.lit(fixed.XSD_STRING)) != fixed.XSD_STRING
+    return F.coalesce(is_literal(t) & t["lang"].isNull() & ~typed, F.lit(False))
+
+
+def _offset(t: Column) -> Column:
+    """Zone part of a dateTime's text, '' without one; null for other terms."""
+    return F.when(moment(t).isNotNull(), F.regexp_extract(t["value"], r"(Z|[+-]\d{2}:\d{2})$", 1))
+
+
+def tz(t: Column) -> Column:
+    """TZ: the zone as plain text, empty without one."""
+    return F.when(_offset(t).isNotNull(), term("literal", _offset(t)))
+
+
+def timezone(t: Column) -> Column:
+    """TIMEZONE: the zone as a day-time duration; an error without one."""
+    zone = _offset(t)
+    hours_, minutes_ = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+    sign = F.when(F.startswith(zone, F.lit("-")), "-").otherwise("")
+    part = lambda n, letter: F.when(n > 0, F.concat(n.cast("string"), F.lit(letter))).otherwise("")
+    text = F.concat(sign, F.lit("PT"), part(hours_, "H"), part(minutes_, "M"))
+    zero = (zone == "Z") | ((hours_ == 0) & (minutes_ == 0))
+    return F.when(zone != "", term("literal", F.when(zero, "PT0S").otherwise(text), F.lit(fixed.XSD + "dayTimeDuration")))
+
+
 def bound(t: Column) -> Column:
     return t.isNotNull()
 

@@ -218,17 +218,57 @@ class Graph:
         """Pairs reached from ``first`` by any number of further steps.
 
         Each round goes on from the pairs that are new, drops those already known and cuts lineage; it
-        ends when a round brings nothing, so a cycle ends too.
+        ends when a round brings nothing, so a cycle ends too. Where that takes more than ``PLAIN`` rounds
+        longer strides are laid beside the steps, see :class:`_Strides`, so chains and rings need rounds
+        in proportion to the logarithm of their length.
         """
         frontier = checkpointed(first.distinct())
-        known = frontier
+        known, strides, rounds = frontier, None, 0
         while not frontier.isEmpty():
-            grown = self._onward(part, frontier).distinct()
-            frontier = checkpointed(grown.join(known, ["a", "b"], "left_anti"))
+            grown = self._onward(part, frontier) if strides is None else _joined(frontier, strides.all)
+            frontier = checkpointed(grown.distinct().join(known, ["a", "b"], "left_anti"))
             known = known.unionByName(frontier)
+            rounds += 1
+            if rounds >= PLAIN and not _has_closure(part):
+                strides = (strides or _Strides(self._pairs(part))).longer()
         return known
 
 
+#: rounds a closure goes on by single steps; pairs of a stride, as a multiple of the single steps
+PLAIN, STRIDE_PAIRS = 4, 2
+
+
+def _has_closure(path: Path | str) -> bool:
+    return not isinstance(path, str) and (path.kind in ("star", "plus") or any(_has_closure(p) for p in path.parts))
+
+
+def _joined(pairs: DataFrame, steps: DataFrame) -> DataFrame:
+    onward = steps.select(F.col("a").alias("_m"), F.col("b").alias("_b"))
+    return pairs.withColumnRenamed("b", "_m").join(onward, "_m").select("a", F.col("_b").alias("b"))
+
+
+class _Strides:
+    """Single steps, pairs two steps apart, four, eight, and so on, while such pairs stay few.
+
+    On chains, rings and trees towards their root a node has few pairs at any distance. Where paths
+    branch out the pairs of the next stride, counted from the steps into and out of every node before
+    anything is joined, would be many; then the strides at hand do, as few rounds are left there.
+    """
+
+    def __init__(self, steps: DataFrame):
+        self.last = checkpointed(steps.where("a <> b").distinct())
+        self.all, self.most = self.last, STRIDE_PAIRS * self.last.count()
+
+    def longer(self) -> _Strides:
+        into = self.last.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("x"))
+        out = self.last.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("y"))
+        pairs = into.join(out, "n").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
+        if 0 < pairs <= self.most:
+            self.last = checkpointed(_joined(self.last, self.last).where("a <> b").distinct())
+            self.all = self.all.unionByName(self.last)
+        return self
+
+
 class Solutions:
     """Solution rows. ``certain`` variables are bound in every row, ``maybe`` ones may be unbound."""
 
@@ -371,7 +411,7 @@ class Solutions:
                 left = left.as_terms(name)
                 right = right.as_terms(name)
         if not shared <= right.certain:
-            raise ValueError("shared variables must be bound in every row of the optional part")
+            return left._optional_by_case(right, shared, condition)
         fresh = [v for v in right.variables if v not in shared]
         columns = left.variables + fresh
         out = None
@@ -400,6 +440,43 @@ class Solutions:
             out = part if out is None else out.unionByName(part)
         return Solutions(out, left.certain, left.maybe | set(fresh), left.addresses | right.addresses)
 
+    def _optional_by_case(self, right: Solutions, shared: set[str], condition: Callable[[Solutions], Column] | None) -> Solutions:
+        """Left outer join where shared variables may be unbound on both sides.
+
+        Left rows get a number. Each pair of cases, by which shared variables are bound, is an equality
+        join on those bound on both sides; a variable bound on one side only takes that value. Rows whose
+        number is in no join stay, with the optional part unbound. Two rows that share no bound variable
+        are no pair.
+        """
+        fresh = [v for v in right.variables if v not in shared]
+        numbered = checkpointed(self.df.withColumn("_row", F.monotonically_increasing_id()))
+        names = self.variables + fresh
+        found = None
+        for ldf, lbound in self._with(numbered)._patterns(shared):
+            for rdf, rbound in right._patterns(shared):
+                keys = sorted(lbound & rbound)
+                if not keys:
+                    continue
+                renamed = rdf
+                for name in shared:
+                    renamed = renamed.withColumnRenamed(name, "_r_" + name)
+                on = F.lit(True)
+                for name in keys:
+                    on = on & (F.col(name) == F.col("_r_" + name))
+                both = ldf.join(renamed, on)
+                merged = [F.coalesce(F.col(v), F.col("_r_" + v)).alias(v) if v in shared else F.col(v) for v in names]
+                part = both.select("_row", *merged)
+                if condition is not None:
+                    part = part.where(condition(Solutions(part, self.certain | right.certain, self.maybe | right.maybe, self.addresses | right.addresses)))
+                found = part if found is None else found.unionByName(part)
+        if found is None:
+            self._need_key(set())
+        found = checkpointed(found)
+        kinds = {f.name: f.dataType for f in right.df.schema.fields}
+        alone = numbered.join(found.select("_row").distinct(), "_row", "left_anti")
+        alone = alone.select(*self.variables, *[F.lit(None).cast(kinds[v]).alias(v) for v in fresh])
+        return Solutions(found.drop("_row").unionByName(alone), self.certain, self.maybe | set(fresh), self.addresses | right.addresses)
+
     def minus(self, other: Solutions) -> Solutions:
         """Drop rows compatible with a row of ``other`` that shares a bound variable.
 
@@ -589,6 +666,59 @@ def sample(value: Column) -> Column:
     return F.any_value(value)
 
 
+def total_term(t: Column) -> Column:
+    """SUM as a term: integer, decimal or double, the widest type of the group; 0 for an empty one.
+
+    A value that is no number, or an unbound one, makes the result unbound. Whole numbers and decimals
+    are added exactly within 38 digits, beyond them the result is unbound.
+    """
+    return terms.number_term(*_sums(t))
+
+
+def mean_term(t: Column) -> Column:
+    """AVG as a term: of whole numbers a decimal, exact to 18 places; else as :func:`total_term`.
+
+    Sums of more than 20 digits before the point make it unbound.
+    """
+    error, width, whole, exact, inexact = _sums(t)
+    parts = F.count(F.lit(1))
+    shared = F.try_divide(exact, parts.cast("decimal(20,0)")).cast("decimal(38,18)")
+    width = F.when(parts == 0, terms.INTEGER).otherwise(F.greatest(width, F.lit(terms.DECIMAL)))
+    return terms.number_term(error, width, whole, shared, inexact / parts)
+
+
+def _sums(t: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """Whether some value is no number, the widest numeric type, and the sum as each of these types.
+
+    A group of whole numbers keeps all its 38 digits; beside decimals it has 20 before the point.
+    """
+    width = terms.numeric_width(t)
+    error = F.coalesce(F.max(width.isNull().cast("int")), F.lit(0)) == 1
+    wide = F.coalesce(F.max(width), F.lit(terms.INTEGER))
+    whole = F.when(width == terms.INTEGER, t["value"].try_cast("decimal(38,0)"))
+    exact = F.when(width < terms.DOUBLE, t["value"].try_cast("decimal(38,18)"))
+    lost = F.coalesce(F.max(((width < terms.DOUBLE) & exact.isNull()).cast("int")), F.lit(0)) == 1
+    zero = F.lit(0).cast("decimal(38,0)")
+    whole_sum = F.when(F.count(F.lit(1)) == 0, zero).otherwise(F.try_sum(whole))
+    inexact = F.sum(F.when(width.isNotNull(), t["value"].try_cast("double")))
+    return error, wide, whole_sum, F.when(~lost, F.try_sum(exact)), inexact
+
+
+def least_term(t: Column) -> Column:
+    """MIN by term order; unbound values are passed over."""
+    return F.min(F.when(t.isNotNull(), F.struct(terms.order_key(t).alias("k"), t.alias("t"))))["t"]
+
+
+def greatest_term(t: Column) -> Column:
+    """MAX by term order."""
+    return F.max(F.when(t.isNotNull(), F.struct(terms.order_key(t).alias("k"), t.alias("t"))))["t"]
+
+
+def sample_term(t: Column) -> Column:
+    """SAMPLE that does not depend on the order of rows."""
+    return F.min(t)
+
+
 def group_concat(text: Column, separator: str = " ", distinct: bool = False) -> Column:
     """Joined text of a group, in text order. The result is one cell, so groups must fit one."""
     return F.listagg_distinct(text, F.lit(separator)) if distinct else F.listagg(text, F.lit(separator))

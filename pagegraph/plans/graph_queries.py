@@ -1128,3 +1128,69 @@ def catalog_rows(v: Views) -> DataFrame:
     params = F.create_map(F.lit("wiki"), F.array(F.lit("fi")))
     lines = catalog.catalog_rows(rows, profile.profile(rows, VOC), F.lit("https://x.org/"), params, LOADED)
     return lines.select("dataset_id", "records", F.size("fields").cast("bigint").alias("field_count"), "loaded_at")
+
+
+def mixed_graph(v: Views) -> Graph:
+    """Customers in seven groups: whole numbers; with doubles; with decimals; with texts; texts of a language; with addresses; doubles."""
+    key, turn = F.col("c_custkey"), F.col("c_custkey") % 7
+    odd = F.floor(key / 7) % 2 == 1
+    half, quarter = (key * 0.5).cast("double").cast("string"), (key * 0.25).cast("double").cast("string")
+    plain = (turn == 0) | (turn.isin(1, 2, 3, 5) & ~odd)
+    value = F.when(plain, key.cast("string")).when(turn == 1, half).when(turn == 2, text(key, ".25")).when(turn == 6, quarter)
+    value = value.when(turn == 5, text("urn:c:", key)).otherwise(text("w", key))
+    kind = F.when(plain, X + "integer").when(turn.isin(1, 6), X + "double").when(turn == 2, X + "decimal")
+    row = lambda p, o_kind, o, dt, lang: F.struct(F.lit(P(p)).alias("p"), o_kind.alias("o_kind"), o.alias("o"), dt.alias("o_dt"), lang.alias("o_lang"))
+    none = F.lit(None).cast("string")
+    both = F.array(
+        row("group", F.lit("literal"), text("g", turn), none, none),
+        row("value", F.when((turn == 5) & odd, "iri").otherwise("literal"), value, kind, F.when(turn == 4, "en")),
+    )
+    rows = v.table("customer").select(F.lit("mixed").alias("dataset_id"), text("urn:c:", key).alias("s"), F.explode(both).alias("t"))
+    return Graph(rows.select("dataset_id", "s", "t.*"))
+
+
+_DECIMAL = "rtrim(rtrim(CAST({0} // 1000000000000000000 AS VARCHAR) || '.' || lpad(CAST({0} % 1000000000000000000 AS VARCHAR), 18, '0'), '0'), '.')"
+
+_TERM_AGGREGATES = """WITH r AS (SELECT c_custkey AS k, c_custkey % 7 AS g, (c_custkey // 7) % 2 = 1 AS odd FROM customer),
+    t AS (SELECT k, g, CASE WHEN g = 0 OR (g IN (1, 2, 3, 5) AND NOT odd) THEN 0 WHEN g = 2 THEN 1 WHEN g IN (1, 6) THEN 2 END AS width,
+      CASE WHEN g = 5 AND odd THEN 'urn:c:' || k WHEN g IN (3, 4) AND (g = 4 OR odd) THEN 'w' || k END AS word FROM r),
+    n AS (SELECT *, CASE WHEN width = 0 THEN CAST(k AS HUGEINT) * 100 WHEN width = 1 THEN CAST(k AS HUGEINT) * 100 + 25 END AS cents,
+      CASE WHEN width = 0 THEN CAST(k AS DOUBLE) WHEN width = 1 THEN k + 0.25 WHEN g = 1 THEN k * 0.5 ELSE k * 0.25 END AS num,
+      CASE WHEN width = 0 THEN CAST(k AS VARCHAR) WHEN width = 1 THEN k || '.25' WHEN g = 1 THEN CAST(CAST(k * 0.5 AS DOUBLE) AS VARCHAR)
+      WHEN g = 6 THEN CAST(CAST(k * 0.25 AS DOUBLE) AS VARCHAR) ELSE word END AS txt FROM t),
+    a AS (SELECT g, bool_or(width IS NULL) AS bad, max(width) AS width, sum(cents) AS cents, sum(CASE WHEN width IS NOT NULL THEN num END) AS num, count(*) AS c,
+      arg_min(txt, CASE WHEN width IS NULL THEN NULL ELSE num END) AS low_n, arg_max(txt, CASE WHEN width IS NULL THEN NULL ELSE num END) AS high_n,
+      min(word) AS low_w, max(word) AS high_w FROM n GROUP BY g),
+    b AS (SELECT *, CAST(cents AS HUGEINT) * 10000000000000000 AS s, (2 * CAST(cents AS HUGEINT) * 10000000000000000 + c) // (2 * c) AS q FROM a)
+    SELECT 'g' || g AS grp,
+      CASE WHEN NOT bad THEN CASE width WHEN 2 THEN CAST(CAST(num AS DOUBLE) AS VARCHAR) ELSE {s} END END AS total,
+      CASE WHEN NOT bad THEN CASE width WHEN 0 THEN 'integer' WHEN 1 THEN 'decimal' ELSE 'double' END END AS total_type,
+      CASE WHEN NOT bad THEN CASE width WHEN 2 THEN CAST(CAST(num AS DOUBLE) / c AS VARCHAR) ELSE {q} END END AS mean,
+      CASE WHEN NOT bad THEN CASE WHEN width < 2 THEN 'decimal' ELSE 'double' END END AS mean_type,
+      CASE WHEN g = 5 THEN low_w ELSE coalesce(low_n, low_w) END AS least, CASE WHEN g = 5 THEN high_n ELSE coalesce(high_w, high_n) END AS greatest
+    FROM b""".format(s=_DECIMAL.format("s"), q=_DECIMAL.format("q"))
+
+
+@query("g_term_aggregates", _TERM_AGGREGATES)
+def g_term_aggregates(v: Views) -> DataFrame:
+    """SUM, AVG, MIN and MAX over terms: the widest numeric type counts, other terms make a sum unbound."""
+    gr = mixed_graph(v)
+    s = gr.match("?c", P("group"), "?grp").join(gr.match("?c", P("value"), "?v"))
+    t = s.term("v")
+    found = s.group(["grp"], total=g.total_term(t), mean=g.mean_term(t), least=g.least_term(t), greatest=g.greatest_term(t))
+    kind = lambda c: F.substring_index(F.col(c + ".datatype"), "#", -1).alias(c + "_type")
+    plain = [F.col(c + ".value").alias(c) for c in ("total", "mean", "least", "greatest")]
+    return found.select("grp", *plain, kind("total"), kind("mean"))
+
+
+@query("g_optional_loose", """WITH l AS (SELECT o_orderkey AS o, c_custkey AS c FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' WHERE o_orderstatus = 'F'),
+    r AS (SELECT o_orderkey AS o, c_custkey AS c, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS total FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND floor(c_acctbal) > 0)
+    SELECT 'urn:o:' || l.o AS o, 'urn:c:' || coalesce(l.c, r.c) AS c, total FROM l JOIN r ON r.o = l.o""")
+def g_optional_loose(v: Views) -> DataFrame:
+    """An optional part whose shared variable may be unbound on either side: bound values must agree, others fill in."""
+    gr = trade_graph(v)
+    rich = gr.match("?c", P("balance"), "?b").filter(lambda s: terms.number(s.term("b")) > 0)
+    buyer = lambda side: gr.match("?o", P("customer"), "?c", address=True).join(side)
+    left = gr.match("?o", P("status"), Lit("F")).optional(buyer(gr.match("?c", P("segment"), Lit("BUILDING"))))
+    right = gr.match("?o", P("total"), "?total").optional(buyer(rich))
+    return left.optional(right).values("o", "c", "total")
