@@ -14,13 +14,13 @@ from pagegraph.plans.views import PAYLOAD_ROWS, K_SQL, Views, digits, iso, strip
 from pagegraph.sources import feeds, piles, records, results
 
 
-def _documents(rows: DataFrame, key: str, order: str, item: Column) -> DataFrame:
-    """(payload_id, items) with the items of ``PAYLOAD_ROWS`` consecutive keys, in order.
+def _documents(rows: DataFrame, key: str, order: str, item: Column, size: int = PAYLOAD_ROWS) -> DataFrame:
+    """(payload_id, items) with the items of ``size`` consecutive keys, in order.
 
     The number of partitions is stated, because reading a document costs far more than its size
     suggests; the grouping reuses that partitioning.
     """
-    number = F.floor(F.col(key) / PAYLOAD_ROWS).cast("bigint").alias("payload_id")
+    number = F.floor(F.col(key) / size).cast("bigint").alias("payload_id")
     listed = rows.select(number, F.struct(F.col(order).alias("_o"), item.alias("item")).alias("_i"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return listed.repartition(parts, "payload_id").groupBy("payload_id").agg(F.sort_array(F.collect_list("_i")).alias("_l")).select(
@@ -44,6 +44,9 @@ def _listed_records(rows: DataFrame) -> DataFrame:
     )
 
 
+#: rows of a payload that is cut
+LONG_ROWS = 2000
+
 _DIRECT_SQL = """SELECT event_id // {n} AS payload_id, event_id % {n} AS position, event_id AS id, event_type AS title
     FROM events""".format(n=PAYLOAD_ROWS)
 
@@ -100,6 +103,33 @@ def payload_deep(v: Views) -> DataFrame:
     return _listed_records(records.extract_records(payloads, ["payload_id"], "json"))
 
 
+@query("payload_cut", _DIRECT_SQL.replace(str(PAYLOAD_ROWS), str(LONG_ROWS)))
+def payload_cut(v: Views) -> DataFrame:
+    """Long payloads, cut in ranges by many tasks: rows at a usual place, and rows that only a deep search finds."""
+    docs = _documents(v.table("events"), "event_id", "event_id", _event_item(), LONG_ROWS)
+    few = F.slice("items", 1, 3).alias("short")
+    usual = F.to_json(F.struct(few, F.struct(F.col("items").alias("*")).alias("a")))
+    deep = F.to_json(F.struct(few, F.struct(F.struct(F.col("items").alias("rows")).alias("inner")).alias("outer")))
+    payloads = docs.select("payload_id", F.when(F.col("payload_id") % 2 == 0, usual).otherwise(deep).alias("json"))
+    return _listed_records(records.extract_records(payloads, ["payload_id"], "json", whole=1 << 14, size=1 << 15))
+
+
+@query(
+    "header_cut",
+    """SELECT o_orderkey // {n} AS payload_id, o_orderkey % {n} AS position, 'id' AS key, CAST(o_orderkey AS VARCHAR) AS value FROM orders
+       UNION ALL SELECT o_orderkey // {n}, o_orderkey % {n}, 'id_2', o_orderpriority FROM orders""".format(n=LONG_ROWS),
+)
+def header_cut(v: Views) -> DataFrame:
+    """Long result payloads: headers in one piece, rows cut out by many tasks."""
+    cells = text("[", F.col("o_orderkey"), ',"', F.col("o_orderpriority"), '"]')
+    docs = _documents(v.table("orders"), "o_orderkey", "o_orderkey", cells, LONG_ROWS)
+    payload = text('{"rows":[', F.array_join("items", ", "), '], "headers":["id","id"]}')
+    fields = results.result_rows(docs.select("payload_id", payload.alias("json")), ["payload_id"], "json", whole=1 << 14, size=1 << 15)
+    return fields.select("payload_id", F.col("position").cast("bigint").alias("position"), F.explode("fields").alias("f")).select(
+        "payload_id", "position", "f.key", F.col("f.value").cast("string").alias("value")
+    )
+
+
 @query(
     "header_rows",
     """SELECT payload_id, position, key, value FROM (
@@ -120,7 +150,7 @@ def header_rows(v: Views) -> DataFrame:
     docs = _documents(v.table("orders"), "o_orderkey", "o_orderkey", row)
     payload = text('{"headers":["id","Total (price","Total  price"],"rows":[', F.array_join("items", ","), "]}")
     payload = F.replace(payload, F.lit("Total (price"), F.lit("Total price"))
-    fields = results.result_rows(docs.select("payload_id", payload.alias("json")), ["payload_id"], "json", limit=40)
+    fields = results.result_rows(docs.select("payload_id", payload.alias("json")), ["payload_id"], "json", limit=40, whole=None)
     return fields.select("payload_id", "position", F.explode_outer("fields").alias("f")).where(F.col("f").isNotNull()).select(
         "payload_id", "position", "f.key", F.col("f.value").cast("string").alias("value")
     )
@@ -151,7 +181,7 @@ def pile_titles(v: Views) -> DataFrame:
     title = F.when(F.col("p_partkey") % 7 == 0, "  ").otherwise(text(" :", F.col("p_name")))
     docs = _documents(v.table("part"), "p_partkey", "p_partkey", title)
     payload = F.to_json(F.struct(F.lit(" EnWiki ").alias("wiki"), F.col("items").alias("pages")))
-    rows = piles.read_piles(docs.select(F.col("payload_id").alias("pile_id"), payload.alias("json")), ["pile_id"], "json", limit=20)
+    rows = piles.read_piles(docs.select(F.col("payload_id").alias("pile_id"), payload.alias("json")), ["pile_id"], "json", limit=20, whole=None)
     return rows.select("pile_id", "title", F.col("position").cast("bigint").alias("position"))
 
 

@@ -366,9 +366,12 @@ def longest(payloads: DataFrame, json_column: str) -> int:
     return payloads.agg(F.coalesce(F.max(F.octet_length(json_column)), F.lit(0))).first()[0]
 
 
-def halves(payloads: DataFrame, json_column: str, whole: int) -> tuple[DataFrame, DataFrame | None]:
-    """Documents to read in one row each, and those to cut; null where there are none of these."""
-    if longest(payloads, json_column) <= whole:
+def halves(payloads: DataFrame, json_column: str, whole: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Documents to read in one row each, and those to cut; null where there are none of these.
+
+    ``whole`` null says that the caller's documents are known to be short, so that no pass looks.
+    """
+    if whole is None or longest(payloads, json_column) <= whole:
         return payloads, None
     large = F.coalesce(F.octet_length(json_column) > whole, F.lit(False))
     return payloads.where(~large), payloads.where(large)
@@ -387,6 +390,13 @@ def located(cut: Shredded) -> DataFrame:
     return spread_join(cut.elements, cut.containers.select("doc", "container", "kind", "names", "path"), ["doc", "container"], "at")
 
 
+def root_members(cut: Shredded) -> DataFrame:
+    """``doc, text, v, child`` of the members of root objects; a document that was not cut is one such row."""
+    shown = ["doc", "text", "v", "child"]
+    own = located(cut).where((F.size("names") == 0) & (F.col("kind") == "{")).select(*shown)
+    return own.union(cut.elements.where(F.col("container") == OUTSIDE).select(*shown))
+
+
 def container_texts(cut: Shredded, wanted: DataFrame) -> DataFrame:
     """``doc, container, text`` of containers put together again, for single values that are large."""
     rows = wanted.join(cut.containers.select("doc", "container", "close"), ["doc", "container"])

@@ -18,7 +18,7 @@ def pile_titles(pages: Column, limit: int | None = None) -> Column:
 
 
 def read_piles(
-    payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None, whole: int = large.WHOLE, size: int = large.RANGE
+    payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None, whole: int | None = large.WHOLE, size: int = large.RANGE
 ) -> DataFrame:
     """(keys, wiki, position, title); a payload without wiki or pages gives no rows.
 
@@ -40,7 +40,7 @@ def read_piles(
 def _large_piles(payloads: DataFrame, keys: list[str], json_column: str, limit: int | None, size: int) -> DataFrame:
     """Titles of piles that are cut: the first place of each, numbered in blocks."""
     cut = large.shred(payloads, keys, json_column, size)
-    top = large.located(cut).where((F.size("names") == 0) & (F.col("kind") == "{") & F.col("child").isNull())
+    top = large.root_members(cut).where("child is null")
     pile = F.from_json(F.col("text"), _PILE)
     wikis = top.select("doc", F.lower(strip(pile["wiki"])).alias("wiki")).where("wiki <> ''")
     one = F.get(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), 0)

@@ -136,7 +136,7 @@ def _lists_below(nodes: DataFrame, keys: list[str], depth: int) -> DataFrame:
     return found.where(F.col("rows").isNotNull())
 
 
-def extract_records(payloads: DataFrame, keys: list[str], json_column: str, whole: int = large.WHOLE, size: int = large.RANGE) -> DataFrame:
+def extract_records(payloads: DataFrame, keys: list[str], json_column: str, whole: int | None = large.WHOLE, size: int = large.RANGE) -> DataFrame:
     """(keys, position, record VARIANT): direct places first, deep search for the others.
 
     Payloads of more than ``whole`` bytes are cut in ranges of ``size`` bytes by as many tasks; the rules
@@ -256,7 +256,7 @@ def exploded_records(payloads: DataFrame, keys: list[str]) -> DataFrame:
     return rows.where(F.col("position").isNotNull())
 
 
-def rejected_payloads(payloads: DataFrame, keys: list[str], json_column: str, whole: int = large.WHOLE, size: int = large.RANGE) -> DataFrame:
+def rejected_payloads(payloads: DataFrame, keys: list[str], json_column: str, whole: int | None = large.WHOLE, size: int = large.RANGE) -> DataFrame:
     """Payloads that are no JSON object (broken text, duplicate keys, other JSON values).
 
     Payloads of more than ``whole`` bytes are cut to be judged, not taken for broken.

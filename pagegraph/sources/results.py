@@ -66,7 +66,7 @@ def _members(text: Column, v: Column) -> Column:
 
 
 def result_rows(
-    payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None, whole: int = large.WHOLE, size: int = large.RANGE
+    payloads: DataFrame, keys: list[str], json_column: str, limit: int | None = None, whole: int | None = large.WHOLE, size: int = large.RANGE
 ) -> DataFrame:
     """(keys, position, fields, row_error): fields is array<struct<key, value VARIANT>> in order.
 
@@ -100,7 +100,7 @@ def _paired(values: str, texts: str, limit: int | None) -> Column:
 def _large_rows(payloads: DataFrame, keys: list[str], json_column: str, limit: int | None, size: int) -> DataFrame:
     """Header names and single rows of payloads that are cut: ``keys, _names, position, _row``."""
     cut = large.shred(payloads, keys, json_column, size)
-    top = large.located(cut).where((F.size("names") == 0) & (F.col("kind") == "{"))
+    top = large.root_members(cut)
     both = F.from_json(F.col("text"), _RESULT)
     inner = top.where("child is null").select("doc", both["headers"].alias("headers"), both["rows"].alias("texts"), F.try_variant_get("v", "$.rows", "array<variant>").alias("values"))
     lists = cut.containers.where("kind = '['")

