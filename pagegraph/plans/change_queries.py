@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pagegraph.operators import audit, changes, members
 from pagegraph.plans.graph_queries import ENRICHED, enriched_links
 from pagegraph.plans.registry import query
 from pagegraph.plans.views import COMMONS, K_SQL, Views, digits, iso_of_digits, quoted, text, wiki_of, wiki_sql, with_ctes
+from pagegraph.session import ensure_checkpoint_dir
+from pagegraph.sources import tables
 from pagegraph.streaming import feed
 
 FLOOR = "20240105000000"
@@ -358,3 +361,14 @@ def stream_new_pages(v: Views) -> DataFrame:
 def stream_latest_edit(v: Views) -> DataFrame:
     """Batch run of the newest edit per page."""
     return feed.latest_edits(v.recentchanges())
+
+
+@query("table_since", with_ctes("recentchanges", "dims") + """SELECT wiki, rc_source, count(*) AS changes, max(rc_timestamp) AS newest FROM recentchanges
+    WHERE rc_timestamp >= '{f}' AND wiki IN (SELECT dbname FROM dims WHERE wiki_group = 'wikipedia') GROUP BY wiki, rc_source""".format(f=FLOOR))
+def table_since(v: Views) -> DataFrame:
+    """Changes of the selected wikis from a table laid out by wiki and day."""
+    root = "{}/replica-{}".format(ensure_checkpoint_dir(v.spark), uuid.uuid4().hex)
+    tables.write_by_day(v.recentchanges(), root, "recentchanges")
+    wikis = v.wikis().where(F.col("wiki_group") == "wikipedia").select(F.col("dbname").alias("wiki"))
+    rows = tables.read_since(v.spark, root, "recentchanges", FLOOR, wikis)
+    return rows.groupBy("wiki", "rc_source").agg(F.count(F.lit(1)).alias("changes"), F.max("rc_timestamp").alias("newest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --- fixed values: columns read from each table ---
 COLUMNS = {
@@ -31,6 +32,34 @@ COLUMNS = {
 }
 
 
+#: column with the 14 digits of a row's time, for tables laid out by day
+TIMES = {"recentchanges": "rc_timestamp", "revision": "rev_timestamp"}
+
+
+def write_by_day(rows: DataFrame, root: str, table: str) -> None:
+    """Write a table in folders of ``wiki`` and ``day``.
+
+    Rows are dealt by ranges of wiki and time, so a day of a busy wiki is spread over tasks and the
+    number of files stays near the number of tasks plus the number of folders.
+    """
+    time = TIMES[table]
+    laid = rows.withColumn("day", F.substring(time, 1, 8)).repartitionByRange("wiki", "day", time).sortWithinPartitions("wiki", "day", time)
+    laid.write.mode("overwrite").partitionBy("wiki", "day").parquet("{}/{}".format(root.rstrip("/"), table))
+
+
+def read_since(spark: SparkSession, root: str, table: str, floor: str, wikis: DataFrame | None = None) -> DataFrame:
+    """Rows at or after ``floor`` of the wikis in ``wikis(wiki)``, of a table laid out by wiki and day.
+
+    Folders of earlier days are left out when the query is planned, those of other wikis when it runs:
+    the list of wikis is joined, and what it holds prunes the folders before they are read.
+    """
+    path = "{}/{}".format(root.rstrip("/"), table)
+    frame = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    rows = frame.where((F.col("day") >= floor[:8]) & (F.col(TIMES[table]) >= floor))
+    rows = rows if wikis is None else rows.join(wikis.select("wiki"), "wiki", "left_semi")
+    return rows.select("wiki", *[c for c in COLUMNS[table] if c in rows.columns])
+
+
 def read_table(spark: SparkSession, root: str, table: str, fmt: str = "parquet") -> DataFrame:
     """Table below ``root``, partitioned by ``wiki`` where it belongs to one wiki."""
     frame = spark.read.format(fmt).load("{}/{}".format(root.rstrip("/"), table))

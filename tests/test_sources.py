@@ -156,3 +156,21 @@ def test_rows_are_found_at_any_depth_and_after_many_rows(spark):
     got = records.extract_records(df, ["k"], "json").groupBy("k").count().collect()
     assert sorted(map(tuple, got)) == [("deep", 2), ("late", 31)]
     assert [r[0] for r in df.select(records.nesting(F.col("json"))).collect()] == [16, 3]
+
+
+def test_days_and_wikis_prune_folders(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.format_string("w%d", F.col("id") % 4).alias("wiki"), F.col("id").alias("rc_id"), F.lit("mw.new").alias("rc_source"),
+        F.concat(F.lit("202604"), F.lpad((1 + F.col("id") % 10).cast("string"), 2, "0"), F.lpad((F.col("id") % 24).cast("string"), 2, "0"), F.lit("0000")).alias("rc_timestamp"),
+    )
+    tables.write_by_day(rows, str(tmp_path), "recentchanges")
+    dims = spark.createDataFrame([("w%d" % i, "a" if i < 2 else "b") for i in range(4)], "wiki string, kind string")
+    floor = "20260408120000"
+    got = tables.read_since(spark, str(tmp_path), "recentchanges", floor, dims.where("kind = 'a'"))
+    expected = rows.where((F.col("rc_timestamp") >= floor) & F.col("wiki").isin("w0", "w1"))
+    flat = lambda df: sorted((r.wiki, r.rc_id, r.rc_timestamp) for r in df.collect())
+    assert flat(got) == flat(expected) and flat(got)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line or "PartitionFilters" in line)
+    assert "dynamicpruning" in scan and "20260408" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert flat(tables.read_since(spark, str(tmp_path), "recentchanges", floor)) == flat(rows.where(F.col("rc_timestamp") >= floor))
