@@ -258,7 +258,9 @@ def build_index(
         cols += [table["v"].cast(pa.list_(pa.float64())), table["ids"].cast(pa.list_(pa.int64())), edges]
         return pa.table(cols, names=["dim", "shard", "place", "v", "ids", "edges"])
 
-    return dealt.groupBy("dim", "shard").applyInArrow(graph, INDEX)
+    # a task per shard, about: building costs far more than the shard's bytes suggest
+    shards = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    return dealt.repartition(max(1, shards), "dim", "shard").groupBy("dim", "shard").applyInArrow(graph, INDEX)
 
 
 def search_index(
