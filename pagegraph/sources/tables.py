@@ -32,6 +32,8 @@ COLUMNS = {
 }
 
 
+#: names up to which a list of wikis is broadcast
+MOST_LISTED = 10_000
 #: column with the 14 digits of a row's time, for tables laid out by day
 TIMES = {"recentchanges": "rc_timestamp", "revision": "rev_timestamp"}
 
@@ -56,7 +58,11 @@ def read_since(spark: SparkSession, root: str, table: str, floor: str, wikis: Da
     path = "{}/{}".format(root.rstrip("/"), table)
     frame = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
     rows = frame.where((F.col("day") >= floor[:8]) & (F.col(TIMES[table]) >= floor))
-    rows = rows if wikis is None else rows.join(wikis.select("wiki"), "wiki", "left_semi")
+    if wikis is not None:
+        listed = wikis.select("wiki").distinct()
+        # only a list that is broadcast prunes in every case; a longer one is joined
+        few = listed.limit(MOST_LISTED + 1).count() <= MOST_LISTED
+        rows = rows.join(F.broadcast(listed) if few else listed, "wiki", "left_semi")
     return rows.select("wiki", *[c for c in COLUMNS[table] if c in rows.columns])
 
 
