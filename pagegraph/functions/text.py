@@ -119,6 +119,22 @@ def named(**columns: Column) -> Column:
     return F.named_struct(*[part for name, column in columns.items() for part in (F.lit(name), column)])
 
 
+def signed_zeros(json: Column) -> Column:
+    """JSON text whose decimal zeros keep their minus sign when parsed to VARIANT.
+
+    A number without exponent becomes a decimal there, which has no negative zero; one with an exponent
+    stays a double. Text inside strings is left alone.
+    """
+    pieces = F.regexp_extract_all(json, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'), F.lit(0))
+    marked = F.transform(
+        pieces,
+        lambda piece: F.when(F.startswith(piece, F.lit('"')), piece).otherwise(
+            F.regexp_replace(piece, r"(?<![0-9.eE+-])-0\.0++(?![0-9.eE+-])", "-0.0e0")
+        ),
+    )
+    return F.when(json.rlike(r"-0\.0++(?![0-9eE])"), F.array_join(marked, "")).otherwise(json)
+
+
 def python_double(number: Column) -> Column:
     """Shortest decimal text of a double: plain from 1e-4 up to 1e16, else with exponent."""
     java = number.cast("double").cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed, terms
+from pagegraph.functions.text import signed_zeros
 from pagegraph.functions.times import digits14, ntz_text
 from pagegraph.operators import catalog, links, profile, sinks, triples
 from pagegraph.operators import pattern as g
@@ -103,7 +104,7 @@ def triples_from_rows(v: Views) -> DataFrame:
 def triples_from_variant(v: Views) -> DataFrame:
     """The same rows as JSON objects: keys and types are found in each row."""
     body = F.to_json(F.struct(*[F.col("`{}`".format(k)) for k in CUSTOMER_KEYS]))
-    records = customer_records(v).select("dataset_id", "position", F.parse_json(body).alias("record"))
+    records = customer_records(v).select("dataset_id", "position", F.parse_json(signed_zeros(body)).alias("record"))
     rows = triples.list_rows(records, triples.VariantRecord("record"), VOC)
     return flat(triples.graph_set(triples.row_triples(rows, VOC, LOADED)))
 
@@ -194,7 +195,7 @@ def derived_fields(v: Views) -> DataFrame:
         meta.alias("metadata"),
     )
     records = v.wide_table("part").select(
-        F.lit("5").alias("dataset_id"), key.alias("position"), F.parse_json(F.to_json(body)).alias("record")
+        F.lit("5").alias("dataset_id"), key.alias("position"), F.parse_json(signed_zeros(F.to_json(body))).alias("record")
     )
     rows = triples.list_rows(records, triples.VariantRecord("record"), VOC)
     return rows.select(F.col("position").alias("p_partkey"), "s", F.explode_outer("fields").alias("f")).where(

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagegraph.functions.text import signed_zeros
 from pagegraph.session import checkpointed
 
 #: bytes of a range; a container of more bytes is cut into its elements
@@ -298,9 +299,9 @@ def shred(payloads: DataFrame, keys: list[str], json_column: str, size: int = RA
     blank = F.regexp_replace("text", r"[ \t\r\n]+", "") == ""
     member = F.concat(F.lit("{"), "text", F.when(F.col("child").isNotNull(), "null").otherwise(""), F.lit("}"))
     # in brackets, since a parser may not look at what follows a value
-    single = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]"))), "$[0]", "variant")
+    single = F.try_variant_get(F.try_parse_json(signed_zeros(F.concat(F.lit("["), "text", F.lit("]")))), "$[0]", "variant")
     texts = texts.withColumn("blank", blank).withColumn("json", F.when(F.col("kind") == "{", member).otherwise(F.col("text")))
-    parsed = checkpointed(texts.withColumn("v", F.when(F.col("kind") == "{", F.try_parse_json("json")).otherwise(single)))
+    parsed = checkpointed(texts.withColumn("v", F.when(F.col("kind") == "{", F.try_parse_json(signed_zeros(F.col("json")))).otherwise(single)))
 
     outside, within = parsed.where(F.col("container") == OUTSIDE), parsed.where(F.col("container") != OUTSIDE)
     is_child = F.col("child").isNotNull()
@@ -416,7 +417,7 @@ def whole_elements(cut: Shredded, lists: DataFrame) -> DataFrame:
     inner = own.where("child is null").select("doc", "container", "at", "text", "v")
     outer = own.where("child is not null").select("doc", "container", "at", "child")
     texts = container_texts(cut, outer.select("doc", F.col("child").alias("container"))).withColumnRenamed("container", "child")
-    outer = outer.join(texts, ["doc", "child"]).select("doc", "container", "at", "text", F.try_parse_json("text").alias("v"))
+    outer = outer.join(texts, ["doc", "child"]).select("doc", "container", "at", "text", F.try_parse_json(signed_zeros(F.col("text"))).alias("v"))
     return inner.union(outer)
 
 

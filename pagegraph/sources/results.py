@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import fixed
-from pagegraph.functions.text import blank_to_null, integer, let, named, page_title, strip
+from pagegraph.functions.text import blank_to_null, integer, let, named, page_title, signed_zeros, strip
 from pagegraph.functions.wiki import article_url
 from pagegraph.sources import large
 
@@ -77,7 +77,7 @@ def result_rows(
     parsed = small.select(
         *keys,
         F.from_json(F.col(json_column), _RESULT).alias("_raw"),
-        F.try_variant_get(F.try_parse_json(F.col(json_column)), "$.rows", "array<variant>").alias("_v"),
+        F.try_variant_get(F.try_parse_json(signed_zeros(F.col(json_column))), "$.rows", "array<variant>").alias("_v"),
     )
     rows = _paired("_v", "_raw.rows", limit)
     base = parsed.select(

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pagegraph.functions.text import signed_zeros
 from pagegraph.operators import triples
 from pagegraph.operators.links import link_targets
 from pagegraph.operators.triples import TypedRecord, VariantRecord, Vocabulary
@@ -145,3 +146,13 @@ def test_links(evaluate):
         ("https://fi.wikipedia.org/wiki/Keskustelu:%C3%84_b", "fiwiki", 1, "Keskustelu:Ä_b", "Ä_b"),
     ]
     assert got[1] == []
+
+
+def test_negative_zero_keeps_its_sign_in_variants(spark):
+    docs = ['{"n":-0.0,"t":"a, -0.0, \\"-0.0"}', '{"n": -0.00 }', '{"n":-0.05}', '{"n":0.0}', '{"n":10.5}', '{"n":[-0.0,1.0]}', '"-0.0']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "position long, json string")
+    records = df.select(F.lit("7").alias("dataset_id"), "position", F.try_parse_json(signed_zeros(F.col("json"))).alias("record"))
+    got = fields_of(triples.list_rows(records.where("record is not null"), VariantRecord("record"), VOC))
+    assert got[0] == [("n", "xsd:double", "-0.0"), ("t", "xsd:string", 'a, -0.0, "-0.0')]
+    assert [got[i][0][2] for i in range(1, 6)] == ["-0.0", "-0.05", "0.0", "10.5", "-0.0; 1.0"]
+    assert records.where("record is null").count() == 1
