@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: rows of a table one task works on at most, where a row may become a dozen triples
+TASK_ROWS = 50_000
+
+
 def build_session(app: str = "pagegraph", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -49,10 +53,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work on an input of few splits.
+def row_tasks(table: DataFrame) -> int:
+    """Tasks for costly work per row of a table: one per core at least, of ``TASK_ROWS`` rows at most.
+
+    A split of a well-compressed file holds millions of rows, and what a task keeps of them (their
+    triples, to merge equal ones) grows with their number.
+    """
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Deal a table read from files over enough tasks for costly work per row.
 
-    An input that already has a split per core, as any large one has, is returned unchanged.
+    A table that already has as many splits is returned unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = row_tasks(table)
+    return table if table.rdd.getNumPartitions() >= wanted else table.repartition(wanted)
