@@ -18,7 +18,7 @@ from pagegraph.operators.pattern import Graph, Lit
 from pagegraph.plans.payload_queries import result_documents
 from pagegraph.plans.registry import query
 from pagegraph.plans.views import PAYLOAD_ROWS, Views, iso, quoted, text, wiki_of, wiki_sql, with_ctes
-from pagegraph.session import ensure_checkpoint_dir
+from pagegraph.session import ensure_checkpoint_dir, row_tasks
 from pagegraph.sources import results
 
 VOC = triples.Vocabulary()
@@ -212,6 +212,8 @@ def all_page_records(v: Views) -> DataFrame:
     items = props.select("wiki", F.col("pp_page").alias("page_id"), F.col("pp_value").alias("qid_text"))
     stamp = F.when(F.col("page_id") % 2 == 0, text("2024-01-01 0", F.col("page_id") % 10, ":00:00")).alias("timestamp")
     rows = v.page().join(items, ["wiki", "page_id"]).select("wiki", "page_id", "page_title", "page_namespace", "qid_text", stamp)
+    # the join leaves few partitions, whatever its size: its rows are small
+    rows = rows.repartition(row_tasks(v.table("part")))
     return page_records(rows, v.wikis(), v.siteinfo(), v.namespaces()).withColumn("dataset_id", F.lit("11"))
 
 

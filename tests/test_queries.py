@@ -4,8 +4,12 @@ import importlib.util
 
 import pytest
 from conftest import ROOT, SF
+from pyspark.sql import functions as F
 
+from pagegraph import session
 from pagegraph.plans import all_queries, oracles
+from pagegraph.plans.graph_queries import all_page_records
+from pagegraph.plans.views import Views
 
 spec = importlib.util.spec_from_file_location("compare", ROOT / "tools" / "compare.py")
 tool = importlib.util.module_from_spec(spec)
@@ -38,3 +42,13 @@ def test_entry(spark):
     entry_spec.loader.exec_module(module)
     df = module.entry(spark)
     assert df.columns[0] == "item" and df.count() > 0
+
+
+def test_no_task_gets_more_rows_than_stated(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    table = spark.read.parquet(SF + "/customer.parquet")
+    sizes = session.spread(table).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 150 and max(r["count"] for r in sizes) <= 25
+    records = all_page_records(Views(spark, SF))
+    sizes = records.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 40
