@@ -49,4 +49,5 @@ def test_no_task_gets_more_rows_than_stated(spark, monkeypatch):
     table = spark.read.parquet(SF + "/customer.parquet")
     sizes = session.spread(table).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 150 and max(r["count"] for r in sizes) <= 25
-    assert all_page_records(Views(spark, SF)).rdd.getNumPartitions() >= 200 // 20
+    plan = all_page_records(Views(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(10)" in plan
