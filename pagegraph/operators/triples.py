@@ -39,7 +39,9 @@ def field_name(key: Column) -> Column:
     renamed = F.when(key == "id", F.lit("page_id")).otherwise(key)
     clean = F.btrim(F.regexp_replace(renamed, "[^0-9A-Za-z_]+", "_"), F.lit("_"))
     clean = F.coalesce(F.nullif(clean, F.lit("")), F.lit("field"))
-    return F.when(clean.rlike("^[0-9]"), F.concat(F.lit("field_"), clean)).otherwise(clean)
+    clean = F.when(clean.rlike("^[0-9]"), F.concat(F.lit("field_"), clean)).otherwise(clean)
+    # most keys are names already
+    return F.when(renamed.rlike(r"^[A-Za-z]([0-9A-Za-z_]*[0-9A-Za-z])?\z"), renamed).otherwise(clean)
 
 
 def field(key: Column | str, kind: Column | str, value: Column) -> Column:
@@ -150,8 +152,9 @@ class VariantRecord:
 
 
 def _is_whole(shape: Column) -> Column:
-    wide = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
-    return (shape == "BIGINT") | (F.coalesce(wide.try_cast("int"), F.lit(0)) > 18)
+    # a cast of text that is no number costs an exception, so only the digits of decimals get there
+    wide = F.when(shape.rlike(r"^DECIMAL\(\d+,0\)$"), F.regexp_extract(shape, r"\d+", 0).try_cast("int"))
+    return (shape == "BIGINT") | (F.coalesce(wide, F.lit(0)) > 18)
 
 
 def _is_number(shape: Column) -> Column:
@@ -281,7 +284,13 @@ def has_special_keys(record: TypedRecord | VariantRecord) -> Column:
     return out
 
 
-Typing = Callable[["Column | str", "Column | str", Column], tuple[Column, Column]]
+#: (key, kind, value, hold) to struct<kind, value>; ``hold`` is how a column is used several times
+Typing = Callable[..., Column]
+
+
+def shared(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a column several times where the compiler shares equal expressions, outside of lambdas."""
+    return body(value)
 
 
 def rows_with_fields(
@@ -320,8 +329,8 @@ def _typed_fields(records, record: TypedRecord, typing: Typing, head: list[Colum
     entries += [(key, kind, F.col("_v{}".format(i))) for i, (key, kind, _) in enumerate(own)]
     typed = []
     for i, (key, kind, value) in enumerate(entries):
-        new_kind, new_value = typing(key, kind, value)
-        typed.append(named(key=F.lit(key), kind=new_kind, value=new_value).alias("_t{}".format(i)))
+        new = typing(key, kind, value)
+        typed.append(named(key=F.lit(key), kind=new["kind"], value=new["value"]).alias("_t{}".format(i)))
     staged = staged.select(*names, *typed)
     first = {key: F.col("_t{}".format(i)) for i, (key, _, _) in enumerate(derived)}
     marked = []
@@ -337,21 +346,22 @@ def _typed_fields(records, record: TypedRecord, typing: Typing, head: list[Colum
 
 def _variant_fields(records, record: VariantRecord, typing: Typing, head: list[Column], names: list[str]) -> DataFrame:
     entries = F.map_entries(record.v.try_cast("map<string,variant>"))
-    parts = [part.alias(name) for name, part in derived_parts(record).items()]
-    staged = records.select(
-        *head, has_special_keys(record).alias("_special"), variant_fields(entries).alias("_own"), *parts
-    )
+    special = has_special_keys(record)
+    parts = [F.when(special, part).alias(name) for name, part in derived_parts(record).items()]
+    staged = records.select(*head, special.alias("_special"), variant_fields(entries).alias("_own"), *parts)
     derived = []
     for key, kind, value in derived_values():
-        new_kind, new_value = typing(key, kind, F.when(F.col("_special"), value))
-        derived.append(named(key=F.lit(key), kind=new_kind, value=new_value))
+        new = typing(key, kind, value)
+        derived.append(named(key=F.lit(key), kind=new["kind"], value=new["value"]))
 
     def typed(f: Column) -> Column:
-        kind, value = typing(f["key"], f["kind"], f["value"])
         shown = (f["key"] != "metadata") | F.col("_special")
-        return named(key=f["key"], kind=kind, value=F.when(shown, value))
+        new = typing(f["key"], f["kind"], f["value"], let)
+        return let(new, lambda n: named(key=f["key"], kind=n["kind"], value=F.when(shown, n["value"])))
 
-    staged = staged.select(*names, F.array(*derived).alias("_derived"), F.transform("_own", typed).alias("_own"))
+    # null for rows without special keys, so that these pay for none of it
+    present = F.when(F.col("_special"), F.array(*derived)).alias("_derived")
+    staged = staged.select(*names, present, F.transform("_own", typed).alias("_own"))
 
     def mark(f: Column) -> Column:
         def before(test: Callable[[Column], Column]) -> Column:
@@ -362,7 +372,9 @@ def _variant_fields(records, record: VariantRecord, typing: Typing, head: list[C
 
     none = F.lit(False)
     head_part = F.transform("_derived", lambda d: emission(d, none, none))
-    return staged.select(*names, F.concat(head_part, F.transform("_own", mark)).alias("fields"))
+    own_part = F.transform("_own", lambda f: emission(f, none, none))
+    both = F.concat(head_part, F.transform("_own", mark))
+    return staged.select(*names, F.when(F.col("_derived").isNull(), own_part).otherwise(both).alias("fields"))
 
 
 def _wanted_derived(record: TypedRecord) -> list[str]:
@@ -388,12 +400,17 @@ def _lit(x: Column | str) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
 
-def generic_typing(key: Column | str, kind: Column | str, value: Column) -> tuple[Column, Column]:
+def generic_typing(key: Column | str, kind: Column | str, value: Column, hold=shared) -> Column:
     """Date keys become dateTime when readable; everything else keeps its value type."""
     if isinstance(key, str) and key not in fixed.DATE_KEYS:
-        return _lit(kind), value
-    stamp = F.when(_lit(key).isin(*fixed.DATE_KEYS), xsd_datetime(value))
-    return F.when(stamp.isNotNull(), F.lit("xsd:dateTime")).otherwise(_lit(kind)), F.coalesce(stamp, value)
+        return named(kind=_lit(kind), value=value)
+    dated = F.when(_lit(key).isin(*fixed.DATE_KEYS), value)
+
+    def result(stamp: Column) -> Column:
+        new_kind = F.when(stamp.isNotNull(), F.lit("xsd:dateTime")).otherwise(_lit(kind))
+        return named(kind=new_kind, value=F.coalesce(stamp, value))
+
+    return hold(_moment(dated, hold), result)
 
 
 def inferred_typing(planned: Column | bool = True) -> Typing:
@@ -404,26 +421,39 @@ def inferred_typing(planned: Column | bool = True) -> Typing:
     """
     plan = F.lit(planned) if isinstance(planned, bool) else planned
 
-    def typing(key: Column | str, kind: Column | str, value: Column) -> tuple[Column, Column]:
+    def typing(key: Column | str, kind: Column | str, value: Column, hold=shared) -> Column:
         if isinstance(key, str) and key not in fixed.DATE_KEYS and isinstance(kind, str) and kind != "xsd:string":
-            return F.lit(kind), value
+            return named(kind=F.lit(kind), value=value)
         is_text = _lit(kind) == "xsd:string"
-        text = F.when(is_text, strip(value))
-        dated = _lit(key).isin(*fixed.DATE_KEYS) & (plan | is_text)
-        web = text.rlike(r"^https?://[^/]") & ~text.rlike(r"(?U)\s")
-        moment = xsd_datetime(F.when(dated, value).when(text.rlike(r"^20[0-9]{12}$"), text))
-        item = F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, F.lit(2), F.length(text)))
-        address = (
-            F.when(web, text)
-            .when(text.rlike(r"^[Qq][0-9]+$"), item)
-            .when(text.rlike(r"^M[0-9]+$"), F.concat(F.lit(fixed.MEDIA_ENTITY), text))
-        )
-        new_kind = F.when(moment.isNotNull(), F.lit("xsd:dateTime")).when(address.isNotNull(), F.lit("iri"))
-        return new_kind.otherwise(_lit(kind)), F.coalesce(moment, address, value)
+
+        def found(text: Column) -> Column:
+            dated = _lit(key).isin(*fixed.DATE_KEYS) & (plan | is_text)
+            web = text.rlike(r"^https?://[^/]") & ~text.rlike(r"(?U)\s")
+            item = F.concat(F.lit(fixed.ITEM_ENTITY + "Q"), F.substring(text, F.lit(2), F.length(text)))
+            address = (
+                F.when(web, text)
+                .when(text.rlike(r"^[Qq][0-9]+$"), item)
+                .when(text.rlike(r"^M[0-9]+$"), F.concat(F.lit(fixed.MEDIA_ENTITY), text))
+            )
+            moment = _moment(F.when(dated, value).when(text.rlike(r"^20[0-9]{12}$"), text), hold)
+            return hold(named(moment=moment, address=address), result)
+
+        def result(new: Column) -> Column:
+            new_kind = F.when(new["moment"].isNotNull(), F.lit("xsd:dateTime")).when(new["address"].isNotNull(), F.lit("iri"))
+            return named(kind=new_kind.otherwise(_lit(kind)), value=F.coalesce(new["moment"], new["address"], value))
+
+        return hold(F.when(is_text, strip(value)), found)
 
     return typing
 
 
+def _moment(value: Column, hold) -> Column:
+    """Canonical dateTime; within a lambda, where each step is evaluated, values that are null take none."""
+    if hold is shared:
+        return xsd_datetime(value)
+    return hold(value, lambda v: F.when(v.isNotNull(), xsd_datetime(v)))
+
+
 # --- subjects ------------------------------------------------------------------------------------
 
 

@@ -161,7 +161,6 @@ def with_page_uris(rows: DataFrame, siteinfo: DataFrame, namespaces: DataFrame)
 
     def extended(fields: Column) -> Column:
         cell = lambda key: F.get(F.filter(fields, lambda f: f["key"] == key), 0)["value"].try_cast("string")
-        has = lambda key: F.exists(fields, lambda f: f["key"] == key)
 
         def address(spec: Column) -> Column:
             clean = page_title(cell(spec["title"]))
@@ -171,8 +170,11 @@ def with_page_uris(rows: DataFrame, siteinfo: DataFrame, namespaces: DataFrame)
             url = F.when(F.col("article_path").isNotNull() & (clean != ""), article_url(origin, F.col("article_path"), full))
             return named(key=spec["uri"], value=url.cast("variant"))
 
-        wanted = F.filter(specs, lambda spec: has(spec["title"]) & ~has(spec["uri"]))
-        return F.concat(fields, F.filter(F.transform(wanted, address), lambda f: f["value"].isNotNull()))
+        def wanted(keys: Column) -> Column:
+            return F.filter(specs, lambda spec: F.array_contains(keys, spec["title"]) & ~F.array_contains(keys, spec["uri"]))
+
+        found = F.transform(let(F.transform(fields, lambda f: f["key"]), wanted), address)
+        return F.concat(fields, F.filter(found, lambda f: f["value"].isNotNull()))
 
     joined = rows.join(dims, "domain", "left")
     return joined.withColumn("fields", let(F.col("fields"), extended)).select(*rows.columns)
@@ -180,7 +182,8 @@ def with_page_uris(rows: DataFrame, siteinfo: DataFrame, namespaces: DataFrame)
 
 def result_records(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, record VARIANT) of rows with ``fields``; the generator keeps the object from being built per use."""
-    return rows.where(F.col("fields").isNotNull()).select(*keys, F.explode_outer(F.array(record(F.col("fields")))).alias("record"))
+    # the filter stands behind the generator, since one before it would build the fields a second time
+    return rows.select(*keys, F.explode_outer(F.array(record(F.col("fields")))).alias("record")).where(F.col("record").isNotNull())
 
 
 def run_id(html: Column) -> Column:

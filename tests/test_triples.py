@@ -6,6 +6,7 @@ from pagegraph.functions.text import signed_zeros
 from pagegraph.operators import triples
 from pagegraph.operators.links import link_targets
 from pagegraph.operators.triples import TypedRecord, VariantRecord, Vocabulary
+from pagegraph.sources import results
 
 VOC = Vocabulary()
 
@@ -156,3 +157,17 @@ def test_negative_zero_keeps_its_sign_in_variants(spark):
     assert got[0] == [("n", "xsd:double", "-0.0"), ("t", "xsd:string", 'a, -0.0, "-0.0')]
     assert [got[i][0][2] for i in range(1, 6)] == ["-0.0", "-0.05", "0.0", "10.5", "-0.0; 1.0"]
     assert records.where("record is null").count() == 1
+
+
+def test_rows_without_special_keys_pay_for_no_derived_fields(spark):
+    df = variant_records(spark, [{"title": "a", "n": 1}, {"title": "b", "qid": "Q5"}])
+    rows = triples.result_rows(df, VariantRecord("record"), VOC)
+    assert [r.n for r in rows.orderBy("position").select(F.size("fields").alias("n")).collect()] == [2, 2 + len(triples.DERIVED_KEYS)]
+
+
+def test_result_records_build_fields_once(spark):
+    rows = results.result_rows(spark.createDataFrame([("1", '{"headers":["a"],"rows":[["x"],7]}')], "pid string, json string"), ["pid"], "json")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = results.result_records(rows, ["pid", "position"])
+    assert plan(found).count("zip_with") == plan(rows).count("zip_with") > 0
+    assert [(r.position, r.record.toPython()) for r in found.collect()] == [(0, {"a": "x"})]
