@@ -26,6 +26,8 @@ RANGE = 4 << 20
 WHOLE = 16 << 20
 #: rows of small frames up to which they are broadcast; copies of a row that many others join
 BROADCAST_ROWS, SALTS = 100_000, 64
+#: ranges that get a task each, whatever their size
+SINGLE_RANGES = 200
 #: rows of a list that are numbered together
 BLOCK = 1 << 16
 #: the container of what stands outside the document's root
@@ -164,21 +166,37 @@ def _beside(large: DataFrame, small: DataFrame, rows: int, on: list[str]) -> Dat
 
 
 def spread_join(rows: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """Join many rows of few keys: the few rows are copied, so that no task gets all rows of a key."""
+    """Join many rows of few keys, so that no task gets all rows of a key.
+
+    The few rows are counted: while they are few indeed they are broadcast, and the many rows stay where
+    they are; else the few are copied.
+    """
+    few = checkpointed(few)
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), on, how)
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _ranges(payloads: DataFrame, keys: list[str], json_column: str, size: int) -> tuple[DataFrame, int]:
-    """``doc, keys, part, raw``: the bytes of all documents, about one range per task, and their number."""
+    """``doc, keys, part, raw``: the bytes of all documents and the number of ranges; a task gets about ``RANGE`` bytes."""
     count = F.greatest(F.ceil(F.octet_length(json_column) / size), F.lit(1)).cast("int")
     total = payloads.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     docs = payloads.select(F.monotonically_increasing_id().alias("doc"), F.struct(*keys).alias("keys"), F.col(json_column).cast("binary").alias("raw"))
     parts = docs.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("raw") / size), F.lit(1)).cast("int") - 1)).alias("part"))
     rows = parts.select("doc", "keys", "part", F.substring("raw", F.col("part") * size + 1, F.lit(size)).alias("raw"))
     wide = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one range a task; many ranges share tasks only beyond what any cluster runs at once
-    return checkpointed(rows.repartition(max(1, min(total, max(wide, 10_000))))), total
+    return checkpointed(rows.repartition(range_tasks(total, size, wide))), total
+
+
+def range_tasks(total: int, size: int, wide: int) -> int:
+    """Tasks for ``total`` ranges: one each while they are few or of full size.
+
+    Many small ranges share tasks of ``RANGE`` bytes, since starting a task costs more than cutting such a
+    range; ranges of full size share tasks only beyond what any cluster runs at once.
+    """
+    full = -(-total * min(size, RANGE) // RANGE)
+    return max(1, min(total, max(wide, SINGLE_RANGES, min(full, 10_000))))
 
 
 def _states(ranges: DataFrame) -> DataFrame:
@@ -295,8 +313,9 @@ def shred(payloads: DataFrame, keys: list[str], json_column: str, size: int = RA
     texts = inner.union(joined).select("doc", "container", "at", F.decode("text", "UTF-8").alias("text"))
     kinds = large.select("doc", "container", "kind")
     texts = spread_join(texts, kinds, ["doc", "container"], "at", "left")
-    texts = texts.join(children, ["doc", "container", "at"], "left")
-    blank = F.regexp_replace("text", r"[ \t\r\n]+", "") == ""
+    held = F.broadcast(children) if children.count() <= BROADCAST_ROWS else children
+    texts = texts.join(held, ["doc", "container", "at"], "left")
+    blank = ~F.col("text").rlike(r"[^ \t\r\n]")
     member = F.concat(F.lit("{"), "text", F.when(F.col("child").isNotNull(), "null").otherwise(""), F.lit("}"))
     # in brackets, since a parser may not look at what follows a value
     single = F.try_variant_get(F.try_parse_json(signed_zeros(F.concat(F.lit("["), "text", F.lit("]")))), "$[0]", "variant")
@@ -394,7 +413,8 @@ def located(cut: Shredded) -> DataFrame:
 def root_members(cut: Shredded) -> DataFrame:
     """``doc, text, v, child`` of the members of root objects; a document that was not cut is one such row."""
     shown = ["doc", "text", "v", "child"]
-    own = located(cut).where((F.size("names") == 0) & (F.col("kind") == "{")).select(*shown)
+    roots = cut.containers.where((F.size("names") == 0) & (F.col("kind") == "{")).select("doc", "container")
+    own = spread_join(cut.elements.where("name is not null"), roots, ["doc", "container"], "at").select(*shown)
     return own.union(cut.elements.where(F.col("container") == OUTSIDE).select(*shown))
 
 

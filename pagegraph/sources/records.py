@@ -173,8 +173,10 @@ def large_records(payloads: DataFrame, keys: list[str], json_column: str, size:
     lists = checkpointed(lists.withColumn("score", F.col("n") * 10 + F.col("hints")))
     small = cut.elements.where(F.col("container") == large.OUTSIDE)
     nowhere = F.array().cast("array<string>"), F.array().cast("array<long>")
-    pieces = elements.select("doc", "at", "kind", "names", "path", "name", "text", "v")
+    # an element whose text has no bracket holds no list
+    pieces = elements.where(_may_list()).select("doc", "at", "kind", "names", "path", "name", "text", "v")
     whole = small.select("doc", "at", F.lit("").alias("kind"), nowhere[0].alias("names"), nowhere[1].alias("path"), F.lit("").alias("name"), "text", "v")
+    whole = whole.where(_may_list())
 
     direct = _best(
         lists.where("hints > 0").select("doc", "container", "score", _direct_rank(F.col("names"), F.col("path")).alias("rank")).where("rank is not null"),
@@ -183,8 +185,8 @@ def large_records(payloads: DataFrame, keys: list[str], json_column: str, size:
     )
     direct = checkpointed(direct.union(_best(None, whole.select("doc", _path(0).alias("rank"), direct_records(F.col("v")).alias("rows")).where("rows is not null"))))
 
-    depth = pieces.union(whole).agg(F.coalesce(F.max(nesting(F.col("text"))), F.lit(0))).first()[0]
-    left = pieces.union(whole).join(direct, "doc", "left_anti")
+    left = checkpointed(pieces.union(whole).join(direct, "doc", "left_anti"))
+    depth = left.agg(F.coalesce(F.max(nesting(F.col("text"))), F.lit(0))).first()[0]
     node = named(path=F.when(F.col("kind") == "", F.col("path")).otherwise(F.concat("path", F.array("at"))), text=F.col("text"), v=F.col("v"), new=F.lit(True))
     top = F.array(*[named(path=_path(i), list=F.try_variant_get("v", p, "variant")) for i, p in ((-2, '$["*"]'), (-1, "$.pages"))])
     again = left.where((F.size("names") == 0) & (F.col("kind") != "[")).select("doc", F.explode(top).alias("c"))
@@ -201,6 +203,10 @@ def large_records(payloads: DataFrame, keys: list[str], json_column: str, size:
     return large.restore_keys(found, cut, "position", F.col("position").cast("int").alias("position"), "record")
 
 
+def _may_list() -> Column:
+    return F.contains(F.col("text"), F.lit("["))
+
+
 def _direct_rank(names: Column, path: Column) -> Column:
     """Place among the direct candidates of a list that is cut itself; null for other lists."""
     at = lambda *steps: names == F.array(*[F.lit(s) for s in steps])

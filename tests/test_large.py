@@ -131,6 +131,26 @@ def test_as_many_tasks_as_ranges(spark):
     assert count == -(-len(text) // 4096) == len(used) and max(r["count"] for r in used) == 1
 
 
+def test_small_ranges_share_tasks():
+    assert large.range_tasks(35, 4096, 4) == 35
+    assert large.range_tasks(9_000, 1 << 15, 200) == 200
+    assert large.range_tasks(54_000, 1 << 15, 200) == 422
+    assert large.range_tasks(500, large.RANGE, 200) == 500
+
+
+@pytest.mark.parametrize("few, join", [(100_000, "BroadcastHashJoin"), (1, "SortMergeJoin")])
+def test_rows_stay_where_they_are_beside_few_keys(spark, monkeypatch, few, join):
+    monkeypatch.setattr(large, "BROADCAST_ROWS", few)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(60).selectExpr("id % 3 AS doc", "id AS at")
+        found = large.spread_join(rows, spark.range(2).selectExpr("id AS doc", "id * 10 AS x"), ["doc"], "at", "left")
+        assert {tuple(r) for r in found.collect()} == {(i % 3, i, i % 3 * 10 if i % 3 < 2 else None) for i in range(60)}
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def row(n):
     return {"id": n, "title": "T%d %s" % (n, "é" * (n % 9))}
 
