@@ -652,7 +652,8 @@ def flagship_days_diff(v: Views) -> DataFrame:
         )
 
     rows = found.df.select(*[found.value(n).alias(n) for n in found.variables], days(found).alias("_days"))
-    return rows.orderBy(F.desc("_days")).select(
+    # items and links tell equal differences apart, else all rows without one would be sorted by one task
+    return rows.orderBy(F.desc("_days"), "item", "gil_link").select(
         "item", "namespace", "title", "gil_link", "gil_link_wikidata_entity", "gil_link_rev_timestamp", "img_timestamp",
         F.col("_days").cast("string").alias("days_diff"),
     )

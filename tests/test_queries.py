@@ -51,3 +51,10 @@ def test_no_task_gets_more_rows_than_stated(spark, monkeypatch):
     assert sum(r["count"] for r in sizes) == 150 and max(r["count"] for r in sizes) <= 25
     plan = all_page_records(Views(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning(10)" in plan
+
+
+def test_equal_differences_are_dealt_over_tasks(spark):
+    df = QUERIES["flagship_days_diff"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = next(line for line in plan.splitlines() if "rangepartitioning(" in line)
+    assert "DESC NULLS LAST, item#" in dealt and "gil_link#" in dealt
