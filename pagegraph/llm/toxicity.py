@@ -1,50 +1,88 @@
-"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity from the nearest labelled examples: exact TF-IDF cosine over an inverted index searched by block maxima."""
 
 from __future__ import annotations
 
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagegraph.llm.common import in_small_batches
+from pagegraph.llm.common import in_small_batches, mixed
 from pagegraph.session import checkpointed
 
-#: labelled rows of a class the index holds at most, examples of a block, blocks visited first, neighbours
+#: labelled rows of a class the index holds at most, examples of a block, blocks searched first, neighbours
 EXAMPLES, BLOCK, VISIT, NEAREST = 4096, 64, 16, 16
 #: a term that more than one of this many examples hold is written out in full; texts searched together
 FREQUENT, TOGETHER = 16, 64
+#: postings added up at once, characters of a text read at once
+POSTINGS, PIECE = 1 << 17, 1 << 16
 #: what a term weighs at least when terms are weighed by how they go with the label
 FLOOR = 1e-4
 _WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W")
+_BASE = 0x9E3779B97F4A7C15
 #: how far a product of the frequent terms' lists in single precision can be off
 _ROUNDING = 5e-5
 
 
-def words_in(text: str | None) -> list[str]:
-    """Lower-case words of a text."""
-    return _WORD.findall((text or "").lower())
+@cache
+def _word_characters() -> np.ndarray:
+    """For every code point whether it may stand in a word."""
+    held = np.zeros(0x110000, bool)
+    for found in _WORD.finditer("".join(map(chr, range(len(held))))):
+        held[found.start() : found.end()] = True
+    return held
 
 
-def keys_of(words) -> np.ndarray:
-    """64-bit keys of different words."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+@cache
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    steps = np.full((2, count), [[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+    steps[:, 0] = 1
+    return tuple(np.multiply.accumulate(steps, axis=1))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text cut after ``PIECE`` characters or more, where no word stands."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + PIECE)
+        stop = gap.start() if gap else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+def keys_in(text: str | None) -> np.ndarray:
+    """64-bit keys of all words (``\\w+``) of the lower-case text, in their order.
+
+    A key is a polynomial of the word's code points, from sums that run over the text, well mixed.
+    """
+    keys = [np.zeros(0, np.uint64)]
+    for piece in _pieces((text or "").lower()):
+        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.zeros(len(points) + 2, bool)
+        inside[1:-1] = _word_characters()[points]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        powers, inverse = _powers(1 << (max(len(points), PIECE) - 1).bit_length())
+        sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint64(1)) * powers[: len(points)], out=sums[1:])
+        start, stop = edges[::2], edges[1::2]
+        keys.append(mixed((sums[stop] - sums[start]) * inverse[start]))
+    return np.concatenate(keys)
 
 
 def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of the words of a text, and how often each occurs."""
-    words = Counter(words_in(text))
-    found = keys_of(words)
-    order = np.argsort(found)
-    return found[order], np.fromiter(words.values(), np.int64, len(words))[order]
+    keys = np.sort(keys_in(text))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def trained(ident: Column, folds: int = 5) -> Column:
@@ -53,12 +91,11 @@ def trained(ident: Column, folds: int = 5) -> Column:
 
 
 class BlockMaxIndex:
-    """Posting lists over all terms of the examples, cut at blocks of examples.
+    """Posting lists over all terms of the examples, which stand in blocks.
 
-    ``terms``: sorted term keys; ``factor``: what a term weighs besides its count. A rare term has one run per block that holds it, ``first[t]``
-    to ``first[t + 1]``; run ``r`` belongs to ``block[r]``, its greatest weight is ``most[r]`` and its
-    postings are ``start[r]`` to ``start[r + 1]`` of ``place`` and ``weight``. The list of a term that
-    many examples hold is written out, as column ``column[t]`` of ``full`` (a row per example).
+    ``terms``: sorted term keys; ``factor``: what a term weighs besides its count. The postings of a rare
+    term are ``start[t]`` to ``start[t + 1]`` of ``place`` and ``weight``. The list of a term that many
+    examples hold is written out, as column ``column[t]`` of ``full`` (a row per example).
     """
 
     def __init__(self, model: dict):
@@ -84,13 +121,11 @@ class BlockMaxIndex:
         rare = self.column[term] < 0
         self.full = np.zeros((self.count, len(often)))
         self.full[place[~rare], self.column[term[~rare]]] = weight[~rare]
-        self.rough = np.ascontiguousarray(self.full.T, np.float32)
+        self.rough = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        self.rough[:, : self.count] = self.full.T
         term, place, weight = term[rare], place[rare], weight[rare]
-        block = place // BLOCK
-        heads = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.first, self.block = np.searchsorted(term[heads], np.arange(len(self.terms) + 1)), block[heads]
-        self.most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0)
-        self.start, self.place, self.weight = np.append(heads, len(term)), place.astype(np.int32), weight
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.place, self.weight = place.astype(np.int32), weight
 
     def vector(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index among the keys, and their weights in the text's unit vector.
@@ -109,61 +144,65 @@ class BlockMaxIndex:
         """For each text the k most similar examples, equal ones by place, and their cosines.
 
         Examples without a common term are never among them. The frequent terms' part of all cosines is
-        one product for the texts together, in single precision. To it a block's bound adds, for each rare
-        term, the weight times the greatest weight in the block. The ``VISIT`` blocks of greatest bound
-        are worked out first, then those whose bound is not below the k-th cosine found. What may be
-        among the k is worked out once more in double precision.
+        one product for the texts together, in single precision; to it the postings of the rare terms are
+        added. The ``VISIT`` blocks of greatest maximum are searched first, then those whose maximum is
+        not below the k-th cosine found. What may be among the k is worked out once more in double
+        precision. Texts are taken together up to ``POSTINGS`` postings, which bounds memory; one text
+        may have more.
         """
-        frequent = np.zeros((self.full.shape[1], len(vectors)))
-        for i, (terms, weights) in enumerate(vectors):
-            column = self.column[terms]
-            frequent[column[column >= 0], i] = weights[column >= 0]
-        parts = frequent.T.astype(np.float32) @ self.rough
-        return [self._best(part.astype(float), own, *vector, k) for part, own, vector in zip(parts, frequent.T, vectors, strict=True)]
-
-    def _best(self, score: np.ndarray, frequent: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rough = score.copy()
-        rare = self.column[terms] < 0
-        terms, weights = terms[rare], weights[rare]
-        begin = self.first[terms]
-        runs = self.first[terms + 1] - begin
-        before = np.cumsum(runs) - runs
-        run = np.arange(int(runs.sum())) + np.repeat(begin - before, runs)
-        own = np.repeat(weights, runs)
-        home = self.block[run]
-        edges = np.arange(0, self.count, BLOCK)
-        bounds = np.bincount(home, own * self.most[run], self.blocks).astype(float)
-        bounds[: len(edges)] += np.maximum.reduceat(score, edges) if len(edges) else 0.0
-        able = bounds > 0
-        if able.sum() > VISIT:
-            first = np.zeros(self.blocks, bool)
-            first[np.argpartition(-bounds, VISIT)[:VISIT]] = True
-            self._add(score, run, own, first[home])
-            seen = np.repeat(first, BLOCK)[: self.count]
-            some = score[seen]
-            least = np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else 0.0
-            rest = able & ~first & (bounds >= max(least, 0.0) - _ROUNDING)
-            self._add(score, run, own, rest[home])
-            able = first | rest
-        else:
-            self._add(score, run, own, np.ones(len(home), bool))
-        self.visited += int(able.sum())
-        score = np.where(np.repeat(able, BLOCK)[: self.count], score, 0.0)
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            cut = score[found]
-            found = found[cut >= np.partition(cut, len(cut) - k)[len(cut) - k] - 2 * _ROUNDING]
-        exact = score[found] - rough[found] + self.full[found] @ frequent
-        order = np.lexsort((found, -exact))[:k]
-        return found[order], exact[order]
-
-    def _add(self, score: np.ndarray, run: np.ndarray, own: np.ndarray, chosen: np.ndarray) -> None:
-        """Add the postings of the chosen runs to the scores of their examples."""
-        run, own = run[chosen], own[chosen]
-        begin = self.start[run]
-        length = self.start[run + 1] - begin
-        post = np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
-        score += np.bincount(self.place[post], self.weight[post] * np.repeat(own, length), self.count)
+        text = np.repeat(np.arange(len(vectors)), [len(terms) for terms, _ in vectors])
+        terms, weights = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
+        column = self.column[terms]
+        often = column >= 0
+        frequent = np.zeros((len(vectors), self.full.shape[1]))
+        frequent[text[often], column[often]] = weights[often]
+        score = frequent.astype(np.float32) @ self.rough
+        text, terms, weights = text[~often], terms[~often], weights[~often]
+        ends = np.searchsorted(text, np.arange(len(vectors) + 1))
+        sums = np.append(0, np.cumsum(self.start[terms + 1] - self.start[terms]))[ends]
+        out, start = [], 0
+        while start < len(vectors):
+            stop = max(start + 1, int(np.searchsorted(sums, sums[start] + POSTINGS, "right")) - 1)
+            some = slice(ends[start], ends[stop])
+            out += self._best(score[start:stop], frequent[start:stop], text[some] - start, terms[some], weights[some], k)
+            start = stop
+        return out
+
+    def _best(self, score: np.ndarray, frequent: np.ndarray, text: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> list:
+        """``nearest`` of some texts: cosines over frequent terms, their weights, and the rare terms of text ``text[i]``."""
+        shape = len(score), self.blocks, BLOCK
+        begin = self.start[terms]
+        length = self.start[terms + 1] - begin
+        ends = np.cumsum(length)
+        post = np.arange(int(length.sum())) + np.repeat(begin - (ends - length), length)
+        spot = self.place[post] + np.repeat(text * score.shape[1], length)
+        rare = np.bincount(spot, self.weight[post] * np.repeat(weights, length), score.size).reshape(score.shape)
+        score = score + rare
+        cells = score.reshape(shape)
+        most = cells.max(axis=2)
+        seen, least = most > 0, np.zeros(len(score))
+        if self.blocks > VISIT:
+            first = np.argpartition(-most, VISIT, axis=1)[:, :VISIT]
+            if VISIT * BLOCK >= k:
+                some = np.take_along_axis(cells, first[:, :, None], axis=1).reshape(len(score), -1)
+                least = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k]
+            # the k-th cosine of all is not below that of the blocks searched first
+            seen &= most >= least[:, None] - 2 * _ROUNDING
+        self.visited += int(seen.sum())
+        row, block = np.nonzero(seen)
+        held, inside = np.nonzero((cells[row, block] > 0) & (cells[row, block] >= least[row, None] - 2 * _ROUNDING))
+        row, place = row[held], block[held] * BLOCK + inside
+        cuts = np.searchsorted(row, np.arange(len(score) + 1))
+        out = []
+        for i in range(len(score)):
+            found = place[cuts[i] : cuts[i + 1]]
+            if len(found) > k:
+                cut = score[i, found]
+                found = found[cut >= np.partition(cut, len(cut) - k)[len(cut) - k] - 2 * _ROUNDING]
+            exact = rare[i, found] + self.full[found] @ frequent[i]
+            order = np.lexsort((found, -exact))[:k]
+            out.append((found[order], exact[order]))
+        return out
 
     def vote(self, place: np.ndarray, cosine: np.ndarray) -> float:
         """Share of label 1 among neighbours, by closeness and by how many labelled rows each stands for."""
@@ -248,7 +287,7 @@ def document_counts(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int,
         for batch in batches:
             found[-1] += batch.num_rows
             for cell in batch.column(0):
-                keys = np.sort(keys_of(set(words_in(cell.as_py()))))
+                keys, _ = terms_of(cell.as_py())
                 at = np.searchsorted(terms, keys)
                 inside = at < len(terms)
                 at, keys = at[inside], keys[inside]
@@ -353,7 +392,7 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     Whole texts are scored, nothing else of a row is read. Texts without a word of any example, null and
     empty ones among them, get the share of label 1 among examples without neighbours (among all, where
     each has some). Without examples all scores are 0. Columns of these names are replaced; rows come
-    back one for one. A text takes memory by its words: about 100 bytes for each different one.
+    back one for one. A text takes memory by its words: about 40 bytes for each.
     """
     shared, alone, (slope, offset) = model["index"], model["alone"], model["curve"]
     rows = docs.drop("score", "predicted", "evidence")
@@ -363,7 +402,7 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, ids = loaded(shared.value), shared.value["ids"]
         for batch in batches:
-            scores, evidence = [], []
+            scores, places, cosines = [], [], []
             texts = batch.column(batch.schema.get_field_index(text))
             for at in range(0, len(texts), TOGETHER):
                 vectors = [search.vector(*terms_of(cell.as_py())) for cell in texts[at : at + TOGETHER]]
@@ -372,10 +411,13 @@ def score_texts(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                         scores.append(float(1 / (1 + np.exp(-np.clip(slope * search.vote(near, cosine) + offset, -30, 30)))))
                     else:
                         scores.append(alone)
-                    told = zip(ids[near].tolist(), search.labels[near].tolist(), cosine.tolist(), strict=True)
-                    evidence.append([{"doc_id": i, "label": int(y), "cosine": c} for i, y, c in told])
+                    places.append(near)
+                    cosines.append(cosine)
+            near, ends = np.concatenate([np.zeros(0, np.int64), *places]), np.cumsum([0, *map(len, places)])
+            told = [ids[near], search.labels[near].astype(np.int32), np.concatenate([np.zeros(0), *cosines])]
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(map(pa.array, told), fields=list(kind.value_type)))
             predicted = pa.array([int(s >= 0.5) for s in scores], pa.int32())
-            cols = [*batch.columns, pa.array(scores, pa.float64()), predicted, pa.array(evidence, kind)]
+            cols = [*batch.columns, pa.array(scores, pa.float64()), predicted, evidence]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return in_small_batches(rows).mapInArrow(score, schema)

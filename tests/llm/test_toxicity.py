@@ -73,6 +73,40 @@ def test_search_equals_brute_force_from_texts(count, by_label, monkeypatch):
         assert search.visited < 0.9 * len(queries) * search.blocks
 
 
+def test_keys_are_those_of_the_words(monkeypatch):
+    """Equal words have equal keys wherever they stand, also in texts read piece by piece."""
+    rng = np.random.default_rng(5)
+    letters = list("abcÀσΣİßé9_²字\U00020000 \t\n.-'\u0301\ud800\x00")
+    texts = ["".join(rng.choice(letters, n)) for n in (0, 1, 2, 50, 3000)] + ["a" * 500, " ", None, "x y"]
+    for piece in (1, 7, 1 << 16):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        keys = {}
+        for text in texts:
+            words, found = re.findall(r"\w+", (text or "").lower()), toxicity.keys_in(text).tolist()
+            assert len(words) == len(found)
+            assert all(keys.setdefault(w, k) == k for w, k in zip(words, found, strict=True))
+            terms, counts = toxicity.terms_of(text)
+            assert Counter(dict(zip(terms.tolist(), counts.tolist(), strict=True))) == Counter(found)
+        assert len(set(keys.values())) == len(keys) > 300
+
+
+@pytest.mark.parametrize("postings", [1, 300, 1 << 17])
+def test_search_of_texts_in_groups(postings, monkeypatch):
+    """Texts searched together find what each finds alone, however many are taken at once."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "POSTINGS", postings)
+    rng = np.random.default_rng(11)
+    texts = random_texts(rng, 300, words=400, longest=30)
+    rows = [(i, i % 3 == 0, *toxicity.terms_of(t)) for i, t in enumerate(texts)]
+    terms = np.unique(np.concatenate([r[2] for r in rows]))
+    search = toxicity.BlockMaxIndex(toxicity._indexed(rows, terms, np.ones(len(terms), int), 300, {0: 200, 1: 100}, True))
+    vectors = [search.vector(*toxicity.terms_of(t)) for t in ["", *texts[:40], "strange words"]]
+    for (near, cosine), alone in zip(search.nearest(vectors, 9), vectors, strict=True):
+        own, exact = search.nearest([alone], 9)[0]
+        assert np.allclose(cosine, exact, atol=1e-12) and len(near) == len(own) <= 9
+        assert np.allclose(cosine[near != own], exact[near != own], atol=1e-12)
+
+
 def test_query_neighbours_from_texts(spark, tables):
     """Evidence of the query on the small tables is the brute-force neighbourhood."""
     texts = dict(tables("documents", "doc_id", "text"))
