@@ -97,6 +97,19 @@ def test_scores_use_every_context(spark):
     assert [got[i] for i in ids] == pytest.approx(plain_ppm(train, [texts[i][1] for i in ids], ppm.ORDER), rel=1e-5)
 
 
+@pytest.mark.parametrize("count", [0, 1, 70_000, 1 << 17])
+def test_values_of_grams(count):
+    """Every gram of a batch gets its own value back in its own place, in batches longer than a run."""
+    rng = np.random.default_rng(count)
+    grams = np.append(rng.integers(0, 1 << 12, count) ** 4, [(1 << 48) - 1, 0, (1 << 48) - 1])
+    names = ppm._distinct(grams)
+    assert names.tolist() == sorted(set(grams.tolist()))
+    value = rng.random(len(names))
+    known = dict(zip(names.tolist(), value.tolist(), strict=True))
+    assert ppm.values_at(grams, names, value).tolist() == [known[g] for g in grams.tolist()]
+    assert len(ppm._distinct(grams[:0])) == len(ppm.values_at(grams[:0], names, value)) == 0
+
+
 def test_scores_without_training_rows(spark):
     df = spark.createDataFrame([(i, "a b") for i in range(100)], "doc_id long, text string").where(ppm.held_out(F.col("doc_id")))
     assert {round(r.score, 4) for r in ppm.score_texts(df).collect()} == {round(-4 * math.log10(256), 4)}
