@@ -44,9 +44,9 @@ def streams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarra
     return data, np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), sizes
 
 
-def _joined(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of ``streams``, and start and number of the predicted ones per text."""
-    joined = [b" ".join(words) for words in texts]
+def _joined(texts: list[list[bytes]] | list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of ``streams``, and start and number of the predicted ones per text; texts may be joined already."""
+    joined = [words if isinstance(words, bytes) else b" ".join(words) for words in texts]
     pad, end = bytes([END]) * order, bytes([END])
     data = np.frombuffer(b"".join(pad + t + end for t in joined), np.uint8)
     sizes = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
@@ -84,7 +84,7 @@ def values_at(grams: np.ndarray, names: np.ndarray, value: np.ndarray) -> np.nda
     return out
 
 
-def grams_of(texts: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(texts: list[list[bytes]] | list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The string of ``order`` + 1 bytes that ends at each predicted byte, and the number of them per text."""
     data, starts, sizes = _joined(texts, order)
     gram = np.zeros(len(data), np.int64)
@@ -317,9 +317,23 @@ def _packed(docs: list, batch: int) -> dict:
     return about | {"text": _squeezed(bytes([END]).join(b" ".join(d[2]) for d in docs))}
 
 
+def _lines(cell: pa.Scalar) -> list[bytes]:
+    """A packed batch's texts, their words joined."""
+    return zstandard.ZstdDecompressor().decompress(cell.as_py()).split(bytes([END]))
+
+
 def _texts(cell: pa.Scalar) -> list[list[bytes]]:
     """Words of a packed batch's texts."""
-    return [t.split() for t in zstandard.ZstdDecompressor().decompress(cell.as_py()).split(bytes([END]))]
+    return [t.split() for t in _lines(cell)]
+
+
+def _counted(text: pa.Scalar, held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of a packed batch and how often its training texts hold them."""
+    gram, sizes = grams_of(_lines(text))
+    train = np.repeat(~np.array(held, bool), sizes)
+    learned, n = np.unique(gram[train], return_counts=True)
+    other = _distinct(gram[~train])
+    return np.concatenate([learned, other]), np.concatenate([n, np.zeros(len(other), np.int64)])
 
 
 def batch_counts(batches: DataFrame) -> DataFrame:
@@ -329,11 +343,8 @@ def batch_counts(batches: DataFrame) -> DataFrame:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in found:
             for held, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                gram, sizes = grams_of(_texts(text))
-                train = np.repeat(~np.array(held, bool), sizes)
-                learned, n = np.unique(gram[train], return_counts=True)
-                other = _distinct(gram[~train])
-                keys, counts = _summed(np.concatenate([keys, learned, other]), np.concatenate([counts, n, np.zeros(len(other), np.int64)]))
+                learned, n = _counted(text, held)
+                keys, counts = _summed(np.concatenate([keys, learned]), np.concatenate([counts, n]))
                 if len(keys) > HELD_GRAMS:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "n"])
                     keys, counts = keys[:0], counts[:0]
@@ -342,7 +353,7 @@ def batch_counts(batches: DataFrame) -> DataFrame:
     return batches.select("held", "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _send_grams(texts: list[list[bytes]], batch: int, buckets: int) -> Iterator[dict]:
+def _send_grams(texts: list[bytes], batch: int, buckets: int) -> Iterator[dict]:
     """Distinct grams of one batch per bucket."""
     keys = _distinct(grams_of(texts)[0])
     order, home = _dealt(keys, buckets)
@@ -418,7 +429,7 @@ def _gather(table: pa.Table, buckets: int) -> Iterator[dict]:
     place = cells("place", np.uint16)
     sums = np.bincount(place, cells("sums", np.float64), len(ids))
     known = np.bincount(place, cells("known", np.uint32), len(ids))
-    gram, sizes = grams_of(_texts(table["text"][about]))
+    gram, sizes = grams_of(_lines(table["text"][about]))
     names = _distinct(gram)
     back = sorted((table["bucket"][k].as_py(), k) for k in range(table.num_rows) if table["scores"][k].is_valid)
     value = np.zeros(len(names))
@@ -474,7 +485,7 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", fold
     def send_grams(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _tables(_send_grams(_texts(text), i, gram_buckets), _GRAMS).to_batches(max_chunksize=256)
+                yield from _tables(_send_grams(_lines(text), i, gram_buckets), _GRAMS).to_batches(max_chunksize=256)
 
     def meet(table: pa.Table) -> pa.Table:
         return _tables(_meet(table), _BACK)
