@@ -266,17 +266,58 @@ def fit(
 
     counted = in_small_batches(texts.select("_doc", "_label", "_text")).mapInArrow(count, "id long, label int, keys binary, counts binary")
     counted = checkpointed(counted)
-    held = counted.toArrow()
-    rows = [
-        (i, y, np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64))
-        for i, y, k, n in zip(*(held.column(c).to_pylist() for c in range(4)), strict=True)
-    ]
-    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
-    terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
+    terms = _terms(counted)
+    rows = PackedRows(_numbered(counted, terms), terms)
     total, held_by = document_counts(docs, text, terms)
     return _calibrated(counted, _indexed(rows, terms, held_by, total, sizes, by_label))
 
 
+def _terms(counted: DataFrame) -> np.ndarray:
+    """Sorted keys of all words of the examples; Spark makes them distinct."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k.as_py(), np.uint64) for k in batch.column(0))]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["term"])
+
+    found = counted.select("keys").mapInArrow(own, "term long").distinct().toArrow()
+    return np.sort(found["term"].to_numpy().view(np.uint64))
+
+
+def _numbered(counted: DataFrame, terms: np.ndarray) -> pa.Table:
+    """The examples with numbers of terms in place of keys, as compressed steps from one to the next."""
+    shared = counted.sparkSession.sparkContext.broadcast(terms)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [np.searchsorted(shared.value, np.frombuffer(k.as_py(), np.uint64)) for k in batch.column(2)]
+            steps = [_squeezed(np.diff(p, prepend=0)) for p in places]
+            counts = [_squeezed(np.frombuffer(n.as_py(), np.int64)) for n in batch.column(3)]
+            cols = [batch.column(0), batch.column(1), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "label", "steps", "counts"])
+
+    return counted.mapInArrow(number, "id long, label int, steps binary, counts binary").toArrow()
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.astype(np.uint32).tobytes(), 1)
+
+
+class PackedRows:
+    """Rows (id, label, keys, counts) in a fixed order, each unpacked only when it is asked for."""
+
+    def __init__(self, numbered: pa.Table, terms: np.ndarray):
+        self.rows, self.terms = sorted(zip(*(c.to_pylist() for c in numbered.columns), strict=True)), terms
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+        ident, label, *packed = self.rows[i]
+        steps, counts = (np.frombuffer(zlib.decompress(b), np.uint32) for b in packed)
+        return ident, label, self.terms[np.cumsum(steps, dtype=np.int64)], counts
+
+
 def document_counts(docs: DataFrame, text: str, terms: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of all documents, and how many hold each term; whole texts, summed by Spark."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
@@ -313,27 +354,37 @@ def _unpacked(packed: tuple[str, bytes]) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1]), packed[0])
 
 
-def _indexed(rows: list, terms: np.ndarray, held_by: np.ndarray, documents: int, sizes: dict[int, int], by_label: bool) -> dict:
-    """What an index is built from: postings of (id, label, keys, counts) rows by term, like examples side by side."""
-    labels = np.array([r[1] for r in rows], np.int8)
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-    term = np.searchsorted(terms, np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in rows)]))
-    tf = np.concatenate([np.zeros(0, np.int64), *(r[3] for r in rows)])
+def _indexed(
+    rows: list | PackedRows, terms: np.ndarray, held_by: np.ndarray, documents: int, sizes: dict[int, int], by_label: bool
+) -> dict:
+    """What an index is built from: postings of (id, label, keys, counts) rows by term, like examples side by side.
+
+    Rows are gone through one by one, so the driver holds the postings once, in small types.
+    """
+    ids, labels, held = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int8), np.zeros(len(terms), np.int64)
+    for i, (ident, label, keys, _) in enumerate(rows):
+        ids[i], labels[i] = ident, label
+        held[np.searchsorted(terms, keys)] += 1
     # examples of one label that share their rarest common term stand together
-    held = np.bincount(term, minlength=len(terms))
-    by = np.lexsort((term, np.where(held[term] > 1, held[term], len(rows) + 1), owner))
-    firsts = by[np.flatnonzero(np.diff(owner[by], prepend=-1))] if len(by) else by
     likest = np.full(len(rows), len(terms))
-    likest[owner[firsts]] = term[firsts]
+    for i, (_, _, keys, _) in enumerate(rows):
+        if len(keys):
+            own = np.searchsorted(terms, keys)
+            likest[i] = own[np.argmin(np.where(held[own] > 1, held[own], len(rows) + 1))]
     order = np.lexsort((np.arange(len(rows)), likest, labels))
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows))
-    by = np.lexsort((place[owner], term))
+    # an example holds a term once: its postings go to the next free spots of their lists
+    free = np.cumsum(held) - held
+    place, tf = np.zeros(int(held.sum()), np.min_scalar_type(len(rows))), np.zeros(int(held.sum()), np.uint32)
+    for spot, i in enumerate(order.tolist()):
+        _, _, keys, counts = rows[i]
+        own = np.searchsorted(terms, keys)
+        place[free[own]], tf[free[own]] = spot, counts
+        free[own] += 1
     seen = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
     return {
         "name": uuid.uuid4().hex, "terms": terms, "documents": documents, "held_by": _packed(held_by), "held": _packed(held),
-        "place": _packed(place[owner][by]), "tf": _packed(tf[by]), "by_label": by_label, "labels": labels[order],
-        "ids": np.array([rows[i][0] for i in order], np.int64), "stands_for": (sizes.get(1, 1) / seen[1], sizes.get(0, 1) / seen[0]),
+        "place": _packed(place), "tf": _packed(tf), "by_label": by_label, "labels": labels[order],
+        "ids": ids[order], "stands_for": (sizes.get(1, 1) / seen[1], sizes.get(0, 1) / seen[0]),
     }
 
 

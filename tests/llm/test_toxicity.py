@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -159,3 +160,36 @@ def test_edges(spark, labelled):
     else:
         assert set(score.values()) == {0.0}
     assert toxicity.score_texts(docs.where("false"), toxicity.fit(docs, labels)).count() == 0
+
+
+def test_driver_holds_examples_packed(spark):
+    """Sixteen bytes and more for every word of every example once went through the driver's Python."""
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join("w%d" % w for w in rng.integers(0, 6000, 4000))) for i in range(500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" once more")))).localCheckpoint()
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).localCheckpoint()
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    built = model["index"].value
+    postings = int(toxicity._unpacked(built["held"]).sum())
+    assert postings > 700_000 and most < 12 * postings, (postings, most)
+    texts = sorted((r.doc_id, r.text) for r in docs.where(toxicity.trained(F.col("doc_id"))).collect())
+    rows = [(i, int(i % 3 == 0), *toxicity.terms_of(t)) for i, t in texts]
+    terms = np.unique(np.concatenate([r[2] for r in rows]))
+    held = np.bincount(np.concatenate([np.searchsorted(terms, r[2]) for r in rows]))
+    assert (built["terms"] == terms).all() and (toxicity._unpacked(built["held"]) == held).all()
+    # every posting stands in its term's list, at its example's place, with its count
+    spots = {}
+    for spot, (ident, label) in enumerate(zip(built["ids"].tolist(), built["labels"].tolist(), strict=True)):
+        spots.setdefault((ident, label), []).append(spot)
+    place, tf = toxicity._unpacked(built["place"]), toxicity._unpacked(built["tf"])
+    lists = np.repeat(np.arange(len(terms)), held)
+    found = sorted(zip(terms[lists].tolist(), [(int(built["ids"][p]), int(built["labels"][p])) for p in place], tf.tolist(), strict=True))
+    assert found == sorted((k, (i, y), n) for i, y, keys, counts in rows for k, n in zip(keys.tolist(), counts.tolist(), strict=True))
+    assert all(len(s) == (2 if i < 20 else 1) for (i, _), s in spots.items())
+    assert (np.diff(place.astype(int))[np.diff(lists) == 0] > 0).all()
